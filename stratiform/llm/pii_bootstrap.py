@@ -18,7 +18,6 @@ digit or word runs are read in linear time.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -131,24 +130,28 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 _MENTION = "array<struct<start:int,end:int,instance:string,patterns:array<string>,kind:int>>"
 
 
+def with_key(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Adds ``key``, a hash of the text."""
+    return df.withColumn("key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, base, mentions): base spans, and every seed and identifier-like token with its patterns (kind -1: unknown)."""
-    src = C.pick(df, id_col, text_col)
+    src = with_key(C.pick(df, id_col, text_col), text_col)
     kind = _arrow_type(src, id_col)
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
     mention = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string())), ("kind", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bases, mentions = [], [], []
+            bases, mentions = [], []
             for t in batch.column(1):
                 text = t.as_py() or ""
-                keys.append(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
                 base = base_spans(text)
                 bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
                 found = base + [(-1, s, e) for s, e in tokens(text, base)]
                 mentions.append([{"start": s, "end": e, "instance": text[s:e].lower(), "patterns": p, "kind": k} for k, s, e in found if (p := _around(text, s, e))])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), pa.array(keys), pa.array(bases, span), pa.array(mentions, mention)], [id_col, "key", "base", "mentions"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), batch.column(2), pa.array(bases, span), pa.array(mentions, mention)], [id_col, "key", "base", "mentions"])
 
     return C.map_arrow(src, run, [C.id_field(src, id_col), C.field("key", "string"), C.field("base", "array<struct<kind:int,start:int,end:int>>"), C.field("mentions", _MENTION)])
 
@@ -203,9 +206,9 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *(count(k) for k in range(4)), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def redact(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -> F.Column:
+def redact(text_col: str = "text", spans_col: str = "spans") -> F.Column:
     """Column of the text with every span replaced by its kind in brackets; overlapping spans give one bracket, of the first."""
-    ordered = F.array_sort(F.transform(F.col(spans_col), lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))))
+    ordered = F.array_sort(F.transform(spans_col, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"), x["kind"].alias("k"))))
     names = F.array(*map(F.lit, KINDS))
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))

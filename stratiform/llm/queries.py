@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratiform.llm import bpe_replay, decontaminate, html_crf, ogg, pii_bootstrap, quotes, toxicity_pu, warc
+from stratiform.llm import bpe_replay, decontaminate, html_crf, ngram_join, ogg, pii_bootstrap, quotes, suffix_dedup, toxicity_pu, warc
 from stratiform.llm.common import table
 from stratiform.llm.oracles import ORACLES
 from stratiform.shipping import ship
@@ -40,6 +40,11 @@ def op5_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.token_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
@@ -49,12 +54,17 @@ def op8_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ngram_join.classes(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return warc.roundtrip(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ogg_media, op2_html_crf, op3_toxicity_pu, op4_pii_bootstrap, op5_bpe_replay, op7_quotation_links, op8_wu_manber, op10_warc_reader)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ogg_media, op2_html_crf, op3_toxicity_pu, op4_pii_bootstrap, op5_bpe_replay, op6_suffix_dedup, op7_quotation_links, op8_wu_manber, op9_ngram_join, op10_warc_reader)}
 
 
 def queries() -> dict[str, Query]:

@@ -187,6 +187,19 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_clean(df: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose text scores below the threshold, with all their columns; no shuffle."""
+    at = df.columns.index(text_col)
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            yield batch.filter(pa.array([m is None or m.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Train, then score."""
     return score(docs, train(docs, labels, id_col, text_col), id_col, text_col)
