@@ -6,16 +6,18 @@ of either are missing from the other.
 
 1. *Census.* Tokens of the lower half of the hash space are counted over all documents, in compact
    blobs by hash range. A set with more than tau tokens nobody else has can't link; the rest are
-   candidates. A fixed-size bitmap of their keys filters the following scans.
+   candidates. A fixed-size bitmap of their keys filters the following scan. Among the candidates whole
+   sets are counted again, so those that only resemble a group too little are out, and each one's
+   number of shared tokens bounds its intersection with any other.
 2. *Prefixes.* All sets order tokens by hash. Tokens that at most ``RARE`` candidates hold are rare
    and indexed singly; the others are frequent, dealt into ``groups`` by hash, and indexed as pairs of one
    group. The prefix is extended until rare tokens, plus one less than its frequent tokens in each group,
    exceed tau: without a common rare token and with at most one common frequent token a group, more than
    tau tokens would be missing. So linked sets share a signature.
-3. *Verification* on whole sets, twice: first every set against the smallest and the largest of each
-   signature (linear in the signature's holders); components of these links; then all pairs of a
-   signature whose holders are still in different components. Groups of thousands of near copies are
-   settled in the first round, without their square of pairs.
+3. *Verification* on whole sets, in rounds: every holder of a signature against one of them, drawn by
+   a hash among those that share most of their tokens (linear in the holders); components of the links so far; signatures whose holders are all in
+   one component are settled. At the end all pairs of those in different components that are left.
+   Groups of thousands of near copies are settled by the rounds, without their square of pairs.
 
 Nothing is dropped: signatures have no cap. Shuffles carry hashes and sets of candidates, never
 texts.
@@ -47,6 +49,10 @@ SHINGLE, PERCENT = 5, 75
 RARE = 32
 #: Groups of frequent tokens for sets of at least ``LARGE`` tokens; smaller sets have one group.
 LARGE, GROUPS = 64, 16
+#: Rounds in which every holder of a signature is held against one of them, another one each time.
+ROUNDS = 2
+#: Times that whole sets are counted among the candidates left.
+COUNTS = 2
 #: Tokens that a block of the census holds, and a range of hashes.
 BLOCK_TOKENS, RANGE_TOKENS = 1_000_000, 1_000_000
 
@@ -70,19 +76,6 @@ def _sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple
         yield [(set_key(x), x) for x in own]
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, n) of every row."""
-    src = C.pick(df, id_col, text_col)
-    kind = _arrow_type(src, id_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = next(_sets(iter([batch]), 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), pa.array([k for k, _ in own], pa.int64()), pa.array([len(x) for _, x in own], pa.int64())], [id_col, "key", "n"])
-
-    return C.map_arrow(src, run, [C.id_field(src, id_col), C.field("key", "long"), C.field("n", "long")])
-
-
 def _planes(x: np.ndarray, width: int) -> bytes:
     """The low bytes of numbers, byte by byte, so that equal high bytes stand together and compress."""
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
@@ -94,8 +87,17 @@ def _numbers(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def candidates(df: DataFrame, text_col: str, total: int, percent: int) -> DataFrame:
-    """(key): sets that at most tau of the counted tokens hold alone; a superset of those that link."""
+def _stored(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    for batch in batches:
+        yield [(k, np.frombuffer(x.as_buffer(), np.uint64)) for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+
+
+def census(df: DataFrame, total: int, percent: int) -> DataFrame:
+    """(key, shared): sets of which at most tau of the counted tokens are in no other set, and how many
+    are; a superset of those that link. ``df`` holds texts, of which the lower half of the hash space is
+    counted, or (key, tokens), which are counted whole."""
+    whole = len(df.columns) > 1
+    read, top = (_stored, 64) if whole else (_sets, 63)
     bits = min(16, max(10, int(total // RANGE_TOKENS).bit_length()))
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +113,10 @@ def candidates(df: DataFrame, text_col: str, total: int, percent: int) -> DataFr
             tokens, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
             order = np.argsort(tokens)
             tokens, owner = tokens[order], owner[order]
-            at = (tokens >> np.uint64(63 - bits)).astype(np.int64)
+            at = (tokens >> np.uint64(top - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(at)) + 1
             ranges = at[np.r_[0, cuts]] if len(at) else np.empty(0, np.int64)
-            rest = (tokens & np.uint64((1 << (63 - bits)) - 1)) >> np.uint64(max(0, 63 - bits - 40))
+            rest = (tokens & np.uint64((1 << (top - bits)) - 1)) >> np.uint64(max(0, top - bits - 40))
             a = [_planes(x, 5) for x in np.split(rest, cuts)] if len(at) else []
             b = [_planes(x, 2) for x in np.split(owner.astype(np.uint64), cuts)] if len(at) else []
             own = [np.array(list(keys), np.int64).tobytes()], [np.stack([sizes, np.array(list(keys.values()))]).astype("<i8").tobytes()]
@@ -124,11 +126,11 @@ def candidates(df: DataFrame, text_col: str, total: int, percent: int) -> DataFr
             return out
 
         count = 0
-        for own in _sets(batches, 0):
+        for own in read(batches, 0):
             for key, x in own:
                 if len(x) and key not in keys:
                     keys[key] = len(x)
-                    held.append(x[: np.searchsorted(x, np.uint64(1 << 63))])
+                    held.append(x if whole else x[: np.searchsorted(x, np.uint64(1 << 63))])
                     count += len(held[-1])
                     if count > BLOCK_TOKENS or len(held) > 60_000:
                         yield flush()
@@ -178,7 +180,8 @@ def candidates(df: DataFrame, text_col: str, total: int, percent: int) -> DataFr
 
         def close() -> Iterator[pa.RecordBatch]:
             if at is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(keys[sizes - count <= tau(n, percent)], pa.int64())], ["key"])
+                good = sizes - count <= tau(n, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[good], pa.int64()), pa.array(count[good], pa.int64())], ["key", "shared"])
 
         for batch in batches:
             for block, owners, own in zip(*(batch.column(k) for k in range(3)), strict=True):
@@ -192,40 +195,47 @@ def candidates(df: DataFrame, text_col: str, total: int, percent: int) -> DataFr
                     count += np.bincount(np.frombuffer(owners.as_py(), "<u2"), minlength=len(keys))
         yield from close()
 
-    parts = C.map_arrow(C.pick(df, text_col), blobs, [C.field("range", "long"), C.field("block", "long"), C.field("tokens", "binary"), C.field("owners", "binary")])
+    parts = C.map_arrow(df, blobs, [C.field("range", "long"), C.field("block", "long"), C.field("tokens", "binary"), C.field("owners", "binary")])
     by_range = parts.repartition("range").sortWithinPartitions("range")
     found = C.map_arrow(by_range, repeated, [C.field("block", "long"), C.field("owners", "binary"), C.field("keys", "binary")])
     by_block = found.withColumn("late", F.col("keys").isNull()).repartition("block").sortWithinPartitions("block", "late").drop("late")
-    return C.map_arrow(by_block, chosen, [C.field("key", "long")]).distinct()
+    return C.map_arrow(by_block, chosen, [C.field("key", "long"), C.field("shared", "long")])
 
 
-def _chosen_sets(df: DataFrame, text_col: str, bits: np.ndarray, head: int | None, percent: int) -> DataFrame:
-    """(key, n, tokens): one row a set in the bitmap; its first tokens (tau + 1 and ``head`` more) or all."""
+def _with_sets(df: DataFrame, id_col: str, text_col: str, bits: np.ndarray) -> DataFrame:
+    """(id, key, n, tokens) of every row; tokens, a binary of the sorted hashes, only of sets in the bitmap, once a task."""
+    src = C.pick(df, id_col, text_col)
+    kind = _arrow_type(src, id_col)
     sent = df.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for own in _sets(batches, 0):
-            if not own:
-                continue
-            ok = bitmap.has(sent.value, np.array([k for k, _ in own], np.int64).view(np.uint64))
-            rows = [(k, len(x), x.tobytes() if head is None else x[: tau(len(x), percent) + 1 + head].tobytes()) for (k, x), good in zip(own, ok, strict=True) if good and len(x) and k not in seen]
-            if len(seen) < 100_000:  # copies inside a task; others meet later
-                seen.update(r[0] for r in rows)
-            for i in range(0, len(rows), 1000):
-                k, n, raw = zip(*rows[i : i + 1000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], ["key", "n", "tokens"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                own = next(_sets(iter([part]), 1))
+                ok = bitmap.has(sent.value, np.array([k for k, _ in own], np.int64).view(np.uint64))
+                raw = [x.tobytes() if good and len(x) and k not in seen else None for (k, x), good in zip(own, ok, strict=True)]
+                if len(seen) < 100_000:  # copies inside a task; others meet later
+                    seen.update(k for (k, _), r in zip(own, raw, strict=True) if r)
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), pa.array([k for k, _ in own], pa.int64()), pa.array([len(x) for _, x in own], pa.int64()), pa.array(raw, pa.binary())], [id_col, "key", "n", "tokens"])
 
-    return C.map_arrow(C.pick(df, text_col), run, [C.field("key", "long"), C.field("n", "long"), C.field("tokens", "binary")]).dropDuplicates(["key"])
+    return C.map_arrow(src, run, [C.id_field(src, id_col), C.field("key", "long"), C.field("n", "long"), C.field("tokens", "binary")])
 
 
-def _tokens(sets: DataFrame) -> DataFrame:
-    """(token, key) rows."""
+def _head(raw: bytes, percent: int) -> np.ndarray:
+    """The tokens a prefix may need: tau + 1, and one for every group."""
+    x = np.frombuffer(raw, np.uint64)
+    return x[: tau(len(x), percent) + 1 + GROUPS]
+
+
+def _tokens(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, key) rows of the heads of the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                own = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)[at : at + 256]]
+                own = [_head(x.as_buffer(), percent).view(np.int64) for x in batch.column(1)[at : at + 256]]
                 keys = np.repeat(batch.column(0)[at : at + 256].to_numpy(), [len(x) for x in own])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own), pa.int64()), pa.array(keys, pa.int64())], ["token", "key"])
 
@@ -252,13 +262,13 @@ def signatures_of(tokens: np.ndarray, kinds: np.ndarray, n: int, groups: int, pe
 
 
 def signatures(sets: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
-    """(sig, key, n) from sets and the kinds of their tokens (key, marks: array of (token, kind)) of those that aren't alone."""
+    """(sig, key, n, r) from sets (r: shared) and the kinds of their tokens (key, marks: array of (token, kind)) of those that aren't alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs, keys, sizes = [], [], []
-            for key, n, raw, marks in zip(*(batch.column(k) for k in range(4)), strict=True):
-                key, n, tokens = key.as_py(), n.as_py(), np.frombuffer(raw.as_py(), np.uint64)
+            sigs, keys, sizes, common = [], [], [], []
+            for key, n, raw, marks, shared in zip(*(batch.column(k) for k in range(5)), strict=True):
+                key, n, tokens = key.as_py(), n.as_py(), _head(raw.as_buffer(), percent)
                 kind = np.zeros(len(tokens), np.int8)
                 own = marks.values
                 if own is not None and len(own):
@@ -272,11 +282,12 @@ def signatures(sets: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
                 sigs.append(mine)
                 keys.append(np.full(len(mine), key))
                 sizes.append(np.full(len(mine), n))
+                common.append(np.full(len(mine), shared.as_py()))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64), pa.int64()), pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(sizes), pa.int64())], ["sig", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64), pa.int64()), pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(common), pa.int64())], ["sig", "key", "n", "r"])
 
-    rows = sets.join(kinds, "key").select("key", "n", "tokens", "marks")
-    return C.map_arrow(rows, run, [C.field("sig", "long"), C.field("key", "long"), C.field("n", "long")])
+    rows = sets.join(kinds, "key").select("key", "n", "tokens", "marks", "shared")
+    return C.map_arrow(rows, run, [C.field(c, "long") for c in ("sig", "key", "n", "r")])
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -297,49 +308,71 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return C.map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, [C.field("a", "long"), C.field("b", "long")])
 
 
-def _close(a: str, b: str, percent: int) -> F.Column:
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.col("a") != F.col("b"))
+def _close(percent: int) -> F.Column:
+    """Pairs (a, b) of n and m tokens, of which r and s are in any other set, that may link: the smaller
+    of r and s must reach the intersection that the sizes ask for."""
+    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    return sizes & ((100 + percent) * F.least("r", "s") >= percent * (F.col("n") + F.col("m"))) & (F.col("a") != F.col("b"))
+
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def links(df: DataFrame, text_col: str, total: int, percent: int, scratch: C.Scratch) -> DataFrame | None:
-    """(node, component) of the keys of sets that link with another one; None if none can."""
-    chosen = scratch.keep(candidates(df, text_col, total, percent))
-    heads = scratch.keep(_chosen_sets(df, text_col, bitmap.build(chosen), GROUPS, percent))
-    scratch.drop(chosen)
-    tokens = _tokens(heads)
+
+def _open(signed: DataFrame, known: DataFrame | None, scratch: C.Scratch) -> DataFrame:
+    """(sig, key, n, r, component) of signatures whose holders are in different components."""
+    labelled = signed.select("sig", "key", "n", "r")
+    if known is None:
+        labelled = labelled.withColumn("component", F.col("key"))
+    else:
+        labelled = labelled.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    mixed = labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("sig")
+    return scratch.keep(labelled.join(mixed, "sig"))
+
+
+def links(sets: DataFrame, percent: int, scratch: C.Scratch) -> DataFrame:
+    """(node, component) of the keys of sets (key, n, shared, tokens) that link with another one."""
+    tokens = _tokens(sets, percent)
     kinds = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token", F.when(F.col("c") > RARE, 2).otherwise(1).cast("byte").alias("kind"))
     marks = tokens.join(kinds, "token").groupBy("key").agg(F.collect_list(F.struct("token", "kind")).alias("marks"))
-    every = signatures(heads, marks, percent)
-    signed = scratch.keep(every)
-    ends = signed.groupBy("sig").agg(F.min(F.struct("n", "key")).alias("lo"), F.max(F.struct("n", "key")).alias("hi"), F.count("*").alias("c")).filter("c > 1").select("sig", "lo", "hi")
-    shared = scratch.keep(signed.join(ends, "sig"))
-    scratch.drop(signed, heads)
-    star = shared.select(F.explode(F.array("lo", "hi")).alias("p"), "key", "n").select(F.least("p.key", "key").alias("a"), F.greatest("p.key", "key").alias("b"), F.col("p.n").alias("m"), "n")
-    first = scratch.keep(star.filter(_close("m", "n", percent)).select("a", "b").distinct())
-    sets = scratch.keep(_chosen_sets(df, text_col, bitmap.build(shared.select("key").distinct()), None, percent))
-    edges = scratch.keep(verify(first, sets, percent))
-    known = components(edges, scratch)
-    labelled = shared.select("sig", "key", "n").join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    labelled = scratch.keep(labelled)
-    mixed = labelled.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("sig")
-    open_ = labelled.join(mixed, "sig")
-    other = open_.select("sig", F.col("key").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    pairs = open_.withColumnRenamed("key", "a").join(other, "sig").filter((F.col("component") < F.col("other")) & _close("n", "m", percent))
-    rest = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = scratch.keep(verify(rest, sets, percent))
-    scratch.drop(shared, labelled, sets)
-    return components(edges.unionByName(more), scratch)
+    signed = scratch.keep(signatures(sets, marks, percent))
+    open_ = _open(signed, None, scratch)
+    scratch.drop(signed)
+    tried = edges = known = None
+    for k in range(ROUNDS):
+        order = F.struct(-F.col("r") / F.col("n"), F.xxhash64("key", F.lit(k)), "key", "n", "r", "component")
+        pivots = open_.groupBy("sig").agg(F.min(order).alias("p")).select("sig", F.col("p.key").alias("b"), F.col("p.n").alias("m"), F.col("p.r").alias("s"), F.col("p.component").alias("other"))
+        star = open_.withColumnRenamed("key", "a").join(pivots, "sig").filter((F.col("component") != F.col("other")) & _close(percent))
+        new = _ordered(star)
+        new = scratch.keep(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
+        found = scratch.keep(verify(new, sets, percent))
+        tried = new if tried is None else tried.unionByName(new)
+        edges = found if edges is None else edges.unionByName(found)
+        known = components(edges, scratch)
+        rest = _open(open_, known, scratch)
+        scratch.drop(open_)
+        open_ = rest
+    other = open_.select("sig", F.col("key").alias("b"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("component").alias("other"))
+    pairs = open_.withColumnRenamed("key", "a").join(other, "sig").filter((F.col("component") < F.col("other")) & _close(percent))
+    last = scratch.keep(verify(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), sets, percent))
+    return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last), scratch)
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id): the smallest id reachable by links."""
     scratch = C.Scratch(df.sparkSession, "ngram")
-    docs = scratch.keep(keyed(df, id_col, text_col))
-    total = docs.agg(F.sum("n")).first()[0] or 0
-    known = links(df, text_col, total, percent, scratch)
-    filled = docs.filter("n > 0")
-    least = filled.groupBy("key").agg(F.min(id_col).alias("low"))
+    size = df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    chosen = scratch.keep(census(C.pick(df, text_col), size // 7, percent).select("key"))
+    docs = scratch.keep(_with_sets(df, id_col, text_col, bitmap.build(chosen)))
+    sets = scratch.keep(docs.filter("tokens is not null").select("key", "n", "tokens").dropDuplicates(["key"]))
+    for _ in range(COUNTS):
+        shared = census(sets.select("key", "tokens"), size // 7, percent)
+        fewer = scratch.keep(sets.select("key", "n", "tokens").join(shared, "key"))
+        scratch.drop(sets)
+        sets = fewer
+    known = links(sets, percent, scratch)
+    least = docs.filter("n > 0").groupBy("key").agg(F.min(id_col).alias("low"))
     labelled = least.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = labelled.groupBy("component").agg(F.min("low").alias("least"))
     of_key = labelled.join(smallest, "component").select("key", "least")
-    return docs.join(of_key, "key", "left").select(id_col, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col(id_col)).alias("component_id"))
+    return docs.select(id_col, "key", "n").join(of_key, "key", "left").select(id_col, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col(id_col)).alias("component_id"))
