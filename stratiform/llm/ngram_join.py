@@ -14,10 +14,10 @@ of either are missing from the other.
    group. The prefix is extended until rare tokens, plus one less than its frequent tokens in each group,
    exceed tau: without a common rare token and with at most one common frequent token a group, more than
    tau tokens would be missing. So linked sets share a signature.
-3. *Verification* on whole sets, in rounds: every holder of a signature against one of them, drawn by
-   a hash among those that share most of their tokens (linear in the holders); components of the links so far; signatures whose holders are all in
-   one component are settled. At the end all pairs of those in different components that are left.
-   Groups of thousands of near copies are settled by the rounds, without their square of pairs.
+3. *Verification* on whole sets: first every holder of a signature against one of them, which shares
+   most of its tokens (linear in the holders); components of these links settle the groups of thousands
+   of near copies without the square of their pairs. Then the pairs of holders in different components,
+   as far as their intersections with the first one leave it possible.
 
 Nothing is dropped: signatures have no cap. Shuffles carry hashes and sets of candidates, never
 texts.
@@ -49,10 +49,10 @@ SHINGLE, PERCENT = 5, 75
 RARE = 32
 #: Groups of frequent tokens for sets of at least ``LARGE`` tokens; smaller sets have one group.
 LARGE, GROUPS = 64, 16
-#: Rounds in which every holder of a signature is held against one of them, another one each time.
-ROUNDS = 2
 #: Times that whole sets are counted among the candidates left.
 COUNTS = 2
+#: Smallest signatures of a set by which repeated meetings of a pair are told.
+FIRST = 12
 #: Tokens that a block of the census holds, and a range of hashes.
 BLOCK_TOKENS, RANGE_TOKENS = 1_000_000, 1_000_000
 
@@ -290,22 +290,22 @@ def signatures(sets: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
     return C.map_arrow(rows, run, [C.field(c, "long") for c in ("sig", "key", "n", "r")])
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of distinct pairs (a, b) whose whole sets link."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n, m, both): sizes and intersection of the whole sets of distinct pairs (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            rows = [(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in ([len(x) for x, _ in rows], [len(y) for _, y in rows], both))], ["a", "b", "n", "m", "both"])
 
     left = sets.select(F.col("key").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("tokens").alias("y"))
-    return C.map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, [C.field("a", "long"), C.field("b", "long")])
+    return C.map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, [C.field(c, "long") for c in ("a", "b", "n", "m", "both")])
+
+
+def _linked(scored: DataFrame, percent: int) -> DataFrame:
+    return scored.filter(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
 
 
 def _close(percent: int) -> F.Column:
@@ -338,23 +338,27 @@ def links(sets: DataFrame, percent: int, scratch: C.Scratch) -> DataFrame:
     signed = scratch.keep(signatures(sets, marks, percent))
     open_ = _open(signed, None, scratch)
     scratch.drop(signed)
-    tried = edges = known = None
-    for k in range(ROUNDS):
-        order = F.struct(-F.col("r") / F.col("n"), F.xxhash64("key", F.lit(k)), "key", "n", "r", "component")
-        pivots = open_.groupBy("sig").agg(F.min(order).alias("p")).select("sig", F.col("p.key").alias("b"), F.col("p.n").alias("m"), F.col("p.r").alias("s"), F.col("p.component").alias("other"))
-        star = open_.withColumnRenamed("key", "a").join(pivots, "sig").filter((F.col("component") != F.col("other")) & _close(percent))
-        new = _ordered(star)
-        new = scratch.keep(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
-        found = scratch.keep(verify(new, sets, percent))
-        tried = new if tried is None else tried.unionByName(new)
-        edges = found if edges is None else edges.unionByName(found)
-        known = components(edges, scratch)
-        rest = _open(open_, known, scratch)
-        scratch.drop(open_)
-        open_ = rest
-    other = open_.select("sig", F.col("key").alias("b"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("component").alias("other"))
-    pairs = open_.withColumnRenamed("key", "a").join(other, "sig").filter((F.col("component") < F.col("other")) & _close(percent))
-    last = scratch.keep(verify(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), sets, percent))
+    # a holder that shares most of its tokens, the same one for all signatures where it can be
+    order = F.struct(-F.col("r") / F.col("n"), F.xxhash64("key"), "key", "n", "r")
+    pivots = scratch.keep(open_.groupBy("sig").agg(F.min(order).alias("p")).select("sig", F.col("p.key").alias("b"), F.col("p.n").alias("m"), F.col("p.r").alias("s")))
+    star = open_.withColumnRenamed("key", "a").join(pivots, "sig").filter(_close(percent))
+    tried = scratch.keep(overlaps(_ordered(star), sets))
+    edges = _linked(tried, percent)
+    known = components(edges, scratch)
+    rest = _open(open_, known, scratch)
+    scratch.drop(open_)
+    held = tried.select("a", "b", "both").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"), "both")).withColumnRenamed("a", "key")
+    first = rest.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST).alias("first"))
+    near = rest.join(first, "key").join(pivots.select("sig", "b"), "sig").join(held, ["key", "b"], "left").withColumn("o", F.when(F.col("key") == F.col("b"), F.col("n")).otherwise(F.col("both"))).select("sig", F.col("key").alias("a"), "n", "r", "o", "component", "first")
+    other = near.select("sig", F.col("a").alias("b"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("o").alias("q"), F.col("component").alias("other"), F.col("first").alias("second"))
+    # a pair meets once, not in all its common signatures, if their first ones have any in common
+    once = F.coalesce(F.col("sig") <= F.array_min(F.array_intersect("first", "second")), F.lit(True))
+    # of an intersection, one part is in the pivot, too, the other among the shared tokens that are not
+    most = F.coalesce(F.least("o", "q") + F.least(F.col("r") - F.col("o"), F.col("s") - F.col("q")), F.least("r", "s"))
+    enough = (100 + percent) * most >= percent * (F.col("n") + F.col("m"))
+    pairs = near.join(other, "sig").filter((F.col("component") < F.col("other")) & _close(percent) & enough & once)
+    left = scratch.keep(_ordered(pairs))
+    last = scratch.keep(_linked(overlaps(left.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets), percent))
     return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last), scratch)
 
 
