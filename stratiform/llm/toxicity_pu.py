@@ -135,15 +135,18 @@ def _feature_rows(df: DataFrame) -> DataFrame:
     return C.map_arrow(df, run, [C.field("positive", "boolean"), C.field("words", "string")])
 
 
-def _enriched(rows: list[tuple[bool, list[str]]]) -> list[str]:
-    """Features that stand out in the positive rows, in natural order."""
-    n_p, n = sum(p for p, _ in rows), len(rows)
-    of_p, of_all = Counter(f for p, own in rows if p for f in own), Counter(f for _, own in rows for f in own)
+def _enriched(held: list[tuple[bool, str]]) -> list[str]:
+    """Features that stand out in the positive texts, in natural order."""
+    n_p, n = sum(p for p, _ in held), len(held)
+    of_p = Counter(f for p, words in held if p for f in features_of(words))
+    often = {f: k for f, k in of_p.items() if k >= max(MIN_DF, MIN_SHARE * n_p)}
+    of_p.clear()
+    of_all = Counter(f for _, words in held for f in features_of(words) & often.keys())
     strength = {}
-    for f, k in of_p.items():
+    for f, k in often.items():
         p, u = k / max(1, n_p), of_all[f] / n
         z = (p - u) / math.sqrt(max(1e-12, u * (1 - u)) * (1 / max(1, n_p) + 1 / n))
-        if k >= max(MIN_DF, MIN_SHARE * n_p) and z >= MIN_Z and p >= MIN_RATIO * u:
+        if z >= MIN_Z and p >= MIN_RATIO * u:
             strength[f] = z
     return sorted(sorted(strength, key=lambda f: (-strength[f], f))[:MAX_FEATURES])
 
@@ -160,10 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = marked.filter(F.col("p_") | _sampled(max_unlabelled, src.count(), F.concat_ws("|", F.lit("u"), id_col)))
     held: list[tuple[bool, str]] = [(r[0], r[1]) for r in _feature_rows(drawn.select("p_", text_col)).toLocalIterator()]
     held.sort()
-    rows = [(p, sorted(features_of(words))) for p, words in held]
-    chosen_features = _enriched(rows)
+    chosen_features = _enriched(held)
     at = {f: i for i, f in enumerate(chosen_features)}
-    every = [(p, [at[f] for f in own if f in at]) for p, own in rows]
+    every = [(p, sorted(at[f] for f in features_of(words) & at.keys())) for p, words in held]
     positive, unlabelled = Rows([r for p, r in every if p]), Rows([r for _, r in every])
     if not positive.n:
         return None
