@@ -1,0 +1,88 @@
+"""Paired comparison, resampling, percentiles and decision rules."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+EPSILON = 1e-9
+
+
+def paired(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, delta) of b - a; keys that one side lacks are an error, raised when read."""
+    both = a.select(key, F.col(value).alias("x")).join(b.select(key, F.col(value).alias("y")), key, "full_outer")
+    missing = F.raise_error(F.concat(F.lit("not in both runs: "), F.col(key).cast("string"))).cast("double")
+    return both.select(key, F.when(F.col("x").isNull() | F.col("y").isNull(), missing).otherwise(F.round(F.col("y") - F.col("x"), 9)).alias("delta"))
+
+
+def bootstrap(deltas: DataFrame, key: str, reps: int, seed: str = "r") -> DataFrame:
+    """Mean, 95 % interval and sign counts by resampling ``deltas``, one row per need (so its size is that of an evaluation, which is broadcast).
+
+    Draw j of repetition i is row ``hash(seed, i, j) mod n``: the same on any engine and for any comparison of n needs.
+    """
+    numbered = deltas.select((F.row_number().over(Window.orderBy(key)) - 1).alias("at"), "delta").persist()
+    n = numbered.count()
+    draws = deltas.sparkSession.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "rep", "j")), 1, 12), 16, 10).cast("long"), F.lit(n))
+    means = draws.select("rep", pick.alias("at")).join(F.broadcast(numbered), "at").groupBy("rep").agg((F.sum("delta") / n).alias("m"))
+    place = means.withColumn("k", F.row_number().over(Window.orderBy("m")))
+    lo, hi = int(0.025 * reps) + 1, int(0.975 * reps)
+    ends = place.agg(F.round(F.max(F.when(F.col("k") == lo, F.col("m"))), 6).alias("low"), F.round(F.max(F.when(F.col("k") == hi, F.col("m"))), 6).alias("high"))
+    signs = deltas.agg(F.round(F.avg("delta"), 6).alias("mean"), F.sum((F.col("delta") > EPSILON).cast("int")).alias("better"), F.sum((F.abs("delta") <= EPSILON).cast("int")).alias("equal"), F.sum((F.col("delta") < -EPSILON).cast("int")).alias("worse"))
+    out = signs.crossJoin(ends)
+    verdict = F.when(F.col("low") > EPSILON, "better").when(F.col("high") < -EPSILON, "worse").otherwise("undecided")
+    return out.withColumn("verdict", verdict)
+
+
+def effect(deltas: DataFrame) -> DataFrame:
+    """Standard deviation, effect size, and the mean without the most influential row."""
+    top = F.max_by("delta", F.abs("delta"))
+    return deltas.agg(F.round(F.stddev_samp("delta"), 6).alias("sd"), F.round(F.avg("delta") / F.nullif(F.stddev_samp("delta"), F.lit(0.0)), 6).alias("d_z"), F.round((F.sum("delta") - top) / (F.count("*") - 1), 6).alias("without_top"))
+
+
+def percentiles(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """Six dialects: nearest rank, rounded index (half to even), floored index, index less one, linear, exclusive quartile."""
+    own = rows.filter(F.col(value).isNotNull())
+    n = Window.partitionBy(*groups)
+    place = own.select(*groups, F.col(value).alias("v"), F.row_number().over(n.orderBy(value)).alias("k"), F.count("*").over(n).alias("n"))
+    at = lambda i: F.max(F.when(F.col("k") == i, F.col("v")))
+    m = F.col("n")
+    q1 = (m + 1) * 0.25
+    low = F.greatest(F.floor(q1), F.lit(1))
+    return place.groupBy(*groups).agg(
+        at(F.ceil(m * 0.95)).alias("nearest95"),
+        at(F.bround((m - 1) * 0.5, 0) + 1).alias("rounded50"),
+        at(F.least(F.floor(m * 0.95) + 1, m)).alias("floored95"),
+        at(F.when(F.floor(m * 0.95) < 1, m).otherwise(F.floor(m * 0.95))).alias("less_one95"),
+        F.round(F.percentile("v", 0.95), 6).alias("linear95"),
+        F.round(at(low) + (at(F.least(low + 1, m)) - at(low)) * F.max(q1 - low), 6).alias("exclusive25"),
+    )
+
+
+def dominance(systems: DataFrame, name: str, axes: list[str], slack: float = 0.1) -> DataFrame:
+    """Pairs (winner, loser): at most ``slack`` worse on every cost axis and better by more than it on one. Systems are few; they are paired by a join on inequality of names."""
+    a, b = systems.alias("a"), systems.alias("b")
+    least = [F.col(f"a.{x}") <= F.col(f"b.{x}") * (1 + slack) for x in axes]
+    better = [F.col(f"a.{x}") < F.col(f"b.{x}") * (1 - slack) for x in axes]
+    all_, any_ = least[0], better[0]
+    for x in least[1:]:
+        all_ = all_ & x
+    for x in better[1:]:
+        any_ = any_ | x
+    return a.join(b, (F.col(f"a.{name}") != F.col(f"b.{name}")) & all_ & any_).select(F.col(f"a.{name}").alias("winner"), F.col(f"b.{name}").alias("loser"))
+
+
+def recall_envelope(unjudged: DataFrame, known: DataFrame) -> DataFrame:
+    """Exact least and greatest change of recall over all grades the unjudged documents may turn out to have.
+
+    ``known``: (query_id, base_found, cand_found, relevant); ``unjudged``: (query_id, doc_id, w) with w = 1 in the
+    candidate's list only, -1 in the base's only, 0 in both or none. Making k of them relevant changes the recall to
+    (found + sum of w) / (relevant + k): the best k are the largest w first, the worst the smallest.
+    """
+    w = Window.partitionBy("query_id")
+    gain = unjudged.withColumn("k", F.row_number().over(w.orderBy(F.col("w").desc(), "doc_id"))).withColumn("up", F.sum("w").over(w.orderBy(F.col("w").desc(), "doc_id")))
+    loss = gain.withColumn("down", F.sum("w").over(w.orderBy("w", "doc_id"))).withColumn("k2", F.row_number().over(w.orderBy("w", "doc_id")))
+    d = F.col("cand_found") - F.col("base_found")
+    each = loss.join(known, "query_id").select("query_id", ((d + F.col("up")) / (F.col("relevant") + F.col("k"))).alias("hi"), ((d + F.col("down")) / (F.col("relevant") + F.col("k2"))).alias("lo"))
+    none = known.select("query_id", (d / F.col("relevant")).alias("hi"), (d / F.col("relevant")).alias("lo")).filter("hi is not null")
+    return each.unionByName(none).groupBy("query_id").agg(F.round(F.min("lo"), 6).alias("least"), F.round(F.max("hi"), 6).alias("greatest"))
