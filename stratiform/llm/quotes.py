@@ -98,8 +98,10 @@ def depths(parents: DataFrame) -> DataFrame:
     state = scratch.keep(parents.select("conv", "turn", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
     longest = state.groupBy("conv").count().agg(F.max("count")).first()[0] or 1
     for _ in range(math.ceil(math.log2(longest)) if longest > 1 else 0):
+        # only those that haven't come to a start are looked up again
         top = state.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"))
-        new = scratch.keep(state.join(top, ["conv", "up"], "left").select("conv", "turn", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")))
+        open_ = state.filter("up is not null").join(top, ["conv", "up"], "left").select("conv", "turn", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
+        new = scratch.keep(open_.unionByName(state.filter("up is null").select("conv", "turn", "up", "depth")))
         scratch.drop(state)
         state = new
         if state.filter("up is not null").isEmpty():
@@ -111,7 +113,11 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     """(conv, turn, role, own_text, n_quotes, n_linked, reply_to, depth): conversations without quotes; order them by (conv, depth, turn)."""
     src = C.pick(df, conv_col, turn_col, role_col, text_col).toDF("conv", "turn", "role", "text")
     known = src.filter(F.col("conv").isNotNull() & F.col("turn").isNotNull()).select("conv", F.col("turn").cast("long").alias("turn"), "text")
-    quoted = latest_before(passages(known), originals(known))
+    scratch = C.Scratch(df.sparkSession, "quotes")
+    asked = scratch.keep(passages(known))
+    # only conversations that quote at all are taken apart
+    quoting = known.join(asked.select("conv").distinct(), "conv", "left_semi")
+    quoted = scratch.keep(latest_before(asked, originals(quoting)))
     per_text = quoted.groupBy("conv", "turn", "text_key").agg(
         F.count("*").alias("n_quotes"),
         F.count("found").alias("n_linked"),
@@ -123,7 +129,7 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     lasts = previous.groupBy("conv", "block").agg(F.max("turn").alias("last")).withColumn("carry", F.lag("last").over(Window.partitionBy("conv").orderBy("block"))).drop("last")
     chain = inside.join(lasts, ["conv", "block"]).select("conv", "turn", F.coalesce("p", "carry").alias("previous"))
     linked = per_text.groupBy("conv", "turn").agg(F.min("best").alias("best"))
-    parents = chain.join(linked, ["conv", "turn"], "left").select("conv", "turn", F.coalesce(-F.col("best.back"), F.col("previous")).alias("parent"))
+    parents = scratch.keep(chain.join(linked, ["conv", "turn"], "left").select("conv", "turn", F.coalesce(-F.col("best.back"), F.col("previous")).alias("parent")))
     graph = parents.join(depths(parents), ["conv", "turn"])
     keyed = src.withColumn("at_", F.col("turn").cast("long")).withColumn("key_", F.md5("text"))
     counts = per_text.select(F.col("conv"), F.col("turn").alias("at_"), F.col("text_key").alias("key_"), "n_quotes", "n_linked")
