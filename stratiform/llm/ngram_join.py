@@ -365,6 +365,7 @@ def links(sets: DataFrame, percent: int, scratch: C.Scratch) -> DataFrame:
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id): the smallest id reachable by links."""
     scratch = C.Scratch(df.sparkSession, "ngram")
+    df = C.pick(df, id_col, text_col)
     size = df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
     chosen = scratch.keep(census(C.pick(df, text_col), size // 7, percent).select("key"))
     docs = scratch.keep(_with_sets(df, id_col, text_col, bitmap.build(chosen)))
