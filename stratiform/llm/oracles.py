@@ -92,4 +92,46 @@ SELECT page_id, n::BIGINT AS payload_bytes,
 FROM g
 """
 
-ORACLES = {"op7_quotation_links": OP7, "op8_wu_manber": OP8, "op10_warc_reader": OP10}
+OP6 = """
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT r, p, md5_number(substr(h, (2 * p + 1)::BIGINT, 400)) AS k FROM doc, unnest(range(0, length(h) // 2 - 199)) AS u(p) WHERE length(h) >= 400
+), repeated AS (
+  SELECT r, p FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM strings) WHERE n > 1
+), marked AS (
+  SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 1 ELSE 0 END AS new FROM repeated
+), runs AS (
+  SELECT r, min(p) AS s, max(p) + 200 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY p) AS run FROM marked) GROUP BY r, run
+), gaps AS (
+  SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS before FROM runs
+), cut AS (
+  SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS last, string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (s - before))::BIGINT), '' ORDER BY s) AS kept
+  FROM gaps JOIN doc USING (r) GROUP BY r
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM doc LEFT JOIN cut USING (r)
+"""
+
+OP9 = rf"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingle AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(w[i:i+4], ' ') AS s FROM doc, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS u(i) WHERE len(w) > 0
+), size AS (
+  SELECT r, count(*) AS n FROM shingle GROUP BY r
+), pair AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS c FROM shingle a JOIN shingle b USING (s) WHERE a.r < b.r GROUP BY ALL
+), link AS MATERIALIZED (
+  SELECT a, b FROM pair JOIN size x ON x.r = a JOIN size y ON y.r = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+), edge AS MATERIALIZED (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT r, r AS other FROM doc UNION SELECT reach.r, edge.b FROM reach JOIN edge ON edge.a = reach.other
+)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM doc d JOIN reach USING (r) JOIN doc o ON o.r = reach.other LEFT JOIN size ON size.r = d.r GROUP BY d.r, d.doc_id
+"""
+
+ORACLES = {"op6_suffix_dedup": OP6, "op7_quotation_links": OP7, "op8_wu_manber": OP8, "op9_ngram_join": OP9, "op10_warc_reader": OP10}
