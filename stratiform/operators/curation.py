@@ -92,3 +92,36 @@ def episodes(events: DataFrame, key: str, at: str, gap_s: int, base_s: int, cap_
     new = (F.coalesce(t - F.lag(t).over(w), F.lit(gap_s + 1)) > gap_s).cast("int")
     rows = events.withColumn("new", new).withColumn("episode", F.sum("new").over(w))
     return rows.groupBy(key, "episode").agg(F.count("*").alias("n")).withColumn("wait_s", F.least(F.lit(float(base_s)) * F.pow(F.lit(2.0), F.col("n") - 1), F.lit(float(cap_s))))
+
+
+def greedy_kept(items: DataFrame, similar: DataFrame, key: str, order: str, rounds: int = 1000) -> DataFrame:
+    """Items kept in priority order: an item goes iff an earlier similar one stays. (key, kept)
+
+    ``similar`` holds undirected pairs (a, b). In each round every open item all of whose earlier neighbours are settled
+    is settled, so rounds are the longest chain of neighbours in falling priority; each is a join, cut by a checkpoint.
+    """
+    rank = items.select(key, order)
+    ends = similar.join(rank.toDF("a", "ra"), "a").join(rank.toDF("b", "rb"), "b")
+    earlier = ends.select(
+        F.when(F.col("ra") > F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("late"),
+        F.when(F.col("ra") > F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("early"),
+    ).distinct()
+    spark = items.sparkSession
+    cut = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
+    earlier, state = cut(earlier), cut(rank.select(key, F.lit(None).cast("boolean").alias("kept")))
+    for _ in range(rounds):
+        open_ = state.filter("kept is null")
+        seen = earlier.join(state.select(F.col(key).alias("early"), "kept"), "early")
+        facts = seen.groupBy(F.col("late").alias(key)).agg(F.max(F.coalesce("kept", F.lit(False)).cast("int")).alias("any"), F.sum(F.col("kept").isNull().cast("int")).alias("open"))
+        decided = F.when(F.col("any") == 1, False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        state = cut(state.filter("kept is not null").unionByName(open_.select(key).join(facts, key, "left").select(key, decided.alias("kept"))))
+        if state.filter("kept is null").isEmpty():
+            break
+    return state
+
+
+def unique_contribution(pooled: DataFrame) -> DataFrame:
+    """Per contributor the pooled documents and those that no other one found; of (query_id, doc_id, contributors)."""
+    names = F.split("contributors", ",")
+    each = pooled.select(F.explode(names).alias("contributor"), (F.size(names) == 1).cast("int").alias("alone"))
+    return each.groupBy("contributor").agg(F.count("*").alias("found"), F.sum("alone").alias("alone"))

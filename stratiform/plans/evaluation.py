@@ -245,3 +245,37 @@ def inversions(spark: SparkSession, sf: str) -> DataFrame:
     a, b = r.alias("a"), r.alias("b")
     near = (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.rank") < F.col("b.rank")) & (F.col("b.rank") <= F.col("a.rank") + 5) & (F.col("a.other") > F.col("b.other"))
     return a.join(b, near).groupBy("a.query_id").agg(F.count("*").alias("pairs"))
+
+
+@register("sign_flip_test", f"""WITH d AS ({_DELTAS}), s AS (SELECT rep, round(abs(sum(delta * CASE WHEN ('0x' || substr(md5('f:' || rep || ':' || need), 1, 1))::INT < 8 THEN 1 ELSE -1 END)), 9) AS s FROM d, range(500) r(rep) GROUP BY rep)
+SELECT round((1 + sum((s >= (SELECT round(abs(sum(delta)), 9) FROM d))::INT)) / (1 + count(*)), 6) AS p, count(*) AS reps FROM s""")
+def sign_flip_test(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.sign_flip(_deltas(spark, sf), "need", 500)
+
+
+@register("unique_contribution", f"""WITH {_BM25}, {_OVERLAP}, u AS (SELECT query_id, doc_id, 'bm25' AS c FROM bm25 WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, 'overlap' FROM overlap WHERE rank <= 20),
+n AS (SELECT *, count(*) OVER (PARTITION BY query_id, doc_id) AS k FROM u) SELECT c AS contributor, count(*) AS found, sum((k = 1)::INT)::BIGINT AS alone FROM n GROUP BY c""")
+def unique_contribution(spark: SparkSession, sf: str) -> DataFrame:
+    return curation.unique_contribution(pooled_documents(spark, sf))
+
+
+@register("softmax_scores", f"WITH {_OVERLAP} SELECT query_id, doc_id, round(exp(score - m) / sum(exp(score - m)) OVER w, 6) AS p FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM overlap) WINDOW w AS (PARTITION BY query_id)")
+def softmax_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return R.softmax(overlap_run(spark, sf)).select("query_id", "doc_id", F.round("p", 6).alias("p"))
+
+
+@register("interleaved_lists", f"""WITH {_OVERLAP}, l AS (SELECT query_id, doc_id, doc_id % 3 AS list, row_number() OVER (PARTITION BY query_id, doc_id % 3 ORDER BY rank) AS pos FROM overlap)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, list, doc_id) AS rank FROM l""")
+def interleaved_lists(spark: SparkSession, sf: str) -> DataFrame:
+    lists = overlap_run(spark, sf).withColumn("list", F.col("doc_id") % 3).withColumn("pos", F.row_number().over(Window.partitionBy("query_id", "list").orderBy("rank")))
+    return R.interleaved(lists).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("reference_pagerank", "SELECT count(*) AS nodes, 1.0::DOUBLE AS mass FROM customer")
+def reference_pagerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Mass of a seeded propagation over customers halved by id; it is 1 whatever the graph."""
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("node"))
+    edges = c.select(F.col("node").alias("src"), F.floor(F.col("node") / 2).alias("dst"), F.lit(1.0).alias("weight")).join(c.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    chosen = F.col("node") % 100 == 0
+    seeds = c.crossJoin(F.broadcast(c.filter(chosen).agg(F.count("*").alias("k")))).select("node", F.when(chosen, 1 / F.col("k")).otherwise(0.0).alias("s"))
+    return R.pagerank(edges, seeds, rounds=4).agg(F.count("*").alias("nodes"), F.round(F.sum("score"), 6).alias("mass"))

@@ -91,3 +91,34 @@ def test_stream_folds_like_the_batch(spark, sf):
     batch = spark.read.parquet(f"{sf}/events.parquet")
     log.run_once(log.folded(spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf), "user_id", "event_id", "event_type"), "folded_log")
     assert sorted(map(tuple, spark.table("folded_log").collect())) == sorted(map(tuple, curation.folded(batch, "user_id", "event_id", "event_type").collect()))
+
+
+def test_greedy_dedup_in_priority_order(spark):
+    import random
+
+    rnd = random.Random(2)
+    order = {i: p for i, p in enumerate(rnd.sample(range(60), 60))}
+    pairs = {tuple(rnd.sample(range(60), 2)) for _ in range(90)}
+    kept = set()
+    for i in sorted(order, key=order.get):
+        if not any((i, j) in pairs or (j, i) in pairs for j in kept):
+            kept.add(i)
+    items, similar = spark.createDataFrame(list(order.items()), "id long, p int"), spark.createDataFrame(sorted(pairs), "a long, b long")
+    assert {r.id for r in curation.greedy_kept(items, similar, "id", "p").collect() if r.kept} == kept
+
+
+def test_ndcg_envelope_against_enumeration(spark):
+    import itertools
+    import math
+
+    grade, base, cand = [3, None, 1, None, None], [1, 2, None, 3, None], [2, None, 1, 4, 3]
+    gain = lambda r: 1 / math.log2(r + 1) if r else 0.0
+    every = []
+    for free in itertools.product(range(4), repeat=3):
+        it = iter(free)
+        g = [next(it) if x is None else x for x in grade]
+        ideal = sum(x * gain(i + 1) for i, x in enumerate(sorted(g, reverse=True)))
+        every.append(sum(x * (gain(c) - gain(b)) for x, b, c in zip(g, base, cand, strict=True)) / ideal)
+    rows = spark.createDataFrame([(1, i, g, b, c) for i, (g, b, c) in enumerate(zip(grade, base, cand, strict=True))], "query_id long, doc_id long, grade int, base_rank int, cand_rank int")
+    got = stats.ndcg_envelope(rows).first()
+    assert (got.least, got.greatest) == (round(min(every), 6), round(max(every), 6))
