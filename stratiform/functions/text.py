@@ -46,10 +46,9 @@ def collapsed(text: Column) -> Column:
 
 
 def figures(text: Column) -> Column:
-    """Numbers in canonical form: thousands separators dropped, decimal comma as point, distinct and sorted."""
-    raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([0-9]+(?:[.,][0-9]+)*)"), 1)
-    plain = F.transform(raw, lambda x: F.when(x.rlike(r"^[0-9]{1,3}([.,][0-9]{3})+$"), F.regexp_replace(x, "[.,]", "")).otherwise(F.translate(x, ",", ".")))
-    return F.array_sort(F.array_distinct(plain))
+    """Numbers in canonical form: digit groups joined, decimal comma as point; distinct and sorted."""
+    raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("([0-9]{1,3}(?:[\u00a0\u202f ][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?)"), 1)
+    return F.array_sort(F.array_distinct(F.transform(raw, lambda x: F.translate(x, ",\u00a0\u202f ", "."))))
 
 
 def ancestors(path: Column) -> Column:
@@ -67,8 +66,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def hash_mod(key: Column, salt: str, n: int) -> Column:
-    """Deterministic bucket from the first 15 hex digits of a salted SHA-256."""
-    return F.pmod(F.conv(F.substring(F.sha2(F.concat(F.lit(salt), key.cast("string")), 256), 1, 15), 16, 10).cast("long"), F.lit(n))
+    """Deterministic bucket: the whole salted SHA-256 as a number, modulo n (below 2^31), folded over its eight 32-bit limbs."""
+    digest = F.sha2(F.concat(F.lit(salt), key.cast("string")), 256)
+    limbs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(digest, i * 8 + 1, F.lit(8)), 16, 10).cast("long"))
+    return F.aggregate(limbs, F.lit(0).cast("long"), lambda r, x: (r * (2**32 % n) + x) % n)
 
 
 def hmac_sha256(secret: bytes, text: Column) -> Column:

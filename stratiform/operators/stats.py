@@ -34,6 +34,23 @@ def bootstrap(deltas: DataFrame, key: str, reps: int, seed: str = "r") -> DataFr
     return out.withColumn("verdict", verdict)
 
 
+def cluster_bootstrap(deltas: DataFrame, cluster: str, reps: int, seed: str = "c") -> DataFrame:
+    """Mean over items with its 95 % interval by resampling clusters with all their items; draws as in ``bootstrap``.
+
+    Sums and sizes of the clusters are what is drawn, so items are aggregated once.
+    """
+    sums = deltas.groupBy(cluster).agg(F.sum("delta").alias("s"), F.count("*").alias("c"))
+    numbered = sums.select((F.row_number().over(Window.orderBy(cluster)) - 1).alias("at"), "s", "c").persist()
+    n = numbered.count()
+    draws = deltas.sparkSession.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "rep", "j")), 1, 12), 16, 10).cast("long"), F.lit(n))
+    means = draws.select("rep", pick.alias("at")).join(numbered, "at").groupBy("rep").agg((F.sum("s") / F.sum("c")).alias("m"))
+    place = means.withColumn("k", F.row_number().over(Window.orderBy("m")))
+    end = lambda k, name: F.round(F.max(F.when(F.col("k") == k, F.col("m"))), 6).alias(name)
+    ends = place.agg(end(int(0.025 * reps) + 1, "low"), end(int(0.975 * reps), "high"))
+    return deltas.agg(F.round(F.avg("delta"), 6).alias("mean"), F.count_distinct(cluster).alias("clusters")).crossJoin(ends)
+
+
 def effect(deltas: DataFrame) -> DataFrame:
     """Standard deviation, effect size, and the mean without the most influential row."""
     top = F.max_by("delta", F.abs("delta"))

@@ -64,8 +64,8 @@ def amended_rows(spark: SparkSession, sf: str) -> DataFrame:
     return S.changed(o.filter("k % 10 < 8"), o.filter("k % 10 > 1").withColumn("s", F.when(F.col("k") % 10 == 5, "X").otherwise(F.col("s"))), "k", "s")
 
 
-@register("figures", r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '([0-9]+(?:[.,][0-9]+)*)', 1)) AS x FROM documents),
-c AS (SELECT DISTINCT doc_id, CASE WHEN regexp_matches(x, '^[0-9]{1,3}([.,][0-9]{3})+$') THEN regexp_replace(x, '[.,]', '', 'g') ELSE translate(x, ',', '.') END AS x FROM f)
+@register("figures", r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '([0-9]{1,3}(?:[\x{00a0}\x{202f} ][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?)', 1)) AS x FROM documents),
+c AS (SELECT DISTINCT doc_id, replace(regexp_replace(x, '[\x{00a0}\x{202f} ]', '', 'g'), ',', '.') AS x FROM f)
 SELECT doc_id, string_agg(x, ' ' ORDER BY x) AS figures, count(*) AS n FROM c GROUP BY doc_id""")
 def figures(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", T.figures(F.col("text")).alias("f")).filter(F.size("f") > 0).select("doc_id", F.array_join("f", " ").alias("figures"), F.size("f").cast("long").alias("n"))
@@ -89,7 +89,8 @@ def item_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("a", "b", F.round("j", 6).alias("jaccard"), F.col("rank").cast("long").alias("rank"))
 
 
-@register("hash_split", """SELECT c_custkey, ('0x' || substr(sha256('split' || c_custkey), 1, 15))::BIGINT % 100 < 15 AS validation FROM customer""")
+@register("hash_split", """WITH h AS (SELECT c_custkey, sha256('split' || c_custkey) AS h FROM customer)
+SELECT c_custkey, list_reduce([('0x' || substr(h, 1 + 8 * i, 8))::BIGINT FOR i IN range(8)], lambda r, x: (r % 100 * 96 + x) % 100) % 100 < 15 AS validation FROM h""")
 def hash_split(spark: SparkSession, sf: str) -> DataFrame:
     return Q.split(_t(spark, sf, "customer").select("c_custkey"), "c_custkey", "split")
 
