@@ -196,3 +196,13 @@ def set_of(df: DataFrame, key: str, words: str) -> DataFrame:
     """(key, class, set): the class of a row is the digest of its word set; rows without words have none."""
     rows = df.select(F.col(key), F.array_sort(F.array_distinct(words)).alias("set")).filter(F.size("set") > 0)
     return rows.withColumn("class", F.md5(F.array_join("set", "\x1f")))
+
+
+def sensitivity(run: DataFrame, readings: dict[str, DataFrame], metric: str, k: int = 10) -> DataFrame:
+    """A binary metric of one run under several readings of the judgments, all in one pass: (scenario, metric, queries)."""
+    named = [r.select(F.struct(F.lit(name).alias("scenario"), "query_id").alias("query_id"), "doc_id") for name, r in readings.items()]
+    relevant = named[0]
+    for r in named[1:]:
+        relevant = relevant.unionByName(r)
+    each = run.withColumn("query_id", F.explode(F.array(*[F.struct(F.lit(name).alias("scenario"), "query_id") for name in readings])))
+    return binary_metrics(each, relevant, k).groupBy(F.col("query_id.scenario").alias("scenario")).agg(F.round(F.avg(metric), 6).alias(metric), F.count("*").alias("queries"))

@@ -229,3 +229,13 @@ def decision_labels(spark: SparkSession, sf: str) -> DataFrame:
 @register("float_spacing", "SELECT event_id, CASE WHEN abs(value::FLOAT::DOUBLE) < pow(2.0, -126) THEN pow(2.0, -149) ELSE pow(2.0, floor(log2(abs(value::FLOAT::DOUBLE))) - 23) END AS ulp FROM events WHERE value IS NOT NULL")
 def float_spacing(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "events").filter("value is not null").select("event_id", L.ulp(F.col("value")).alias("ulp"))
+
+
+@register("sensitivity", f"""WITH {_OVERLAP}, s AS (SELECT unnest(['main', 'strict', 'no threes', 'lenient']) AS scenario), g AS (SELECT scenario, query_id, doc_id, grade, CASE scenario WHEN 'strict' THEN 3 WHEN 'lenient' THEN 1 ELSE 2 END AS rel FROM qrels, s WHERE NOT (scenario = 'no threes' AND grade = 3)),
+r AS (SELECT scenario, query_id, count(*) AS total FROM g WHERE grade >= rel GROUP BY ALL), h AS (SELECT scenario, query_id, count(*) AS found FROM g JOIN overlap o USING (query_id, doc_id) WHERE grade >= rel AND rank <= 10 GROUP BY ALL)
+SELECT scenario, round(avg(round(coalesce(found / total, 0), 6)), 6) AS recall, count(*) AS queries FROM r LEFT JOIN h USING (scenario, query_id) GROUP BY scenario""")
+def sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    """The recall of one run under four readings of the judgments."""
+    run, judged = overlap_run(spark, sf).persist(), qrels(spark, sf)
+    readings = {"main": judged.filter("grade >= 2"), "strict": judged.filter("grade >= 3"), "no threes": judged.filter("grade = 2"), "lenient": judged.filter("grade >= 1")}
+    return E.sensitivity(run, readings, "recall")

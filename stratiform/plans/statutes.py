@@ -10,6 +10,7 @@ from stratiform.functions import legal as L
 from stratiform.functions import stem
 from stratiform.functions import text as T
 from stratiform.operators import evidence as E
+from stratiform.operators import hierarchy as H
 from stratiform.shipping import ship
 
 
@@ -137,3 +138,18 @@ def json_replies(spark: SparkSession, sf: str) -> DataFrame:
     """The object inside a noisy reply, then a field of it."""
     e = _t(spark, sf, "events").withColumn("reply", F.concat(F.lit("Sure. "), "props", F.lit(" Anything else?")))
     return e.select("event_id", F.get_json_object(L.json_in(F.col("reply")), "$.k").cast("long").alias("k"))
+
+
+@register("statute_nodes", """WITH c AS (SELECT c_custkey AS k, c_name AS n, c_nationkey::VARCHAR AS p, c_mktsegment AS s FROM customer)
+SELECT k, k::VARCHAR AS path, 1 AS level, 'articulo' AS kind, '' AS own_text FROM c
+UNION ALL SELECT k, k || '.1', 2, 'apartado', n || ' shall pay:' FROM c UNION ALL SELECT k, k || '.1.a', 3, 'punto', p FROM c
+UNION ALL SELECT k, k || '.1.sub_2', 3, 'subparagraph', 'By ' || s || '.' FROM c""")
+def statute_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """A small article in the journal's layout for every customer."""
+    c = _t(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("p"), "c_mktsegment")
+    page = F.format_string(
+        '<html xmlns="http://www.w3.org/1999/xhtml"><body><div class="eli-subdivision" id="art_%s"><p class="oj-ti-art">Article</p><div id="001.001"><p class="oj-normal">1.   %s shall pay:</p>'
+        '<table><tr><td>(a)</td><td><p class="oj-normal">%s</p></td></tr></table><p class="oj-normal">By %s <sup>1</sup>.</p></div></div></body></html>',
+        F.col("c_custkey").cast("string"), "c_name", "p", "c_mktsegment",
+    )
+    return H.nodes(c.select(F.col("c_custkey").alias("k"), page.alias("x")), "k", "x", "journal").select("k", "path", "level", "kind", "own_text")
