@@ -28,6 +28,7 @@ BLOCKS = {
 PARAGRAPH_ID = re.compile(r"^\d{2,3}[A-Z]?\.(\d{2,3})$")
 PARAGRAPH_NUMBER = re.compile(r"^\d{1,3}\.$")
 LEADING_NUMBER = re.compile(r"^\s*\d{1,3}[A-Za-z]?\.\s*")
+BLOCK_MARK, AMENDMENT_MARK = re.compile(r"^▼[BMC]\d*$"), re.compile(r"^[▼►]M\d+$")
 ARTICLE, PARAGRAPH, POINT, SUBPARAGRAPH, UNNUMBERED = "articulo", "apartado", "punto", "subparagraph", "unnumbered_paragraph"
 
 SCHEMA = "article string, title string, ordinal int, path string, level int, marker string, kind string, own_text string"
@@ -270,3 +271,41 @@ def nodes(docs: DataFrame, key: str, xhtml: str, layout: str, strict: bool = Fal
             yield pd.DataFrame(rows, columns=columns)
 
     return docs.select(key, xhtml).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, {SCHEMA}")
+
+
+def read_amendments(xhtml: str | None) -> Iterator[tuple[str, str]]:
+    """(article, amending act) of a consolidated text: the acts its own marks name, and, for an article without a block mark
+    of its own, the act of the block it starts in. Null, empty and malformed texts have none."""
+    try:
+        root = ET.fromstring(xhtml) if xhtml and xhtml.strip() else None
+    except ET.ParseError:
+        return
+
+    def mark(a: ET.Element) -> tuple[str, str]:
+        return (a.text or "").strip(), (a.get("title") or "").partition(":")[0].strip()
+
+    running = None
+    for el in root.iter() if root is not None else ():
+        tag, name = el.tag.rpartition("}")[2], el.get("id") or ""
+        if tag == "a":
+            text, act = mark(el)
+            if BLOCK_MARK.match(text):
+                running = act if text.startswith("▼M") else None
+        elif tag == "div" and name.startswith("art_") and "#" not in name and "eli-subdivision" in _class(el):
+            marks = [mark(a) for a in el.iter() if a.tag.rpartition("}")[2] == "a"]
+            acts = {act for text, act in marks if AMENDMENT_MARK.match(text)}
+            if running and not any(BLOCK_MARK.match(text) for text, _ in marks):
+                acts.add(running)
+            for act in sorted(acts):
+                yield name.removeprefix("art_"), act
+
+
+def amendments(docs: DataFrame, key: str, xhtml: str) -> DataFrame:
+    """(key, article, act) of consolidated documents."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, *r) for k, x in zip(frame[key], frame[xhtml], strict=True) for r in read_amendments(x)]
+            yield pd.DataFrame(rows, columns=[key, "article", "act"])
+
+    return docs.select(key, xhtml).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, article string, act string")

@@ -122,3 +122,10 @@ def test_sinks_can_be_run_again(spark, tmp_path):
     rows.write.mode("append").parquet(f"{sealed}/data")
     with pytest.raises(ValueError, match="as sealed"):
         artifacts.read_sealed(spark, sealed)
+
+
+def test_amendments(spark):
+    article = '<div class="eli-subdivision" id="art_%s">%s<p>text</p></div>'
+    body = article % ("1", "") + '<a title="32019R1: INSERTED">▼M1</a>' + article % ("2", "") + article % ("3", '<a title="x: y">▼B</a>') + article % ("4", '<a title="32020R2: REPLACED">►M2</a>')
+    docs = spark.createDataFrame([(1, f'<html xmlns="http://www.w3.org/1999/xhtml"><body>{body}</body></html>'), (2, None), (3, "<x")], "id int, x string")
+    assert sorted(tuple(r) for r in hierarchy.amendments(docs, "id", "x").collect()) == [(1, "2", "32019R1"), (1, "4", "32020R2")]
