@@ -79,6 +79,9 @@ class Anchors:
         self.place = self.at + first
         self.lo, self.hi = lo + first, np.r_[cuts - 1, len(chosen) - 1] + first
 
+    def drop_last(self) -> None:
+        self.gram, self.place, self.lo, self.hi = self.gram[:-1], self.place[:-1], self.lo[:-1], self.hi[:-1]
+
     def contexts(self, pick: np.ndarray) -> np.ndarray:
         """Rank of all that the strings of an anchor can hold, and of how much of it there is."""
         p = self.place[pick]
@@ -92,8 +95,18 @@ class Anchors:
 
 
 def _pieces(data: bytes) -> Iterator[Anchors]:
+    """Anchors of a text, piece by piece; one that windows of two pieces chose is left to the later piece, with its whole run."""
+    before = None
     for start in range(0, len(data) - LENGTH + 1, PIECE):
-        yield Anchors(data, start, min(start + PIECE, len(data) - LENGTH + 1))
+        a = Anchors(data, start, min(start + PIECE, len(data) - LENGTH + 1))
+        if before is not None:
+            if before.place[-1] + before.base == a.place[0] + a.base:
+                a.lo[0] = before.lo[-1] + before.base - a.base
+                before.drop_last()
+            yield before
+        before = a
+    if before is not None:
+        yield before
 
 
 def _bytes(x) -> bytes:

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 
@@ -101,6 +102,48 @@ def test_suffixes(spark):
     assert got == {i: slow(b) for i, b in enumerate(raw)}
 
 
+def test_suffix_anchors_do_not_depend_on_the_pieces(monkeypatch):
+    rnd = random.Random(11)
+    for data in (rnd.randbytes(3000), b"ab" * 900, rnd.randbytes(500) * 4, rnd.randbytes(200), rnd.randbytes(337)):
+
+        def anchors(piece):
+            monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+            out = []
+            for a in suffix_dedup._pieces(data):
+                every = np.arange(len(a.place))
+                strings = [[x.tolist() for x in a.strings(k)] for k in every]
+                out += zip((a.place + a.base).tolist(), (a.lo + a.base).tolist(), (a.hi + a.base).tolist(), a.gram.tolist(), a.contexts(every).tolist(), strings, strict=True)
+            return out
+
+        whole = anchors(1 << 18)
+        assert len({r[0] for r in whole}) == len(whole) and sum(r[2] - r[1] + 1 for r in whole) == len(data) - 199
+        for piece in (1, 7, 136, 137, 138, 500, 1100):
+            assert anchors(piece) == whole
+
+
+def test_suffixes_of_texts_in_pieces(spark):
+    rnd = random.Random(12)
+    n = suffix_dedup.PIECE
+    letters = lambda k: "".join(rnd.choices("abcdefghij", k=k))
+    alone, twice, base = letters(2 * n + 900), letters(n + 700), letters(n + 5000)
+    texts = [alone, twice, twice, base, letters(300) + base[n - 400 : n + 450] + letters(300)]
+    count = collections.Counter(hash(t[p : p + 200]) for t in texts for p in range(len(t) - 199))
+
+    def slow(t):
+        runs = []
+        for p in range(len(t) - 199):
+            if count[hash(t[p : p + 200])] > 1:
+                if runs and p <= runs[-1][1]:
+                    runs[-1][1] = p + 200
+                else:
+                    runs.append([p, p + 200])
+        return [x for run in runs for x in run]
+
+    want = {i: slow(t) for i, t in enumerate(texts)}
+    assert want[0] == [] and want[2] == [0, len(twice)] and want[3] and want[4]
+    assert {r.doc_id: r.spans for r in suffix_dedup.removed_spans(frame(spark, texts)).collect()} == want
+
+
 def test_ngram_join(spark, monkeypatch):
     rnd = random.Random(6)
     hot = words_of(rnd, 30, 10**6)
