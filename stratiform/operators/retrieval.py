@@ -169,19 +169,30 @@ def round_robin_merge(base: DataFrame, hits: DataFrame, keep: int = 6, total: in
     return top.groupBy("query_id").cogroup(few.groupBy("query_id")).applyInPandas(fold, "query_id long, doc_id long, rank long")
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, follow: float = 0.3, rounds: int = 12) -> DataFrame:
-    """(node, score): p = (1 - f) s + f (W'p + dangling * s) over edges (src, dst, weight) with seeds (node, s)."""
+def pagerank(edges: DataFrame, seeds: DataFrame, follow: float = 0.3, rounds: int = 10_000, tolerance: float = 1e-12) -> DataFrame:
+    """(node, score): the fixed point of p = (1 - f) s + f (W'p + dangling * s) over edges (src, dst, weight) with seeds (node, s).
+
+    Iterated until no score changes by ``tolerance``; an error if that takes more than ``rounds``."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     w = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("w")).persist()
-    nodes = seeds.select("node", F.col("s").cast("double").alias("s")).join(out.select(F.col("src").alias("node"), F.lit(True).alias("goes")), "node", "left").persist()
-    p = nodes.select("node", F.col("s").alias("score"))
-    for k in range(rounds):
+    p = seeds.select("node", F.col("s").cast("double").alias("s")).join(out.select(F.col("src").alias("node"), F.lit(True).alias("goes")), "node", "left")
+    p = p.withColumn("score", F.col("s")).withColumn("change", F.lit(None).cast("double"))
+    shared = bool(p.sparkSession.sparkContext.getCheckpointDir())
+    p = p.checkpoint() if shared else p.localCheckpoint()
+    lost = F.coalesce(F.sum(F.when(F.col("goes").isNull(), F.col("score"))), F.lit(0.0)).alias("lost")
+    dangling = p.agg(lost).first().lost
+    for _ in range(rounds):
         sent = p.join(w, p["node"] == w["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("w")).alias("got"))
-        lost = p.join(nodes, "node").agg(F.coalesce(F.sum(F.when(F.col("goes").isNull(), F.col("score"))), F.lit(0.0)).alias("lost"))
-        p = nodes.join(sent, "node", "left").crossJoin(F.broadcast(lost)).select("node", ((1 - follow) * F.col("s") + follow * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("s"))).alias("score"))
-        if k % 4 == 3:
-            p = p.checkpoint() if p.sparkSession.sparkContext.getCheckpointDir() else p
-    return p
+        score = (1 - follow) * F.col("s") + follow * (F.coalesce("got", F.lit(0.0)) + dangling * F.col("s"))
+        p = p.join(sent, "node", "left").select("node", "s", "goes", score.alias("score"), F.abs(score - F.col("score")).alias("change"))
+        p = p.checkpoint() if shared else p.localCheckpoint()
+        state = p.agg(lost, F.coalesce(F.max("change"), F.lit(0.0)).alias("change")).first()
+        if state.change < tolerance:
+            w.unpersist()
+            return p.select("node", "score")
+        dangling = state.lost
+    w.unpersist()
+    raise ValueError(f"PageRank did not converge in {rounds} rounds")
 
 
 def softmax(scores: DataFrame, by: str = "query_id") -> DataFrame:

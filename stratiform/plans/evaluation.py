@@ -271,11 +271,25 @@ def interleaved_lists(spark: SparkSession, sf: str) -> DataFrame:
     return R.interleaved(lists).withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("reference_pagerank", "SELECT count(*) AS nodes, 1.0::DOUBLE AS mass FROM customer")
-def reference_pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    """Mass of a seeded propagation over customers halved by id; it is 1 whatever the graph."""
+def reference_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """(node, score): seeded propagation over customers halved by id."""
     c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("node"))
     edges = c.select(F.col("node").alias("src"), F.floor(F.col("node") / 2).alias("dst"), F.lit(1.0).alias("weight")).join(c.withColumnRenamed("node", "dst"), "dst", "left_semi")
     chosen = F.col("node") % 100 == 0
     seeds = c.crossJoin(F.broadcast(c.filter(chosen).agg(F.count("*").alias("k")))).select("node", F.when(chosen, 1 / F.col("k")).otherwise(0.0).alias("s"))
-    return R.pagerank(edges, seeds, rounds=4).agg(F.count("*").alias("nodes"), F.round(F.sum("score"), 6).alias("mass"))
+    return R.pagerank(edges, seeds)
+
+
+@register("reference_pagerank", "SELECT count(*) AS nodes, 1.0::DOUBLE AS mass FROM customer")
+def reference_pagerank(spark: SparkSession, sf: str) -> DataFrame:
+    """Mass of the propagation; it is 1 whatever the graph, see ``reference_pagerank_scores``."""
+    return reference_scores(spark, sf).agg(F.count("*").alias("nodes"), F.round(F.sum("score"), 6).alias("mass"))
+
+
+#: Every node has one way out, to its half (0 to itself), so the fixed point is a sum over the ways up from the seeds, scaled by what dangling nodes give back.
+@register("reference_pagerank_scores", """WITH RECURSIVE c AS (SELECT c_custkey AS node FROM customer), s AS (SELECT node, 1.0::DOUBLE / count(*) OVER () AS m FROM c WHERE node % 100 = 0),
+up AS (SELECT node, m FROM s UNION ALL SELECT c.node, 0.3::DOUBLE * up.m FROM up JOIN c ON c.node = up.node // 2 WHERE up.node > 0),
+x AS (SELECT node, sum(m) / if(node = 0, 0.7::DOUBLE, 1) AS x FROM up GROUP BY node), d AS (SELECT coalesce(sum(x), 0) AS x FROM x WHERE node // 2 NOT IN (SELECT node FROM c)),
+k AS (SELECT 0.7::DOUBLE + 0.3::DOUBLE * 0.7::DOUBLE * d.x / (1 - 0.3::DOUBLE * d.x) AS k FROM d) SELECT node, round(coalesce(x * k, 0), 9) AS score FROM c LEFT JOIN x USING (node), k""")
+def reference_pagerank_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return reference_scores(spark, sf).select("node", F.round("score", 9).alias("score"))

@@ -41,6 +41,44 @@ def test_pagerank_keeps_its_mass(spark):
     assert sum(p.values()) == pytest.approx(1) and p[1] > p[3] > p[2]
 
 
+def test_pagerank_is_the_fixed_point_or_an_error(spark):
+    import numpy as np
+
+    n, rnd = 9, np.random.default_rng(1)
+    w = np.triu(rnd.integers(0, 3, (n, n)), 1).astype(float)
+    w[range(n - 1), range(1, n)] = 1
+    edges = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(n) for j in range(n) if w[i, j]], "src long, dst long, weight double")
+    s = np.eye(n)[0]
+    seeds = spark.createDataFrame(list(enumerate(s.tolist())), "node long, s double")
+    out = w.sum(axis=1, keepdims=True)
+    step = np.divide(w, out, out=np.zeros_like(w), where=out > 0)
+    dangling = (out[:, 0] == 0).astype(float)
+    for follow in (0.3, 0.5):
+        want = np.linalg.solve(np.eye(n) - follow * (step.T + np.outer(s, dangling)), (1 - follow) * s)
+        got = dict(retrieval.pagerank(edges, seeds, follow).collect())
+        assert np.abs(want - [got[i] for i in range(n)]).max() < 1e-11
+    with pytest.raises(ValueError, match="converge"):
+        retrieval.pagerank(edges, seeds, rounds=4)
+
+
+def test_pagerank_reaches_every_node_above_a_seed(spark):
+    from stratiform.plans import evaluation
+
+    sf, f = "/root/testdata/sf0.01", 0.3
+    got = dict(evaluation.reference_scores(spark, sf).collect())
+    seeds = [n for n in got if n % 100 == 0]
+    p = s = {n: (n in seeds) / len(seeds) for n in got}
+    for _ in range(60):
+        dangling = sum(x for n, x in p.items() if n // 2 not in got)
+        nxt = {n: (1 - f + f * dangling) * s[n] for n in got}
+        for n, x in p.items():
+            if n // 2 in got:
+                nxt[n // 2] += f * x
+        p = nxt
+    assert max(abs(p[n] - got[n]) for n in got) < 1e-11
+    assert sum(x > 0 for x in got.values()) == sum(x > 0 for x in p.values()) and got[1] > 0
+
+
 def test_envelope_against_enumeration(spark):
     import itertools
 
