@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -48,10 +50,15 @@ _ATOMS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors and the driver see: spark.checkpoint.dir. Where it is unset, a session of
+    one machine gets a temporary one that goes with the interpreter; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="stratiform-")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="stratiform-")
+        atexit.register(shutil.rmtree, folder, True)
+        found = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -90,3 +97,29 @@ class Scratch:
             _remove(self.spark, self.root)
         except Exception:  # the session has ended before the interpreter
             pass
+
+
+def apart(df: DataFrame, key: str, check: str, scratch: Scratch) -> DataFrame:
+    """``df`` less ``check``, an independent second hash of what ``key`` is a 64-bit hash of: where one key has
+    several checks, the rows get new keys made of both, so that together they are of 128 bits.
+
+    Of keys that clash a large corpus has some hundreds; they are joined, not collected.
+    """
+    clash = scratch.keep(df.groupBy(key).agg(F.min(check).alias("lo_"), F.max(check).alias("hi_")).filter("lo_ <> hi_").select(F.col(key).alias("clash_")))
+    if clash.isEmpty():
+        return df.drop(check)
+    marked = df.join(clash, F.col(key) == F.col("clash_"), "left")
+    return marked.withColumn(key, F.when(F.col("clash_").isNull(), F.col(key)).otherwise(F.xxhash64(key, check))).select(*[c for c in df.columns if c != check])
+
+
+def with_identity(df: DataFrame, text_col: str, name: str, scratch: Scratch) -> DataFrame:
+    """Adds a long that is the same for equal texts only (null counts as empty)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = df.select(F.xxhash64(text).alias("k"), F.xxhash64(F.md5(text)).alias("c"))
+    clash = keys.groupBy("k").agg(F.min("c").alias("lo_"), F.max("c").alias("hi_")).filter("lo_ <> hi_").select(F.col("k").alias("clash_"))
+    clash = scratch.keep(clash)
+    keyed = df.withColumn(name, F.xxhash64(text))
+    if clash.isEmpty():
+        return keyed
+    marked = keyed.join(clash, F.col(name) == F.col("clash_"), "left")
+    return marked.withColumn(name, F.when(F.col("clash_").isNull(), F.col(name)).otherwise(F.xxhash64(name, F.md5(text)))).select(*df.columns, name)

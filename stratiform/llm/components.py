@@ -26,7 +26,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: C.Scratch, rounds: int = 60) -> DataFrame:
-    """(node, component) for every node that has an edge (a, b); the component is its smallest node."""
+    """(node, component) for every node that has an edge (a, b); the component is its smallest node.
+
+    Rounds grow with the logarithm of the longest path; ``rounds`` is only a guard, and passing it an error.
+    """
     state = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     for _ in range(rounds):
@@ -37,4 +40,6 @@ def components(edges: DataFrame, scratch: C.Scratch, rounds: int = 60) -> DataFr
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components are unfinished after {rounds} rounds")
     return state.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -30,6 +30,7 @@ may be empty; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,10 +50,14 @@ SHINGLE, PERCENT = 5, 75
 RARE = 32
 #: Groups of frequent tokens for sets of at least ``LARGE`` tokens; smaller sets have one group.
 LARGE, GROUPS = 64, 16
+#: Parts in which the sets of a component are labelled.
+PARTS = 16
 #: Times that whole sets are counted among the candidates left.
 COUNTS = 2
 #: Smallest signatures of a set by which repeated meetings of a pair are told.
 FIRST = 12
+#: Owner of a token that a block has counted itself.
+NOBODY = (1 << 16) - 1
 #: Tokens that a block of the census holds, and a range of hashes.
 BLOCK_TOKENS, RANGE_TOKENS = 1_000_000, 1_000_000
 
@@ -62,15 +67,13 @@ def tau(n, percent: int):
     return n - (percent * n + 99) // 100
 
 
-def set_key(tokens: np.ndarray) -> int:
-    """64-bit key of a set: of its tokens and their number."""
-    if not len(tokens):
-        return 0
-    k = np.add.reduce(mix(tokens ^ np.uint64(0x5851F42D4C957F2D))) + np.uint64(len(tokens))
-    return int(mix(np.array([k], np.uint64)).view(np.int64)[0])
+def set_key(tokens: np.ndarray) -> tuple[int, int]:
+    """Two independent 64-bit keys of a set, digests of its sorted tokens."""
+    raw = hashlib.blake2b(tokens.tobytes(), digest_size=16, key=b"stratiform sets").digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple[tuple[int, int], np.ndarray]]]:
     for batch in batches:
         own = [word_shingles(t.as_py(), SHINGLE) for t in batch.column(column)]
         yield [(set_key(x), x) for x in own]
@@ -87,22 +90,26 @@ def _numbers(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _stored(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+def _stored(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple[tuple[int, int], np.ndarray]]]:
     for batch in batches:
-        yield [(k, np.frombuffer(x.as_buffer(), np.uint64)) for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+        yield [((k, 0), np.frombuffer(x.as_buffer(), np.uint64)) for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
 
 
 def census(df: DataFrame, total: int, percent: int) -> DataFrame:
     """(key, shared): sets of which at most tau of the counted tokens are in no other set, and how many
     are; a superset of those that link. ``df`` holds texts, of which the lower half of the hash space is
-    counted, or (key, tokens), which are counted whole."""
+    counted, or (key, tokens), which are counted whole.
+
+    A token that several sets of a block hold is counted there and sent once, without an owner, so the
+    rows of a hot token grow with the blocks, not with the sets.
+    """
     whole = len(df.columns) > 1
     read, top = (_stored, 64) if whole else (_sets, 63)
-    bits = min(16, max(10, int(total // RANGE_TOKENS).bit_length()))
+    bits = max(10, int(total // RANGE_TOKENS).bit_length())
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        keys: dict[int, int] = {}
+        keys: dict[tuple[int, int], int] = {}
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
@@ -113,13 +120,17 @@ def census(df: DataFrame, total: int, percent: int) -> DataFrame:
             tokens, owner = np.concatenate(held), np.repeat(np.arange(len(held)), sizes)
             order = np.argsort(tokens)
             tokens, owner = tokens[order], owner[order]
+            first = np.r_[True, tokens[1:] != tokens[:-1]] if len(tokens) else np.empty(0, bool)
+            size = np.diff(np.r_[np.flatnonzero(first), len(tokens)])
+            counted = np.bincount(owner[np.repeat(size > 1, size)], minlength=len(held))
+            tokens, owner = tokens[first], np.where(size > 1, NOBODY, owner[first])
             at = (tokens >> np.uint64(top - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(at)) + 1
             ranges = at[np.r_[0, cuts]] if len(at) else np.empty(0, np.int64)
             rest = (tokens & np.uint64((1 << (top - bits)) - 1)) >> np.uint64(max(0, top - bits - 40))
             a = [_planes(x, 5) for x in np.split(rest, cuts)] if len(at) else []
             b = [_planes(x, 2) for x in np.split(owner.astype(np.uint64), cuts)] if len(at) else []
-            own = [np.array(list(keys), np.int64).tobytes()], [np.stack([sizes, np.array(list(keys.values()))]).astype("<i8").tobytes()]
+            own = [np.array([k for k, _ in keys], np.int64).tobytes()], [np.stack([sizes, np.array(list(keys.values())), counted]).astype("<i8").tobytes()]
             out = pa.RecordBatch.from_arrays([pa.array(np.r_[ranges, -1 - block], pa.int64()), pa.array([block] * (len(a) + 1), pa.int64()), pa.array(a + own[0], pa.binary()), pa.array(b + own[1], pa.binary())], ["range", "block", "tokens", "owners"])
             keys.clear()
             held.clear()
@@ -188,11 +199,12 @@ def census(df: DataFrame, total: int, percent: int) -> DataFrame:
                 if own.is_valid:
                     yield from close()
                     at, keys = block.as_py(), np.frombuffer(own.as_py(), np.int64)
-                    sizes, n = np.frombuffer(owners.as_py(), "<i8").reshape(2, -1)
-                    count = np.zeros(len(keys), np.int64)
+                    sizes, n, count = np.frombuffer(owners.as_py(), "<i8").reshape(3, -1)
+                    count = count.copy()
                 else:
                     assert block.as_py() == at
-                    count += np.bincount(np.frombuffer(owners.as_py(), "<u2"), minlength=len(keys))
+                    own_of = np.frombuffer(owners.as_py(), "<u2")
+                    count += np.bincount(own_of[own_of != NOBODY], minlength=len(keys))
         yield from close()
 
     parts = C.map_arrow(df, blobs, [C.field("range", "long"), C.field("block", "long"), C.field("tokens", "binary"), C.field("owners", "binary")])
@@ -203,24 +215,24 @@ def census(df: DataFrame, total: int, percent: int) -> DataFrame:
 
 
 def _with_sets(df: DataFrame, id_col: str, text_col: str, bits: np.ndarray) -> DataFrame:
-    """(id, key, n, tokens) of every row; tokens, a binary of the sorted hashes, only of sets in the bitmap, once a task."""
+    """(id, key, check, n, tokens) of every row; tokens, a binary of the sorted hashes, only of sets in the bitmap, once a task."""
     src = C.pick(df, id_col, text_col)
     kind = _arrow_type(src, id_col)
     sent = df.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 own = next(_sets(iter([part]), 1))
-                ok = bitmap.has(sent.value, np.array([k for k, _ in own], np.int64).view(np.uint64))
+                ok = bitmap.has(sent.value, np.array([k for (k, _), _ in own], np.int64).view(np.uint64))
                 raw = [x.tobytes() if good and len(x) and k not in seen else None for (k, x), good in zip(own, ok, strict=True)]
                 if len(seen) < 100_000:  # copies inside a task; others meet later
                     seen.update(k for (k, _), r in zip(own, raw, strict=True) if r)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), pa.array([k for k, _ in own], pa.int64()), pa.array([len(x) for _, x in own], pa.int64()), pa.array(raw, pa.binary())], [id_col, "key", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(kind), pa.array([k for (k, _), _ in own], pa.int64()), pa.array([c for (_, c), _ in own], pa.int64()), pa.array([len(x) for _, x in own], pa.int64()), pa.array(raw, pa.binary())], [id_col, "key", "check", "n", "tokens"])
 
-    return C.map_arrow(src, run, [C.id_field(src, id_col), C.field("key", "long"), C.field("n", "long"), C.field("tokens", "binary")])
+    return C.map_arrow(src, run, [C.id_field(src, id_col), C.field("key", "long"), C.field("check", "long"), C.field("n", "long"), C.field("tokens", "binary")])
 
 
 def _head(raw: bytes, percent: int) -> np.ndarray:
@@ -368,7 +380,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     df = C.pick(df, id_col, text_col)
     size = df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
     chosen = scratch.keep(census(C.pick(df, text_col), size // 7, percent).select("key"))
-    docs = scratch.keep(_with_sets(df, id_col, text_col, bitmap.build(chosen)))
+    docs = C.apart(scratch.keep(_with_sets(df, id_col, text_col, bitmap.build(chosen))), "key", "check", scratch)
     sets = scratch.keep(docs.filter("tokens is not null").select("key", "n", "tokens").dropDuplicates(["key"]))
     for _ in range(COUNTS):
         shared = census(sets.select("key", "tokens"), size // 7, percent)
@@ -377,7 +389,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
         sets = fewer
     known = links(sets, percent, scratch)
     least = docs.filter("n > 0").groupBy("key").agg(F.min(id_col).alias("low"))
-    labelled = least.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    smallest = labelled.groupBy("component").agg(F.min("low").alias("least"))
-    of_key = labelled.join(smallest, "component").select("key", "least")
+    # the sets of a component meet in parts, so that a huge one is not a single task's
+    part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
+    linked = scratch.keep(known.withColumnRenamed("node", "key").join(least, "key").withColumn("part", part))
+    smallest = linked.groupBy("component").agg(F.min("low").alias("least")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")))
+    lowest = linked.join(smallest, ["component", "part"]).select("key", "least")
+    of_key = least.join(lowest, "key", "left").select("key", F.coalesce("least", "low").alias("least"))
     return docs.select(id_col, "key", "n").join(of_key, "key", "left").select(id_col, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col(id_col)).alias("component_id"))

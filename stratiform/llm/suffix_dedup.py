@@ -43,7 +43,8 @@ _SPAN = LENGTH - GRAM
 #: Window starts that are anchored at a time; a longer text goes in pieces that overlap.
 PIECE = 1 << 18
 _POSITION = np.uint64((1 << 20) - 1)
-#: Contexts of one rank that are compared together; a larger rank is dealt into this many parts.
+#: Contexts of one rank that are compared together; a rank of more is dealt into ``PARTS`` parts, one of
+#: ``PARTS`` times as many into the square of that, and so on.
 MANY, PARTS = 256, 16
 
 
@@ -69,7 +70,7 @@ class Anchors:
         self.windows = Windows(self.data)
         first = start - self.base
         grams = np.arange(first, first + (end - start) + _SPAN)
-        rank = self.windows.of(grams, grams + GRAM)
+        rank = mix(self.windows.ranks(GRAM.bit_length() - 1)[grams])
         order = (mix(rank ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & ~_POSITION) | np.arange(len(rank), dtype=np.uint64)
         chosen = (_sliding_min(order, _SPAN + 1) & _POSITION).astype(np.int64)
         cuts = np.flatnonzero(np.diff(chosen)) + 1
@@ -86,12 +87,12 @@ class Anchors:
         """Rank of all that the strings of an anchor can hold, and of how much of it there is."""
         p = self.place[pick]
         a, b = np.maximum(p - _SPAN, 0), np.minimum(p + LENGTH, len(self.data))
-        return mix(self.windows.raw(a, b) + mix(((p - a) << 10 | (b - p)).astype(np.uint64)))
+        return mix(self.windows.of_lengths(a, b - a) + mix(((p - a) << 10 | (b - p)).astype(np.uint64)))
 
     def strings(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets before the anchor, and ranks, of the strings of one anchor."""
         p = np.arange(self.lo[k], self.hi[k] + 1)
-        return (self.place[k] - p).astype(np.uint8), self.windows.of(p, p + LENGTH)
+        return (self.place[k] - p).astype(np.uint8), self.windows.of(p, LENGTH)
 
 
 def _pieces(data: bytes) -> Iterator[Anchors]:
@@ -176,8 +177,8 @@ def _spots(rows: DataFrame) -> DataFrame:
     return C.map_arrow(rows.select("doc", "place"), run, [C.field("key", "long")])
 
 
-def _strings(docs: DataFrame, grams: np.ndarray, spots: np.ndarray, many: np.ndarray) -> DataFrame:
-    """(gram, part, doc, place, strings): the 200-byte strings of chosen anchors, as offsets (1 byte) and ranks (8 bytes)."""
+def _strings(docs: DataFrame, grams: np.ndarray, spots: np.ndarray, many: list[np.ndarray]) -> DataFrame:
+    """(gram, part, doc, place, strings): the 200-byte strings of chosen anchors, as offsets (1 byte) and ranks (8 bytes); ``many``: bitmaps of the ranks to be dealt, for each power of ``PARTS``."""
     sent = docs.sparkSession.sparkContext.broadcast((grams, spots, many))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +194,14 @@ def _strings(docs: DataFrame, grams: np.ndarray, spots: np.ndarray, many: np.nda
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for a in _pieces(_bytes(x)):
                     own = np.flatnonzero(bitmap.has(g_bits, a.gram) & bitmap.has(s_bits, _spot(doc, a.place + a.base)))
-                    hot = bitmap.has(m_bits, a.gram[own])
-                    for k, dealt in zip(own.tolist(), hot.tolist(), strict=True):
+                    power = sum((bitmap.has(m, a.gram[own]).astype(np.int64) for m in m_bits), np.zeros(len(own), np.int64))
+                    for k, dealt in zip(own.tolist(), power.tolist(), strict=True):
                         off, rank = a.strings(k)
                         g, place = int(a.gram[k : k + 1].view(np.int64)[0]), int(a.place[k] + a.base)
                         if not dealt:
                             rows.append((g, -1, doc, place, off.tobytes() + rank.tobytes()))
                             continue
-                        part = (rank % np.uint64(PARTS)).astype(np.int64)
+                        part = (rank % np.uint64(PARTS**dealt)).astype(np.int64)
                         rows += [(g, int(j), doc, place, off[part == j].tobytes() + rank[part == j].tobytes()) for j in np.unique(part)]
                 if len(rows) > 4000:
                     yield out()
@@ -267,7 +268,9 @@ def repeats(docs: DataFrame, scratch: C.Scratch) -> DataFrame:
     ranks = contexts.groupBy("gram").agg(F.count("*").alias("n"), F.min("n").alias("least")).filter("n > 1 and least = 1")
     ranks = scratch.keep(ranks.select("gram", "n"))
     chosen = contexts.join(ranks.select("gram"), "gram").select("first.doc", "first.place")
-    rows = _strings(docs, bitmap.build(ranks, "gram"), bitmap.build(_spots(chosen)), bitmap.build(ranks.filter(F.col("n") > MANY), "gram"))
+    most = ranks.agg(F.max("n")).first()[0] or 0
+    bounds = [MANY * PARTS**k for k in range(10) if MANY * PARTS**k < most]
+    rows = _strings(docs, bitmap.build(ranks, "gram"), bitmap.build(_spots(chosen)), [bitmap.build(ranks.filter(F.col("n") > x), "gram") for x in bounds])
     ends = _equal_strings(rows.repartition("gram", "part").sortWithinPartitions("gram", "part"))
     return scratch.keep(whole.unionByName(ends).distinct())
 
@@ -301,7 +304,7 @@ def _cut(docs: DataFrame, id_col: str, with_ranges: bool) -> DataFrame:
 def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans): spans is a flat list of starts and ends of the removed runs."""
     scratch = C.Scratch(df.sparkSession, "suffix")
-    src = C.pick(df, id_col, text_col).toDF("id", "text").withColumn("doc", F.xxhash64(F.coalesce("text", F.lit(""))))
+    src = C.with_identity(C.pick(df, id_col, text_col).toDF("id", "text"), "text", "doc", scratch)
     ranges = repeats(src.select("doc", "text"), scratch)
     losing = scratch.keep(ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
     bits = df.sparkSession.sparkContext.broadcast(bitmap.build(losing, "doc"))

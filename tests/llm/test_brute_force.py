@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from stratiform.llm import bpe_replay, decontaminate, html_crf, ngram_join, ogg, pii_bootstrap, suffix_dedup, toxicity_pu, warc
+from stratiform.llm import bpe_replay, common, decontaminate, hashing, html_crf, ngram_join, ogg, pii_bootstrap, suffix_dedup, toxicity_pu, warc
 from stratiform.llm.common import table
 
 
@@ -290,3 +290,38 @@ def test_pipeline_takes_effect(spark, sf):
     assert sizes[0] >= sizes[1] > sizes[2] >= sizes[3] == sizes[4]
     assert not any(pii_bootstrap.base_spans(r.text) for r in docs.collect())
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == {r.doc_id for r in docs.collect()}
+
+
+def thue_morse(n, letters):
+    word = letters[0]
+    while len(word) < n:
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word
+
+
+def test_sets_of_words_made_to_collide(spark):
+    """Thue-Morse words are equal to any polynomial modulo a power of two."""
+    a, b = thue_morse(512, "58"), thue_morse(512, "85")
+    texts = [a, b, f"{a} x y z w", f"{b} x y z w", a]
+    assert {r.doc_id: r.component_id for r in ngram_join.classes(frame(spark, texts)).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+    long = [thue_morse(4096, "58"), thue_morse(4096, "85")]
+    windows = {(x[i : i + n], int(r)) for x in long for n in (64, 200, 336) for i, r in enumerate(hashing.Windows(x.encode()).of(np.arange(4096 - n + 1), n))}
+    assert len({t for t, _ in windows}) == len({r for _, r in windows}) == len(windows)
+
+
+def test_keys_that_clash_are_told_apart(spark):
+    df = spark.createDataFrame([(i, i % 2, i // 2) for i in range(8)] + [(8, 5, 1), (9, 0, 0)], "id long, key long, check long")
+    keys = {r.id: r.key for r in common.apart(df, "key", "check", common.Scratch(spark, "t")).collect()}
+    assert keys[9] == keys[0] and keys[8] == 5 and len(set(keys.values())) == 9
+
+
+def test_ranks_with_very_many_contexts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MANY", 2)
+    monkeypatch.setattr(suffix_dedup, "PARTS", 2)
+    test_suffixes(spark)
+    rnd = random.Random(14)
+    hot = words_of(rnd, 20, 10**6)[:140]
+    texts = [f"{rnd.random()}{rnd.random()}{'left' if i % 2 else 'wide'} {hot} {'right' if i % 3 else 'wrong'} side of it all, so {rnd.random()}{rnd.random()}" for i in range(60)]
+    count = collections.Counter(t[p : p + 200] for t in texts for p in range(len(t) - 199))
+    want = {i: any(count[t[p : p + 200]] > 1 for p in range(len(t) - 199)) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_removed > 0 for r in suffix_dedup.dedup(frame(spark, texts)).collect()} == want
