@@ -139,12 +139,14 @@ def demux(media: bytes) -> tuple[dict[int, Stream], int]:
 
 def _add(s: Stream, flags: int, granule: int, sequence: int, lacing: bytes, media: bytes, at: int) -> None:
     """One good page into its stream: packets end at a lacing value below 255."""
-    if sequence != s._next or bool(flags & CONTINUED) != (s._open is not None):
+    if sequence != s._next or lacing and bool(flags & CONTINUED) != (s._open is not None):
         s.lost += 1
         s._open = None
     s._next, s.ended = sequence + 1, bool(flags & LAST)
     s.pages += 1
-    skip = bool(flags & CONTINUED) and s._open is None
+    if not lacing:  # nothing ends or goes on here; an open packet stays open
+        return
+    skip, whole = bool(flags & CONTINUED) and s._open is None, len(s.packets)
     parts, start, size = s._open or [], at, 0
     s._open = None
     for k, x in enumerate(lacing):
@@ -159,7 +161,7 @@ def _add(s: Stream, flags: int, granule: int, sequence: int, lacing: bytes, medi
                     s.packets.append(b"".join(parts))
                     s.granules.append(-1)
                 parts, skip = [], False
-    if granule >= 0 and s.granules:
+    if granule >= 0 and len(s.packets) > whole:  # of the last packet that ends on this page
         s.granules[-1] = granule
 
 

@@ -3,35 +3,45 @@
 ``write_archives`` writes response and revisit records into archives kept as a table of segments
 (archive, sequence, bytes): the segments of an archive joined in order are a valid ``.warc.gz`` file,
 each begins at a record, and Spark's committed writers put them into any store. ``read_archives``
-reads such tables, ``read_files`` reads ``.warc.gz`` files; both inflate incrementally, frame records
-by Content-Length and verify block and payload digests.
+reads such tables, ``read_files`` reads ``.warc.gz`` files in pieces from any store that pyarrow opens;
+both inflate incrementally, frame records by Content-Length and verify block and payload digests.
 
 Of rows with equal payloads those with the largest page id are the response and the others revisit
-it; equal payloads meet as (digest, id) only, pre-aggregated before the shuffle, and the join back is
-one that adaptive execution can split when a payload is hot.
+it; equal payloads meet as (digest, id) only, pre-aggregated before the shuffle. Bitmaps of fixed size
+of the repeated digests and of their responses let the html of all other rows stay where it is: pages
+of their own are written without a join, revisits join back by digest and length alone, in a join that
+adaptive execution can split when a payload is hot.
 
 Defined cases: null html counts as empty; a null page id is smaller than any other; if all ids of a
 group are null, all are responses; repeated rows that hold the largest id are all responses. Empty
 tables give empty tables; other columns are ignored. A record with a wrong digest is returned with
-``valid`` false; an archive cut inside a record loses that record only.
+``valid`` false; an archive cut or damaged inside a record loses that record only: the reader looks for
+the next member from where the damaged one began to fail.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratiform.llm import bitmap
 from stratiform.llm import common as C
 
 SEGMENT = 1 << 20
+#: How a gzip member begins.
+MARK = b"\x1f\x8b\x08"
+PIECE = 1 << 16
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -57,18 +67,21 @@ def _record_id(page_id: int | None, url: str | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>"
 
 
-def page_record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, revisit: bool) -> bytes:
+def page_record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, revisit: bool, length: int | None = None, sha1: str | None = None) -> bytes:
+    """A page's record; of a revisit the payload's length and hexadecimal digest will do."""
     payload = (html or "").encode("utf-8", "surrogatepass")
+    length = len(payload) if length is None else length
+    told = digest(payload) if sha1 is None else base64.b32encode(bytes.fromhex(sha1)).decode()
     headers = [
         ("WARC-Record-ID", _record_id(page_id, url)),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", _clean(url)),
         ("Content-Type", "application/http; msgtype=response"),
-        ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
+        ("WARC-Payload-Digest", f"sha1:{told}"),
         ("X-Page-ID", "" if page_id is None else str(page_id)),
-        ("X-Payload-Length", str(len(payload))),
+        ("X-Payload-Length", str(length)),
     ]
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     if revisit:
         headers += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-ID", str(refers_to))]
         return record("revisit", headers, http)
@@ -90,27 +103,50 @@ class Record:
 
 
 class Reader:
-    """Sequential reader: feed it pieces of an archive of any size, take whole records."""
+    """Sequential reader: feed it pieces of an archive of any size, take whole records, ``finish`` at the end.
+
+    The compressed bytes of the member being read are kept: where it fails, every later gzip mark is tried,
+    from the first of these bytes on, so a whole member is never lost to a damaged one before it.
+    """
 
     def __init__(self) -> None:
-        self._z, self._held = zlib.decompressobj(31), bytearray()
+        self._z, self._held, self._raw = zlib.decompressobj(31), bytearray(), bytearray()
+        self._tail, self._lost = b"", False
         self.damaged = 0
 
     def feed(self, data: bytes) -> Iterator[Record]:
+        data, self._tail = self._tail + data, b""
         while data:
+            if self._lost and not self._raw:
+                if (at := data.find(MARK)) < 0:
+                    # a mark may begin in the last bytes
+                    self._tail = next((data[-k:] for k in (2, 1) if data.endswith(MARK[:k])), b"")
+                    return
+                data = data[at:]
+            self._raw += data
             try:
                 self._held += self._z.decompress(data)
             except zlib.error:
-                self.damaged += 1
-                at = data.find(b"\x1f\x8b\x08", 1)
-                self._z, self._held = zlib.decompressobj(31), bytearray()
-                data = data[at:] if at > 0 else b""
+                data = self._again()
                 continue
             if not self._z.eof:
                 return
             data, self._z = self._z.unused_data, zlib.decompressobj(31)
+            self._raw, self._lost = bytearray(), False
             yield from self._records()
 
+    def finish(self) -> Iterator[Record]:
+        """The records behind a member that was cut and took them for its own."""
+        while self._raw:
+            yield from self.feed(self._again())
+
+    def _again(self) -> bytes:
+        """Give the member up; what follows its first byte."""
+        self.damaged += not self._lost
+        rest = bytes(self._raw[1:])
+        self._z, self._held, self._raw, self._lost = zlib.decompressobj(31), bytearray(), bytearray(), True
+        return rest
+
     def _records(self) -> Iterator[Record]:
         """All records of an ended member (one each, as written here; other writers may join some)."""
         held, at = bytes(self._held), 0
@@ -125,14 +161,43 @@ class Reader:
             yield Record(head, held[end + 4 : at])
 
 
+_LONG = "cast(conv(substring({0}, 1, 15), 16, 10) as bigint)"
+
+
 def with_revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Adds digest_, refers_ and revisit_: which page id each row revisits.
+    """Adds length_, digest_, refers_ and revisit_: which page id each row revisits; revisits lose their html.
 
-    Only digests that occur more than once go into the join; of them only one row each.
+    Only digests that occur more than once go into the join, and with html only the rows that may be its
+    responses.
     """
-    keyed = pages.withColumn("digest_", F.sha1(F.coalesce(F.col(html_col), F.lit(""))))
-    first = keyed.groupBy("digest_").agg(F.max(id_col).alias("refers_"), F.count("*").alias("n_")).filter("n_ > 1").drop("n_")
-    return keyed.join(first, "digest_", "left").withColumn("revisit_", F.col("refers_").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("refers_")))
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    keyed = pages.withColumn("length_", F.octet_length(html).cast("long")).withColumn("digest_", F.sha1(html))
+    first = keyed.select(id_col, "digest_").groupBy("digest_").agg(F.max(id_col).alias("refers_"), F.count("*").alias("n_")).filter("n_ > 1").drop("n_")
+    scratch = C.Scratch(pages.sparkSession, "revisits")
+    first = scratch.keep(first)
+    sent = pages.sparkSession.sparkContext.broadcast((bitmap.build(first.select(F.expr(_LONG.format("digest_")).alias("key"))), bitmap.build(first.select(F.xxhash64("digest_", "refers_").alias("key")))))
+    marked = keyed.withColumn("d_", F.expr(_LONG.format("digest_"))).withColumn("r_", F.xxhash64("digest_", F.col(id_col)))
+    names = [*keyed.columns, "d_", "r_"]
+
+    def part(repeated: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                again = bitmap.has(sent.value[0], batch.column(len(names) - 2).to_numpy().view(np.uint64))
+                own = batch.filter(pa.array(again == repeated))
+                if repeated and own.num_rows:
+                    # a row that isn't a response is written without its html
+                    may = bitmap.has(sent.value[1], own.column(len(names) - 1).to_numpy().view(np.uint64))
+                    columns = list(own.columns)
+                    at = names.index(html_col)
+                    columns[at] = pc.if_else(pa.array(may), columns[at], pa.scalar(None, columns[at].type))
+                    own = pa.RecordBatch.from_arrays(columns, schema=own.schema)
+                yield own
+
+        return marked.mapInArrow(run, marked.schema).drop("d_", "r_")
+
+    alone = part(False).withColumn("refers_", F.lit(None).cast(pages.schema[id_col].dataType)).withColumn("revisit_", F.lit(False))
+    joined = part(True).join(first, "digest_", "left").withColumn("revisit_", F.col("refers_").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("refers_")))
+    return alone.unionByName(joined)
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +223,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(archive, sequence, bytes) for every page; write it with Spark to keep it."""
     src = with_revisits(C.pick(pages, id_col, url_col, html_col), id_col, html_col)
-    return C.map_arrow(src.select(id_col, url_col, html_col, "refers_", "revisit_"), _write, [C.field("archive", "long"), C.field("sequence", "long"), C.field("bytes", "binary")])
+    return C.map_arrow(src.select(id_col, url_col, html_col, "refers_", "revisit_", "length_", "digest_"), _write, [C.field("archive", "long"), C.field("sequence", "long"), C.field("bytes", "binary")])
 
 
 _OUT = (("page_id", "long"), ("payload_bytes", "long"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "long"), ("url", "string"), ("payload", "binary"), ("valid", "boolean"))
@@ -201,23 +266,42 @@ def read_archives(segments: DataFrame, bytes_col: str = "bytes", keep_payload: b
     """Response and revisit records of archive segments: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload, valid."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
-        pieces = (x.as_py() or b"" for batch in batches for x in batch.column(0))
-        yield from _batches(_rows(r for data in pieces for r in reader.feed(data)), keep_payload)
+        def records() -> Iterator[Record]:
+            reader = Reader()
+            for batch in batches:
+                for x in batch.column(0):
+                    yield from reader.feed(x.as_py() or b"")
+            yield from reader.finish()
+
+        yield from _batches(_rows(records()), keep_payload)
 
     return C.map_arrow(C.pick(segments, bytes_col), read, _fields(keep_payload))
 
 
 def read_files(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
-    """Records of the ``.warc.gz`` files under ``path``, one reader a file, in pieces of 64 KiB."""
+    """Records of the ``.warc.gz`` files under ``path``, one reader a file, in pieces of 64 KiB.
+
+    Spark lists the files (their content isn't loaded), pyarrow opens them as streams on the executors, so
+    a file may be of any size. Files in a store that pyarrow can't open raise an error.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        def records(name: str) -> Iterator[Record]:
+            store, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+            reader = Reader()
+            with store.open_input_stream(at, compression=None) as stream:
+                while piece := stream.read(PIECE):
+                    yield from reader.feed(piece)
+            yield from reader.finish()
+
         for batch in batches:
-            for x in batch.column(0):
-                reader, raw = Reader(), x.as_py() or b""
-                yield from _batches(_rows(r for i in range(0, len(raw), 1 << 16) for r in reader.feed(raw[i : i + (1 << 16)])), keep_payload)
+            for name in batch.column(0).to_pylist():
+                yield from _batches(_rows(records(name)), keep_payload)
 
-    return C.map_arrow(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content"), read, _fields(keep_payload))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path")
+    return C.map_arrow(files, read, _fields(keep_payload))
 
 
 def roundtrip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -325,3 +326,52 @@ def test_ranks_with_very_many_contexts(spark, monkeypatch):
     count = collections.Counter(t[p : p + 200] for t in texts for p in range(len(t) - 199))
     want = {i: any(count[t[p : p + 200]] > 1 for p in range(len(t) - 199)) for i, t in enumerate(texts)}
     assert {r.doc_id: r.n_removed > 0 for r in suffix_dedup.dedup(frame(spark, texts)).collect()} == want
+
+
+def test_warc_reader_finds_what_follows_damage(spark, tmp_path):
+    rnd = random.Random(15)
+    html = ["".join(rnd.choices("abcdefgh <>", k=3000)) for _ in range(4)]
+    r = [warc.page_record(i, f"http://a/{i}", h, None, False) for i, h in enumerate(html)]
+    ids = lambda records: [int(x.headers["x-page-id"]) for x in records]
+
+    def read(data, piece):
+        reader = warc.Reader()
+        return ids([x for i in range(0, len(data), piece) for x in reader.feed(data[i : i + piece])] + list(reader.finish()))
+
+    segments = [r[0] + r[1][:200], r[2] + r[3]]
+    reader = warc.Reader()
+    assert ids([x for s in segments for x in reader.feed(s)]) == [0, 2, 3]
+    for cut in (1, 2, 3, 12, 700, len(r[1]) - 1):
+        for piece in (1, 2, 3, 7, 500, 1 << 16):
+            assert read(r[0] + r[1][:cut] + r[2] + r[3], piece) == [0, 2, 3], (cut, piece)
+    stored = zlib.compressobj(0, zlib.DEFLATED, 31)
+    swallowing = stored.compress(b"x" * 60_000) + stored.flush()
+    assert read(r[0] + swallowing[:30] + r[2] + r[3], 100) == [0, 2, 3]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(r))
+    (tmp_path / "b.warc.gz").write_bytes(r[0] + r[1][:200] + r[2])
+    rows = warc.read_files(spark, f"file://{tmp_path}").collect()
+    assert sorted((x.page_id, bytes(x.payload)) for x in rows) == sorted((i, html[i].encode()) for i in (0, 1, 2, 3, 0, 2)) and all(x.valid for x in rows)
+
+
+def test_ogg_pages_without_segments_and_packets():
+    a, b = b"a" * 255 * 3, b"b" * 100
+    page = lambda n, granule, flags, lacing, body: ogg.write_page(7, n, granule, flags, bytes(lacing), body)
+    media = page(0, -1, ogg.FIRST, [255, 255], a[:510]) + page(1, -1, ogg.CONTINUED, [], b"") + page(2, 3, ogg.CONTINUED, [255, 0, 100], a[510:] + b)
+    s = ogg.demux(media)[0][7]
+    assert (s.packets, s.granules, s.lost) == ([a, b], [-1, 3], 0)
+    media = page(0, 3, ogg.FIRST, [100], b) + page(1, 9, 0, [255, 255], a[:510]) + page(2, 12, ogg.CONTINUED, [255, 0], a[510:])
+    s = ogg.demux(media)[0][7]
+    assert (s.packets, s.granules, s.lost) == ([b, a], [3, 12], 0)
+
+
+def test_ogg_columns_of_odd_rows(spark):
+    """Every column of the contract, worked out again from its words."""
+    texts = ["", None, "é" * 64, "x" * 64, "y" * 65, "word " * 30_000, "word " * 30_000]
+    rows = {r.doc_id: r for r in ogg.media_features(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (64 if not raw else 0))
+        media = ogg.mux(payload, len(raw))
+        assert tuple(rows[i])[1:7] == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
+        assert f"seconds={len(payload) / ogg.RATE:.6f}" in rows[i].feature and "bad_pages=0;lost=0" in rows[i].feature
+    assert rows[5][1:] == rows[6][1:] and rows[0][1:] == rows[1][1:]
