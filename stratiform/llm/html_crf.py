@@ -7,8 +7,8 @@ and decoded by Viterbi. ``default_model`` trains on pages that ``labelled_pages`
 ``train`` takes any others. Extraction is narrow: no shuffle, one page at a time.
 
 Defined cases: null or empty html gives an empty text; cut pages and unclosed or stray tags are read
-as far as they go; pages without text give an empty text; null ids and repeated rows pass through;
-other columns are ignored.
+as far as they go, tags may be nested to any depth; pages without text give an empty text; null ids and
+repeated rows pass through; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from __future__ import annotations
 import html as _html
 import random
 import re
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -45,13 +46,28 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass
 class Block:
-    """A leaf block: its text, and what is above it."""
+    """A leaf block: its text, and what is above it: distinct tags, outermost first and its own last, distinct
+    names, its nearest named or region element, and the depth."""
 
     text: str
     tags: tuple[str, ...]
     names: tuple[str, ...]
     linked: int
     near: tuple[str, ...] = ()
+    depth: int = 0
+
+
+@dataclass
+class _Open:
+    """An open tag and what it adds up to with those above it; shared where it adds nothing."""
+
+    tag: str
+    tags: tuple[str, ...]
+    names: tuple[str, ...]
+    near: tuple[str, ...]
+
+
+_NONE = _Open("", (), (), ("",))
 
 
 def _tag(page: str, at: int) -> tuple[str, str, int]:
@@ -66,16 +82,21 @@ def _tag(page: str, at: int) -> tuple[str, str, int]:
             at += 1
             continue
         if m[1].lower() in ("class", "id", "role"):
-            names += " " + (m[2] or m[3] or m[4] or "")[:200]
+            names += " " + (m[2] or m[3] or m[4] or "")
         at = m.end()
     return name.lower(), names, at + 1
 
 
-def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order. White space inside a block becomes one space."""
+def blocks(page: str | None, known: Callable[[str], bool] | None = None) -> list[Block]:
+    """Leaf blocks in page order. White space inside a block becomes one space.
+
+    ``known``: the only names to keep (others mean nothing to a model), so that what is kept of a page of
+    ever new names, nested without end, is bounded.
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[_Open] = []
+    count: Counter[str] = Counter()
     pieces: list[str] = []
     linked, hidden, in_link = 0, 0, 0
 
@@ -84,17 +105,28 @@ def blocks(page: str | None) -> list[Block]:
         if pieces:
             text = _SPACE.sub(" ", "".join(pieces)).strip()
             if text:
-                words = tuple(dict.fromkeys(w for _, names in stack for w in _PART.findall(names.lower())))
-                near = next(((t, *_PART.findall(own.lower())) for t, own in reversed(stack) if own or t in _REGION), ("",))
-                out.append(Block(text, tuple(t for t, _ in stack), words, linked, near))
+                top = stack[-1] if stack else _NONE
+                out.append(Block(text, (*(t for t in top.tags if t != top.tag), top.tag) if stack else (), top.names, linked, top.near, len(stack)))
             pieces.clear()
         linked = 0
 
+    def push(tag: str, own: str) -> None:
+        nonlocal hidden, in_link
+        above = stack[-1] if stack else _NONE
+        words = [w for w in _PART.findall(own.lower()) if known is None or known(w)] if own else []
+        new = [w for w in dict.fromkeys(words) if w not in above.names]
+        tags = above.tags if tag in above.tags else (*above.tags, tag)
+        stack.append(_Open(tag, tags, (*above.names, *new) if new else above.names, (tag, *words) if own or tag in _REGION else above.near))
+        count[tag] += 1
+        hidden += tag in HIDDEN
+        in_link += tag == "a"
+
     def pop_to(k: int) -> None:
         nonlocal hidden, in_link
-        for t, _ in stack[k:]:
-            hidden -= t in HIDDEN
-            in_link -= t == "a"
+        for x in stack[k:]:
+            count[x.tag] -= 1
+            hidden -= x.tag in HIDDEN
+            in_link -= x.tag == "a"
         del stack[k:]
 
     def add(raw: str) -> None:
@@ -127,43 +159,37 @@ def blocks(page: str | None) -> list[Block]:
                 continue
             if name in BLOCK:
                 flush()
-                if name in _ENDS_P:
+                if name in _ENDS_P and count["p"]:
                     for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == "p":
+                        if stack[k].tag == "p":
                             pop_to(k)
                             break
-                        if stack[k][0] in _SCOPE:
+                        if stack[k].tag in _SCOPE:
                             break
                 if own := _SAME.get(name):
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] in own.split():
+                    for k in range(len(stack) - 1, -1, -1) if any(count[t] for t in own.split()) else ():
+                        if stack[k].tag in own.split():
                             pop_to(k)
                             break
-                        if stack[k][0] in ("ul", "ol", "dl", "table", "menu"):
-                            break
-                if name == "body":
-                    for k in range(len(stack)):
-                        if stack[k][0] == "head":
-                            pop_to(k)
+                        if stack[k].tag in ("ul", "ol", "dl", "table", "menu"):
                             break
+                if name == "body" and count["head"]:
+                    pop_to(next(k for k, x in enumerate(stack) if x.tag == "head"))
             elif name == "br":
                 add(" ")
             if name not in VOID and page[at - 2 : at - 1] != "/" or name in BLOCK and name != "hr":
-                if len(stack) < 512:
-                    stack.append((name, names))
-                    hidden += name in HIDDEN
-                    in_link += name == "a"
+                push(name, names)
         elif nxt == "/" and (m := _NAME.match(page, lt + 2)):
             name = m.group().lower()
             end = page.find(">", m.end())
             at = n if end < 0 else end + 1
             if name in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+            for k in range(len(stack) - 1, -1, -1) if count[name] else ():
+                if stack[k].tag == name:
                     pop_to(k)
                     break
-                if name not in BLOCK and stack[k][0] in _SCOPE:
+                if name not in BLOCK and stack[k].tag in _SCOPE:
                     break
         else:
             add("<")
@@ -181,11 +207,11 @@ def features(all_blocks: list[Block], k: int) -> list[str]:
     words = b.text.count(" ") + 1
     density = b.linked / max(1, len(b.text))
     marks = sum(b.text.count(c) for c in ".,;:!?")
-    out = ["1", f"tag={b.tags[-1] if b.tags else ''}", f"words={min(7, words.bit_length())}", f"link={min(3, int(density * 4))}", f"marks={min(3, marks)}", f"end={b.text[-1] in '.!?…»”'}", f"cues={min(2, len(_CUES.findall(b.text[:400])))}", f"depth={min(6, len(b.tags))}"]
-    out += [f"in={t}" for t in set(b.tags)] + [f"name={w}" for w in b.names[:24]]
+    out = ["1", f"tag={b.tags[-1] if b.tags else ''}", f"words={min(7, words.bit_length())}", f"link={min(3, int(density * 4))}", f"marks={min(3, marks)}", f"end={b.text[-1] in '.!?…»”'}", f"cues={min(2, len(_CUES.findall(b.text)))}", f"depth={min(6, b.depth)}"]
+    out += [f"in={t}" for t in set(b.tags)] + [f"name={w}" for w in b.names]
     if "article" in b.tags or "main" in b.tags:
-        out += [f"inside&name={w}" for w in b.names[:24]] + [f"inside&words={min(7, words.bit_length())}", f"inside&tag={b.tags[-1]}"]
-    out += [f"near={x}" for x in b.near[:8]] + [f"near&link={b.near[0]}&{min(3, int(density * 4))}"]
+        out += [f"inside&name={w}" for w in b.names] + [f"inside&words={min(7, words.bit_length())}", f"inside&tag={b.tags[-1]}"]
+    out += [f"near={x}" for x in b.near] + [f"near&link={b.near[0]}&{min(3, int(density * 4))}"]
     if k == 0 or k == len(all_blocks) - 1:
         out.append(f"edge={'first' if k == 0 else 'last'}")
     return out
@@ -197,6 +223,10 @@ class Crf:
     def __init__(self, at: dict[str, int], emit: np.ndarray, move: np.ndarray) -> None:
         self.at, self.emit, self.move = at, emit, move
 
+    def knows(self, name: str) -> bool:
+        """Whether a class or id word is in any feature."""
+        return f"name={name}" in self.at or f"near={name}" in self.at or f"inside&name={name}" in self.at
+
     def scores(self, rows: list[list[str]]) -> np.ndarray:
         get = self.at.get
         return np.array([self.emit[[i for f in row if (i := get(f)) is not None]].sum(axis=0) for row in rows]).reshape(-1, 2)
@@ -220,22 +250,25 @@ class Crf:
         return out[::-1]
 
 
-def train(pages: Iterable[tuple[list[Block], list[int]]], steps: int = 120, rate: float = 0.15, l2: float = 1e-3) -> Crf:
-    """Maximum conditional likelihood over labelled pages: all pages are padded to one length and go through forward and backward together."""
-    data = [(b, y) for b, y in pages if b]
-    rows = [[features(b, k) for k in range(len(b))] for b, _ in data]
-    at = {f: i for i, f in enumerate(sorted({f for page in rows for row in page for f in row}))}
-    n, length, d = len(data), max(len(b) for b, _ in data), len(at)
-    idx = np.array([at[f] for page in rows for row in page for f in row])
-    cell = np.repeat([p * length + k for p, page in enumerate(rows) for k in range(len(page))], [len(row) for page in rows for row in page])
-    mask = np.zeros((n, length), bool)
-    gold = np.zeros((n, length), int)
-    for p, (_, y) in enumerate(data):
-        mask[p, : len(y)], gold[p, : len(y)] = True, y
-    w, m, v = (np.zeros(d * 2 + 4) for _ in range(3))
-    for step in range(1, steps + 1):
+class Sample:
+    """Labelled pages in arrays: all pages are padded to one length and go through forward and backward together."""
+
+    def __init__(self, pages: Iterable[tuple[list[Block], list[int]]]) -> None:
+        data = [(b, y) for b, y in pages if b]
+        rows = [[features(b, k) for k in range(len(b))] for b, _ in data]
+        self.at = {f: i for i, f in enumerate(sorted({f for page in rows for row in page for f in row}))}
+        self.n, self.length, self.d = len(data), max(len(b) for b, _ in data), len(self.at)
+        self.idx = np.array([self.at[f] for page in rows for row in page for f in row])
+        self.cell = np.repeat([p * self.length + k for p, page in enumerate(rows) for k in range(len(page))], [len(row) for page in rows for row in page])
+        self.mask, self.gold = np.zeros((self.n, self.length), bool), np.zeros((self.n, self.length), int)
+        for p, (_, y) in enumerate(data):
+            self.mask[p, : len(y)], self.gold[p, : len(y)] = True, y
+
+    def loss(self, w: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+        """Negative log-likelihood a page, with the penalty, and its gradient."""
+        d, n, length, mask, gold = self.d, self.n, self.length, self.mask, self.gold
         emit, move = w[: 2 * d].reshape(d, 2), w[2 * d :].reshape(2, 2)
-        s = np.stack([np.bincount(cell, weights=emit[idx, y], minlength=n * length) for y in (0, 1)], axis=1).reshape(n, length, 2)
+        s = np.stack([np.bincount(self.cell, weights=emit[self.idx, y], minlength=n * length) for y in (0, 1)], axis=1).reshape(n, length, 2)
         alpha, beta = np.zeros((n, length, 2)), np.zeros((n, length, 2))
         alpha[:, 0] = s[:, 0]
         for t in range(1, length):
@@ -245,18 +278,27 @@ def train(pages: Iterable[tuple[list[Block], list[int]]], steps: int = 120, rate
             x = s[:, t + 1] + beta[:, t + 1]
             beta[:, t] = np.where(mask[:, t + 1, None], np.logaddexp(move[:, 0] + x[:, 0, None], move[:, 1] + x[:, 1, None]), 0)
         z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        p1 = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
-        g_cell = p1.copy()
+        g_cell = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
         np.put_along_axis(g_cell, gold[:, :, None], np.take_along_axis(g_cell, gold[:, :, None], 2) - mask[:, :, None], 2)
-        g_emit = np.stack([np.bincount(idx, weights=g_cell.reshape(-1, 2)[cell, y], minlength=d) for y in (0, 1)], axis=1)
+        g_emit = np.stack([np.bincount(self.idx, weights=g_cell.reshape(-1, 2)[self.cell, y], minlength=d) for y in (0, 1)], axis=1)
         pair = alpha[:, :-1, :, None] + move[None, None] + (s + beta)[:, 1:, None, :] - z[:, None, None, None]
         on = mask[:, 1:]
         g_move = (np.exp(np.where(on[:, :, None, None], pair, -1e9))).sum(axis=(0, 1))
         np.subtract.at(g_move, (gold[:, :-1][on], gold[:, 1:][on]), 1)
-        g = np.concatenate([g_emit.ravel(), g_move.ravel()]) / n + l2 * w
+        right = (np.take_along_axis(s, gold[:, :, None], 2)[:, :, 0] * mask).sum() + move[gold[:, :-1][on], gold[:, 1:][on]].sum()
+        return float((z.sum() - right) / n + l2 / 2 * (w @ w)), np.concatenate([g_emit.ravel(), g_move.ravel()]) / n + l2 * w
+
+
+def train(pages: Iterable[tuple[list[Block], list[int]]], steps: int = 120, rate: float = 0.15, l2: float = 1e-3) -> Crf:
+    """Maximum conditional likelihood over labelled pages, by Adam over exact gradients."""
+    sample = Sample(pages)
+    d = sample.d
+    w, m, v = (np.zeros(d * 2 + 4) for _ in range(3))
+    for step in range(1, steps + 1):
+        _, g = sample.loss(w, l2)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Crf(at, w[: 2 * d].reshape(d, 2), w[2 * d :].reshape(2, 2))
+    return Crf(sample.at, w[: 2 * d].reshape(d, 2), w[2 * d :].reshape(2, 2))
 
 
 #: Names that pages give to the parts this operator tells apart.
@@ -372,7 +414,7 @@ def default_model() -> Crf:
 
 def extract(page: str | None, model: Crf) -> str:
     """The content blocks' texts in page order, one a line."""
-    b = blocks(page)
+    b = blocks(page, model.knows)
     return "\n".join(x.text for x, y in zip(b, model.viterbi(b), strict=True) if y)
 
 
