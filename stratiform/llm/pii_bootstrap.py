@@ -1,11 +1,13 @@
 """Personal data: base recognisers, and bootstrapped contextual extraction beyond them.
 
 The base recognisers find e-mail and IP addresses, card and telephone numbers. Their finds are the
-seeds. Around every seed and every other identifier-like token stand lexical patterns (the two words
-before, the word before and after). Spark scores the graph of patterns and instances in rounds: a
-pattern is trusted for a kind if most of its distinct instances are trusted ones of that kind, an
-instance if the patterns it fills leave little doubt; trusted patterns then discover identifiers no
-recogniser knows, and these are the next round's instances.
+seeds. Candidates are all other tokens with a digit or @, of any length, and groups of such tokens with
+single spaces between them ("DE89 3704 0044"). Around every seed and candidate stand lexical patterns (the two
+words before, the word before and after, whole words). Spark scores the graph of patterns and instances
+in rounds until one finds nothing new: a pattern is trusted for a kind if most of its distinct instances
+are trusted ones of that kind, an instance if the patterns it fills leave little doubt, and it stays so;
+trusted patterns then discover identifiers no recogniser knows, and these are the next round's instances.
+Of candidates inside one another the longest trusted one counts.
 
 Texts are read once. What is shuffled are the mentions (identifier-like tokens), pre-aggregated to
 distinct (pattern, instance) pairs, so a hot pattern is a sum of partial counts; the found spans go
@@ -18,18 +20,22 @@ digit or word runs are read in linear time.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratiform.llm import common as C
 from stratiform.llm.ogg import _arrow_type
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+#: Rounds end when nothing new is found; so many without an end are an error.
+ROUNDS = 1000
+#: Words of patterns and instances beyond this many characters stand for themselves by a digest.
+LONG_WORD = 64
 #: A pattern needs so many distinct trusted instances of a kind, being such a share of all its instances.
 MIN_SUPPORT, MIN_PRECISION = 3, 0.8
 #: 1 - product of (1 - precision) over the trusted patterns of an instance.
@@ -44,6 +50,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _SIGN = re.compile(r"[0-9@]")
 _TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
 _END = re.compile(r"[A-Za-z0-9._%+@-]*")
+_DIGITS = re.compile("[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -90,7 +97,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 
 def tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens outside the base spans: runs of letters, digits and ._%+@- with a digit or @, of 5 to 64 characters."""
+    """Candidates outside the base spans: runs of letters, digits and ._%+@- with a digit or @, and then groups of those with one space between, too."""
     taken, k, done, out = sorted((s, e) for _, s, e in base), 0, 0, []
     for m in _SIGN.finditer(text):
         if m.start() < done:
@@ -105,21 +112,46 @@ def tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]
             start += 1
         while k < len(taken) and taken[k][1] <= start:
             k += 1
-        if 5 <= end - start <= 64 and not any(s < end and start < e for s, e in taken[k : k + 4]):
+        if start < end and not any(s < end and start < e for s, e in taken[k : k + 4]):
             out.append((start, end))
-    return out
+    groups, first = [], 0
+    for k in range(1, len(out) + 1):
+        if k == len(out) or out[k][0] != out[k - 1][1] + 1 or text[out[k - 1][1]] != " ":
+            if k - first > 1:
+                groups.append((out[first][0], out[k - 1][1]))
+            first = k
+    return out + groups
+
+
+def _short(word: str) -> str:
+    """A word, or the digest of a very long one."""
+    return word if len(word) <= LONG_WORD else "#" + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def _word_before(text: str, end: int) -> tuple[str, int]:
+    """The last word that begins before ``end``, and where."""
+    while end > 0 and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start > 0 and not text[start - 1].isspace():
+        start -= 1
+    return text[start:end], start
+
+
+_WORD_AFTER = re.compile(r"\s*(\S+)")
 
 
 def _around(text: str, start: int, end: int) -> list[str]:
-    """Patterns: the two words before; the word before and the word after. Digits become 0."""
-    left = text[max(0, start - 64) : start].lower().split()
-    right = text[end : end + 48].lower().split()
-    before = [re.sub("[0-9]", "0", w) for w in left[-2:]]
-    out = []
-    if len(before) == 2:
-        out.append("L " + " ".join(before))
-    if before and right:
-        out.append(f"B {before[-1]} _ {re.sub('[0-9]', '0', right[0])}")
+    """Patterns: the two words before; the word before and the word after, all whole. Digits become 0."""
+    plain = lambda w: _short(_DIGITS.sub("0", w.lower()))
+    near, at = _word_before(text, start)
+    if not near:
+        return []
+    far, _ = _word_before(text, at)
+    after = _WORD_AFTER.match(text, end)
+    out = [f"L {plain(far)} {plain(near)}"] if far else []
+    if after:
+        out.append(f"B {plain(near)} _ {plain(after[1])}")
     return out
 
 
@@ -150,7 +182,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 base = base_spans(text)
                 bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
                 found = base + [(-1, s, e) for s, e in tokens(text, base)]
-                mentions.append([{"start": s, "end": e, "instance": text[s:e].lower(), "patterns": p, "kind": k} for k, s, e in found if (p := _around(text, s, e))])
+                mentions.append([{"start": s, "end": e, "instance": _short(text[s:e].lower()), "patterns": p, "kind": k} for k, s, e in found if (p := _around(text, s, e))])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), batch.column(2), pa.array(bases, span), pa.array(mentions, mention)], [id_col, "key", "base", "mentions"])
 
     return C.map_arrow(src, run, [C.id_field(src, id_col), C.field("key", "string"), C.field("base", "array<struct<kind:int,start:int,end:int>>"), C.field("mentions", _MENTION)])
@@ -169,10 +201,14 @@ def bootstrap(mentions: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_
         doubt = F.sum(F.log(F.greatest(1 - F.col("precision"), F.lit(0.02))))
         scores = pairs.join(good.select("pattern", "kind", "precision"), "pattern").groupBy("instance", "kind").agg((1 - F.exp(doubt)).alias("score"))
         best = scores.filter(F.col("score") >= min_instance).groupBy("instance").agg(F.max_by(F.struct("kind", "score"), F.struct("score", -F.col("kind"))).alias("x"))
-        new = best.select("instance", "x.kind", "x.score").join(seeds.select("instance"), "instance", "left_anti")
-        found = scratch.keep(new)
+        # what is trusted stays so, with its kind: support only grows, so the rounds come to an end
+        new = scratch.keep(best.select("instance", "x.kind", "x.score").join(trusted.select("instance"), "instance", "left_anti"))
+        none = new.isEmpty()
+        found = new if found is None else found if none else scratch.keep(found.unionByName(new))
+        if none:
+            return found
         trusted = seeds.unionByName(found)
-    return found
+    raise RuntimeError(f"new identifiers still appear after {rounds} rounds")
 
 
 def _joined(spans: F.Column) -> F.Column:
@@ -189,10 +225,15 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     scanned = scratch.keep(scan(df, id_col, text_col))
     each = scanned.select("key", F.explode("mentions").alias("m"))
     found = bootstrap(each.select(F.explode("m.patterns").alias("pattern"), "m.instance", "m.kind"), rounds, scratch=scratch)
+    inside = Window.partitionBy("key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     extra = (
         each.filter("m.kind < 0")
         .select("key", "m.start", "m.end", "m.instance")
         .join(found, "instance")
+        .select("key", "kind", "start", "end")
+        .distinct()
+        .withColumn("reached", F.max("end").over(inside))
+        .filter("reached is null or end > reached")
         .groupBy("key")
         .agg(F.collect_set(F.struct("kind", "start", "end")).alias("extra"))
     )
