@@ -6,30 +6,35 @@ brought to the same form and scanned with block shift tables: the last block of
 says how far to jump; where it says 0, the bucket of that block's hash names the patterns to compare.
 Patterns of different length classes have tables of their own, because the shortest pattern bounds
 every jump. The tables go out to the executors; if they would pass ``MAX_PATTERN_BYTES``, the
-benchmark is searched block by block and the hits of the blocks are merged. No document is shuffled
-unless there is more than one block.
+benchmark is searched block by block: the driver holds one block at a time, the hits of each go to a
+table in the shared folder and are merged. No document is shuffled unless there is more than one block.
 
 Defined cases: null texts have no words; items without words have no pattern, items of fewer than
 ``size`` words are one pattern; items of equal text are all reported; a null item id marks words as
-hit but isn't among the reported items. Empty tables: no patterns (nothing is hit), no documents (no
+hit but isn't among the reported items, ids may be of any type. Empty tables: no patterns (nothing is hit), no documents (no
 rows). Repeated rows and null ids pass through; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from stratiform.llm import common as C
 from stratiform.llm.ogg import _arrow_type
 
 #: Of one block of the benchmark; the tables take a few times as much.
 MAX_PATTERN_BYTES = 16 << 20
+#: What an id in the list of a pattern's items counts for.
+ID_BYTES = 16
 #: (shortest pattern, block size) of the length classes.
 CLASSES = ((3, 2), (12, 4), (40, 8))
 
@@ -115,8 +120,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, limit:
     held = 0
     for row in C.pick(benchmark, id_col, text_col).toLocalIterator():
         for p in windows(row[1], size):
-            if p not in items:
-                held += len(p)
+            held += ID_BYTES + (len(p) if p not in items else 0)
             items.setdefault(p, []).extend([] if row[0] is None else [row[0]])
         if held > limit:
             yield items
@@ -124,8 +128,9 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, limit:
     yield items
 
 
-def _search(docs: DataFrame, items: dict[bytes, list[int]], id_col: str) -> DataFrame:
-    kind = _arrow_type(docs, id_col)
+def _search(docs: DataFrame, items: dict[bytes, list], id_col: str, item: T.DataType) -> DataFrame:
+    """(id, n_words, ranges, items); ``item``: the type of the items' ids."""
+    kind, item_kind = _arrow_type(docs, id_col), to_arrow_type(item)
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,29 +142,31 @@ def _search(docs: DataFrame, items: dict[bytes, list[int]], id_col: str) -> Data
                     batch.column(0).cast(kind),
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([[x for ab in r[1] for x in ab] for r in rows], pa.list_(pa.int64())),
-                    pa.array([sorted(r[2]) for r in rows], pa.list_(pa.int64())),
+                    pa.array([sorted(r[2]) for r in rows], pa.list_(item_kind)),
                 ],
                 [id_col, "n_words", "ranges", "items"],
             )
 
-    return C.map_arrow(docs, run, [C.id_field(docs, id_col), C.field("n_words", "long"), C.field("ranges", "array<long>"), C.field("items", "array<long>")])
+    return C.map_arrow(docs, run, [C.id_field(docs, id_col), C.field("n_words", "long"), C.field("ranges", "array<long>"), T.StructField("items", T.ArrayType(item), True)])
 
 
 def contaminated_ranges(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 13, limit: int = MAX_PATTERN_BYTES) -> DataFrame:
     """(id, n_words, ranges, items): ranges is a flat list of first and one-past-last hit words, items the sorted ids of the items found."""
     src = C.pick(docs, id_col, text_col)
+    item = benchmark.schema[item_col].dataType
     blocks = _blocks(benchmark, item_col, item_text, size, limit)
-    first = next(blocks)
-    rest = list(blocks) if (second := next(blocks, None)) is not None else []
+    first, second = next(blocks), next(blocks, None)
     if second is None:
-        return _search(src, first, id_col)
+        return _search(src, first, id_col, item)
     # More than one block: equal texts have equal hits, so the blocks are merged by the text's hash.
     keyed = src.withColumn("key_", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    texts = keyed.select("key_", text_col).dropDuplicates(["key_"])
-    parts = [_search(texts, items, "key_") for items in [first, second, *rest]]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    scratch = C.Scratch(docs.sparkSession, "decontaminate")
+    texts = scratch.keep(keyed.select("key_", text_col).dropDuplicates(["key_"]))
+    every = None
+    for items in itertools.chain([first, second], blocks):
+        part = scratch.keep(_search(texts, items, "key_", item))
+        every = part if every is None else every.unionByName(part)
+    scratch.drop(texts)
     merged = every.groupBy("key_").agg(
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("ranges")).alias("ranges"),
@@ -196,6 +203,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 13, share: int = 20, limit: int = MAX_PATTERN_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose text isn't contaminated, with all their columns; told by the text, so rows without an id and rows that share one are judged each on its own."""
+    keyed = docs.withColumn("key_", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    found = contamination(keyed.select("key_", text_col), benchmark, "key_", text_col, item_col, item_text, size, share, limit)
+    return keyed.join(found.filter("contaminated").select("key_").distinct(), "key_", "left_anti").select(*docs.columns)
+
+
 def digest_of(items: list[int]) -> str:
     """As items_sha256, in Python."""
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()

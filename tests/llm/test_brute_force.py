@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -375,3 +376,148 @@ def test_ogg_columns_of_odd_rows(spark):
         assert tuple(rows[i])[1:7] == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest())
         assert f"seconds={len(payload) / ogg.RATE:.6f}" in rows[i].feature and "bad_pages=0;lost=0" in rows[i].feature
     assert rows[5][1:] == rows[6][1:] and rows[0][1:] == rows[1][1:]
+
+
+def test_decontamination_of_text_ids(spark, sf):
+    docs = table(spark, sf, "documents", "doc_id", "text")
+    bench = table(spark, sf, "benchmark", "item_id", "text")
+    named = bench.selectExpr("concat('item', item_id) as item_id", "text")
+    for limit in (decontaminate.MAX_PATTERN_BYTES, 3000):
+        a = {r.doc_id: r["items"] for r in decontaminate.contaminated_ranges(docs, bench, limit=limit).collect()}
+        b = {r.doc_id: r["items"] for r in decontaminate.contaminated_ranges(docs, named, limit=limit).collect()}
+        assert b == {i: sorted(f"item{x}" for x in v) for i, v in a.items()} and any(a.values())
+
+
+def test_viterbi_like_enumeration():
+    rnd, rng = random.Random(16), np.random.default_rng(16)
+    pages = [html_crf.blocks(p) for p, _ in html_crf.labelled_pages(12, seed=5)]
+    names = sorted({f for b in pages for k in range(len(b)) for f in html_crf.features(b, k)})
+    for b in pages:
+        b = b[: rnd.randint(1, 9)]
+        model = html_crf.Crf({f: i for i, f in enumerate(names)}, rng.normal(size=(len(names), 2)), rng.normal(size=(2, 2)))
+        s = model.scores([html_crf.features(b, k) for k in range(len(b))])
+
+        def total(y, s=s, model=model):
+            return sum(s[k, v] for k, v in enumerate(y)) + sum(model.move[a, c] for a, c in itertools.pairwise(y))
+
+        assert abs(total(model.viterbi(b)) - max(map(total, itertools.product((0, 1), repeat=len(b))))) < 1e-9
+
+
+def test_likelihood_and_gradient_by_enumeration():
+    pages = [(b[:5], [int(i % 3 == 1) for i in range(len(b[:5]))]) for b in (html_crf.blocks(p) for p, _ in html_crf.labelled_pages(4, seed=6))]
+    pages[1] = (pages[1][0][:2], pages[1][1][:2])
+    sample, rng = html_crf.Sample(pages), np.random.default_rng(17)
+    w, l2 = rng.normal(size=2 * sample.d + 4) * 0.3, 0.01
+
+    def slow(w):
+        model, total = html_crf.Crf(sample.at, w[:-4].reshape(-1, 2), w[-4:].reshape(2, 2)), 0.0
+        for b, gold in pages:
+            s = model.scores([html_crf.features(b, k) for k in range(len(b))])
+            score = lambda y, s=s: sum(s[k, v] for k, v in enumerate(y)) + sum(model.move[a, c] for a, c in itertools.pairwise(y))
+            total += np.logaddexp.reduce([score(y) for y in itertools.product((0, 1), repeat=len(b))]) - score(gold)
+        return total / len(pages) + l2 / 2 * (w @ w)
+
+    value, g = sample.loss(w, l2)
+    assert abs(value - slow(w)) < 1e-9
+    for k in [*rng.integers(0, len(w), 12).tolist(), *range(len(w) - 4, len(w))]:
+        d = np.zeros(len(w))
+        d[k] = 1e-5
+        assert abs((slow(w + d) - slow(w - d)) / 2e-5 - g[k]) < 1e-6
+
+
+def test_blocks_of_deep_pages():
+    """No depth hides an end tag: hidden text stays hidden, boilerplate stays where it is."""
+    for n in (10, 600, 30_000):
+        page = "<div>" * n + "<noscript><div>hidden</div></noscript><nav class='menu'><div>menu</div></nav><p>seen</p>" + "</div>" * n + "<p>after</p>"
+        got = html_crf.blocks(page)
+        assert [b.text for b in got] == ["menu", "seen", "after"] and "nav" in got[0].tags and "nav" not in got[1].tags and got[2].tags == ("p",)
+    names = "".join(f"<div class='c{chr(97 + i % 26)}x{i}'>" for i in range(20_000))
+    assert html_crf.extract(names + "<article><p>A text of some length, and with an end.</p></article>", html_crf.default_model())
+    assert len(html_crf.blocks("<b>" * 20_000 + "</section>" * 20_000 + "<p>x</p>")) == 1
+    assert html_crf.blocks(f"<div class='{'a' * 300} sidebar'>x</div>")[0].names[-1] == "sidebar"
+    long = html_crf.blocks("<p>" + "word " * 200 + "cookies privacy newsletter</p>")
+    assert "cues=2" in html_crf.features(long, 0)
+
+
+def slow_bootstrap(mentions):
+    """Rounds over sets, as the words of the module say."""
+    pairs = {}
+    for p, i, k in mentions:
+        pairs[p, i] = max(pairs.get((p, i), -1), k)
+    seeds = {}
+    for (_, i), k in pairs.items():
+        if k >= 0:
+            seeds[i] = max(seeds.get(i, -1), k)
+    size, trusted, rounds = collections.Counter(p for p, _ in pairs), dict(seeds), 0
+    while True:
+        rounds += 1
+        support = collections.Counter((p, trusted[i]) for p, i in pairs if i in trusted)
+        good = {(p, k): n / size[p] for (p, k), n in support.items() if n >= pii_bootstrap.MIN_SUPPORT and n / size[p] >= pii_bootstrap.MIN_PRECISION}
+        best = {}
+        for _, i in sorted(pairs):
+            for k in range(4):
+                own = [v for (p, kk), v in good.items() if kk == k and (p, i) in pairs]
+                score = 1 - np.prod([max(1 - v, 0.02) for v in own]) if own else 0
+                if score >= pii_bootstrap.MIN_INSTANCE and score > best.get(i, (0, 0))[0] + 1e-12:
+                    best[i] = (score, k)
+        new = {i: k for i, (_, k) in best.items() if i not in trusted}
+        if not new:
+            return {i: k for i, k in trusted.items() if i not in seeds}, rounds
+        trusted |= new
+
+
+def test_bootstrap_like_brute_force(spark):
+    rnd = random.Random(18)
+    chain = [(f"p{k}", f"n{j}", -1) for k in range(1, 7) for j in range(5 * k - 5, 5 * k + 5)]
+    mentions = [("p0", f"s{j}", 3) for j in range(30)] + [("p0", f"n{j}", -1) for j in range(5)] + [(f"q{k}", f"n{j}", -1) for k in range(6) for j in range(5 * k, 5 * k + 5)]
+    mentions += [(f"q{k}", f"s{j}", 3) for k in range(6) for j in range(30)] + chain
+    mentions += [(f"r{rnd.randrange(12)}", f"i{rnd.randrange(40)}", rnd.choice([-1, 0, 1, 3])) for _ in range(400)]
+    want, rounds = slow_bootstrap(mentions)
+    got = pii_bootstrap.bootstrap(spark.createDataFrame(mentions, "pattern string, instance string, kind int"))
+    assert {r.instance: r.kind for r in got.collect()} == want and want
+
+
+def test_identifiers_of_later_rounds(spark):
+    """Each round's finds carry the next pattern; the last lies beyond three rounds."""
+    mentions = [(f"p0{c}", f"s{j}", 3) for j in range(40) for c in "ab"]
+    for k in range(6):
+        for c in "ab":
+            mentions += [(f"p{k}{c}", f"n{k}_{j}", -1) for j in range(5)] + [(f"p{k + 1}{c}", f"n{k}_{j}", -1) for j in range(5)]
+    mentions += [(f"p{k}{c}", f"s{j}", 3) for k in range(1, 7) for j in range(3 * k) for c in "ab"]
+    want, rounds = slow_bootstrap(mentions)
+    got = {r.instance: r.kind for r in pii_bootstrap.bootstrap(spark.createDataFrame(mentions, "pattern string, instance string, kind int")).collect()}
+    assert got == want and want
+
+
+def test_grouped_short_and_long_identifiers(spark):
+    numbers = [f"+1 (988) 555-2{i}5" for i in range(10, 50)]
+    long = "z" * 200
+    texts = [f"please call me under number {n} thanks {long} a" for n in numbers] + [f"please call me under number {x} thanks {long} a" for x in ("DE89 3704 0044 0532", "x7", "k" * 80 + "1")]
+    found = {r.doc_id: [tuple(s)[1:] for s in r.spans] for r in pii_bootstrap.find(frame(spark, texts)).collect()}
+    at = len("please call me under number ")
+    assert found[40] == [(at, at + 19)] and found[41] == [(at, at + 2)] and found[42] == [(at, at + 81)]
+    assert pii_bootstrap._around("a " + "b" * 100 + "1 x@", 104, 106) == ["L a " + pii_bootstrap._short("b" * 100 + "0")]
+    assert pii_bootstrap.tokens("in 7 of 12 13 cases", []) == [(3, 4), (8, 10), (11, 13), (8, 13)]
+
+
+def test_personal_data_of_odd_rows(spark):
+    texts = [None, "", "a@b.cd" * 3, "1 " * 50_000 + "x@y.zz", "x@y.zz", "x@y.zz"]
+    rows = {r.doc_id: r for r in pii_bootstrap.digests(pii_bootstrap.find(frame(spark, texts))).collect()}
+    for i, t in enumerate(texts):
+        spans = ",".join(f"{pii_bootstrap.KINDS[k]}:{s}:{e}" for k, s, e in pii_bootstrap.base_spans(t))
+        assert rows[i].base_sha256 == hashlib.sha256(spans.encode()).hexdigest() and rows[i].spans == spans
+    assert rows[0].n_email == 0 and rows[3].n_email == 1 and rows[4][1:] == rows[5][1:]
+
+
+def test_real_pages_by_another_rule(sf):
+    """The given pages mark their article; block F1 against that mark, of a model that never saw them."""
+    import pyarrow.parquet as pq
+
+    model, hit, said, true = html_crf.default_model(), 0, 0, 0
+    for page in pq.read_table(f"{sf}/pages.parquet", columns=["html"]).column(0).to_pylist():
+        inside = re.findall(r"<article.*?</article>", page or "", re.S)
+        want = collections.Counter(b.text for part in inside for b in html_crf.blocks(part))
+        b = html_crf.blocks(page)
+        got = collections.Counter(x.text for x, y in zip(b, model.viterbi(b), strict=True) if y)
+        hit, said, true = hit + sum((want & got).values()), said + sum(got.values()), true + sum(want.values())
+    assert true > 100 and 2 * hit / (said + true) > 0.99
