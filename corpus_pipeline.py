@@ -6,21 +6,21 @@ tokenised. All stages but the last return the columns of ``documents``. Rows tha
 their other columns (n_chars follows the text).
 
 Defined cases: null text and empty text pass every filter; a null id has no label and is no copy of
-anything; of repeated rows with one id the near-copy stage keeps one; an empty table stays empty; extra
-columns are dropped.
+anything, its text is searched for benchmark passages and personal data as any other; of rows equal in
+id and text the near-copy stage keeps one (the smallest by lang, source and n_chars), rows that share an
+id but not the text are documents of their own; an empty table stays empty; extra columns are dropped.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratiform.llm import bpe_replay, decontaminate, ngram_join, pii_bootstrap, toxicity_pu
-from stratiform.llm.common import pick, shared_dir, table
+from stratiform.llm.common import Scratch, pick, table
 from stratiform.shipping import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,18 +38,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies stays: the one with the smallest id."""
     ship(spark)
     docs = pick(docs, *COLUMNS)
-    kept = ngram_join.classes(docs).filter("component_id is null or doc_id = component_id").select("doc_id").filter("doc_id is not null").distinct()
-    known = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null")).select(*COLUMNS)
+    # A row is told by its id and text: in the order of the ids, which the decimal form with an offset keeps.
+    row = F.concat(F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0"), F.md5(F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("row_", row)
+    kept = ngram_join.classes(keyed.filter("row_ is not null"), "row_").filter("row_ = component_id").select("row_").distinct()
+    first = Window.partitionBy("row_").orderBy("lang", "source", "n_chars")
+    known = keyed.join(kept, "row_", "left_semi").withColumn("n_", F.row_number().over(first)).filter("n_ = 1")
+    return known.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
     ship(spark)
     docs = pick(docs, *COLUMNS)
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    bad = found.filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,10 +83,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{root}/{k}-{name}")
-        docs = spark.read.parquet(path)
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    The tables of earlier stages are removed as soon as the next one is written, the last when the driver ends.
+    """
+    scratch = Scratch(spark, "pipeline")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return docs
