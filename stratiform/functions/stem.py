@@ -7,9 +7,12 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from stratiform.functions.text import analyzed
+
 # The suffixes of Porter's steps 2, 3 and 4.
 _STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
@@ -196,3 +199,18 @@ def _over(stem: Callable[[str], str]):
 
 #: Stems of an array of lower-cased words; null stays null.
 porter_stems, italian_stems = _over(porter), _over(italian)
+
+
+def porter_analyzed(text: Column) -> Column:
+    """Words of the lexical analyzer: lower case, possessives off, stop words out, stems of what has three letters or more."""
+    return porter_stems(analyzed(text))
+
+
+#: Articles, their contractions with prepositions, and the commonest particles; pass another list where a contract names one.
+ITALIAN_STOP_WORDS = [p + a for p in ("", "al", "del", "dal", "nel", "sul") for a in ("l", "lo", "la", "gli", "le")] + "il i un uno una a di da in con su per tra fra e ed o ma se che chi cui non si è sono ai dei dai nei sui al del dal nel sul c ad come più questo questa quello quella".split()
+
+
+def italian_analyzed(text: Column, stop: list[str] = ITALIAN_STOP_WORDS) -> Column:
+    """The same with Italian stop words and stems, possessives left alone."""
+    low = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    return italian_stems(F.filter(low, lambda w: ~w.isin(stop)))

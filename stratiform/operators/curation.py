@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stratiform.functions.text import hash_mod
+from stratiform.scratch import Scratch
 
 
 def hash_order(df: DataFrame, key: str, salt: str) -> Column:
@@ -55,16 +61,33 @@ def orphans(df: DataFrame, key: str, parents: DataFrame, parent_key: str, rule:
     return missing.groupBy(key).agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"), "n")
 
 
-def chain(events: DataFrame, key: str, order: str, payload: list[str]) -> DataFrame:
-    """Per-log digests: every row's own digest over its payload, and the previous one it would have to cite. Verification of a chain is a lag and a comparison."""
-    own = F.sha2(F.concat_ws("\t", *[F.col(c).cast("string") for c in payload]), 256)
-    rows = events.withColumn("own", own)
-    return rows.withColumn("previous", F.lag("own").over(Window.partitionBy(key).orderBy(order)))
+def chain(events: DataFrame, key: str, order: str, payload: list[str], seed: str = "") -> DataFrame:
+    """Per-log digests (columns ``previous`` and ``own``): each covers the one before it and its own payload, so a
+    changed row breaks every later one. A log is read in order, a row at a time; of a task's logs one digest is held."""
+    text = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in payload])
+    rows = events.withColumn("payload_", text)
+    at = rows.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, last = object(), seed
+        for batch in batches:
+            previous, own = [], []
+            for k, said in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if k != log:
+                    log, last = k, seed
+                previous.append(last)
+                last = hashlib.sha256(f"{last}\t{said}".encode()).hexdigest()
+                own.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(previous, pa.string()), pa.array(own, pa.string())], [*batch.schema.names[:-1], "previous", "own"])
+
+    fields = [*rows.schema.fields[:-1], StructField("previous", StringType()), StructField("own", StringType())]
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, StructType(fields))
 
 
-def broken_links(chained: DataFrame, key: str, order: str) -> DataFrame:
-    expected = F.lag("own").over(Window.partitionBy(key).orderBy(order))
-    return chained.withColumn("expected", expected).filter(~F.col("previous").eqNullSafe(F.col("expected")))
+def broken_links(chained: DataFrame, key: str, order: str, payload: list[str], seed: str = "") -> DataFrame:
+    """Rows whose digests aren't those of the chain worked out again, with the ones expected."""
+    again = chain(chained.drop("previous", "own"), key, order, payload, seed).select(key, order, F.col("own").alias("expected"))
+    return chained.join(again, [key, order]).filter(~F.col("own").eqNullSafe(F.col("expected")))
 
 
 def folded(events: DataFrame, key: str, order: str, status: str) -> DataFrame:
@@ -98,7 +121,8 @@ def greedy_kept(items: DataFrame, similar: DataFrame, key: str, order: str, roun
     """Items kept in priority order: an item goes iff an earlier similar one stays. (key, kept)
 
     ``similar`` holds undirected pairs (a, b). In each round every open item all of whose earlier neighbours are settled
-    is settled, so rounds are the longest chain of neighbours in falling priority; each is a join, cut by a checkpoint.
+    is settled, so rounds are the longest chain of neighbours in falling priority; each is a join, cut by a table in the
+    shared folder. More than ``rounds`` of them are an error.
     """
     rank = items.select(key, order)
     ends = similar.join(rank.toDF("a", "ra"), "a").join(rank.toDF("b", "rb"), "b")
@@ -106,18 +130,19 @@ def greedy_kept(items: DataFrame, similar: DataFrame, key: str, order: str, roun
         F.when(F.col("ra") > F.col("rb"), F.col("a")).otherwise(F.col("b")).alias("late"),
         F.when(F.col("ra") > F.col("rb"), F.col("b")).otherwise(F.col("a")).alias("early"),
     ).distinct()
-    spark = items.sparkSession
-    cut = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    earlier, state = cut(earlier), cut(rank.select(key, F.lit(None).cast("boolean").alias("kept")))
+    scratch = Scratch(items.sparkSession, "greedy")
+    earlier, state = scratch.keep(earlier), scratch.keep(rank.select(key, F.lit(None).cast("boolean").alias("kept")))
     for _ in range(rounds):
         open_ = state.filter("kept is null")
         seen = earlier.join(state.select(F.col(key).alias("early"), "kept"), "early")
         facts = seen.groupBy(F.col("late").alias(key)).agg(F.max(F.coalesce("kept", F.lit(False)).cast("int")).alias("any"), F.sum(F.col("kept").isNull().cast("int")).alias("open"))
         decided = F.when(F.col("any") == 1, False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = cut(state.filter("kept is not null").unionByName(open_.select(key).join(facts, key, "left").select(key, decided.alias("kept"))))
+        new = scratch.keep(state.filter("kept is not null").unionByName(open_.select(key).join(facts, key, "left").select(key, decided.alias("kept"))))
+        scratch.drop(state)
+        state = new
         if state.filter("kept is null").isEmpty():
-            break
-    return state
+            return state
+    raise RuntimeError(f"items are still open after {rounds} rounds")
 
 
 def unique_contribution(pooled: DataFrame) -> DataFrame:

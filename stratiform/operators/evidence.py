@@ -5,8 +5,12 @@ Runs are (query_id, doc_id, score, rank).
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from stratiform.functions import text as T
 
@@ -206,3 +210,17 @@ def sensitivity(run: DataFrame, readings: dict[str, DataFrame], metric: str, k:
         relevant = relevant.unionByName(r)
     each = run.withColumn("query_id", F.explode(F.array(*[F.struct(F.lit(name).alias("scenario"), "query_id") for name in readings])))
     return binary_metrics(each, relevant, k).groupBy(F.col("query_id.scenario").alias("scenario")).agg(F.round(F.avg(metric), 6).alias(metric), F.count("*").alias("queries"))
+
+
+def search(df: DataFrame, key: str, text: str, pattern: str, scope: Column | None = None, before: int = 90, after: int = 110) -> DataFrame:
+    """(key, pos, snippet, place): every match of a pattern in any case, in text order; ``pos`` counts from 1. ``scope`` filters the rows first."""
+    hit = StructType([StructField("pos", LongType()), StructField("snippet", StringType()), StructField("place", LongType())])
+
+    @F.pandas_udf(ArrayType(hit))
+    def run(texts: pd.Series) -> pd.Series:
+        found = re.compile(pattern, re.I)
+        return texts.map(lambda t: [{"pos": m.start() + 1, "snippet": t[max(0, m.start() - before) : m.start() + after], "place": k} for k, m in enumerate(found.finditer(t), 1)])
+
+    rows = df if scope is None else df.filter(scope)
+    # the JVM's quick look keeps texts without a match out of Python
+    return rows.filter(F.col(text).rlike(f"(?iu){pattern}")).select(key, F.explode(run(F.col(text))).alias("m_")).select(key, "m_.*")

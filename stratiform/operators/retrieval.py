@@ -7,17 +7,22 @@ ascending.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from stratiform.functions.text import analyzed
+from stratiform.functions.stem import porter_analyzed
+from stratiform.scratch import Scratch
 
 #: Queries of an exact dense search that are held by every task at once; more go in blocks.
 BLOCK_BYTES = 32 << 20
+#: Distinct query terms that go to every task; a larger vocabulary is joined.
+VOCABULARY_BYTES = 8 << 20
 
 
 def ranked(scores: DataFrame, k: int | None = None, *, by: list[Column] | None = None) -> DataFrame:
@@ -27,33 +32,56 @@ def ranked(scores: DataFrame, k: int | None = None, *, by: list[Column] | None =
     return out.filter(F.col("rank") <= k) if k else out
 
 
-def term_stats(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Postings (doc_id, term, tf, dl) and corpus figures (n, avg_dl). Terms are counted inside each document, so postings need no shuffle."""
-    words = docs.select(F.col(id_col).alias("doc_id"), analyzed(F.col(text_col)).alias("w"))
-    lengths = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_dl"))
-    each = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), lengths
-
-
-def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str, query_text: str, doc_id: str, doc_text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str, query_text: str, doc_id: str, doc_text: str, k1: float = 1.2, b: float = 0.75, analyzer: Callable[[Column], Column] = porter_analyzed) -> DataFrame:
     """Top k documents per query; repeated query terms count as often as they stand there.
 
-    The query terms filter the corpus inside each document before anything is exploded, so only
-    postings of query terms are shuffled. Document frequencies come from the same postings.
+    The corpus is analysed once, into a table of (doc_id, length, terms) that keeps query terms only: the
+    distinct query terms go to the tasks as one array, which its size is checked for, so that nothing else is
+    exploded; a larger vocabulary is joined instead. Frequencies and weights of that vocabulary are one row a
+    term. Queries and terms are joined with a broadcast where Spark finds them small.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(analyzed(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    words = docs.select(F.col(doc_id).alias("doc_id"), analyzed(F.col(doc_text)).alias("w"))
-    each = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    postings = each.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    size = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_dl"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    scored = postings.join(df, "term").crossJoin(F.broadcast(size)).select("term", "doc_id", weight.alias("w"))
-    scores = asked.join(scored, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), 9).alias("score"))
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "bm25")
+    asked = scratch.keep(queries.select(F.col(query_id).alias("query_id"), F.explode(analyzer(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
+    terms = asked.select("term").distinct()
+    size = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    words = docs.select(F.col(doc_id).alias("doc_id"), analyzer(F.col(doc_text)).alias("w"))
+    if size[1] <= VOCABULARY_BYTES and size[0] <= VOCABULARY_BYTES // 32:
+        known = F.broadcast(terms.agg(F.collect_list("term").alias("known")))
+        kept = words.crossJoin(known).select("doc_id", F.size("w").alias("dl"), F.filter("w", lambda x: F.array_contains("known", x)).alias("w")) if size[0] <= 16 else _kept_terms(words, [r[0] for r in terms.collect()])
+        held = scratch.keep(kept)
+        each = held.select("doc_id", "dl", F.explode("w").alias("term"))
+    else:
+        held = scratch.keep(words.select("doc_id", F.size("w").alias("dl"), "w"))
+        each = held.select("doc_id", "dl", F.explode("w").alias("term")).join(terms, "term", "left_semi")
+    figures = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl")).first()
+    postings = scratch.keep(each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
+    idf = F.log(1 + (F.lit(figures.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(postings.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf")), "term")
+    gain = F.col("qtf") * F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(figures.avg_dl)))
+    scores = postings.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), 9).alias("score"))
     return ranked(scores, k)
 
 
+def _kept_terms(words: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, dl, w): the terms of a set that was found small; one hash lookup a word."""
+    sent = words.sparkSession.sparkContext.broadcast(frozenset(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sorted(sent.value), pa.string())
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            hit = pc.is_in(flat, value_set=known).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+            before = np.r_[0, np.cumsum(hit)]
+            offsets = np.r_[0, before[ends]].astype(np.int32)
+            kept = pa.ListArray.from_arrays(pa.array(offsets), flat.filter(pa.array(hit)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.list_value_length(lists), pa.int32()), kept], ["doc_id", "dl", "w"])
+
+    return words.mapInArrow(run, StructType([words.schema["doc_id"], StructField("dl", IntegerType()), StructField("w", ArrayType(StringType()))]))
+
+
 def dense_topk(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Exact top k by dot product: blocks of queries go to every task, which keeps k per query; then k of those.
 
@@ -129,10 +157,11 @@ def quota(base: DataFrame, candidates: DataFrame, total: int = 10, seats: int =
     return tiered([head, fresh, base])
 
 
-def interleaved(lists: DataFrame) -> DataFrame:
-    """Round robin over disjoint lists (query_id, list, pos, doc_id): first of each list, then second, a document at its first place."""
-    first = lists.groupBy("query_id", "doc_id").agg(F.min(F.struct("pos", "list")).alias("at"))
-    return ranked(first, by=[F.col("at.pos"), F.col("at.list"), F.col("doc_id")]).select("query_id", "doc_id", "rank")
+def interleaved(lists: DataFrame, name: str = "doc_id") -> DataFrame:
+    """Round robin over lists (query_id, list, pos, name): first of each list, then second; names that differ only in case are one, written as at its first place."""
+    first = lists.groupBy("query_id", F.lower(F.col(name).cast("string")).alias("folded_")).agg(F.min(F.struct("pos", "list", name)).alias("at"))
+    named = first.select("query_id", F.col(f"at.{name}").alias(name), "at")
+    return ranked(named, by=[F.col("at.pos"), F.col("at.list"), F.col(name)]).select("query_id", name, "rank")
 
 
 def one_hop(base: DataFrame, edges: DataFrame, anchors: int) -> DataFrame:
@@ -145,53 +174,82 @@ def one_hop(base: DataFrame, edges: DataFrame, anchors: int) -> DataFrame:
     return ranked(first, by=[F.col("at"), F.col("doc_id")]).select("query_id", "doc_id", "rank")
 
 
-def round_robin_merge(base: DataFrame, hits: DataFrame, keep: int = 6, total: int = 10, per_list: int = 5) -> DataFrame:
-    """Base 1 to ``keep``; then turns over the lists of ``hits`` (query_id, list, pos, doc_id), each turn taking a list's next document
-    that isn't in yet; the base fills what is left. A list skips what is in, so this is a fold over one query's few candidates."""
+def decomposition(base: DataFrame, hits: DataFrame, keep: int = 6, total: int = 10, per_list: int = 5, scored: bool = False) -> DataFrame:
+    """The whole base ranking (query_id, doc_id, rank) with its first ``total`` places dealt anew: (query_id, doc_id, rank, place).
+
+    Ranks 1 to ``keep`` stay. Of the other places, the first go to base documents that a list of ``hits``
+    (query_id, list, pos, doc_id[, score]) names in its first ``per_list`` (place "corroborated"), the next to documents
+    from outside, in turns over the lists, or by best score where ``scored`` (ties: turn, then base rank;
+    "added"), the rest to the base ("base"). The chosen ones stand in base order, then everything else does ("rest").
 
-    def fold(key, left, right):
+    Which document a list has to offer depends on what the others gave, so the turns are a fold over the few
+    documents that a query's lists name; the base itself never goes into it.
+    """
+
+    def turns(key, rows):
         import pandas as pd
 
-        order = left.sort_values("rank")["doc_id"].tolist()
-        queues = [g.sort_values("pos")["doc_id"].tolist()[:per_list] for _, g in right.groupby("list", sort=True)]
-        out = order[:keep]
-        while len(out) < total and any(queues):
+        queues = [list(dict.fromkeys(g.sort_values("pos")["doc_id"])) for _, g in rows.groupby("list", sort=True)]
+        out: dict = {}
+        while any(queues):
             for q in queues:
                 while q and q[0] in out:
                     q.pop(0)
-                if q and len(out) < total:
-                    out.append(q.pop(0))
-        out += [d for d in order if d not in out][: max(0, total - len(out))]
-        return pd.DataFrame({"query_id": key[0], "doc_id": out, "rank": range(1, len(out) + 1)})
-
-    top = base.filter(F.col("rank") <= total + keep).select("query_id", "doc_id", "rank")
-    few = hits.filter(F.col("pos") <= per_list).select("query_id", "list", "pos", "doc_id")
-    return top.groupBy("query_id").cogroup(few.groupBy("query_id")).applyInPandas(fold, "query_id long, doc_id long, rank long")
+                if q:
+                    out[q.pop(0)] = len(out)
+        return pd.DataFrame({"query_id": key[0], "doc_id": list(out), "turn": list(out.values())})
+
+    ids = f"query_id {base.schema['query_id'].dataType.simpleString()}, doc_id {base.schema['doc_id'].dataType.simpleString()}"
+    few = hits.filter(F.col("pos") <= per_list)
+    top = base.filter(F.col("rank") <= total).select("query_id", "doc_id", "rank")
+    fresh = few.join(top.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    order = fresh.select("query_id", "list", "pos", "doc_id").groupBy("query_id").applyInPandas(turns, ids + ", turn long")
+    named = few.select("query_id", "doc_id").distinct()
+    tail = top.filter(F.col("rank") > keep)
+    support = tail.join(named, ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", F.lit(0).alias("tier"), F.col("rank").cast("double").alias("k1"), F.lit(0.0).alias("k2"))
+    if scored:
+        best = fresh.groupBy("query_id", "doc_id").agg(F.max("score").alias("s"))
+        # only what the turns would have placed goes by its turn among equals, the others by base rank
+        slots = tail.groupBy("query_id").agg(F.count("*").alias("slots")).join(support.groupBy("query_id").agg(F.count("*").alias("c")), "query_id", "left").select("query_id", (F.col("slots") - F.coalesce("c", F.lit(0))).alias("open"))
+        tie = F.when(F.col("turn") < F.coalesce("open", F.lit(total - keep)), F.col("turn").cast("double")).otherwise(F.lit(1e9) + F.col("rank"))
+        added = best.join(order, ["query_id", "doc_id"]).join(slots, "query_id", "left").join(base.select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.lit(1).alias("tier"), (-F.col("s")).alias("k1"), tie.alias("k2"))
+    else:
+        added = order.select("query_id", "doc_id", F.lit(1).alias("tier"), F.col("turn").cast("double").alias("k1"), F.lit(0.0).alias("k2"))
+    rest = tail.join(named, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(2).alias("tier"), F.col("rank").cast("double").alias("k1"), F.lit(0.0).alias("k2"))
+    filled = ranked(support.unionByName(added).unionByName(rest), total - keep, by=[F.col("tier"), F.col("k1"), F.col("k2"), F.col("doc_id")])
+    place = F.element_at(F.array(*map(F.lit, ("corroborated", "added", "base"))), F.col("tier") + 1)
+    chosen = filled.select("query_id", "doc_id", place.alias("place")).unionByName(top.filter(F.col("rank") <= keep).select("query_id", "doc_id", F.lit("kept").alias("place")))
+    every = base.select("query_id", "doc_id", F.col("rank").alias("r")).join(chosen, ["query_id", "doc_id"], "left").withColumn("place", F.coalesce("place", F.lit("rest")))
+    return ranked(every, by=[(F.col("place") == "rest"), F.col("r")]).select("query_id", "doc_id", "rank", "place")
+
+
+def turns_over(lists: DataFrame, group: str, limit: int) -> DataFrame:
+    """(query_id, doc_id, rank): one document of each group in turn, groups by name, up to ``limit``. Groups (query_id, group, pos, doc_id) are disjoint, so this is a sort."""
+    turn = F.row_number().over(Window.partitionBy("query_id", group).orderBy("pos", "doc_id"))
+    return ranked(lists.withColumn("turn_", turn), limit, by=[F.col("turn_"), F.col(group), F.col("doc_id")]).select("query_id", "doc_id", "rank")
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, follow: float = 0.3, rounds: int = 10_000, tolerance: float = 1e-12) -> DataFrame:
     """(node, score): the fixed point of p = (1 - f) s + f (W'p + dangling * s) over edges (src, dst, weight) with seeds (node, s).
 
     Iterated until no score changes by ``tolerance``; an error if that takes more than ``rounds``."""
+    scratch = Scratch(edges.sparkSession, "pagerank")
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
-    w = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("w")).persist()
+    w = scratch.keep(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("w")))
     p = seeds.select("node", F.col("s").cast("double").alias("s")).join(out.select(F.col("src").alias("node"), F.lit(True).alias("goes")), "node", "left")
-    p = p.withColumn("score", F.col("s")).withColumn("change", F.lit(None).cast("double"))
-    shared = bool(p.sparkSession.sparkContext.getCheckpointDir())
-    p = p.checkpoint() if shared else p.localCheckpoint()
+    p = scratch.keep(p.withColumn("score", F.col("s")).withColumn("change", F.lit(None).cast("double")))
     lost = F.coalesce(F.sum(F.when(F.col("goes").isNull(), F.col("score"))), F.lit(0.0)).alias("lost")
     dangling = p.agg(lost).first().lost
     for _ in range(rounds):
         sent = p.join(w, p["node"] == w["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("score") * F.col("w")).alias("got"))
         score = (1 - follow) * F.col("s") + follow * (F.coalesce("got", F.lit(0.0)) + dangling * F.col("s"))
-        p = p.join(sent, "node", "left").select("node", "s", "goes", score.alias("score"), F.abs(score - F.col("score")).alias("change"))
-        p = p.checkpoint() if shared else p.localCheckpoint()
+        new = scratch.keep(p.join(sent, "node", "left").select("node", "s", "goes", score.alias("score"), F.abs(score - F.col("score")).alias("change")))
+        scratch.drop(p)
+        p = new
         state = p.agg(lost, F.coalesce(F.max("change"), F.lit(0.0)).alias("change")).first()
         if state.change < tolerance:
-            w.unpersist()
             return p.select("node", "score")
         dangling = state.lost
-    w.unpersist()
     raise ValueError(f"PageRank did not converge in {rounds} rounds")
 
 

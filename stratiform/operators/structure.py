@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from stratiform.functions.text import ancestors
 
@@ -25,7 +27,8 @@ def budget_chunks(nodes: DataFrame, budget: int, path: str = "path", tokens: str
     """Chunk of every node: the highest node whose whole subtree fits the budget while none above it does; a node
     none of whose subtrees fits is a chunk of its own text. (path, chunk, own_only).
 
-    Subtree sizes are a sum over the closure, so hot roots are partial sums; no tree is ever in one task.
+    Subtree sizes are sums over the closure, pre-aggregated; the join back brings a root's rows together, which
+    adaptive execution splits where a root is hot.
     """
     totals = closure(nodes, path).groupBy("ancestor").agg(F.sum(tokens).alias("total"))
     each = closure(nodes.select(path), path).join(totals, "ancestor")
@@ -40,10 +43,39 @@ def spans(parts: DataFrame, group: str, order: str, text: str) -> DataFrame:
     return parts.withColumn("end", F.sum(n + 1).over(w) - 1).withColumn("start", F.col("end") - n)
 
 
-def pages(parts: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:
-    """Page number of each part: running sizes cut at multiples of the limit."""
-    before = F.sum(size).over(Window.partitionBy(group).orderBy(order)) - F.col(size)
-    return parts.withColumn("page", F.floor(before / limit))
+PIECE = StructType([StructField("page", IntegerType()), StructField("text", StringType())])
+
+
+def page_texts(text: str | None, limit: int) -> list[str]:
+    """Pages of at most ``limit`` characters that joined give the text back: whole lines as far as they fit, a line longer than the limit in pieces of it."""
+    out, held, size = [], [], 0
+
+    def close() -> None:
+        nonlocal size
+        if held:
+            out.append("".join(held))
+            held.clear()
+        size = 0
+
+    for line in (text or "").splitlines(keepends=True):
+        pieces = [line[i : i + limit] for i in range(0, len(line), limit)]
+        if len(pieces) > 1 or size + len(line) > limit:
+            close()
+        out += pieces[:-1]
+        held.append(pieces[-1])
+        size += len(pieces[-1])
+    close()
+    return out or [""]
+
+
+def pages(df: DataFrame, key: str, text: str, limit: int) -> DataFrame:
+    """(key, page, text): the pages of every text, from 0; a null text is one empty page."""
+
+    @F.pandas_udf(ArrayType(PIECE))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"page": k, "text": p} for k, p in enumerate(page_texts(t, limit))])
+
+    return df.select(key, F.explode(run(F.col(text))).alias("p_")).select(key, "p_.page", "p_.text")
 
 
 def changed(base: DataFrame, other: DataFrame, key: str, text: str) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from stratiform.catalog import register
 from stratiform.functions import text as T
 from stratiform.operators import curation as Q
+from stratiform.operators import evidence as E
 from stratiform.operators import structure as S
+from stratiform.shipping import ship
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -51,10 +53,20 @@ def line_spans(spark: SparkSession, sf: str) -> DataFrame:
     return S.spans(_t(spark, sf, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "start", "end")
 
 
-@register("text_pages", """SELECT conv_id, turn, floor((sum(length(coalesce(text, ''))) OVER (PARTITION BY conv_id ORDER BY turn) - length(coalesce(text, ''))) / 1000)::BIGINT AS page FROM conversations""")
+@register("text_pages", r"""WITH RECURSIVE lines AS (SELECT conv_id, turn AS k, regexp_replace(coalesce(text, ''), '[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]', ' ', 'g') || chr(10) AS line FROM conversations),
+pieces AS (SELECT conv_id, k, j, (length(line) - 1) // 400 AS last, substr(line, 1 + 400 * j, 400) AS piece FROM (SELECT *, unnest(range((length(line) - 1) // 400 + 1)) AS j FROM lines)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY k, j) AS p FROM pieces),
+w AS (SELECT conv_id, p, piece, length(piece) AS used, 0 AS page, j < last AS closed FROM o WHERE p = 1
+ UNION ALL SELECT conv_id, p, piece, CASE WHEN new THEN n ELSE before + n END, page + new::INT, closed
+  FROM (SELECT o.conv_id, o.p, o.piece, length(o.piece) AS n, w.used AS before, w.page, o.j < o.last AS closed, w.closed OR (o.j = 0 AND o.last > 0) OR w.used + length(o.piece) > 400 AS new FROM w JOIN o ON o.conv_id = w.conv_id AND o.p = w.p + 1))
+SELECT conv_id, page::BIGINT AS page, string_agg(piece, '' ORDER BY p) AS text FROM w GROUP BY conv_id, page""")
 def text_pages(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "conversations").withColumn("n", F.length(F.coalesce("text", F.lit(""))))
-    return S.pages(rows, "conv_id", "turn", "n", 1000).select("conv_id", "turn", "page")
+    """Conversations in pages of 400 characters at most, a turn being a line."""
+    ship(spark)
+    line = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]", " "), F.lit("\n"))
+    turns = _t(spark, sf, "conversations").select("conv_id", "turn", line.alias("x"))
+    whole = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda t: t["x"]), "").alias("text"))
+    return S.pages(whole, "conv_id", "text", 400).select("conv_id", F.col("page").cast("long").alias("page"), "text")
 
 
 @register("amended_rows", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 10 < 8), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 5 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 10 > 1)
@@ -71,10 +83,13 @@ def figures(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", T.figures(F.col("text")).alias("f")).filter(F.size("f") > 0).select("doc_id", F.array_join("f", " ").alias("figures"), F.size("f").cast("long").alias("n"))
 
 
-@register("text_search", r"""SELECT doc_id, strpos(lower(text), 'license') AS pos, substr(text, greatest(1, strpos(lower(text), 'license') - 20), 60) AS snippet FROM documents WHERE regexp_matches(text, '(?i)license')""")
+@register("text_search", r"""WITH h AS (SELECT doc_id, text, lower(text) AS low, unnest(range(1, length(text) + 1)) AS pos FROM documents WHERE regexp_matches(text, '(?i)licen[cs]e')),
+m AS (SELECT doc_id, text, pos FROM h WHERE substr(low, pos, 7) IN ('license', 'licence'))
+SELECT doc_id, pos, substr(text, greatest(1, pos - 90), least(pos - 1, 90) + 110) AS snippet, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS place FROM m""")
 def text_search(spark: SparkSession, sf: str) -> DataFrame:
-    hit = F.locate("license", F.lower("text"))
-    return _t(spark, sf, "documents").filter(F.col("text").rlike("(?i)license")).select("doc_id", hit.cast("long").alias("pos"), F.expr("substring(text, greatest(1, locate('license', lower(text)) - 20), 60)").alias("snippet"))
+    """Every place of a pattern in every text, with what stands 90 characters before and 110 from it on."""
+    ship(spark)
+    return E.search(_t(spark, sf, "documents"), "doc_id", "text", "licen[cs]e")
 
 
 @register("item_overlap", f"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z]+)', 1), lambda x: length(x) > 2 AND x NOT IN ({", ".join(f"'{w}'" for w in T.STOP_WORDS)}))) AS w FROM benchmark),
@@ -124,9 +139,12 @@ def event_fold(spark: SparkSession, sf: str) -> DataFrame:
     return Q.folded(_t(spark, sf, "events"), "user_id", "event_id", "event_type")
 
 
-@register("event_chain", """WITH o AS (SELECT event_id, user_id, sha256(event_id || chr(9) || event_type) AS own FROM events)
-SELECT event_id, own, lag(own) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM o""")
+@register("event_chain", """WITH RECURSIVE o AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+c AS (SELECT user_id, k, event_id, '' AS previous, sha256(chr(9) || event_id || chr(9) || event_type) AS own FROM o WHERE k = 1
+ UNION ALL SELECT o.user_id, o.k, o.event_id, c.own, sha256(c.own || chr(9) || o.event_id || chr(9) || o.event_type) FROM c JOIN o ON o.user_id = c.user_id AND o.k = c.k + 1)
+SELECT event_id, own, previous FROM c""")
 def event_chain(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
     return Q.chain(_t(spark, sf, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id", ["event_id", "event_type"]).select("event_id", "own", "previous")
 
 

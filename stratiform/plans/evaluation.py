@@ -9,15 +9,21 @@ from stratiform.catalog import register
 from stratiform.functions import text as T
 from stratiform.operators import curation, metrics, stats
 from stratiform.operators import retrieval as R
+from stratiform.plans import porter_sql
+from stratiform.shipping import ship
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + ")"
 _WORDS = r"list_filter(regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[''’]s\b', '', 'g'), '([\p{L}\p{N}]+)', 1), lambda x: x NOT IN " + _STOP + ")"
 
 _BM25 = f"""
-q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+bw AS (SELECT item_id AS query_id, unnest({_WORDS}) AS term FROM benchmark),
 d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dw0 AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d),
+every AS (SELECT term FROM bw UNION SELECT term FROM dw0),
+{porter_sql.stems("every")},
+q AS (SELECT query_id, stem AS term, count(*) AS qtf FROM bw JOIN stems USING (term) GROUP BY ALL),
 size AS (SELECT count(*) AS n, avg(len(w)) AS avg_dl FROM d),
-post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+post AS (SELECT doc_id, dl, stem AS term, count(*) AS tf FROM dw0 JOIN stems USING (term) WHERE stem IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 scored AS (SELECT query_id, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl))), 9) AS score
   FROM q JOIN post USING (term) JOIN df USING (term), size GROUP BY query_id, doc_id),
@@ -40,6 +46,7 @@ def _benchmark(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_run(spark: SparkSession, sf: str) -> DataFrame:
+    ship(spark)
     return R.bm25(_benchmark(spark, sf), _documents(spark, sf), 50, query_id="item_id", query_text="text", doc_id="doc_id", doc_text="text")
 
 
@@ -280,16 +287,10 @@ def reference_scores(spark: SparkSession, sf: str) -> DataFrame:
     return R.pagerank(edges, seeds)
 
 
-@register("reference_pagerank", "SELECT count(*) AS nodes, 1.0::DOUBLE AS mass FROM customer")
-def reference_pagerank(spark: SparkSession, sf: str) -> DataFrame:
-    """Mass of the propagation; it is 1 whatever the graph, see ``reference_pagerank_scores``."""
-    return reference_scores(spark, sf).agg(F.count("*").alias("nodes"), F.round(F.sum("score"), 6).alias("mass"))
-
-
 #: Every node has one way out, to its half (0 to itself), so the fixed point is a sum over the ways up from the seeds, scaled by what dangling nodes give back.
-@register("reference_pagerank_scores", """WITH RECURSIVE c AS (SELECT c_custkey AS node FROM customer), s AS (SELECT node, 1.0::DOUBLE / count(*) OVER () AS m FROM c WHERE node % 100 = 0),
+@register("reference_pagerank", """WITH RECURSIVE c AS (SELECT c_custkey AS node FROM customer), s AS (SELECT node, 1.0::DOUBLE / count(*) OVER () AS m FROM c WHERE node % 100 = 0),
 up AS (SELECT node, m FROM s UNION ALL SELECT c.node, 0.3::DOUBLE * up.m FROM up JOIN c ON c.node = up.node // 2 WHERE up.node > 0),
 x AS (SELECT node, sum(m) / if(node = 0, 0.7::DOUBLE, 1) AS x FROM up GROUP BY node), d AS (SELECT coalesce(sum(x), 0) AS x FROM x WHERE node // 2 NOT IN (SELECT node FROM c)),
 k AS (SELECT 0.7::DOUBLE + 0.3::DOUBLE * 0.7::DOUBLE * d.x / (1 - 0.3::DOUBLE * d.x) AS k FROM d) SELECT node, round(coalesce(x * k, 0), 9) AS score FROM c LEFT JOIN x USING (node), k""")
-def reference_pagerank_scores(spark: SparkSession, sf: str) -> DataFrame:
+def reference_pagerank(spark: SparkSession, sf: str) -> DataFrame:
     return reference_scores(spark, sf).select("node", F.round("score", 9).alias("score"))

@@ -11,6 +11,7 @@ from stratiform.functions import stem
 from stratiform.functions import text as T
 from stratiform.operators import evidence as E
 from stratiform.operators import hierarchy as H
+from stratiform.plans import porter_sql
 from stratiform.shipping import ship
 
 
@@ -19,10 +20,11 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@register("stemmed_terms")
+@register("stemmed_terms", rf"""WITH w AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '([\p{{L}}\p{{N}}]+)', 1)) AS term FROM documents UNION ALL SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '([\p{{L}}\p{{N}}]+)', 1)) FROM benchmark),
+{porter_sql.stems("w")} SELECT term AS word, stem, count(*) AS n FROM w JOIN stems USING (term) GROUP BY ALL""")
 def stemmed_terms(spark: SparkSession, sf: str) -> DataFrame:
-    words = _t(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]+)"), 1)).alias("word"))
-    counted = words.filter(F.length("word") > 2).groupBy("word").agg(F.count("*").alias("n"))
+    words = lambda t: _t(spark, sf, t).select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)).alias("word"))
+    counted = words("documents").unionByName(words("benchmark")).groupBy("word").agg(F.count("*").alias("n"))
     return counted.select("word", F.get(stem.porter_stems(F.array("word")), F.lit(0)).alias("stem"), "n")
 
 
