@@ -45,7 +45,7 @@ def act_references(spark: SparkSession, sf: str) -> DataFrame:
     o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 40 + 1).cast("string").alias("a"), (F.col("o_orderkey") % 9 + 1).cast("string").alias("p"))
     form = F.element_at(
         F.array(
-            F.concat(F.lit("pursuant to points (a) to (c) of Article "), "a", F.lit("("), "p", F.lit(")")),
+            F.concat(F.lit("pursuant to points (d), (f) and (k) of Article "), "a", F.lit("("), "p", F.lit(")")),
             F.concat(F.lit("except paragraphs "), "p", F.lit(" and 12 of Article "), "a", F.lit(" of that Regulation")),
             F.concat(F.lit("Articles "), "a", F.lit(" to 43 apply")),
             F.concat(F.lit("see Article "), "a", F.lit("("), "p", F.lit(") and (10) of Directive 2015/2366")),

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Seconds between two releases of finished shuffles.
+RELEASE_S = 2.0
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see: spark.checkpoint.dir. Where it is unset, a session of
     one machine gets a temporary one that goes with the interpreter; a cluster is refused."""
@@ -38,6 +44,8 @@ class Scratch:
     returned DataFrame still reads stays until the interpreter ends.
     """
 
+    _released = 0.0
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self._end)
@@ -46,10 +54,19 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        self._release()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def _release(self) -> None:
+        """Spark removes the shuffle files of what nothing refers to any more when the driver's JVM collects;
+        an idle driver seldom does, and the files of every finished step would stay on the executors' disks."""
+        if time.monotonic() - Scratch._released > RELEASE_S:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            Scratch._released = time.monotonic()
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             _remove(self.spark, t._scratch_path)

@@ -30,8 +30,10 @@ def test_references():
     def read(text):
         return [(r[2], r[3], r[4], r[5]) for r in L.read_references("A", "7.2", text, {"Directive 2015/2366": "B"})]
 
-    assert read("points (a) to (c) of Article 6(1)") == [("points_of_article", "A", f"6.1.{x}", None) for x in "abc"]
-    assert read("Articles 10, 12 to 14") == [("articles", "A", x, None) for x in ("10", "12", "13", "14")]
+    assert read("point (ii) or (iv) of Article 31a(2)") == [("points_of_article", "A", "31a.2.ii", None), ("points_of_article", "A", "31a.2.iv", None)]
+    assert read("points (f) to (h) of Article 8") == [("points_of_article", "A", "8.f", None), ("points_of_article", "A", "8.g", None), ("points_of_article", "A", "8.h", None)]
+    assert read("Articles 3(2)(b) and 17 to 19 apply; Articles 9 to 5") == [("articles", "A", x, None) for x in ("3.2.b", "17", "18", "19", "9")]
+    assert read("Articles 4 and the rest, point of order, paragraph of text") == []
     assert read("Article 4(1) and (3) of Directive 2015/2366") == [("article", "B", "4.1", None), ("article", "B", "4.3", None)]
     assert read("Article 5, point (b), of this Regulation") == [("article", "A", "5.b", None)]
     assert read("paragraphs 1 and 2 of Article 9 of that Directive") == [("paragraphs_of_article", None, None, "anaphora")]
