@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratiform.scratch import Scratch, shared_dir  # noqa: F401
+
 #: Output batches of the Arrow operators are closed at this many payload bytes, so that a run of
 #: very long texts never builds one huge batch.
 BATCH_BYTES = 8 << 20
@@ -49,56 +46,6 @@ def field(name: str, kind: str) -> T.StructField:
 _ATOMS = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: spark.checkpoint.dir. Where it is unset, a session of
-    one machine gets a temporary one that goes with the interpreter; a cluster is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="stratiform-")
-        atexit.register(shutil.rmtree, folder, True)
-        found = "file://" + folder
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Scratch:
-    """Intermediate tables of one operator, written to the shared folder to cut the lineage.
-
-    ``keep`` writes a table and reads it again, ``drop`` removes those no longer needed. What a
-    returned DataFrame still reads stays until the interpreter ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        atexit.register(self._end)
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            _remove(self.spark, t._scratch_path)
-
-    def _end(self) -> None:
-        try:
-            _remove(self.spark, self.root)
-        except Exception:  # the session has ended before the interpreter
-            pass
-
-
 def apart(df: DataFrame, key: str, check: str, scratch: Scratch) -> DataFrame:
     """``df`` less ``check``, an independent second hash of what ``key`` is a 64-bit hash of: where one key has
     several checks, the rows get new keys made of both, so that together they are of 128 bits.
