@@ -104,7 +104,7 @@ def model_inputs(df: DataFrame, key: str, text: str, limit: int, prefix: str = "
     kept = F.when(over, F.slice("w_", 1, room)).otherwise(F.col("w_"))
     chars = F.when(over, F.greatest(F.lit(0), F.length(F.array_join(kept, "")) - len(prefix))).otherwise(F.length(F.coalesce("t_", F.lit(""))))
     out = rows.withColumn("k_", kept).withColumn("kept_chars", chars)
-    return out.select(key, F.transform("k_", F.trim).alias("tokens"), "original", (F.size("k_") + lead + trail).alias("encoded"), over.alias("truncated"), (F.col("original") - F.size("k_") - lead - trail).alias("dropped"), "kept_chars")
+    return out.select(key, F.transform("k_", lambda w: F.regexp_replace(w, r"^\s+", "")).alias("tokens"), "original", (F.size("k_") + lead + trail).alias("encoded"), over.alias("truncated"), (F.col("original") - F.size("k_") - lead - trail).alias("dropped"), "kept_chars")
 
 
 def exposure(spans: DataFrame, inputs: DataFrame, judged: DataFrame, keys: list[str]) -> DataFrame:

@@ -54,7 +54,7 @@ def chunk_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _INPUTS = """w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all('passage: ' || coalesce(text, ''), '(\\s*\\S+)', 1) AS w FROM documents),
-i AS (SELECT doc_id, len(w) + 2 AS original, least(len(w), 48) + 2 AS encoded, len(w) > 48 AS truncated, greatest(len(w) - 48, 0) AS dropped, CASE WHEN len(w) > 48 THEN greatest(0, length(array_to_string(w[1:48], '')) - 9) ELSE length(t) END AS kept_chars FROM w)"""
+i AS (SELECT doc_id, len(w) + 2 AS original, least(len(w), 48) + 2 AS encoded, len(w) > 48 AS truncated, greatest(len(w) - 48, 0) AS dropped, CASE WHEN len(w) > 48 THEN greatest(0, length(array_to_string(w[1:48], '')) - 9) ELSE length(t) END AS kept_chars, array_to_string(list_transform(w[1:48], lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), '|') AS tokens FROM w)"""
 
 
 def _inputs(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,7 +63,7 @@ def _inputs(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("model_inputs", f"WITH {_INPUTS} SELECT * FROM i")
 def model_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    return _inputs(spark, sf).drop("tokens")
+    return _inputs(spark, sf).withColumn("tokens", F.array_join("tokens", "|"))
 
 
 @register("truncation_exposure", f"""WITH {_INPUTS}, s AS (SELECT doc_id, 'p' || j AS path, 100 * j AS start, 100 * j + 100 AS "end" FROM documents, range(6) r(j)), q AS (SELECT 'p' || j AS path, k AS need_id, (j + k) % 4 AS grade FROM range(6) r(j), range(3) n(k) WHERE (j + k) % 2 = 0)
