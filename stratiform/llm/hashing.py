@@ -1,8 +1,8 @@
 """64-bit hashes of all word or byte windows of a text at once, in numpy.
 
-Words and bytes stand for a keyed digest and a random number; a window's hash is put together from the
-hashes of its parts by a mixer that is linear in nothing, not by a polynomial: no family of strings
-(Thue-Morse words, say) is known to collide. Equal windows have equal hashes everywhere.
+Words stand for a keyed digest; a window's hash is put together from those of its parts by a mixer that
+is linear in nothing, not by a polynomial: no family of strings (Thue-Morse words, say) is known to
+collide. Equal windows have equal hashes everywhere.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import hashlib
 import numpy as np
 
 _KEY = b"stratiform words"
-_BYTES = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,27 +39,31 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """Ranks of the strings of a text by prefix doubling: the rank of 2k bytes is made of that of the
-    first k and that of the k bytes behind them. Lengths between are two ranks that overlap."""
+    """Ranks of the strings of a text by prefix doubling: eight bytes are their own rank, the rank of 2k
+    bytes is made of that of the first k and that of the k bytes behind them. Lengths between are two ranks
+    that overlap."""
 
     def __init__(self, data: bytes) -> None:
-        self._ranks = [_BYTES[np.frombuffer(data, np.uint8)]]
+        first = np.empty(max(0, len(data) - 7), np.uint64)
+        for k in range(min(8, len(first))):
+            first[k::8] = np.frombuffer(data, "<u8", (len(data) - k) // 8, k)
+        self._ranks = [first]
 
     def ranks(self, level: int) -> np.ndarray:
-        """Ranks of all strings of 2^level bytes."""
-        while len(self._ranks) <= level:
-            half, last = 1 << len(self._ranks) - 1, self._ranks[-1]
+        """Ranks of all strings of 2^level bytes, of eight at least."""
+        while len(self._ranks) <= level - 3:
+            half, last = 8 << len(self._ranks) - 1, self._ranks[-1]
             self._ranks.append(_joined(last[:-half], last[half:]))
-        return self._ranks[level]
+        return self._ranks[level - 3]
 
     def of(self, starts: np.ndarray, length: int) -> np.ndarray:
-        """Ranks of strings of one length."""
+        """Ranks of strings of one length, of eight bytes at least."""
         k = length.bit_length() - 1
         ranks = self.ranks(k)
         return mix(_joined(ranks[starts], ranks[starts + (length - (1 << k))]) + np.uint64(length))
 
     def of_lengths(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Ranks of strings of a length each, at least one."""
+        """Ranks of strings of a length each."""
         out = np.empty(len(starts), np.uint64)
         for n in np.unique(lengths).tolist():
             own = np.flatnonzero(lengths == n)
