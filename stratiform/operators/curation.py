@@ -150,3 +150,61 @@ def unique_contribution(pooled: DataFrame) -> DataFrame:
     names = F.split("contributors", ",")
     each = pooled.select(F.explode(names).alias("contributor"), (F.size(names) == 1).cast("int").alias("alone"))
     return each.groupBy("contributor").agg(F.count("*").alias("found"), F.sum("alone").alias("alone"))
+
+
+def resumed(jobs: DataFrame, records: DataFrame, key: str, request: str) -> tuple[DataFrame, DataFrame]:
+    """(open, replayed) of a run that goes on: recorded answers are taken as they are, only jobs without one are open.
+
+    jobs: (key, request, ...), records: (key, request, answer). A record of the same key with another request is an
+    error when the rows are read: answers are never given to a question they weren't asked.
+    """
+    known = records.select(key, F.col(request).alias("recorded_"), "answer")
+    both = jobs.join(known, key, "left")
+    same = F.col("recorded_").eqNullSafe(F.col(request))
+    told = F.when(same, F.col("answer")).otherwise(F.raise_error(F.concat(F.lit("recorded for another request: "), F.col(key).cast("string"))).cast(records.schema["answer"].dataType))
+    return both.filter("recorded_ is null").select(*jobs.columns), both.filter("recorded_ is not null").withColumn("answer", told).select(*jobs.columns, "answer")
+
+
+def owed(first: DataFrame, second: DataFrame, decisive: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, reason): nodes a second judge must see and hasn't: graded 1 or more, ambiguous, or decisive."""
+    marks = first.join(decisive.select(*keys).distinct().withColumn("d_", F.lit(True)), keys, "left")
+    reason = F.when(F.col("grade") >= 1, "graded").when(F.coalesce("ambiguous", F.lit(False)), "ambiguous").when(F.col("d_"), "decisive")
+    return marks.withColumn("reason", reason).filter("reason is not null").join(second.select(*keys).distinct(), keys, "left_anti").select(*keys, "reason")
+
+
+def disputes(first: DataFrame, second: DataFrame, third: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, g1, g2): nodes two judges differ on that a third hasn't decided."""
+    both = first.select(*keys, F.col("grade").alias("g1")).join(second.select(*keys, F.col("grade").alias("g2")), keys)
+    return both.filter("g1 <> g2").join(third.select(*keys).distinct(), keys, "left_anti")
+
+
+def assembled(judgments: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, judges, grade, outcome) of three judges' judgments (keys, judge, grade): all agree, two of three, or the middle one of three that differ."""
+    each = judgments.groupBy(*keys).agg(F.array_sort(F.collect_list("grade")).alias("g"), F.count("*").alias("judges"))
+    middle = F.get(F.col("g"), F.floor((F.size("g") - 1) / 2).cast("int"))
+    kinds = F.size(F.array_distinct("g"))
+    outcome = F.when(F.col("judges") < 3, "incomplete").when(kinds == 1, "unanimous").when(kinds == 2, "majority").otherwise("middle")
+    return each.select(*keys, "judges", F.when(F.col("judges") >= 3, middle).alias("grade"), outcome.alias("outcome"))
+
+
+def contamination(statements: DataFrame, references: DataFrame, key: str, text: str, size: int = 8) -> DataFrame:
+    """(key, runs, shared): how many of a statement's runs of ``size`` words stand in any reference, for those that share one.
+
+    Reference runs are distinct hashes; the join is a semi-join on the run, pre-aggregated on both sides.
+    """
+    from stratiform.functions.legal import runs
+    from stratiform.functions.text import ascii_words
+
+    hashed = lambda df: df.select(*([key] if key in df.columns else []), F.explode(F.array_distinct(F.transform(runs(ascii_words(F.col(text)), size), lambda r: F.xxhash64(r)))).alias("run"))
+    mine, theirs = hashed(statements.select(key, text)), hashed(references.select(text)).select("run").distinct()
+    hit = mine.join(theirs.withColumn("hit_", F.lit(1)), "run", "left")
+    return hit.groupBy(key).agg(F.count("*").alias("runs"), F.count("hit_").alias("shared")).filter("shared > 0")
+
+
+def review_summary(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of two judges' agreement (keys, grade): nodes both saw, equal grades, equal relevance, Cohen's kappa of the relevance."""
+    both = first.select(*keys, F.col("grade").alias("a")).join(second.select(*keys, F.col("grade").alias("b")), keys)
+    x, y = (F.col("a") >= 2).cast("double"), (F.col("b") >= 2).cast("double")
+    s = both.agg(F.count("*").alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("same"), F.avg((x == y).cast("double")).alias("agree"), F.avg(x).alias("x"), F.avg(y).alias("y"))
+    chance = F.col("x") * F.col("y") + (1 - F.col("x")) * (1 - F.col("y"))
+    return s.select("n", F.round("same", 6).alias("same"), F.round("agree", 6).alias("agree"), F.when(chance < 1, F.round((F.col("agree") - chance) / (1 - chance), 6)).alias("kappa"))

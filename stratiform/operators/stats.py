@@ -58,21 +58,25 @@ def effect(deltas: DataFrame) -> DataFrame:
 
 
 def percentiles(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Six dialects: nearest rank, rounded index (half to even), floored index, index less one, linear, exclusive quartile."""
-    own = rows.filter(F.col(value).isNotNull())
-    n = Window.partitionBy(*groups)
-    place = own.select(*groups, F.col(value).alias("v"), F.row_number().over(n.orderBy(value)).alias("k"), F.count("*").over(n).alias("n"))
-    at = lambda i: F.max(F.when(F.col("k") == i, F.col("v")))
+    """Six dialects: nearest rank, rounded index (half to even), floored index, index less one, linear, exclusive quartile.
+
+    Values are counted first, so a group is a window over its distinct values, and a place lies in the run of one of them.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    own = Window.partitionBy(*groups)
+    place = counted.withColumn("n", F.sum("c").over(own)).withColumn("hi", F.sum("c").over(own.orderBy("v"))).withColumn("lo", F.col("hi") - F.col("c") + 1)
+    at = lambda i: F.max(F.when((F.col("lo") <= i) & (i <= F.col("hi")), F.col("v")))
     m = F.col("n")
-    q1 = (m + 1) * 0.25
-    low = F.greatest(F.floor(q1), F.lit(1))
+    q1, q95 = (m + 1) * 0.25, (m - 1) * 0.95 + 1
+    low, base = F.greatest(F.floor(q1), F.lit(1)), F.floor(q95)
+    between = lambda i, q: at(i) + (at(F.least(i + 1, m)) - at(i)) * F.max(q - i)
     return place.groupBy(*groups).agg(
         at(F.ceil(m * 0.95)).alias("nearest95"),
         at(F.bround((m - 1) * 0.5, 0) + 1).alias("rounded50"),
         at(F.least(F.floor(m * 0.95) + 1, m)).alias("floored95"),
         at(F.when(F.floor(m * 0.95) < 1, m).otherwise(F.floor(m * 0.95))).alias("less_one95"),
-        F.round(F.percentile("v", 0.95), 6).alias("linear95"),
-        F.round(at(low) + (at(F.least(low + 1, m)) - at(low)) * F.max(q1 - low), 6).alias("exclusive25"),
+        F.round(between(base, q95), 6).alias("linear95"),
+        F.round(between(low, q1), 6).alias("exclusive25"),
     )
 
 

@@ -96,12 +96,9 @@ def text_search(spark: SparkSession, sf: str) -> DataFrame:
 j AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u FROM w a, w b WHERE a.item_id <> b.item_id)
 SELECT a, b, round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 6) AS jaccard, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 9) DESC, b) AS rank FROM j) WHERE rank <= 3""")
 def item_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """The three closest statements of every benchmark item; an evaluation's statements are few, they are joined on id inequality."""
+    """The three closest statements of every benchmark item."""
     w = _t(spark, sf, "benchmark").select("item_id", T.content_words(F.col("text")).alias("w"))
-    a, b = w.toDF("a", "x"), w.toDF("b", "y")
-    j = a.join(b, F.col("a") != F.col("b")).withColumn("j", F.round(T.jaccard(F.col("x"), F.col("y")), 9))
-    r = j.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.col("j").desc(), "b"))).filter("rank <= 3")
-    return r.select("a", "b", F.round("j", 6).alias("jaccard"), F.col("rank").cast("long").alias("rank"))
+    return E.closest(w, "item_id", "w").select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.col("rank").cast("long").alias("rank"))
 
 
 @register("hash_split", """WITH h AS (SELECT c_custkey, sha256('split' || c_custkey) AS h FROM customer)

@@ -59,11 +59,10 @@ def overlap_run(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf: str) -> DataFrame:
-    """Synthetic judgments of labelled documents, by arithmetic on the ids. Items are the small side; each label row is joined to all of them, as judgments of an evaluation are."""
-    q = _benchmark(spark, sf).select(F.col("item_id").alias("query_id"))
-    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id")
-    pairs = labels.join(q, (F.col("doc_id") * 7 + F.col("query_id")) % 5 < 3)
-    return pairs.select("query_id", "doc_id", ((F.col("doc_id") + F.col("query_id")) % 4).cast("int").alias("grade"))
+    """Synthetic judgments of labelled documents, by arithmetic on the ids: each document is joined to the items of three residues of five, by an equality."""
+    q = _benchmark(spark, sf).select(F.col("item_id").alias("query_id")).withColumn("m", F.col("query_id") % 5)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.explode(F.filter(F.array(*[F.lit(k).cast("long") for k in range(5)]), lambda m: (F.col("doc_id") * 7 + m) % 5 < 3)).alias("m"))
+    return labels.join(q, "m").select("query_id", "doc_id", ((F.col("doc_id") + F.col("query_id")) % 4).cast("int").alias("grade"))
 
 
 @register("bm25_topk", f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm25 WHERE rank <= 10")
