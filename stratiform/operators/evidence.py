@@ -228,6 +228,19 @@ def sensitivity(run: DataFrame, readings: dict[str, DataFrame], metric: str, k:
     return binary_metrics(each, relevant, k).groupBy(F.col("query_id.scenario").alias("scenario")).agg(F.round(F.avg(metric), 6).alias(metric), F.count("*").alias("queries"))
 
 
+def word_uses(nodes: DataFrame, terms: DataFrame, act: str, key: str, text: str) -> DataFrame:
+    """(act, key, term): the one-word terms of its act that a text uses, in any case, in the singular or a plain plural.
+
+    Texts become their distinct words, which meet the terms' forms on (act, word): a join on an equality whatever the
+    size of the glossary. Terms of several words go through ``uses``.
+    """
+    y = F.col("term").rlike("[^aeou]y$") | (F.col("term") == "y")
+    forms = F.when(y, F.array(F.col("term"), F.concat(F.expr("substring(term, 1, length(term) - 1)"), F.lit("ies")))).otherwise(F.array(F.col("term"), F.concat("term", F.lit("s")), F.concat("term", F.lit("es"))))
+    wanted = terms.select(act, F.lower("term").alias("term")).distinct().select(act, "term", F.explode(forms).alias("word_"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([\p{L}\p{N}_-]+)"), 1))
+    return nodes.select(act, key, F.explode(words).alias("word_")).join(wanted, [act, "word_"]).select(act, key, "term").distinct()
+
+
 def search(df: DataFrame, key: str, text: str, pattern: str, scope: Column | None = None, before: int = 90, after: int = 110) -> DataFrame:
     """(key, pos, snippet, place): every match of a pattern in any case, in text order; ``pos`` counts from 1. ``scope`` filters the rows first."""
     hit = StructType([StructField("pos", LongType()), StructField("snippet", StringType()), StructField("place", LongType())])

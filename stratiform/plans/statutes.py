@@ -39,7 +39,17 @@ def normal_text(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", L.normalized("text").alias("text"))
 
 
-@register("act_references")
+_SAID = "o AS (SELECT o_orderkey AS k, o_orderkey % 6 AS f, (o_custkey % 40 + 1)::VARCHAR AS a, (o_orderkey % 9 + 1)::VARCHAR AS p FROM orders)"
+
+
+@register("act_references", f"""WITH {_SAID}, r AS (
+SELECT k, 12 AS start, 'points (d), (f) and (k) of Article ' || a || '(' || p || ')' AS phrase, 'points_of_article' AS form, 'A' AS act, a || '.' || p || '.' || x AS path, NULL AS skipped, 'condition' AS cue FROM o, (SELECT unnest(['d', 'f', 'k']) AS x) WHERE f = 0
+UNION ALL SELECT k, 7, 'paragraphs ' || p || ' and 12 of Article ' || a || ' of that Regulation', 'paragraphs_of_article', NULL, NULL, 'anaphora', 'exception' FROM o WHERE f = 1
+UNION ALL SELECT k, 0, 'Articles ' || a || ' to 43', 'articles', 'A', x::VARCHAR, NULL, NULL FROM o, range(1, 44) t(x) WHERE f = 2 AND x >= a::INT
+UNION ALL SELECT k, 4, 'Article ' || a || '(' || p || ') and (10) of Directive 2015/2366', 'article', 'B', a || '.' || x, NULL, NULL FROM (SELECT *, unnest([p, '10']) AS x FROM o WHERE f = 3)
+UNION ALL SELECT k, 0, 'point (b) of paragraph ' || p, 'points_of_paragraph', 'A', a || '.' || p || '.b', NULL, NULL FROM o WHERE f = 4
+UNION ALL SELECT k, 11, 'paragraph ' || p, 'paragraphs', 'A', a || '.' || p, NULL, 'condition' FROM o WHERE f = 5
+UNION ALL SELECT k, 11 + length('paragraph ' || p || ' and '), 'Article ' || a || ' of Regulation (EU) No 1093/2010', 'article', NULL, NULL, 'outside_the_corpus', 'condition' FROM o WHERE f = 5) SELECT * FROM r""")
 def act_references(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-references of sentences made from order keys, in every form, each resolved to a path or skipped."""
     o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 40 + 1).cast("string").alias("a"), (F.col("o_orderkey") % 9 + 1).cast("string").alias("p"))
@@ -59,11 +69,14 @@ def act_references(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("k", "r.*", L.cue(F.col("text"), F.col("r.start"), F.lit(0)).alias("cue"))
 
 
-@register("clause_texts")
+@register("clause_texts", r"""WITH p AS (SELECT doc_id, unnest(x) AS piece, generate_subscripts(x, 1) AS k FROM (SELECT doc_id, regexp_extract_all(text, '(?s).*?[.;:]\s+|.+$') AS x FROM documents WHERE regexp_matches(text, '(?i)licen[cs]e|token'))),
+l AS (SELECT doc_id, piece, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k) - length(piece))::INT AS low FROM p),
+m AS (SELECT doc_id, low, piece, unnest(range(1, length(piece) + 1)) AS i FROM l WHERE regexp_matches(piece, '(?i)licen[cs]e|token'))
+SELECT doc_id, (low + i - 1)::INT AS "at", low, regexp_replace(piece, '^\s+|\s+$', '', 'g') AS clause FROM m WHERE substr(lower(piece), i, 7) IN ('license', 'licence') OR substr(lower(piece), i, 5) = 'token'""")
 def clause_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """The clause around the first full stop of every text."""
-    d = _t(spark, sf, "documents").select("doc_id", "text", (F.locate(".", "text") - 1).alias("at")).filter("at > 0")
-    return d.select("doc_id", L.clause_at("text", F.col("at"), F.col("at") + 1).alias("c")).select("doc_id", "c.low", "c.clause")
+    """The whole clause around every mention of two words in every text."""
+    d = _t(spark, sf, "documents").filter(F.col("text").rlike("(?i)licen[cs]e|token"))
+    return d.select("doc_id", F.explode(L.clauses("licen[cs]e|token", 1 << 30)("text")).alias("c")).select("doc_id", "c.*")
 
 
 @register("defined_terms", r"""WITH n AS (SELECT n_nationkey AS k, n_name AS a, n_regionkey AS r FROM nation),
@@ -74,18 +87,17 @@ def defined_terms(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("k", F.explode(L.defined_terms(text)).alias("term"))
 
 
-_TERMS = r"""t AS (SELECT DISTINCT item_id % 3 AS act, lower(regexp_extract(text, '([A-Za-z]{4,})', 1)) AS term FROM benchmark WHERE regexp_matches(text, '[A-Za-z]{4,}')),
-f AS (SELECT act, term, CASE WHEN regexp_matches(term, '(^|[^aeou])y$') THEN '(?:' || term || '|' || term[:-2] || 'ies)' ELSE term || '(?:s|es)?' END AS form FROM t)"""
+_TERMS = r"""t AS (SELECT DISTINCT item_id % 3 AS act, unnest(regexp_extract_all(lower(text), '([a-z]{9,})', 1)) AS term FROM benchmark),
+f AS (SELECT act, term, unnest(CASE WHEN regexp_matches(term, '[^aeou]y$') THEN [term, term[:-2] || 'ies'] ELSE [term, term || 's', term || 'es'] END) AS form FROM t),
+w AS (SELECT DISTINCT doc_id, doc_id % 3 AS act, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}_-]+)', 1)) AS form FROM documents)"""
 
 
-@register("term_uses", rf"""WITH {_TERMS}
-SELECT doc_id, term FROM documents d JOIN f ON d.doc_id % 3 = f.act WHERE regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_-])' || form || '($|[^\p{{L}}\p{{N}}_-])')""")
+@register("term_uses", f"""WITH {_TERMS} SELECT DISTINCT doc_id, term FROM w JOIN f USING (act, form)""")
 def term_uses(spark: SparkSession, sf: str) -> DataFrame:
-    """Terms of a glossary (the first long word of every item) in the texts of the same act."""
-    term = F.lower(F.regexp_extract("text", "([A-Za-z]{4,})", 1))
-    terms = _t(spark, sf, "benchmark").select((F.col("item_id") % 3).alias("act"), term.alias("term")).filter("term <> ''").distinct()
+    """Terms of a glossary (the long words of every item) in the whole texts of the same act."""
+    terms = _t(spark, sf, "benchmark").select((F.col("item_id") % 3).alias("act"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{9,})"), 1)).alias("term")).distinct()
     nodes = _t(spark, sf, "documents").select((F.col("doc_id") % 3).alias("act"), "doc_id", "text")
-    return E.uses(nodes, terms, "act", "text", L.term_regex(F.col("term"))).select("doc_id", "term")
+    return E.word_uses(nodes, terms, "act", "doc_id", "text").select("doc_id", "term")
 
 
 _TURNS = "SELECT conv_id, turn, coalesce(text, '') AS q, coalesce(lead(text) OVER w, '') AS body, coalesce(lag(text) OVER w, '') AS ctx FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
@@ -105,7 +117,12 @@ def question_rejections(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("conv_id", "turn", L.rejection(F.concat("q", F.lit("?")), F.col("ctx"), F.col("body"), ["that", "this", "with", "from"]).alias("reason"))
 
 
-@register("longest_runs")
+@register("longest_runs", """WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
+a AS (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1) AS w FROM t)),
+b AS (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(nxt, '')), '([a-z0-9]+)', 1) AS w FROM t)),
+d AS (SELECT conv_id, turn, i - j AS diagonal, i - row_number() OVER (PARTITION BY conv_id, turn, i - j ORDER BY i) AS island FROM a JOIN b USING (conv_id, turn, word)),
+r AS (SELECT conv_id, turn, max(n) AS run FROM (SELECT conv_id, turn, count(*) AS n FROM d GROUP BY conv_id, turn, diagonal, island) GROUP BY ALL)
+SELECT conv_id, turn, coalesce(run, 0)::INT AS run FROM t LEFT JOIN r USING (conv_id, turn)""")
 def longest_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Longest run of words that every turn shares with the next one."""
     w = Window.partitionBy("conv_id").orderBy("turn")
