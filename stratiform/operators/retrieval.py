@@ -130,13 +130,18 @@ def dense_topk(queries: DataFrame, docs: DataFrame, k: int, id_col: str = "vec_i
 
 
 def rrf(runs: list[tuple[DataFrame, float]], k: int = 60, depth: int | None = None) -> DataFrame:
-    """Reciprocal rank fusion of weighted runs; with ``depth`` absent documents add nothing and ties go by best rank."""
+    """Reciprocal rank fusion of weighted runs; with ``depth`` absent documents add nothing and ties go by best rank. Without it
+    the rankings are whole: a document that one of them lacks is an error."""
     every = None
     for run, weight in runs:
         part = run.select("query_id", "doc_id", "rank", (F.lit(weight) / (F.lit(k) + F.col("rank"))).alias("w"))
         part = part.filter(F.col("rank") <= depth) if depth else part
         every = part if every is None else every.unionByName(part)
-    fused = every.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 12).alias("score"), F.min("rank").alias("best"))
+    fused = every.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 12).alias("score"), F.min("rank").alias("best"), F.count("*").alias("n_"))
+    if not depth:
+        whole = F.when(F.col("n_") == len(runs), F.col("score")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("not in every ranking:"), "query_id", "doc_id")).cast("double"))
+        fused = fused.withColumn("score", whole)
+    fused = fused.drop("n_")
     return ranked(fused, by=[F.col("score").desc(), F.col("best"), F.col("doc_id")] if depth else None)
 
 
@@ -165,13 +170,16 @@ def interleaved(lists: DataFrame, name: str = "doc_id") -> DataFrame:
 
 
 def one_hop(base: DataFrame, edges: DataFrame, anchors: int) -> DataFrame:
-    """Each of the first ``anchors`` documents is followed by its targets (src, dst, pos); first places are kept, the rest follow in base order."""
+    """(query_id, doc_id, rank, place, via): each of the first ``anchors`` documents is followed by its targets (src, dst, pos); first places are
+    kept, the rest follow in base order. ``place`` is anchor, target or rest, ``via`` the rank of the anchor."""
+    key = lambda t, r, p: F.struct(F.lit(t).alias("t"), r.cast("long").alias("r"), p.cast("long").alias("p")).alias("at")
     top = base.filter(F.col("rank") <= anchors)
-    own = top.select("query_id", "doc_id", F.struct(F.lit(0).alias("t"), F.col("rank").cast("long").alias("r"), F.lit(-1).cast("long").alias("p")).alias("at"))
-    added = top.join(edges, top["doc_id"] == edges["src"]).select("query_id", F.col("dst").alias("doc_id"), F.struct(F.lit(0).alias("t"), F.col("rank").cast("long").alias("r"), F.col("pos").cast("long").alias("p")).alias("at"))
-    rest = base.select("query_id", "doc_id", F.struct(F.lit(1).alias("t"), F.col("rank").cast("long").alias("r"), F.lit(0).cast("long").alias("p")).alias("at"))
+    own = top.select("query_id", "doc_id", key(0, F.col("rank"), F.lit(-1)))
+    added = top.join(edges, top["doc_id"] == edges["src"]).select("query_id", F.col("dst").alias("doc_id"), key(0, F.col("rank"), F.col("pos")))
+    rest = base.select("query_id", "doc_id", key(1, F.col("rank"), F.lit(0)))
     first = own.unionByName(added).unionByName(rest).groupBy("query_id", "doc_id").agg(F.min("at").alias("at"))
-    return ranked(first, by=[F.col("at"), F.col("doc_id")]).select("query_id", "doc_id", "rank")
+    place = F.when(F.col("at.t") == 1, "rest").when(F.col("at.p") < 0, "anchor").otherwise("target")
+    return ranked(first, by=[F.col("at"), F.col("doc_id")]).select("query_id", "doc_id", "rank", place.alias("place"), F.when(F.col("at.t") == 0, F.col("at.r")).alias("via"))
 
 
 def decomposition(base: DataFrame, hits: DataFrame, keep: int = 6, total: int = 10, per_list: int = 5, scored: bool = False) -> DataFrame:

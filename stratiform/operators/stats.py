@@ -80,17 +80,25 @@ def percentiles(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
     )
 
 
-def dominance(systems: DataFrame, name: str, axes: list[str], slack: float = 0.1) -> DataFrame:
-    """Pairs (winner, loser): at most ``slack`` worse on every cost axis and better by more than it on one. Systems are few; they are paired by a join on inequality of names."""
-    a, b = systems.alias("a"), systems.alias("b")
-    least = [F.col(f"a.{x}") <= F.col(f"b.{x}") * (1 + slack) for x in axes]
-    better = [F.col(f"a.{x}") < F.col(f"b.{x}") * (1 - slack) for x in axes]
-    all_, any_ = least[0], better[0]
-    for x in least[1:]:
-        all_ = all_ & x
-    for x in better[1:]:
-        any_ = any_ | x
-    return a.join(b, (F.col(f"a.{name}") != F.col(f"b.{name}")) & all_ & any_).select(F.col(f"a.{name}").alias("winner"), F.col(f"b.{name}").alias("loser"))
+def dominance(systems: DataFrame, name: str, axes: list[str], vectors: list[str] | None = None, plain: list[str] | None = None, band: float = 0.1) -> DataFrame:
+    """Pairs (winner, loser): the winner isn't worse on any cost and clearly better on one.
+
+    On an axis a cost is better where it stays so with ``band`` added, and two within the band are a tie; a vector
+    (array) is worse where any of its parts is, and better where one is and none is worse; plain costs have no band.
+    Systems are few; they are paired by a join on inequality of names.
+    """
+    a, b = (systems.select(*[F.col(c).alias(f"{c}_{k}") for c in systems.columns]) for k in "wv")
+    fine, better = F.lit(True), F.lit(False)
+    for x in axes:
+        w, v = F.col(f"{x}_w") * 1.0, F.col(f"{x}_v") * 1.0
+        ahead = w * (1 + band) <= v
+        fine, better = fine & (ahead | ~(v * (1 + band) <= w)), better | ahead
+    for x in vectors or []:
+        steps = F.zip_with(f"{x}_w", f"{x}_v", lambda w, v: w - v)
+        fine, better = fine & F.forall(steps, lambda d: d <= 0), better | F.exists(steps, lambda d: d < 0)
+    for x in plain or []:
+        fine, better = fine & (F.col(f"{x}_w") <= F.col(f"{x}_v")), better | (F.col(f"{x}_w") < F.col(f"{x}_v"))
+    return a.join(b, (F.col(f"{name}_w") != F.col(f"{name}_v")) & fine & better).select(F.col(f"{name}_w").alias("winner"), F.col(f"{name}_v").alias("loser"))
 
 
 def recall_envelope(unjudged: DataFrame, known: DataFrame) -> DataFrame:

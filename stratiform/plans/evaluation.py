@@ -115,8 +115,8 @@ e AS (SELECT doc_id AS src, doc_id + k AS dst, k AS pos FROM documents, (SELECT
 t AS (SELECT query_id, doc_id, 0 AS t, rank AS r, -1 AS p FROM overlap WHERE rank <= 5
   UNION ALL SELECT query_id, dst, 0, rank, pos FROM overlap JOIN e ON src = doc_id WHERE rank <= 5
   UNION ALL SELECT query_id, doc_id, 1, rank, 0 FROM overlap),
-f AS (SELECT query_id, doc_id, min((t, r, p)) AS k FROM t GROUP BY ALL)
-SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY k, doc_id) AS rank FROM f""")
+f AS (SELECT query_id, doc_id, min({{'t': t, 'r': r, 'p': p}}) AS k FROM t GROUP BY ALL)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY k, doc_id) AS rank, CASE WHEN k.t = 1 THEN 'rest' WHEN k.p < 0 THEN 'anchor' ELSE 'target' END AS place, CASE WHEN k.t = 0 THEN k.r END AS via FROM f""")
 def one_hop_expansion(spark: SparkSession, sf: str) -> DataFrame:
     edges = _documents(spark, sf).filter("doc_id % 3 = 0").select(F.col("doc_id").alias("src"), F.explode(F.array(F.lit(1), F.lit(2))).alias("pos")).withColumn("dst", F.col("src") + F.col("pos"))
     return R.one_hop(overlap_run(spark, sf), edges, 5).withColumn("rank", F.col("rank").cast("long"))
@@ -223,11 +223,14 @@ def percentile_dialects(spark: SparkSession, sf: str) -> DataFrame:
     return stats.percentiles(spark.read.parquet(f"{sf}/events.parquet"), ["event_type"], "value")
 
 
-@register("cost_dominance", """WITH s AS (SELECT l_returnflag || l_linestatus || l_linenumber AS name, avg(l_extendedprice) AS x, avg(l_quantity) AS y, count(*)::DOUBLE AS z FROM lineitem GROUP BY 1)
-SELECT a.name AS winner, b.name AS loser FROM s a, s b WHERE a.name <> b.name AND a.x <= b.x * 1.1 AND a.y <= b.y * 1.1 AND a.z <= b.z * 1.1 AND (a.x < b.x * 0.9 OR a.y < b.y * 0.9 OR a.z < b.z * 0.9)""")
+@register("cost_dominance", """WITH s AS (SELECT l_returnflag || l_linestatus || l_linenumber AS name, avg(l_extendedprice) AS x, avg(l_quantity) AS y, count(*)::DOUBLE AS z, (l_linenumber % 3) AS p, l_linenumber // 3 AS q, l_linenumber % 2 AS r FROM lineitem GROUP BY 1, l_linenumber)
+SELECT a.name AS winner, b.name AS loser FROM s a, s b WHERE a.name <> b.name AND (a.x * 1.1::DOUBLE <= b.x OR NOT b.x * 1.1::DOUBLE <= a.x) AND (a.y * 1.1::DOUBLE <= b.y OR NOT b.y * 1.1::DOUBLE <= a.y) AND (a.z * 1.1::DOUBLE <= b.z OR NOT b.z * 1.1::DOUBLE <= a.z)
+ AND a.p <= b.p AND a.q <= b.q AND a.r <= b.r AND (a.x * 1.1::DOUBLE <= b.x OR a.y * 1.1::DOUBLE <= b.y OR a.z * 1.1::DOUBLE <= b.z OR a.p < b.p OR a.q < b.q OR a.r < b.r)""")
 def cost_dominance(spark: SparkSession, sf: str) -> DataFrame:
-    s = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.concat("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string")).alias("name")).agg(F.avg("l_extendedprice").alias("x"), F.avg("l_quantity").alias("y"), F.count("*").cast("double").alias("z"))
-    return stats.dominance(s, "name", ["x", "y", "z"])
+    n = F.col("l_linenumber")
+    s = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.concat("l_returnflag", "l_linestatus", n.cast("string")).alias("name"), n).agg(F.avg("l_extendedprice").alias("x"), F.avg("l_quantity").alias("y"), F.count("*").cast("double").alias("z"))
+    costs = s.select("name", "x", "y", "z", F.array(n % 3, F.floor(n / 3)).alias("parts"), (n % 2).alias("port"))
+    return stats.dominance(costs, "name", ["x", "y", "z"], ["parts"], ["port"])
 
 
 @register("coverage_envelope", """WITH u AS (SELECT o_custkey AS query_id, o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS w FROM orders),

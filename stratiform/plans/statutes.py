@@ -172,3 +172,35 @@ def statute_nodes(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_custkey").cast("string"), "c_name", "p", "c_mktsegment",
     )
     return H.nodes(c.select(F.col("c_custkey").alias("k"), page.alias("x")), "k", "x", "journal").select("k", "path", "level", "kind", "own_text")
+
+
+_NORM = "c AS (SELECT c_custkey AS k, c_name AS n, c_nationkey::VARCHAR AS p, c_mktsegment AS s FROM customer)"
+
+
+@register("consolidated_nodes", f"""WITH {_NORM}
+SELECT k, 'On ' || n AS title, k::VARCHAR AS path, 1 AS level, 'articulo' AS kind, '' AS own_text FROM c
+UNION ALL SELECT k, 'On ' || n, k || '.1', 2, 'apartado', n || ' shall pay:' FROM c UNION ALL SELECT k, 'On ' || n, k || '.1.a', 3, 'punto', p FROM c
+UNION ALL SELECT k, 'On ' || n, k || '.1.sub_2', 3, 'subparagraph', 'By ' || s || '.' FROM c""")
+def consolidated_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """A small article in the consolidated layout, with its title, for every customer."""
+    c = _t(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("p"), "c_mktsegment")
+    page = F.format_string(
+        '<html xmlns="http://www.w3.org/1999/xhtml"><body><div class="eli-subdivision" id="art_%s"><p class="title-article-norm">Article</p><div class="eli-title"><p>On %s</p></div><div class="norm"><span class="no-parag">1.  </span><div class="norm inline-element">%s shall pay:</div></div>'
+        '<div class="grid-container grid-list"><div class="grid-list-column-1">(a)</div><div class="grid-list-column-2"><p class="norm">%s</p></div></div><p class="modref">M1</p><p class="norm">By %s.</p></div></body></html>',
+        F.col("c_custkey").cast("string"), "c_name", "c_name", "p", "c_mktsegment",
+    )
+    return H.nodes(c.select(F.col("c_custkey").alias("k"), page.alias("x")), "k", "x", "consolidated").select("k", "title", "path", "level", "kind", "own_text")
+
+
+@register("amending_acts", f"""WITH {_NORM} SELECT k, '2' AS article, 'M' || p AS act FROM c WHERE k % 3 > 0 UNION ALL SELECT k, '4', 'R' || k FROM c""")
+def amending_acts(spark: SparkSession, sf: str) -> DataFrame:
+    """Acts that amended the articles of a small consolidated text for every customer: by the block an article starts in, by its own mark, or none."""
+    c = _t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("p"))
+    div = '<div class="eli-subdivision" id="art_%s">%s<p>text</p></div>'
+    page = F.concat(
+        F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><body>' + div % ("1", "")),
+        F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit('<a title="M'), "p", F.lit(': INSERTED">▼M1</a>'))).otherwise(""),
+        F.lit(div % ("2", "") + div % ("3", '<a title="x: y">▼B</a>')),
+        F.concat(F.lit('<div class="eli-subdivision" id="art_4"><a title="R'), F.col("c_custkey").cast("string"), F.lit(': REPLACED">►M2</a><p>t</p></div><a title="x: y">▼B</a></body></html>')),
+    )
+    return H.amendments(c.select(F.col("c_custkey").alias("k"), page.alias("x")), "k", "x")

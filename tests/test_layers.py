@@ -173,3 +173,19 @@ def test_streams(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.table("folded_events").collect()) == [(1, "b", 2), (2, "a", 1)]
     log.run_once(log.windowed(log.read(spark, at, schema), "ts", "kind"), "windowed_events")
     assert sorted((r.kind, r.n) for r in spark.table("windowed_events").collect()) == [("a", 1), ("a", 1), ("b", 1)]
+
+
+def test_fusion_of_whole_rankings_refuses_gaps(spark):
+    a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, doc_id long, rank int")
+    b = spark.createDataFrame([(1, 11, 1), (1, 10, 2)], "query_id long, doc_id long, rank int")
+    assert [r.doc_id for r in retrieval.rrf([(a, 2.0), (b, 1.0)]).orderBy("rank").collect()] == [10, 11]
+    with pytest.raises(Exception, match="not in every ranking"):
+        retrieval.rrf([(a, 1.0), (b.filter("rank = 1"), 1.0)]).collect()
+
+
+def test_analyzers(spark):
+    from stratiform.functions import stem
+
+    df = spark.createDataFrame([("The payer's payments, as REGULATED by states", "L'impresa della società paga gli interessi")], "en string, it string")
+    row = df.select(stem.porter_analyzed(F.col("en")).alias("en"), stem.italian_analyzed(F.col("it")).alias("it")).first()
+    assert row.en == ["payer", "payment", "regul", "state"] and row.it == ["impres", "societ", "pag", "interess"]
