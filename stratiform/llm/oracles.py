@@ -28,10 +28,20 @@ WITH RECURSIVE src AS (
 ), unit AS (
   SELECT DISTINCT conv_id, turn, {_NORMAL.format("u")} AS t
   FROM parts, unnest(list_concat([own_text], list_concat(regexp_split_to_array(own_text, '\n[ \t]*\n'), string_split(own_text, chr(10))))) AS x(u)
-), found AS (
-  SELECT p.conv_id, p.turn, p.k, p.run, p.level, max(o.turn) AS found
+), whole AS (
+  SELECT p.conv_id, p.turn, p.k, p.run, p.level, p.t, max(o.turn) AS found
   FROM passage p LEFT JOIN unit o ON o.conv_id = p.conv_id AND o.t = p.t AND o.turn < p.turn
   WHERE p.t <> '' GROUP BY ALL
+), own_lines AS (
+  SELECT conv_id, turn, list_filter([{_NORMAL.format("x")} FOR x IN string_split(own_text, chr(10))], lambda x: x <> '') AS l
+  FROM parts WHERE conv_id IN (SELECT conv_id FROM whole WHERE found IS NULL)
+), line_run AS (
+  SELECT DISTINCT conv_id, turn, array_to_string(l[i:j], ' ') AS t
+  FROM (SELECT *, unnest(range(i + 1, len(l) + 1)) AS j FROM (SELECT *, unnest(range(1, len(l))) AS i FROM own_lines))
+), found AS (
+  SELECT w.conv_id, w.turn, w.k, w.run, w.level, coalesce(w.found, max(r.turn)) AS found
+  FROM whole w LEFT JOIN line_run r ON w.found IS NULL AND r.conv_id = w.conv_id AND r.t = w.t AND r.turn < w.turn
+  GROUP BY w.conv_id, w.turn, w.k, w.run, w.level, w.t, w.found
 ), counts AS (
   SELECT conv_id, turn, k, count(*) AS n_quotes, count(found) AS n_linked FROM found GROUP BY ALL
 ), lowest AS (

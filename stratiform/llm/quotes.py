@@ -3,7 +3,9 @@
 A line's quote level is the number of ``>`` it begins with. Consecutive lines of one level above 0
 are a passage; its text without the marks, in lower case (A-Z) and with single spaces, is hashed and
 joined to the messages of the same conversation: to a whole message without its quotes, to one of its
-paragraphs, or to one of its lines. The latest earlier turn with the same hash is the original.
+paragraphs, or to one of its lines. The latest earlier turn with the same hash is the original. A passage
+of several lines that no earlier turn has so is looked up as a run of consecutive lines (blank ones left
+out); runs are made of the lengths that are asked for in that conversation only.
 
 A message replies to the latest original among its passages of the lowest level linked; without a
 link to the turn before it; the first turn replies to none. ``depth`` counts the replies up to the
@@ -56,7 +58,7 @@ def own_text(text: Column) -> Column:
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """(conv, turn, text_key, level, run, hash): the quoted passages of messages (conv, turn, text)."""
+    """(conv, turn, text_key, level, run, hash, n): the quoted passages of messages (conv, turn, text), and their lines that aren't blank."""
     quoting = messages.filter(F.col("text").rlike(r"(?m)^[ \t]*>") | F.col("text").contains("\r")).withColumn("text_key", F.md5("text")).select("conv", "turn", "text_key", "text").distinct()
     lines = quoting.select("conv", "turn", "text_key", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     levels = lines.select("conv", "turn", "text_key", "pos", quote_level(F.col("line")).alias("level"), F.regexp_replace("line", _MARKS, "").alias("body"))
@@ -64,7 +66,8 @@ def passages(messages: DataFrame) -> DataFrame:
     runs = levels.withColumn("run", F.sum((F.col("level") != F.coalesce(F.lag("level").over(message), F.lit(-1))).cast("int")).over(message))
     whole = runs.filter("level > 0").groupBy("conv", "turn", "text_key", "run", "level").agg(F.array_sort(F.collect_list(F.struct("pos", "body"))).alias("x"))
     text = normalised(F.array_join(F.col("x.body"), " "))
-    return whole.select("conv", "turn", "text_key", "level", "run", text.alias("t")).filter("t <> ''").select("conv", "turn", "text_key", "level", "run", F.sha2("t", 256).alias("hash"))
+    n = F.size(F.filter("x.body", lambda b: normalised(b) != ""))
+    return whole.select("conv", "turn", "text_key", "level", "run", text.alias("t"), n.alias("n")).filter("t <> ''").select("conv", "turn", "text_key", "level", "run", F.sha2("t", 256).alias("hash"), "n")
 
 
 def originals(messages: DataFrame) -> DataFrame:
@@ -75,6 +78,15 @@ def originals(messages: DataFrame) -> DataFrame:
     return messages.select("conv", "turn", F.explode(F.filter(every, lambda u: u != "")).alias("u")).select("conv", "turn", F.sha2("u", 256).alias("hash")).distinct()
 
 
+def line_runs(messages: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(conv, turn, hash): runs of consecutive lines of each one's own text, of the lengths (conv, lengths) of its conversation."""
+    lines = F.filter(F.transform(F.split(own_text(F.col("text")), "\n"), normalised), lambda x: x != "")
+    rows = messages.join(lengths, "conv").select("conv", "turn", "lengths", lines.alias("lines"))
+    of = lambda m: F.transform(F.sequence(F.lit(1), F.size("lines") - m + 1), lambda i: F.sha2(F.array_join(F.slice("lines", i, m), " "), 256))
+    every = F.flatten(F.transform(F.filter("lengths", lambda m: m <= F.size("lines")), of))
+    return rows.select("conv", "turn", F.explode(F.array_distinct(every)).alias("hash"))
+
+
 def latest_before(asks: DataFrame, facts: DataFrame) -> DataFrame:
     """``asks`` (conv, turn, hash, ...) with ``found``: the latest turn of ``facts`` (conv, turn, hash) before its own, or null."""
     block = F.floor(F.col("turn") / BLOCK)
@@ -117,7 +129,10 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_
     asked = scratch.keep(passages(known))
     # only conversations that quote at all are taken apart
     quoting = known.join(asked.select("conv").distinct(), "conv", "left_semi")
-    quoted = scratch.keep(latest_before(asked, originals(quoting)))
+    whole = scratch.keep(latest_before(asked, originals(quoting)))
+    missing = whole.filter("found is null and n > 1").drop("found")
+    lengths = missing.groupBy("conv").agg(F.collect_set("n").alias("lengths"))
+    quoted = scratch.keep(whole.filter("found is not null or n = 1").unionByName(latest_before(missing, line_runs(quoting, lengths))))
     per_text = quoted.groupBy("conv", "turn", "text_key").agg(
         F.count("*").alias("n_quotes"),
         F.count("found").alias("n_linked"),

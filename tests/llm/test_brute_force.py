@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from stratiform.llm import bpe_replay, common, decontaminate, hashing, html_crf, ngram_join, ogg, pii_bootstrap, suffix_dedup, toxicity_pu, warc
+from stratiform.llm import bpe_replay, common, decontaminate, hashing, html_crf, ngram_join, ogg, pii_bootstrap, quotes, suffix_dedup, toxicity_pu, warc
 from stratiform.llm.common import table
 
 
@@ -521,3 +521,36 @@ def test_real_pages_by_another_rule(sf):
         got = collections.Counter(x.text for x, y in zip(b, model.viterbi(b), strict=True) if y)
         hit, said, true = hit + sum((want & got).values()), said + sum(got.values()), true + sum(want.values())
     assert true > 100 and 2 * hit / (said + true) > 0.99
+
+
+def test_quotations_like_the_sql(spark):
+    """Random conversations that quote whole messages, paragraphs, lines and runs of lines, against DuckDB."""
+    import duckdb
+    import pyarrow as pa
+
+    from stratiform.llm.oracles import OP7
+
+    rnd = random.Random(20)
+    rows = []
+    for conv in range(25):
+        said = []
+        for turn in range(rnd.randint(2, 9)):
+            lines = [rnd.choice(["yes", "No  way", "", "a longer line here", f"line {rnd.randrange(30)}"]) for _ in range(rnd.randint(1, 6))]
+            for _ in range(rnd.randint(0, 2) if said else 0):
+                old = rnd.choice(said)
+                i, j = sorted((rnd.randrange(len(old)), rnd.randrange(len(old))))
+                lines = ["> " * rnd.choice([1, 1, 2]) + (x.upper() if rnd.random() < 0.2 else x) for x in old[i : j + 1]] + lines
+            said.append([x for x in lines if not x.startswith(">")] or [""])
+            rows.append((conv, turn, "u", "\n".join(lines)))
+    rows += [(3, 0, "u", "line 1"), (3, None, "u", "> yes"), (None, 1, "u", "> yes"), (4, 50, "u", None)]
+    got = quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    con = duckdb.connect()
+    con.register("conversations", pa.Table.from_pylist([dict(zip(("conv_id", "turn", "role", "text"), r, strict=True)) for r in rows], schema=pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])))
+    want = con.execute(OP7).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and sum(r.n_linked for r in got) > 20
+
+
+def test_quotations_of_runs_of_lines(spark):
+    rows = [(1, 0, "u", "one\ntwo\n\nthree\nfour"), (1, 1, "u", "else"), (1, 2, "u", "> TWO\n> three\nwhat?"), (1, 3, "u", "> two\n> four\nno")]
+    got = {r.turn: (r.n_quotes, r.n_linked, r.reply_to) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (0, 0, None), 1: (0, 0, 0), 2: (1, 1, 0), 3: (1, 0, 2)}
