@@ -177,3 +177,16 @@ def dependent_recall(run: DataFrame, evidence: DataFrame, k: int = 10) -> DataFr
     found = evidence.join(top, ["query_id", "doc_id"], "left")
     dependent = F.col("role") == "dependent"
     return found.groupBy("query_id").agg(F.round(F.count(F.when(dependent, F.col("hit"))) / F.count(F.when(dependent, F.lit(1))), 6).alias("recall"), (F.count(F.when(~dependent, F.col("hit"))) > 0).alias("anchor_hit")).filter("recall is not null")
+
+
+def latency(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """(groups, n, p50, p95, most, mean): nearest-rank percentiles of each stage."""
+    at = lambda q: F.expr(f"percentile_disc({q}) within group (order by `{value}`)")
+    return df.filter(F.col(value).isNotNull()).groupBy(*groups).agg(F.count("*").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean"))
+
+
+def position_shifts(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, shared, same_places, most_moved) of two rankings' first k: documents in both, places with the same document, the largest change of rank."""
+    x, y = (r.filter(F.col("rank") <= k).select("query_id", "doc_id", F.col("rank").alias(n)) for r, n in ((a, "x"), (b, "y")))
+    both = x.join(y, ["query_id", "doc_id"], "full_outer")
+    return both.groupBy("query_id").agg(F.count(F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 1)).alias("shared"), F.count(F.when(F.col("x") == F.col("y"), 1)).alias("same_places"), F.max(F.abs(F.col("x") - F.col("y"))).alias("most_moved"))

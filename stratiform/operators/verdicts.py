@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Margins and labels of the decision rules.
@@ -14,19 +14,34 @@ INFERIOR, SUPPORTED, STRONG, VIOLATED = "inferior beyond delta", "supported impr
 DISCARD, DISPLACE, FRONTIER = "discard", "displace", "frontier"
 
 
-def limits(deltas: DataFrame, key: str, metrics: list[str], reps: int, salt: str = "r") -> DataFrame:
+def python_draws(spark: SparkSession, n: int, reps: int, seed: int) -> DataFrame:
+    """(rep, place): the draws that a seeded ``random.Random`` makes with ``choices(range(n), k=n)``, replicate by replicate.
+
+    The generator is sequential, so the driver runs it; an evaluation's needs and replicates bound it.
+    """
+    import random
+
+    rng = random.Random(seed)
+    rows = ((rep, place) for rep in range(reps) for place in rng.choices(range(n), k=n))
+    return spark.createDataFrame(rows, "rep long, place int")
+
+
+def limits(deltas: DataFrame, key: str, metrics: list[str], reps: int, salt: str = "r", draws: DataFrame | None = None) -> DataFrame:
     """(metric, mean, low2, high2, low1, high1): percentile limits, two-sided and one-sided, of all metrics over the same resamples.
 
-    The draws are hashes of replicate and place, so a comparison made again sees the same; needs are ordered by key.
+    The draws (rep, place) are hashes of replicate and place, or those given (see ``python_draws``), so a comparison made
+    again sees the same; needs are ordered by key.
     Needs of an evaluation are few: they are numbered in one window, and each replicate is a sum over its draws.
     """
     from pyspark.sql import Window
 
     rows = deltas.select(*[F.col(m).cast("double") for m in metrics], (F.row_number().over(Window.orderBy(key)) - 1).alias("place"))
     n = rows.count()
-    draws = rows.sparkSession.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k")) if n else rows.sparkSession.range(0).select(F.col("id").alias("rep"), F.lit(0).alias("k"))
-    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), "rep", "k")), 1, 8), 16, 10).cast("long")
-    drawn = draws.withColumn("place", (hashed % max(1, n)).cast("int")).join(F.broadcast(rows), "place")
+    if draws is None:
+        spots = F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if n else F.explode(F.array().cast("array<int>"))
+        hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), "rep", "k")), 1, 8), 16, 10).cast("long")
+        draws = rows.sparkSession.range(reps).select(F.col("id").alias("rep"), spots.alias("k")).select("rep", (hashed % max(1, n)).cast("int").alias("place"))
+    drawn = draws.join(F.broadcast(rows), "place")
     means = drawn.groupBy("rep").agg(*[F.avg(m).alias(m) for m in metrics])
     lists = means.agg(*[F.array_sort(F.collect_list(F.round(m, 12))).alias(m) for m in metrics])
     centre = rows.agg(*[F.avg(m).alias(f"c_{m}") for m in metrics])

@@ -295,3 +295,14 @@ SELECT item, other, mandatory, row_number() OVER (PARTITION BY item ORDER BY NOT
 def statement_neighbourhoods(spark: SparkSession, sf: str) -> DataFrame:
     """Of the first statements by key, as a bank of an evaluation holds them."""
     return P.neighbourhoods(made(spark, sf, _ITEMS), made(spark, sf, _PAIRS), made(spark, sf, _ARTS), 3).withColumn("place", F.col("place").cast("long"))
+
+
+@register("stage_latency", "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most, round(avg(value), 6) AS mean FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def stage_latency(spark: SparkSession, sf: str) -> DataFrame:
+    return D.latency(made(spark, sf, "SELECT * FROM events"), ["event_type"], "value")
+
+
+@register("position_shifts", f"""WITH {_OVERLAP}, {_OTHER}, x AS (SELECT query_id, doc_id, rank AS x FROM overlap WHERE rank <= 10), y AS (SELECT query_id, doc_id, rank AS y FROM other WHERE rank <= 10)
+SELECT query_id, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS shared, count(*) FILTER (x = y) AS same_places, max(abs(x - y)) AS most_moved FROM x FULL JOIN y USING (query_id, doc_id) GROUP BY query_id""")
+def position_shifts(spark: SparkSession, sf: str) -> DataFrame:
+    return D.position_shifts(overlap_run(spark, sf), _other(spark, sf)).withColumn("most_moved", F.col("most_moved").cast("long"))

@@ -189,3 +189,48 @@ def test_analyzers(spark):
     df = spark.createDataFrame([("The payer's payments, as REGULATED by states", "L'impresa della società paga gli interessi")], "en string, it string")
     row = df.select(stem.porter_analyzed(F.col("en")).alias("en"), stem.italian_analyzed(F.col("it")).alias("it")).first()
     assert row.en == ["payer", "payment", "regul", "state"] and row.it == ["impres", "societ", "pag", "interess"]
+
+
+def test_browsing_a_corpus(spark):
+    from stratiform.operators.browse import Corpus
+
+    rows = [("A", "2", "On fees", "", 0), ("A", "2.1", "", "The payer pays a fee. Fees are due.", 1), ("A", "10", "Scope", "no fee here", 2), ("A", "9a", "Old", "fee", 3), ("B", "1", "Fees", "fee", 0)]
+    nodes = spark.createDataFrame(rows, "act string, path string, title string, own_text string, ordinal int")
+    corpus = Corpus(nodes, spark.createDataFrame([("A", "9a")], "act string, article string"))
+    assert [(r.act, r.path, r.pos) for r in corpus.search(r"\bfees?\b", ["A"]).collect()] == [("A", "2.1", 18), ("A", "2.1", 23), ("A", "10", 4)]
+    assert [r.path for r in corpus.search("fees", in_titles=True).collect()] == ["2", "1"]
+    assert [r.path for r in corpus.titles("A").collect()] == ["2", "10"] and [r.path for r in corpus.article("A", "2").collect()] == ["2", "2.1"]
+    assert [(r.path, r.known) for r in corpus.lookup([("B", "1"), ("A", "9a"), ("A", "10")]).collect()] == [("1", True), ("9a", False), ("10", True)]
+
+
+def test_paths_and_quantiles():
+    from stratiform.operators import verdicts as V
+
+    actions = {"R": V.DISPLACE, "N": V.DISPLACE, "D": V.DISCARD, "M": V.FRONTIER, "E": V.FRONTIER}
+    got = V.assign_paths(actions, {("R", "M"): True, ("R", "E"): True, ("N", "R"): False}, "B", "E", ["R", "N"], "N")
+    assert got == {"fast": "N", "quality": "E", "discarded": {"D": "inferior", "M": "dominated by R"}, "frontier": ["B", "R"]}
+    assert V.assign_paths({}, {}, "B", "E", ["R"])["fast"] == "B" and V.assign_paths({"R": V.DISPLACE}, {("B", "R"): True}, "B", "E", ["R"])["fast"] == "B"
+    published = {1: 12.70620474, 2: 4.30265273, 5: 2.57058184, 10: 2.22813885, 30: 2.04227246, 199: 1.97195654}
+    assert all(abs(V.t_quantile(0.975, df) - t) < 1e-7 for df, t in published.items())
+
+
+def test_seeded_draws_like_python(spark):
+    import random
+
+    from stratiform.operators import verdicts as V
+
+    deltas = [(i, ((i * 7) % 11 - 4) / 10) for i in range(30)]
+    rng = random.Random(20261013)
+    means = sorted(sum(deltas[i][1] for i in rng.choices(range(30), k=30)) / 30 for _ in range(200))
+    got = V.limits(spark.createDataFrame(deltas, "need int, delta double"), "need", ["delta"], 200, draws=V.python_draws(spark, 30, 200, 20261013)).first()
+    assert [got.low2, got.high2, got.low1, got.high1] == [round(means[i], 6) for i in (5, 194, 10, 189)]
+
+
+def test_question_terms(spark):
+    from stratiform.operators import dependencies
+
+    questions = spark.createDataFrame([(1, "What fees does the payer owe; and when? No spies."), (2, "Nothing")], "query_id int, text string")
+    definitions = spark.createDataFrame([("A", "4.1", "fee"), ("A", "4.2", "spy"), ("B", "2", "payer")], "act string, path string, term string")
+    owners = spark.createDataFrame([("c1", "A", "4.1"), ("c2", "B", "2")], "chunk_id string, act string, path string")
+    got = dependencies.question_terms(questions, definitions, owners).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "A", "fee", "c1", "What fees does the payer owe;"), (1, "B", "payer", "c2", "What fees does the payer owe;")]
