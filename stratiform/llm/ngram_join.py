@@ -14,10 +14,11 @@ of either are missing from the other.
    group. The prefix is extended until rare tokens, plus one less than its frequent tokens in each group,
    exceed tau: without a common rare token and with at most one common frequent token a group, more than
    tau tokens would be missing. So linked sets share a signature.
-3. *Verification* on whole sets: first every holder of a signature against one of them, which shares
-   most of its tokens (linear in the holders); components of these links settle the groups of thousands
-   of near copies without the square of their pairs. Then the pairs of holders in different components,
-   as far as their intersections with the first one leave it possible.
+3. *Verification* on whole sets: every signature has a pivot, a holder that shares most of its tokens.
+   First each set meets one of its pivots; components of these links settle the groups of thousands of
+   near copies with one comparison a set. Where a signature still has holders in different components,
+   all of them meet its pivot, then the pairs of holders in different components meet, as far as their
+   intersections with the pivot leave it possible.
 
 Nothing is dropped: signatures have no cap. Shuffles carry hashes and sets of candidates, never
 texts.
@@ -273,8 +274,8 @@ def signatures_of(tokens: np.ndarray, kinds: np.ndarray, n: int, groups: int, pe
     return np.concatenate(out)
 
 
-def signatures(sets: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
-    """(sig, key, n, r) from sets (r: shared) and the kinds of their tokens (key, marks: array of (token, kind)) of those that aren't alone."""
+def signatures(sets: DataFrame, shared: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """(sig, key, n, r) from sets, their (key, shared) (r: shared) and the kinds of their tokens (key, marks: array of (token, kind)) of those that aren't alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,12 +299,26 @@ def signatures(sets: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
             if sigs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64), pa.int64()), pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(common), pa.int64())], ["sig", "key", "n", "r"])
 
-    rows = sets.join(kinds, "key").select("key", "n", "tokens", "marks", "shared")
+    rows = sets.join(shared, "key").join(kinds, "key").select("key", "n", "tokens", "marks", "shared")
     return C.map_arrow(rows, run, [C.field(c, "long") for c in ("sig", "key", "n", "r")])
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _among(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """The sets (key, n, tokens) whose key may be in ``keys`` (key): a filter of fixed size, nothing is shuffled but the keys."""
+    sent = sets.sparkSession.sparkContext.broadcast(bitmap.build(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bitmap.has(sent.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    rows = sets.select("key", "n", "tokens")
+    return rows.mapInArrow(run, rows.schema)
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, scratch: C.Scratch) -> DataFrame:
     """(a, b, n, m, both): sizes and intersection of the whole sets of distinct pairs (a, b)."""
+    pairs = scratch.keep(pairs)
+    sets = _among(sets, pairs.select(F.explode(F.array("a", "b")).alias("key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,23 +357,29 @@ def _open(signed: DataFrame, known: DataFrame | None, scratch: C.Scratch) -> Dat
     return scratch.keep(labelled.join(mixed, "sig"))
 
 
-def links(sets: DataFrame, percent: int, scratch: C.Scratch) -> DataFrame:
-    """(node, component) of the keys of sets (key, n, shared, tokens) that link with another one."""
+def links(sets: DataFrame, shared: DataFrame, percent: int, scratch: C.Scratch) -> DataFrame:
+    """(node, component) of the keys of sets (key, n, tokens) that link with another one; shared: (key, shared)."""
     tokens = _tokens(sets, percent)
     kinds = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token", F.when(F.col("c") > RARE, 2).otherwise(1).cast("byte").alias("kind"))
     marks = tokens.join(kinds, "token").groupBy("key").agg(F.collect_list(F.struct("token", "kind")).alias("marks"))
-    signed = scratch.keep(signatures(sets, marks, percent))
+    signed = scratch.keep(signatures(sets, shared, marks, percent))
     open_ = _open(signed, None, scratch)
     scratch.drop(signed)
     # a holder that shares most of its tokens, the same one for all signatures where it can be
     order = F.struct(-F.col("r") / F.col("n"), F.xxhash64("key"), "key", "n", "r")
     pivots = scratch.keep(open_.groupBy("sig").agg(F.min(order).alias("p")).select("sig", F.col("p.key").alias("b"), F.col("p.n").alias("m"), F.col("p.r").alias("s")))
-    star = open_.withColumnRenamed("key", "a").join(pivots, "sig").filter(_close(percent))
-    tried = scratch.keep(overlaps(_ordered(star), sets))
-    edges = _linked(tried, percent)
-    known = components(edges, scratch)
-    rest = _open(open_, known, scratch)
+    star = lambda rows: rows.withColumnRenamed("key", "a").join(pivots, "sig").filter(_close(percent))
+    # one pivot a set, in one order for all, then the others where that leaves a question
+    choice = star(open_).groupBy("a").agg(F.min(F.struct(-F.col("s") / F.col("m"), F.xxhash64("b"), "b")).alias("p")).select("a", "p.b")
+    one = scratch.keep(overlaps(_ordered(choice), sets, scratch))
+    early = components(_linked(one, percent), scratch)
+    again = _open(open_, early, scratch)
     scratch.drop(open_)
+    two = scratch.keep(overlaps(_ordered(star(again)).join(one.select("a", "b"), ["a", "b"], "left_anti"), sets, scratch))
+    tried = one.unionByName(two)
+    known = components(early.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_linked(two, percent)), scratch)
+    rest = _open(again, known, scratch)
+    scratch.drop(again)
     held = tried.select("a", "b", "both").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"), "both")).withColumnRenamed("a", "key")
     first = rest.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST).alias("first"))
     near = rest.join(first, "key").join(pivots.select("sig", "b"), "sig").join(held, ["key", "b"], "left").withColumn("o", F.when(F.col("key") == F.col("b"), F.col("n")).otherwise(F.col("both"))).select("sig", F.col("key").alias("a"), "n", "r", "o", "component", "first")
@@ -370,7 +391,7 @@ def links(sets: DataFrame, percent: int, scratch: C.Scratch) -> DataFrame:
     enough = (100 + percent) * most >= percent * (F.col("n") + F.col("m"))
     pairs = near.join(other, "sig").filter((F.col("component") < F.col("other")) & _close(percent) & enough & once)
     left = scratch.keep(_ordered(pairs))
-    last = scratch.keep(_linked(overlaps(left.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets), percent))
+    last = scratch.keep(_linked(overlaps(left.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets, scratch), percent))
     return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last), scratch)
 
 
@@ -383,11 +404,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     docs = C.apart(scratch.keep(_with_sets(df, id_col, text_col, bitmap.build(chosen))), "key", "check", scratch)
     sets = scratch.keep(docs.filter("tokens is not null").select("key", "n", "tokens").dropDuplicates(["key"]))
     for _ in range(COUNTS):
-        shared = census(sets.select("key", "tokens"), size // 7, percent)
-        fewer = scratch.keep(sets.select("key", "n", "tokens").join(shared, "key"))
+        shared = scratch.keep(census(sets.select("key", "tokens"), size // 7, percent))
+        fewer = scratch.keep(_among(sets, shared.select("key")))
         scratch.drop(sets)
         sets = fewer
-    known = links(sets, percent, scratch)
+    known = links(sets, shared, percent, scratch)
     least = docs.filter("n > 0").groupBy("key").agg(F.min(id_col).alias("low"))
     # the sets of a component meet in parts, so that a huge one is not a single task's
     part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
