@@ -29,9 +29,10 @@ def test_fusion_and_merges(spark):
     a, b = run(spark, [(1, 10, 3.0, 1), (1, 11, 2.0, 2), (1, 12, 1.0, 3)]), run(spark, [(1, 12, 9.0, 1), (1, 13, 8.0, 2)])
     fused = [(r.doc_id, r.rank) for r in retrieval.rrf([(a, 1.0), (b, 1.0)], 60, 50).orderBy("rank").collect()]
     assert fused == [(12, 1), (10, 2), (11, 3), (13, 4)]
+    base = run(spark, [(1, d, 1.0, k) for k, d in enumerate((10, 11, 12, 20, 21), 1)])
     hits = spark.createDataFrame([(1, 0, 1, 10), (1, 0, 2, 20), (1, 1, 1, 20), (1, 1, 2, 21)], "query_id long, list int, pos int, doc_id long")
-    merged = [r.doc_id for r in retrieval.round_robin_merge(a, hits, keep=1, total=4).orderBy("rank").collect()]
-    assert merged == [10, 20, 21, 11]
+    merged = [(r.doc_id, r.place) for r in retrieval.decomposition(base, hits, keep=1, total=3).orderBy("rank").collect()]
+    assert merged == [(10, "kept"), (20, "added"), (21, "added"), (11, "rest"), (12, "rest")]
 
 
 def test_pagerank_keeps_its_mass(spark):
@@ -99,11 +100,11 @@ def test_paired_refuses_missing_queries(spark):
 def test_chain_shows_a_changed_row(spark):
     e = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c")], "log long, seq long, x string")
     chained = curation.chain(e, "log", "seq", ["seq", "x"])
-    assert curation.broken_links(chained, "log", "seq").count() == 0
+    assert curation.broken_links(chained, "log", "seq", ["seq", "x"]).count() == 0
     from pyspark.sql import functions as F
 
     forged = chained.withColumn("own", F.when(F.col("seq") == 2, "0").otherwise(F.col("own")))
-    assert [r.seq for r in curation.broken_links(forged, "log", "seq").collect()] == [3]
+    assert [r.seq for r in curation.broken_links(forged, "log", "seq", ["seq", "x"]).collect()] == [2]
 
 
 def test_chunks_are_highest_fitting_subtrees(spark):
