@@ -6,7 +6,7 @@ Checks return violations as (rule, key, n): an empty result is a passed check.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NODE = ["act", "path"]
@@ -144,9 +144,10 @@ def without_excluded(nodes: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def titles(nodes: DataFrame) -> DataFrame:
-    """Articles (act, path, title) in their order: by number, then by what follows it."""
+    """Articles (act, path, title, place) in their order: by number, then by what follows it."""
     number = F.regexp_extract("path", r"^(\d*)", 1)
-    return nodes.filter(~F.col("path").contains(".")).select("act", "path", "title").orderBy("act", F.when(number != "", number.cast("int")), F.regexp_extract("path", r"^\d*(.*)$", 1))
+    order = Window.partitionBy("act").orderBy(F.when(number != "", number.cast("int")), F.regexp_extract("path", r"^\d*(.*)$", 1))
+    return nodes.filter(~F.col("path").contains(".")).select("act", "path", "title").withColumn("place", F.row_number().over(order)).orderBy("act", "place")
 
 
 def forbidden(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:

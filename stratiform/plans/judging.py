@@ -138,8 +138,7 @@ def excluded_articles(spark: SparkSession, sf: str) -> DataFrame:
 SELECT act, path, title, row_number() OVER (ORDER BY regexp_extract(path, '^(\\d*)', 1)::INT, regexp_extract(path, '^\\d*(.*)$', 1)) AS place FROM a""")
 def article_titles(spark: SparkSession, sf: str) -> DataFrame:
     a = made(spark, sf, "SELECT 'N' AS act, concat(CAST(n_nationkey % 7 AS STRING), CASE WHEN n_nationkey > 12 THEN concat('a', CAST(n_nationkey AS STRING)) ELSE '' END) AS path, n_name AS title FROM nation WHERE n_nationkey < 7 OR n_nationkey > 12")
-    rows = J.titles(a.unionByName(a.withColumn("path", F.concat("path", F.lit(".1")))))
-    return rows.select("act", "path", "title", (F.monotonically_increasing_id() + 1).alias("place")) if rows.rdd.getNumPartitions() == 1 else rows.coalesce(1).select("act", "path", "title", (F.monotonically_increasing_id() + 1).alias("place"))
+    return J.titles(a.unionByName(a.withColumn("path", F.concat("path", F.lit(".1"))))).withColumn("place", F.col("place").cast("long"))
 
 
 @register("forbidden_terms", r"""WITH t AS (SELECT unnest(['license', 'THE  the', 'no.?thing', '[0-9]{6}', '']) AS term, unnest(['literal', 'folded', 'regex', 'regex', 'exact']) AS kind)
