@@ -47,3 +47,18 @@ def build(keys: DataFrame, key_col: str = "key") -> np.ndarray:
 def has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = places(keys)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def parted(df: DataFrame, bits: np.ndarray, key_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose key (a long) may be in the set, and those whose key surely isn't; nothing is shuffled."""
+    sent, at = df.sparkSession.sparkContext.broadcast(bits), df.columns.index(key_col)
+
+    def side(inside: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = has(sent.value, batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64))
+                yield batch.filter(pa.array(hit == inside))
+
+        return df.mapInArrow(run, df.schema)
+
+    return side(True), side(False)

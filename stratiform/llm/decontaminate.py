@@ -205,6 +205,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 13, share: int = 20, limit: int = MAX_PATTERN_BYTES) -> DataFrame:
     """The rows of ``docs`` whose text isn't contaminated, with all their columns; told by the text, so rows without an id and rows that share one are judged each on its own."""
+    blocks = _blocks(benchmark, item_col, item_text, size, limit)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        # one block: every row is judged where it lies, nothing is shuffled
+        sent, at = docs.sparkSession.sparkContext.broadcast(first), docs.columns.index(text_col)
+
+        def clean(matcher: Matcher, text: str | None) -> bool:
+            n, ranges, _ = matcher.find(text)
+            hit = sum(b - a for a, b in ranges)
+            return not hit or share * hit < n
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value)
+            for batch in batches:
+                yield batch.filter(pa.array([clean(matcher, t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
     keyed = docs.withColumn("key_", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     found = contamination(keyed.select("key_", text_col), benchmark, "key_", text_col, item_col, item_text, size, share, limit)
     return keyed.join(found.filter("contaminated").select("key_").distinct(), "key_", "left_anti").select(*docs.columns)

@@ -80,7 +80,7 @@ class _Words(dict):
 
 
 #: Words whose hashes are remembered, and words hashed at a time.
-KNOWN, PIECE = 1 << 18, 1 << 16
+KNOWN, PIECE = 1 << 16, 1 << 16
 _known = _Words()
 
 
