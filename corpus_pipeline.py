@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratiform.llm import bpe_replay, decontaminate, ngram_join, pii_bootstrap, toxicity_pu
+from stratiform.llm import bitmap, bpe_replay, decontaminate, ngram_join, pii_bootstrap, toxicity_pu
 from stratiform.llm.common import Scratch, pick, table
 from stratiform.shipping import ship
 
@@ -40,11 +40,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     docs = pick(docs, *COLUMNS)
     # A row is told by its id and text: in the order of the ids, which the decimal form with an offset keeps.
     row = F.concat(F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0"), F.md5(F.coalesce("text", F.lit(""))))
-    keyed = docs.withColumn("row_", row)
-    kept = ngram_join.classes(keyed.filter("row_ is not null"), "row_").filter("row_ = component_id").select("row_").distinct()
+    keyed = docs.withColumn("row_", row).withColumn("at_", F.xxhash64("row_"))
+    scratch = Scratch(spark, "near-copies")
+    judged = scratch.keep(ngram_join.classes(keyed.filter("row_ is not null"), "row_").select("row_", F.expr("coalesce(row_ <> component_id, false)").alias("gone")))
+    # only rows that may go, or that stand there several times, are shuffled with their texts
+    doubtful = scratch.keep(judged.groupBy("row_").agg(F.max("gone").alias("gone"), F.count("*").alias("n")).filter("gone or n > 1").select("row_", "gone", F.xxhash64("row_").alias("at_")))
+    open_, clear = bitmap.parted(keyed, bitmap.build(doubtful, "at_"), "at_")
     first = Window.partitionBy("row_").orderBy("lang", "source", "n_chars")
-    known = keyed.join(kept, "row_", "left_semi").withColumn("n_", F.row_number().over(first)).filter("n_ = 1")
-    return known.select(*COLUMNS).unionByName(docs.filter("doc_id is null"))
+    known = open_.filter("row_ is not null").join(doubtful.filter("gone").select("row_"), "row_", "left_anti").withColumn("n_", F.row_number().over(first)).filter("n_ = 1")
+    return known.select(*COLUMNS).unionByName(clear.filter("row_ is not null").select(*COLUMNS)).unionByName(docs.filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
