@@ -144,4 +144,42 @@ SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(o.doc_id)
 FROM doc d JOIN reach USING (r) JOIN doc o ON o.r = reach.other LEFT JOIN size ON size.r = d.r GROUP BY d.r, d.doc_id
 """
 
-ORACLES = {"op6_suffix_dedup": OP6, "op7_quotation_links": OP7, "op8_wu_manber": OP8, "op9_ngram_join": OP9, "op10_warc_reader": OP10}
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Codebooks round by round: ``book`` (part, entry, position, x), ``near`` (vector, part, entry, squared distance)."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+  SELECT vec_id, p, min(d * 16 + k) % 16 AS k, min(d * 16 + k) // 16 AS d
+  FROM (SELECT c.vec_id, c.p, b.k, sum((c.x - b.x) * (c.x - b.x)) AS d FROM comp c JOIN book{r} b USING (p, j) GROUP BY ALL) GROUP BY ALL
+)""")
+        if r < rounds:
+            steps.append(f"""
+moved{r} AS (
+  SELECT p, j, k, (s - ((s % n) + n) % n) // n AS x FROM (SELECT p, j, n2.k, sum(x) AS s, count(*) AS n FROM comp JOIN near{r} n2 USING (vec_id, p) GROUP BY ALL)
+), book{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.j, b.k, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN moved{r} m USING (p, j, k)
+)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v, len(embedding) // 8 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), comp AS MATERIALIZED (
+  SELECT vec_id, i // w AS p, i % w AS j, v[i + 1] AS x FROM (SELECT *, unnest(range(len(v))) AS i FROM kept)
+), book0 AS MATERIALIZED (
+  SELECT p, j, k, x FROM comp JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept ORDER BY vec_id LIMIT 16) USING (vec_id)
+), {", ".join(steps)}, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', CAST(k AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY ALL
+), digest AS (
+  SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, k, j)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest
+"""
+
+
+OP11 = _codes_sql()
+
+ORACLES = {"op6_suffix_dedup": OP6, "op7_quotation_links": OP7, "op8_wu_manber": OP8, "op9_ngram_join": OP9, "op10_warc_reader": OP10, "op11_vector_codes": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratiform.llm import bpe_replay, decontaminate, html_crf, ngram_join, ogg, pii_bootstrap, quotes, suffix_dedup, toxicity_pu, warc
+from stratiform.llm import bpe_replay, decontaminate, html_crf, ngram_join, ogg, pii_bootstrap, quotes, suffix_dedup, token_alignment, token_counts, toxicity_pu, vector_codes, warc
 from stratiform.llm.common import table
 from stratiform.llm.oracles import ORACLES
 from stratiform.shipping import ship
@@ -64,7 +64,22 @@ def op10_warc_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ogg_media, op2_html_crf, op3_toxicity_pu, op4_pii_bootstrap, op5_bpe_replay, op6_suffix_dedup, op7_quotation_links, op8_wu_manber, op9_ngram_join, op10_warc_reader)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return token_alignment.align(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ogg_media, op2_html_crf, op3_toxicity_pu, op4_pii_bootstrap, op5_bpe_replay, op6_suffix_dedup, op7_quotation_links, op8_wu_manber, op9_ngram_join, op10_warc_reader, op11_vector_codes, op12_token_alignment, op13_token_counts)}
 
 
 def queries() -> dict[str, Query]:
