@@ -8,15 +8,16 @@ with the sigmoid loss: where the second part falls below 0, the step goes the ot
 classifier can't win by calling every unlabelled text clean. The class prior is the share of toxic
 rows among the labels of the training folds.
 
-The fit takes at most about ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` texts, drawn by a hash of the id;
-their distinct features go to the driver. Labels are drawn first (a table of at most
-``MAX_POSITIVE`` ids, the only thing that is broadcast), so documents are neither shuffled nor
-sorted. Every whole text is scored.
+The fit takes about ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` texts at most, drawn by a hash of the id at a rate
+made of the number of distinct ids; their distinct features go to the driver. Labels are drawn first
+(a table of about ``MAX_POSITIVE`` ids, the only thing that is broadcast), so documents are neither shuffled
+nor sorted. Every whole text is scored.
 
 Defined cases: a null or empty text has no feature, its score is that of the bias; a null id is in no
 held-out fold, has no label and is not learnt from; null labels are ignored; an id with both labels
 counts as toxic. Without any positive label the score is 0 everywhere. Repeated rows count once in the
-fit and pass through the scoring; other columns are ignored.
+fit, in its sampling rate, too, and pass through the scoring. Empty texts with an id are unlabelled texts like
+others and belong to U; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,6 @@ MAX_UNLABELLED = 12_000
 #: Features that fewer positive texts hold are left out, and those that aren't clearly more frequent
 #: in P than in U: so many texts, such a share of P, so many standard errors, so many times. Clean features are as frequent in both.
 MIN_DF, MIN_SHARE, MIN_Z, MIN_RATIO = 3, 0.005, 5.0, 2.0
-MAX_FEATURES = 20_000
 STEPS = 300
 #: Lower, and texts with one telling word would lie where the loss is flat.
 MIN_BIAS = -2.0
@@ -178,7 +178,7 @@ def telling(positive: Counter[str], unlabelled: Counter[str], n_p: int, n_u: int
         z = (p - u) / math.sqrt(max(1e-12, both * (1 - both)) * (1 / n_p + 1 / n_u))
         if z >= MIN_Z and p >= MIN_RATIO * u:
             strength[f] = z
-    return sorted(sorted(strength, key=lambda f: (-strength[f], f))[:MAX_FEATURES])
+    return sorted(strength)
 
 
 def learn(positive: list[str], unlabelled: list[str], prior: float) -> Model:
@@ -200,8 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not toxic:
         return None
     src = C.pick(docs, id_col, text_col).filter(F.col(id_col).isNotNull())
-    chosen = known.filter((F.col("y_") > 0) & _sampled(max_positive, toxic, F.col(id_col))).select(id_col, F.lit(True).alias("p_")).limit(2 * max_positive)
-    marked = src.join(F.broadcast(chosen), id_col, "left").select(F.col(id_col).cast("string").alias("id"), F.coalesce("p_", F.lit(False)).alias("p_"), _sampled(max_unlabelled, src.count(), F.concat_ws("|", F.lit("u"), id_col)).alias("u_"), text_col)
+    chosen = known.filter((F.col("y_") > 0) & _sampled(max_positive, toxic, F.col(id_col))).select(id_col, F.lit(True).alias("p_"))
+    total = src.agg(F.approx_count_distinct(id_col, 0.01)).first()[0]  # copies of a row change neither this nor the hashes
+    marked = src.join(F.broadcast(chosen), id_col, "left").select(F.col(id_col).cast("string").alias("id"), F.coalesce("p_", F.lit(False)).alias("p_"), _sampled(max_unlabelled, total, F.concat_ws("|", F.lit("u"), id_col)).alias("u_"), text_col)
     held = sorted((r.positive, r.unlabelled, r.words) for r in _word_rows(marked.filter("p_ or u_")).distinct().toLocalIterator())
     positive, unlabelled = [words for p, _, words in held if p], [words for _, u, words in held if u]
     return learn(positive, unlabelled, toxic / n if prior is None else prior) if positive and unlabelled else None
