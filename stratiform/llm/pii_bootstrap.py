@@ -15,13 +15,14 @@ back to the documents by the hash of the text. Lineage is cut by tables in the s
 
 Defined cases: null counts as empty text, without spans; null ids and repeated rows pass through;
 equal texts get equal spans; an empty table gives an empty table; other columns are ignored. Very long
-digit or word runs are read in linear time.
+digit or word runs are read in linear time, also with a candidate at every second character.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -128,30 +129,61 @@ def _short(word: str) -> str:
     return word if len(word) <= LONG_WORD else "#" + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def _word_before(text: str, end: int) -> tuple[str, int]:
-    """The last word that begins before ``end``, and where."""
-    while end > 0 and text[end - 1].isspace():
-        end -= 1
-    start = end
-    while start > 0 and not text[start - 1].isspace():
-        start -= 1
-    return text[start:end], start
+_WORD = re.compile(r"\S+")
 
 
-_WORD_AFTER = re.compile(r"\s*(\S+)")
+def _plain(word: str) -> str:
+    """Lower case, character by character, digits as 0."""
+    return _DIGITS.sub("0", word.lower() if word.isascii() else "".join([c.lower()[:1] for c in word]))
 
 
-def _around(text: str, start: int, end: int) -> list[str]:
-    """Patterns: the two words before; the word before and the word after, all whole. Digits become 0."""
-    plain = lambda w: _short(_DIGITS.sub("0", w.lower()))
-    near, at = _word_before(text, start)
-    if not near:
+def _running(word: str, cuts: set[int]) -> dict[int, str]:
+    """Digests of the beginnings of a word, all in one pass over it."""
+    h, at, out = hashlib.blake2b(digest_size=16), 0, {}
+    for cut in sorted(cuts):
+        h.update(word[at:cut].encode("utf-8", "surrogatepass"))
+        at, out[cut] = cut, "#" + h.copy().hexdigest()
+    return out
+
+
+def _around(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
+    """Patterns of each span: the two words before; the word before and the word after, all whole. Digits become 0.
+
+    Of the word a span stands in, what is before the span and what is behind it are words. The long ones
+    are told by digests: of all beginnings (or, for the word after, ends) of one word in a single pass.
+    """
+    if not spans:
         return []
-    far, _ = _word_before(text, at)
-    after = _WORD_AFTER.match(text, end)
-    out = [f"L {plain(far)} {plain(near)}"] if far else []
-    if after:
-        out.append(f"B {plain(near)} _ {plain(after[1])}")
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts = [s for s, _ in words]
+    asked: list[list[tuple[int, int] | None]] = []  # far, near, after: a word's number and where it is cut
+    ahead: dict[int, set[int]] = {}
+    behind: dict[int, set[int]] = {}
+
+    def note(held: dict[int, set[int]], k: int, cut: int, size: int) -> tuple[int, int]:
+        if size > LONG_WORD:
+            held.setdefault(k, set()).add(cut)
+        return k, cut
+
+    for start, end in spans:
+        i, j = bisect_right(starts, start) - 1, bisect_right(starts, end - 1) - 1
+        own = starts[i] < start
+        near = (i, start) if own else (i - 1, words[i - 1][1]) if i else None
+        far = near and near[0] and (near[0] - 1, words[near[0] - 1][1]) or None
+        after = (j, end) if end < words[j][1] else (j + 1, words[j + 1][0]) if j + 1 < len(words) else None
+        asked.append([x and note(ahead, *x, x[1] - words[x[0]][0]) for x in (far, near)] + [after and note(behind, *after, words[after[0]][1] - after[1])])
+    before = {(k, words[k][0] + c): d for k, cuts in ahead.items() for c, d in _running(_plain(text[slice(*words[k])]), {c - words[k][0] for c in cuts}).items()}
+    later = {(k, words[k][1] - c): d for k, cuts in behind.items() for c, d in _running(_plain(text[slice(*words[k])])[::-1], {words[k][1] - c for c in cuts}).items()}
+    out = []
+    for far, near, after in asked:
+        own = []
+        if near:
+            told = before.get(near) or _plain(text[words[near[0]][0] : near[1]])
+            if far:
+                own.append(f"L {before.get(far) or _plain(text[words[far[0]][0] : far[1]])} {told}")
+            if after:
+                own.append(f"B {told} _ {later.get(after) or _plain(text[after[1] : words[after[0]][1]])}")
+        out.append(own)
     return out
 
 
@@ -182,7 +214,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 base = base_spans(text)
                 bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
                 found = base + [(-1, s, e) for s, e in tokens(text, base)]
-                mentions.append([{"start": s, "end": e, "instance": _short(text[s:e].lower()), "patterns": p, "kind": k} for k, s, e in found if (p := _around(text, s, e))])
+                around = _around(text, [(s, e) for _, s, e in found])
+                mentions.append([{"start": s, "end": e, "instance": _short(text[s:e].lower()), "patterns": p, "kind": k} for (k, s, e), p in zip(found, around, strict=True) if p])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), batch.column(2), pa.array(bases, span), pa.array(mentions, mention)], [id_col, "key", "base", "mentions"])
 
     return C.map_arrow(src, run, [C.id_field(src, id_col), C.field("key", "string"), C.field("base", "array<struct<kind:int,start:int,end:int>>"), C.field("mentions", _MENTION)])
