@@ -153,14 +153,22 @@ class Reader:
         self._held = bytearray()
         while (start := held.find(b"WARC/", at)) >= 0 and (end := held.find(b"\r\n\r\n", start)) >= 0:
             head = held[start:end]
-            size = next((int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
-            at = end + 4 + size
+            said = {x.partition(b":")[2].strip() for x in head.split(b"\r\n") if x[:15].lower() == b"content-length:"}
+            if len(said) != 1 or not (size := said.pop()).isdigit() or len(size) > _LENGTH:
+                # no length to go by: the next record is looked for behind this header
+                self.damaged += 1
+                at = end + 4
+                continue
+            at = end + 4 + int(size)
             if at > len(held):
                 self.damaged += 1
-                return
+                at = end + 4
+                continue
             yield Record(head, held[end + 4 : at])
 
 
+#: Digits of the longest length that is read.
+_LENGTH = 18
 _LONG = "cast(conv(substring({0}, 1, 15), 16, 10) as bigint)"
 
 
