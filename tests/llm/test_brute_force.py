@@ -2,16 +2,20 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from stratiform.llm import bpe_replay, common, decontaminate, hashing, html_crf, ngram_join, ogg, pii_bootstrap, quotes, suffix_dedup, toxicity_pu, warc
 from stratiform.llm.common import table
@@ -254,13 +258,24 @@ def test_toxicity_of_odd_rows(spark):
     texts = [" ".join(f"w{rnd.randrange(500)}" for _ in range(20)) + (" slur" if i % 8 == 0 else "") for i in range(800)]
     labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(800)] + [(3, None), (None, 1)], "doc_id long, toxic int")
     rows = list(enumerate(texts))
+    rows += [(9000, None), (9001, "")]
     plain = {r.doc_id: r.score for r in toxicity_pu.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
-    odd = toxicity_pu.toxicity(spark.createDataFrame(rows + rows[:50] + [(None, "a slur")] * 300 + [(9000, None), (9001, "")], "doc_id long, text string"), labels).collect()
-    assert {r.doc_id: r.score for r in odd if r.doc_id is not None and r.doc_id < 9000} == plain
+    odd = toxicity_pu.toxicity(spark.createDataFrame(rows + rows[:50] + [(None, "a slur")] * 300, "doc_id long, text string"), labels).collect()
+    assert {r.doc_id: r.score for r in odd if r.doc_id is not None} == plain
     assert len({r.score for r in odd if r.doc_id in (9000, 9001)}) == 1 and all(r.predicted == 0 for r in odd if r.doc_id in (9000, 9001))
     assert all(r.predicted == 1 for r in odd if r.doc_id is None) and len(odd) == 1152
 
 
+def test_repeated_rows_above_the_sampling_bound(spark):
+    """Where U is a sample, copies of rows move neither its rate nor the fit."""
+    rnd = random.Random(10)
+    rows = [(i, " ".join(f"w{rnd.randrange(300)}" for _ in range(12)) + (" slur" if i % 10 == 0 else "")) for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(0, 3000, 3)], "doc_id long, toxic int")
+    train = lambda r: toxicity_pu.train(spark.createDataFrame(r, "doc_id long, text string"), labels, max_positive=40, max_unlabelled=500)
+    a, b = train(rows), train(rows + rows[:1500] * 2)
+    assert a.weights and a.weights == b.weights and a.bias == b.bias
+
+
 def test_held_out_pages():
     model, wrong, total = html_crf.default_model(), 0, 0
     for page, labels in html_crf.labelled_pages(150, seed=99):
@@ -280,6 +295,34 @@ def test_warc_reader_takes_pieces_and_shows_damage():
     assert len(list(warc.Reader().feed(data[:-10]))) == 4
 
 
+def test_warc_reader_survives_any_length():
+    """No length crashes or stalls the reader; records before and behind a damaged header are read."""
+    good = [warc.page_record(i, f"http://a/{i}", "<p>x</p>", None, False) for i in range(2)]
+    plain = gzip.decompress(good[0])
+    said = re.search(rb"Content-Length: (\d+)", plain)
+    for bad in (b"abc", b"", b"-54", b"-1", b"1e3", b"9" * 30, b"+3", b"0x10", "²".encode(), b"99999", b"3\r\nContent-Length: 4"):
+        broken = gzip.compress(plain[: said.start(1)] + bad + plain[said.end(1) :])
+        reader = warc.Reader()
+        assert len([r for piece in (good[0], broken, good[1]) for r in reader.feed(piece)]) == 2, bad
+        assert reader.damaged >= 1
+        joined = gzip.compress(plain + plain[: said.start(1)] + bad + plain[said.end(1) :] + plain)
+        assert len(list(warc.Reader().feed(joined))) >= 2
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_warc_reader_on_random_damage(data):
+    records = [warc.page_record(i, f"http://a/{i}", f"<p>{i}</p>", None, False) for i in range(3)]
+    raw = bytearray(gzip.decompress(records[1]))
+    for _ in range(data.draw(st.integers(1, 6))):
+        at = data.draw(st.integers(0, len(raw) - 1))
+        raw[at : at + data.draw(st.integers(0, 9))] = data.draw(st.binary(max_size=9))
+    reader = warc.Reader()
+    found = [r for piece in (records[0], gzip.compress(bytes(raw)), records[2]) for r in reader.feed(piece)] + list(reader.finish())
+    assert [r.payload for r in found if r.valid][:1] == [b"<p>0</p>"] and found[-1].payload == b"<p>2</p>"
+    assert len(found) < 3 + len(raw)
+
+
 def test_pipeline_takes_effect(spark, sf):
     import corpus_pipeline
 
@@ -294,6 +337,28 @@ def test_pipeline_takes_effect(spark, sf):
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == {r.doc_id for r in docs.collect()}
 
 
+def test_contexts_by_a_plain_rule():
+    def plain(text, start, end):
+        flat = lambda w: pii_bootstrap._short(re.sub("[0-9]", "0", "".join(c.lower()[:1] for c in w)))
+        before, after = text[:start].split(), text[end:].split()
+        turned = lambda w: flat(w) if len(w) <= pii_bootstrap.LONG_WORD else pii_bootstrap._short(pii_bootstrap._plain(w)[::-1])
+        out = [f"L {flat(before[-2])} {flat(before[-1])}"] if len(before) > 1 else []
+        return out + ([f"B {flat(before[-1])} _ {turned(after[0])}"] if before and after else [])
+
+    rnd = random.Random(12)
+    for _ in range(400):
+        text = "".join(rnd.choice(["1", "a", ",", " ", "x9", "@", "\n", "Σ", "İ", "long" * 20]) for _ in range(rnd.randrange(1, 60)))
+        spans = [(s, e) for s, e in pii_bootstrap.tokens(text, [])]
+        assert pii_bootstrap._around(text, spans) == [plain(text, s, e) for s, e in spans]
+
+
+def test_contexts_inside_one_long_word_take_linear_time():
+    text = "word " + "1," * 500_000
+    began = time.time()
+    spans = pii_bootstrap.tokens(text, pii_bootstrap.base_spans(text))
+    assert len(pii_bootstrap._around(text, spans)) == 500_000 and time.time() - began < 30
+
+
 def thue_morse(n, letters):
     word = letters[0]
     while len(word) < n:
