@@ -7,8 +7,9 @@ and decoded by Viterbi. ``default_model`` trains on pages that ``labelled_pages`
 ``train`` takes any others. Extraction is narrow: no shuffle, one page at a time.
 
 Defined cases: null or empty html gives an empty text; cut pages and unclosed or stray tags are read
-as far as they go, tags may be nested to any depth; pages without text give an empty text; null ids and
-repeated rows pass through; other columns are ignored.
+as far as they go, tags may be nested to any depth; the tags that HTML lets a page leave out (</head>, <body>,
+</p>, </li>) are filled in; what the attributes hidden, aria-hidden or style hide is no text; pages
+without text give an empty text; null ids and repeated rows pass through; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,11 @@ RAW = frozenset("script style textarea title iframe noframes xmp noembed".split(
 HIDDEN = frozenset("head noscript template svg math select option button canvas audio video object datalist input".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _ENDS_P = BLOCK - {"body", "html", "head"}
+#: Start tags that may stand in a head (any other, and text, ends it), and those that end an open svg or math.
+_IN_HEAD = frozenset("head html title meta link base basefont bgsound script style noscript noframes template".split())
+_BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s section article small span strong strike sub sup table tt u ul var".split())
+#: Inside these elements of svg and math stands ordinary html.
+_ISLANDS = frozenset("foreignobject desc annotation-xml".split())
 _SCOPE = frozenset("td th table caption article section div body main aside nav header footer form blockquote ul ol".split())
 _REGION = frozenset("article main nav header footer aside form".split())
 _SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -41,7 +48,9 @@ _SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td t
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""\s*/?\s*([^\s=>/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _PART = re.compile(r"[a-z]+|[0-9]+")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _SPACE = re.compile(r"\s+")
+_EMPTY_COMMENT, _COMMENT_END = re.compile(r"<!---?>"), re.compile(r"--!?>")
 
 
 @dataclass
@@ -65,26 +74,34 @@ class _Open:
     tags: tuple[str, ...]
     names: tuple[str, ...]
     near: tuple[str, ...]
+    hides: bool = False
 
 
 _NONE = _Open("", (), (), ("",))
 
 
-def _tag(page: str, at: int) -> tuple[str, str, int]:
-    """Name, class and id words, and the end of the tag that begins at ``at`` (behind < or </)."""
+def _tag(page: str, at: int) -> tuple[str, str, bool, int]:
+    """Name, class and id words, whether its attributes hide its content, and the end of the tag that begins at ``at`` (behind <)."""
     name = _NAME.match(page, at).group()
     at += len(name)
-    names = ""
+    names, hides = "", False
     n = len(page)
     while at < n and page[at] != ">":
         m = _ATTRIBUTE.match(page, at)
         if not m or m.end() == at:
             at += 1
             continue
-        if m[1].lower() in ("class", "id", "role"):
-            names += " " + (m[2] or m[3] or m[4] or "")
+        attribute, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if attribute in ("class", "id", "role"):
+            names += " " + value
+        elif attribute == "hidden":
+            hides = value.lower() != "until-found" or hides
+        elif attribute == "aria-hidden":
+            hides = value.strip().lower() == "true" or hides
+        elif attribute == "style":
+            hides = bool(_NOT_SHOWN.search(_html.unescape(value))) or hides
         at = m.end()
-    return name.lower(), names, at + 1
+    return name.lower(), names, hides, at + 1
 
 
 def blocks(page: str | None, known: Callable[[str], bool] | None = None) -> list[Block]:
@@ -110,27 +127,29 @@ def blocks(page: str | None, known: Callable[[str], bool] | None = None) -> list
             pieces.clear()
         linked = 0
 
-    def push(tag: str, own: str) -> None:
+    def push(tag: str, own: str, hides: bool) -> None:
         nonlocal hidden, in_link
         above = stack[-1] if stack else _NONE
         words = [w for w in _PART.findall(own.lower()) if known is None or known(w)] if own else []
         new = [w for w in dict.fromkeys(words) if w not in above.names]
         tags = above.tags if tag in above.tags else (*above.tags, tag)
-        stack.append(_Open(tag, tags, (*above.names, *new) if new else above.names, (tag, *words) if own or tag in _REGION else above.near))
+        stack.append(_Open(tag, tags, (*above.names, *new) if new else above.names, (tag, *words) if own or tag in _REGION else above.near, hides or tag in HIDDEN))
         count[tag] += 1
-        hidden += tag in HIDDEN
+        hidden += stack[-1].hides
         in_link += tag == "a"
 
     def pop_to(k: int) -> None:
         nonlocal hidden, in_link
         for x in stack[k:]:
             count[x.tag] -= 1
-            hidden -= x.tag in HIDDEN
+            hidden -= x.hides
             in_link -= x.tag == "a"
         del stack[k:]
 
     def add(raw: str) -> None:
         nonlocal linked
+        if stack and stack[-1].tag == "head" and raw.strip():
+            pop_to(len(stack) - 1)
         if raw and not hidden:
             text = _html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
@@ -146,13 +165,27 @@ def blocks(page: str | None, known: Callable[[str], bool] | None = None) -> list
         add(page[at:lt])
         nxt = page[lt + 1 : lt + 2]
         if page.startswith("<!--", lt):
-            end = page.find("-->", lt + 4)
-            at = n if end < 0 else end + 3
+            if empty := _EMPTY_COMMENT.match(page, lt):
+                at = empty.end()
+                continue
+            end = _COMMENT_END.search(page, lt + 4)
+            at = n if not end else end.end()
         elif nxt in ("!", "?"):
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
         elif nxt.isascii() and nxt.isalpha():
-            name, names, at = _tag(page, lt + 1)
+            name, names, hides, at = _tag(page, lt + 1)
+            if stack and stack[-1].tag == "head" and name not in _IN_HEAD:
+                flush()
+                pop_to(len(stack) - 1)
+            if name in _BREAKS_OUT and (count["svg"] or count["math"]):
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k].tag in _ISLANDS:
+                        break
+                    if stack[k].tag in ("svg", "math"):
+                        pop_to(k)
+                        if not (count["svg"] or count["math"]):
+                            break
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
                 at = n if not end else end.start()
@@ -173,12 +206,12 @@ def blocks(page: str | None, known: Callable[[str], bool] | None = None) -> list
                             break
                         if stack[k].tag in ("ul", "ol", "dl", "table", "menu"):
                             break
-                if name == "body" and count["head"]:
+                if name == "body" and count["head"]:  # a head's own hidden element was left open
                     pop_to(next(k for k, x in enumerate(stack) if x.tag == "head"))
             elif name == "br":
                 add(" ")
             if name not in VOID and page[at - 2 : at - 1] != "/" or name in BLOCK and name != "hr":
-                push(name, names)
+                push(name, names, hides)
         elif nxt == "/" and (m := _NAME.match(page, lt + 2)):
             name = m.group().lower()
             end = page.find(">", m.end())
@@ -316,8 +349,8 @@ BOILERPLATE_NAMES = {
 }
 
 
-def labelled_pages(n: int = 500, seed: int = 7) -> Iterator[tuple[str, dict[str, int]]]:
-    """Training pages written by rule: html, and the label of every block's text."""
+def labelled_pages(n: int = 500, seed: int = 7, plain: float = 0.0) -> Iterator[tuple[str, dict[str, int]]]:
+    """Training pages written by rule: html, and the label of every block's text. ``plain``: share of pages whose article stands in elements without a telling tag or name."""
     rnd = random.Random(seed)
     syllables = "an be con de er fi ga ho in ja ke lo mi no or pa qui re sa te un ve wi za".split()
     count = 0
@@ -333,6 +366,7 @@ def labelled_pages(n: int = 500, seed: int = 7) -> Iterator[tuple[str, dict[str,
 
     for _ in range(n):
         labels: dict[str, int] = {}
+        bare = plain > 0 and rnd.random() < plain
 
         def leaf(tag: str, text: str, y: int, inner: str = "", labels: dict[str, int] = labels) -> str:
             labels[text] = y
@@ -346,6 +380,8 @@ def labelled_pages(n: int = 500, seed: int = 7) -> Iterator[tuple[str, dict[str,
             tag = tag if rnd.random() < 0.6 else "div"
             mark = f' {rnd.choice(["class", "id"])}="{name}"' if tag == "div" or rnd.random() < 0.5 else ""
             inside = ""
+            if bare and kind in ("nav", "footer", "share") and rnd.random() < 0.5:
+                tag, mark = "div", ""
             if kind in ("nav", "share"):
                 inside = "<ul>" + "".join(leaf("li", words(1, 3), 0, "a") for _ in range(rnd.randint(3, 8))) + "</ul>"
             elif kind == "header":
@@ -390,6 +426,14 @@ def labelled_pages(n: int = 500, seed: int = 7) -> Iterator[tuple[str, dict[str,
                     out.append(part(rnd.choice(["ad", "aside", "share", "notice"])))
             if rnd.random() < 0.15:
                 out.append(part(rnd.choice(["comments", "share", "aside"])))
+            if bare:
+                body = "".join(out)
+                how = rnd.choice(["none", "none", "div", "named", "nested", "cell", "blocks"])
+                made = "".join(rnd.choice(syllables) for _ in range(3))
+                if how == "blocks":
+                    return re.sub(r"</?p\b", lambda m: m[0][:-1] + "div", body)
+                wrap = {"none": ("", ""), "div": ("<div>", "</div>"), "named": (f'<div class="{made}" id="{made[::-1]}">', "</div>"), "nested": ("<div><div>", "</div></div>"), "cell": ("<table><tr><td>", "</td></tr></table>")}
+                return wrap[how][0] + body + wrap[how][1]
             tag = rnd.choice(["article", "article", "article", "main", "section", "div", "div"])
             mark = f' {rnd.choice(["class", "id"])}="{rnd.choice(CONTENT_NAMES)}"' if tag in ("div", "section") or rnd.random() < 0.3 else ""
             return f"<{tag}{mark}>{''.join(out)}</{tag}>"
@@ -402,14 +446,15 @@ def labelled_pages(n: int = 500, seed: int = 7) -> Iterator[tuple[str, dict[str,
 
 def labelled_blocks(pages: Iterable[tuple[str, dict[str, int]]]) -> Iterator[tuple[list[Block], list[int]]]:
     """Pages with labels by text, as blocks with labels; blocks of unknown text are boilerplate."""
+    listed = {w for name in (*CONTENT_NAMES, *(x for own in BOILERPLATE_NAMES.values() for x in own), "comment body reply") for w in _PART.findall(name)}
     for page, labels in pages:
-        b = blocks(page)
+        b = blocks(page, listed.__contains__)
         yield b, [labels.get(x.text, 0) for x in b]
 
 
 @lru_cache(1)
 def default_model() -> Crf:
-    return train(labelled_blocks(labelled_pages()))
+    return train(labelled_blocks(chain(labelled_pages(), labelled_pages(300, 11, 1.0))))
 
 
 def extract(page: str | None, model: Crf) -> str:
