@@ -588,6 +588,85 @@ def test_real_pages_by_another_rule(sf):
     assert true > 100 and 2 * hit / (said + true) > 0.99
 
 
+PROSE = ["Prose that goes on for a while, with commas, and ends here.", "Another paragraph of some length follows the first one; it says more.", "The third paragraph isn't long.", "A fourth one, of words and of marks, stands here too.", "The last paragraph ends the page."]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in PROSE)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>t</title><article>{PARAGRAPHS}</article>",
+        f"<title>t</title><meta charset=x><link href=y>{PARAGRAPHS}",
+        f"<head><style>p {{}}</style><script>var a</script>{PARAGRAPHS}",
+        f"<body><!--><article>{PARAGRAPHS}</article>",
+        f"<body><!---><article>{PARAGRAPHS}</article>",
+        f"<body><!-- <p>no</p> --!><article>{PARAGRAPHS}</article>",
+        f"<body><article><svg><path><title>icon</title>{PARAGRAPHS}</article>",
+        f"<body><article><math><mi>{PARAGRAPHS}</article>",
+        f"<body><article><svg><foreignObject><p>drawn</p></foreignObject></svg>{PARAGRAPHS}</article>",
+        f"<body>{PARAGRAPHS}</body>",
+        f"<body><div>{PARAGRAPHS}</div></body>",
+        f"<body><div class='zorblax'>{PARAGRAPHS}</div></body>",
+        "<body>" + "".join(f"<div>{x}</div>" for x in PROSE),
+        f"<body><ul class=menu><li><a href=x>Home</a><li><a href=y>News</a></ul>{PARAGRAPHS}",
+        f"<article><p style='color:red; display: none'>Secret text is here.</p><p hidden>Also</p><div aria-hidden=true><p>x</p></div>{PARAGRAPHS}</article>",
+    ],
+)
+def test_pages_that_leave_tags_out(page):
+    assert html_crf.extract(page, html_crf.default_model()) == "\n".join(PROSE)
+
+
+def test_given_articles_by_another_parser(sf):
+    """The texts of the given pages' <article> elements as Python's own parser reads them."""
+    from html.parser import HTMLParser
+
+    import pyarrow.parquet as pq
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.off, self.lines, self.now = 0, 0, [], []
+
+        def _end(self):
+            self.lines.append(" ".join("".join(self.now).split()))
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.off += tag in ("script", "style")
+            if tag not in ("a", "b", "i", "em", "strong", "span", "code"):
+                self._end()
+
+        def handle_endtag(self, tag):
+            if tag not in ("a", "b", "i", "em", "strong", "span", "code"):
+                self._end()
+            self.depth -= tag == "article"
+            self.off -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if self.depth and not self.off:
+                self.now.append(data)
+
+    model, same, n = html_crf.default_model(), 0, 0
+    for page in pq.read_table(f"{sf}/pages.parquet", columns=["html"]).column(0).to_pylist():
+        if page and "<article" in page and "</article" in page:
+            parser = Article()
+            parser.feed(page)
+            parser.close()
+            n += 1
+            same += html_crf.extract(page, model) == "\n".join(x for x in parser.lines if x)
+    assert n > 20 and same > 0.97 * n
+
+
+def test_held_out_plain_pages():
+    model, hit, said, true = html_crf.default_model(), 0, 0, 0
+    for page, labels in html_crf.labelled_pages(100, seed=98, plain=1.0):
+        b = html_crf.blocks(page, model.knows)
+        found, want = ({k for k, x in enumerate(b) if y(k, x)} for y in (lambda k, x, got=model.viterbi(b): got[k], lambda k, x, labels=labels: labels.get(x.text)))
+        hit, said, true = hit + len(found & want), said + len(found), true + len(want)
+    assert 2 * hit / (said + true) > 0.98
+
+
 def test_quotations_like_the_sql(spark):
     """Random conversations that quote whole messages, paragraphs, lines and runs of lines, against DuckDB."""
     import duckdb
