@@ -18,7 +18,7 @@ of either are missing from the other.
    First each set meets one of its pivots; components of these links settle the groups of thousands of
    near copies with one comparison a set. Where a signature still has holders in different components,
    all of them meet its pivot, then the pairs of holders in different components meet, as far as their
-   intersections with the pivot leave it possible.
+   intersections with the pivot and their sketches, bitmaps of at least two bits a token, leave it possible.
 
 Nothing is dropped: signatures have no cap. Shuffles carry hashes and sets of candidates, never
 texts.
@@ -331,6 +331,46 @@ def overlaps(pairs: DataFrame, sets: DataFrame, scratch: C.Scratch) -> DataFrame
     return C.map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, [C.field(c, "long") for c in ("a", "b", "n", "m", "both")])
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bitmap of at least two bits a token: each bit is the parity of the number of tokens with its number as their low bits."""
+    bits = max(256, 1 << (2 * len(tokens)).bit_length())
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def most_shared(n: int, x: bytes, m: int, y: bytes) -> int:
+    """The largest intersection that sets of n and m tokens with these sketches can have.
+
+    Where the sketches differ, so do the sets, in another token at each place; a longer sketch is folded to the other's length.
+    """
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return (n + m - int(np.bitwise_count(a ^ b).sum())) // 2
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int, scratch: C.Scratch) -> DataFrame:
+    """The pairs (a, b) whose sketches don't rule a link out; sketches are a thirtieth of the sets."""
+    pairs = scratch.keep(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            drawn = [sketch(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drawn, pa.binary())], ["key", "n", "sketch"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            keep = [(100 + percent) * most_shared(n, x, m, y) >= percent * (n + m) for n, x, m, y in rows]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    fields = [C.field("key", "long"), C.field("n", "long"), C.field("sketch", "binary")]
+    drawn = scratch.keep(C.map_arrow(_among(sets, pairs.select(F.explode(F.array("a", "b")).alias("key"))), run, fields))
+    both = pairs.join(drawn.toDF("a", "n", "x"), "a").join(drawn.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
+    out = scratch.keep(C.map_arrow(both, check, [C.field("a", "long"), C.field("b", "long")]))
+    scratch.drop(pairs, drawn)
+    return out
+
+
 def _linked(scored: DataFrame, percent: int) -> DataFrame:
     return scored.filter(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
 
@@ -381,17 +421,19 @@ def links(sets: DataFrame, shared: DataFrame, percent: int, scratch: C.Scratch)
     rest = _open(again, known, scratch)
     scratch.drop(again)
     held = tried.select("a", "b", "both").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b"), "both")).withColumnRenamed("a", "key")
-    first = rest.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST).alias("first"))
+    brief = F.shiftright("sig", 32).cast("int")
+    first = rest.groupBy("key").agg(F.slice(F.array_sort(F.collect_set(brief)), 1, FIRST).alias("first"))
     near = rest.join(first, "key").join(pivots.select("sig", "b"), "sig").join(held, ["key", "b"], "left").withColumn("o", F.when(F.col("key") == F.col("b"), F.col("n")).otherwise(F.col("both"))).select("sig", F.col("key").alias("a"), "n", "r", "o", "component", "first")
     other = near.select("sig", F.col("a").alias("b"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("o").alias("q"), F.col("component").alias("other"), F.col("first").alias("second"))
     # a pair meets once, not in all its common signatures, if their first ones have any in common
-    once = F.coalesce(F.col("sig") <= F.array_min(F.array_intersect("first", "second")), F.lit(True))
+    once = F.coalesce(brief <= F.array_min(F.array_intersect("first", "second")), F.lit(True))
     # of an intersection, one part is in the pivot, too, the other among the shared tokens that are not
     most = F.coalesce(F.least("o", "q") + F.least(F.col("r") - F.col("o"), F.col("s") - F.col("q")), F.least("r", "s"))
     enough = (100 + percent) * most >= percent * (F.col("n") + F.col("m"))
     pairs = near.join(other, "sig").filter((F.col("component") < F.col("other")) & _close(percent) & enough & once)
-    left = scratch.keep(_ordered(pairs))
-    last = scratch.keep(_linked(overlaps(left.join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets, scratch), percent))
+    left = _plausible(_ordered(pairs).join(tried.select("a", "b"), ["a", "b"], "left_anti"), sets, percent, scratch)
+    scratch.drop(rest)
+    last = scratch.keep(_linked(overlaps(left, sets, scratch), percent))
     return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last), scratch)
 
 
@@ -401,8 +443,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     df = C.pick(df, id_col, text_col)
     size = df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
     chosen = scratch.keep(census(C.pick(df, text_col), size // 7, percent).select("key"))
-    docs = C.apart(scratch.keep(_with_sets(df, id_col, text_col, bitmap.build(chosen))), "key", "check", scratch)
-    sets = scratch.keep(docs.filter("tokens is not null").select("key", "n", "tokens").dropDuplicates(["key"]))
+    read = scratch.keep(_with_sets(df, id_col, text_col, bitmap.build(chosen)))
+    told = C.apart(read, "key", "check", scratch)
+    sets = scratch.keep(told.filter("tokens is not null").select("key", "n", "tokens").dropDuplicates(["key"]))
+    docs = scratch.keep(told.select(id_col, "key", "n"))
+    scratch.drop(read)
     for _ in range(COUNTS):
         shared = scratch.keep(census(sets.select("key", "tokens"), size // 7, percent))
         fewer = scratch.keep(_among(sets, shared.select("key")))
