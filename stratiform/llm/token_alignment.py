@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +38,10 @@ from stratiform.llm.token_counts import slices
 HEAVY = 1 << 20
 #: Distinct pairs that a task counts before it sends them on.
 COUNTED = 1 << 20
+#: Chunks whose ids a worker remembers, and the longest of them.
+REMEMBERED, CHUNK = 400_000, 64
 _SHIFT = 32
+_CUT = re.compile(r"(?<=[!-~\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff])(?= )")
 
 
 def _byte_characters() -> dict[str, int]:
@@ -65,21 +69,46 @@ class Aligner:
         self.bytes_a = [bytes_a.get(i, b"") for i in range(max(bytes_a) + 1)]
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
+        # a piece with a space behind another character could join chunks (A splits there before it merges)
+        self.parted = not any("▁" in p.lstrip("▁") for _, p in pieces)
+        self.cache: dict[str, tuple[list[int], list[int]] | None] = {}
         self.length_a, self.length_b = (np.array([len(t) for t in own], np.int64) for own in (self.bytes_a, self.bytes_b))
         # every id as text, with what follows it: inside its side of a group (,), at the end of A's (|) or of the group (;)
         self.text_a, self.text_b = (np.array([b"%d%s" % (i, s) for s in (b",", end) for i in range(len(own))], object) for own, end in ((self.bytes_a, b"|"), (self.bytes_b, b";")))
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of chunks (each begins with a space) by both; None where a tokenizer doesn't give back the chunk's bytes."""
+        ids_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+        ids_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
+        for c, x, y in zip(chunks, ids_a, ids_b, strict=True):
+            raw = c.encode("utf-8", "surrogatepass")
+            same = b"".join(map(self.bytes_a.__getitem__, x)) == raw and b"".join(map(self.bytes_b.__getitem__, y)) == raw
+            self.cache[c] = (x, y) if same else None
+
     def encode(self, texts: list[str]) -> tuple[list[int], list[list[int]], list[list[int]]]:
-        """Numbers and ids by A and B of those texts that both give back."""
+        """Numbers and ids by A and B of those texts that both give back.
+
+        Neither's tokens reach over a space behind a visible character, so the chunks between such spaces are
+        encoded one by one, and those met lately are remembered.
+        """
         full = [i for i, t in enumerate(texts) if t]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + texts[i] for i in full], add_special_tokens=False)]
-        ids_b = self.b.encode([texts[i] for i in full], num_threads=1)
+        chunks = [_CUT.split(" " + texts[i]) if self.parted else [" " + texts[i]] for i in full]
+        distinct, cache = set().union(*chunks), self.cache
+        if len(cache) + len(distinct) > REMEMBERED:
+            cache.clear()
+        new = [c for c in distinct if c not in cache]
+        if new:
+            self._learn(new)
         keep: tuple[list, list, list] = [], [], []
-        for i, x, y in zip(full, ids_a, ids_b, strict=True):
-            raw = b" " + texts[i].encode("utf-8", "surrogatepass")
-            if b"".join(map(self.bytes_a.__getitem__, x)) == raw and b"".join(map(self.bytes_b.__getitem__, y)) == raw:
-                for own, new in zip(keep, (i, x, y), strict=True):
-                    own.append(new)
+        for i, own in zip(full, chunks, strict=True):
+            found = [cache[c] for c in own]
+            if None not in found:
+                keep[0].append(i)
+                keep[1].append([t for x, _ in found for t in x])
+                keep[2].append([t for _, y in found for t in y])
+        for c in new:
+            if len(c) > CHUNK:
+                del cache[c]
         return keep
 
     def align(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
