@@ -79,7 +79,8 @@ class Aligner:
     def _learn(self, chunks: list[str]) -> None:
         """Ids of chunks (each begins with a space) by both; None where a tokenizer doesn't give back the chunk's bytes."""
         ids_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        ids_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
+        # B adds its space to every text but an empty one
+        ids_b = [y or [self.b.piece_to_id("▁")] for y in self.b.encode([c[1:] for c in chunks], num_threads=1)]
         for c, x, y in zip(chunks, ids_a, ids_b, strict=True):
             raw = c.encode("utf-8", "surrogatepass")
             same = b"".join(map(self.bytes_a.__getitem__, x)) == raw and b"".join(map(self.bytes_b.__getitem__, y)) == raw
