@@ -164,22 +164,6 @@ def uses(nodes: DataFrame, terms: DataFrame, act: str, text: str, pattern: Colum
     return both.filter("at > 0").drop("pattern_")
 
 
-def closest(items: DataFrame, key: str, words: str, top: int = 3) -> DataFrame:
-    """(a, b, jaccard, rank): the ``top`` other items of the highest Jaccard of their distinct words, ties by key.
-
-    Items meet on words, so pairs without a common one are never made; where an item has fewer than ``top`` partners,
-    items without a common word follow by key, and the first 2 * ``top`` keys are enough for those.
-    """
-    w = items.select(F.col(key).alias("a"), F.col(words).alias("w"), F.size(words).alias("n"))
-    each = w.select("a", "n", F.explode("w").alias("word"))
-    shared = each.join(each.select(F.col("a").alias("b"), F.col("n").alias("m"), "word"), "word").filter(F.col("a") != F.col("b"))
-    met = shared.groupBy("a", "b", "n", "m").agg(F.count("*").alias("i")).select("a", "b", F.round(F.col("i") / (F.col("n") + F.col("m") - F.col("i")), 9).alias("jaccard"))
-    first = w.select(F.col("a").alias("b")).orderBy("b").limit(2 * top)
-    none = w.select("a").crossJoin(F.broadcast(first)).filter(F.col("a") != F.col("b")).join(met.select("a", "b"), ["a", "b"], "left_anti").withColumn("jaccard", F.lit(0.0))
-    order = Window.partitionBy("a").orderBy(F.col("jaccard").desc(), "b")
-    return met.unionByName(none).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-
-
 def inside(rows: DataFrame, areas: DataFrame, group: str, value: str) -> DataFrame:
     """Rows with the area (group, area, low, high) that holds their value; ``area`` is null outside. Areas of a group don't overlap.
 

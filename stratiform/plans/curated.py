@@ -10,6 +10,7 @@ from stratiform.functions import text as T
 from stratiform.operators import curation as Q
 from stratiform.operators import evidence as E
 from stratiform.operators import structure as S
+from stratiform.operators.closest import closest
 from stratiform.shipping import ship
 
 
@@ -98,7 +99,16 @@ SELECT a, b, round(CASE WHEN u > 0 THEN i / u ELSE 0 END, 6) AS jaccard, rank FR
 def item_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """The three closest statements of every benchmark item."""
     w = _t(spark, sf, "benchmark").select("item_id", T.content_words(F.col("text")).alias("w"))
-    return E.closest(w, "item_id", "w").select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.col("rank").cast("long").alias("rank"))
+    return closest(w, "item_id", "w").select("a", "b", F.round("jaccard", 6).alias("jaccard"), F.col("rank").cast("long").alias("rank"))
+
+
+@register("closest_parts", """WITH w AS (SELECT p_partkey, list_distinct(string_split(p_name || ' ' || lower(p_type), ' ')) AS w FROM part),
+j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS s FROM w a, w b WHERE a.p_partkey <> b.p_partkey)
+SELECT a, b, round(i / (s - i), 9) AS jaccard, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(i / (s - i), 9) DESC, b) AS rank FROM j) WHERE rank <= 5""")
+def closest_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The five closest parts of every part by the words of name and type, many of which very many parts share."""
+    w = _t(spark, sf, "part").select("p_partkey", F.split(F.concat_ws(" ", "p_name", F.lower("p_type")), " ").alias("w"))
+    return closest(w, "p_partkey", "w", 5).select("a", "b", "jaccard", F.col("rank").cast("long").alias("rank"))
 
 
 @register("hash_split", """WITH h AS (SELECT c_custkey, sha256('split' || c_custkey) AS h FROM customer)
