@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Dealing weighs every swap on the driver; a test set is at most so large, a larger one is refused.
-MAX_DEALT = 2_000
+from stratiform.scratch import Scratch
+
+#: Ranges of a key's hash in which the rows of a profile are numbered.
+RANGES = 1 << 10
 
 
 def drawn(salt: str, *parts: Column | str) -> Column:
@@ -47,47 +49,74 @@ def imbalance(values: np.ndarray, batch: np.ndarray, batches: int) -> float:
     return float(sum(((values[batch == b].sum(0) - share) ** 2).sum() for b in range(batches)))
 
 
-def deal(profiles: DataFrame, key: str, attributes: list[str], batches: int = 3) -> DataFrame:
-    """(key, batch): batches of equal size, each close to the whole in every attribute.
+def quotas(counts: np.ndarray, values: np.ndarray, batches: int) -> np.ndarray:
+    """How many rows of each profile go to each batch: (profiles, batches) from their counts and 0/1 columns of attribute values.
 
-    In order of attributes and key, each row goes where the squared distance grows least; then pairs are swapped, in a fixed order,
-    while that lowers it. Rows over a multiple of ``batches`` go to the first ones. At most ``MAX_DEALT`` rows; null is a value.
+    Every batch takes an even share of every profile. Of what is left over, fewer than ``batches`` rows a profile, each
+    goes where the squared distance of the counts from their even shares grows least; then a row of one profile and one of
+    another change batches while that lowers it. Batches are of equal size, the first ones one larger where rows are left.
     """
-    rows = profiles.select(key, *[F.col(a).cast("string").alias(a) for a in attributes]).limit(MAX_DEALT + 1).collect()
-    if len(rows) > MAX_DEALT:
-        raise ValueError(f"more than {MAX_DEALT} profiles to deal")
-    rows.sort(key=lambda r: (tuple((v is not None, v or "") for v in r[1:]), r[0]))
-    seen = sorted({(k, v) for r in rows for k, v in enumerate(r[1:])}, key=lambda x: (x[0], x[1] is not None, x[1] or ""))
-    column = {v: i for i, v in enumerate(seen)}
-    values = np.zeros((len(rows), len(column)))
-    for i, r in enumerate(rows):
-        values[i, [column[(k, v)] for k, v in enumerate(r[1:])]] = 1
-    share, counts = values.sum(0) / batches, np.zeros((batches, len(column)))
-    room = [len(rows) // batches + (b < len(rows) % batches) for b in range(batches)]
-    batch = np.zeros(len(rows), dtype=int)
-    for i, v in enumerate(values):
-        cost = [((counts[b] + v - share) ** 2 - (counts[b] - share) ** 2).sum() if room[b] else np.inf for b in range(batches)]
-        batch[i] = b = int(np.argmin(np.round(cost, 9)))
-        counts[b] += v
-        room[b] -= 1
+    taken = np.repeat((counts // batches)[:, None], batches, 1)
+    share = (counts @ values) / batches
+    have = (taken.T @ values).astype(float)
+    room = [int(counts.sum()) // batches + (b < counts.sum() % batches) - int(taken[:, b].sum()) for b in range(batches)]
+    for p in range(len(counts)):
+        for _ in range(int(counts[p] % batches)):
+            cost = [np.round(((have[b] + values[p] - share) ** 2 - (have[b] - share) ** 2).sum(), 9) if room[b] else np.inf for b in range(batches)]
+            b = int(np.argmin(cost))
+            taken[p, b] += 1
+            have[b] += values[p]
+            room[b] -= 1
+    weight = values.sum(1)
+    common = values @ values.T
+    apart = weight[:, None] + weight[None, :] - 2 * common  # squared distance of two profiles
     improved = True
     while improved:
         improved = False
-        for i in range(len(rows)):
-            # gain of moving i's batch a to b and j's b to a, for all j at once: the counts change by d and -d
-            a, d = batch[i], values - values[i]
-            gap = counts[a] - counts
-            gain = 2 * (d * gap[batch]).sum(1) + 2 * (d * d).sum(1)
-            gain[batch == a] = 0
-            j = int(np.argmin(gain))
-            if gain[j] < -1e-9:
-                b = batch[j]
-                counts[a] += d[j]
-                counts[b] -= d[j]
-                batch[i], batch[j] = b, a
-                improved = True
-    schema = f"{key} {profiles.schema[key].dataType.simpleString()}, batch int"
-    return profiles.sparkSession.createDataFrame([(r[0], int(b)) for r, b in zip(rows, batch, strict=True)], schema)
+        for a in range(batches):
+            for b in range(a + 1, batches):
+                while True:
+                    # gain of moving one row of p from a to b and one of q back: have changes by d = q - p and -d
+                    pull = values @ (have[a] - have[b])
+                    gain = 2 * (pull[None, :] - pull[:, None]) + 2 * apart
+                    gain = np.where((taken[:, a] > 0)[:, None] & (taken[:, b] > 0)[None, :], gain, 0)
+                    p, q = np.unravel_index(int(np.argmin(gain)), gain.shape)
+                    if gain[p, q] >= -1e-9:
+                        break
+                    d = values[q] - values[p]
+                    have[a] += d
+                    have[b] -= d
+                    taken[[p, p, q, q], [a, b, b, a]] += [-1, 1, -1, 1]
+                    improved = True
+    return taken
+
+
+def deal(profiles: DataFrame, key: str, attributes: list[str], batches: int = 3) -> DataFrame:
+    """(key, batch): batches of equal size, each close to the whole in every attribute; no swap of two rows would bring them closer.
+
+    What is weighed are the distinct profiles with their counts, not the rows: the driver holds one row a profile. The rows of
+    a profile then go to its batches in the order of their keys' hashes: they are counted by hash range and numbered inside
+    one, so that no profile is one task's. Rows over a multiple of ``batches`` go to the first ones; null is a value; keys are
+    distinct.
+    """
+    scratch = Scratch(profiles.sparkSession, "dealt")
+    named = [f"a{k}_" for k in range(len(attributes))]
+    rows = profiles.select(F.col(key), *[F.to_json(F.struct(F.col(a).cast("string").alias("v")), {"ignoreNullFields": "false"}).alias(n) for a, n in zip(attributes, named, strict=True)])
+    rows = scratch.keep(rows.withColumn("range_", F.xxhash64(key).bitwiseAND(F.lit(RANGES - 1))))
+    counted = sorted(tuple(r) for r in rows.groupBy(*named).agg(F.count("*").alias("n")).collect())
+    at = {v: i for i, v in enumerate(sorted({(k, v) for r in counted for k, v in enumerate(r[:-1])}))}
+    values = np.zeros((len(counted), len(at)), np.int64)
+    for i, r in enumerate(counted):
+        values[i, [at[k, v] for k, v in enumerate(r[:-1])]] = 1
+    taken = quotas(np.array([r[-1] for r in counted], np.int64), values, batches) if counted else np.zeros((0, batches), np.int64)
+    until = np.cumsum(taken, 1)
+    schema = ", ".join([f"{n} string" for n in named] + ["until_ array<long>"])
+    plan = profiles.sparkSession.createDataFrame([(*r[:-1], u) for r, u in zip(counted, until.tolist(), strict=True)], schema)
+    before = Window.partitionBy(*named).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*named, "range_").agg(F.count("*").alias("m_")).withColumn("start_", F.coalesce(F.sum("m_").over(before), F.lit(0))).drop("m_")
+    place = F.row_number().over(Window.partitionBy(*named, "range_").orderBy(F.xxhash64(key, F.lit("deal")), key)) + F.col("start_")
+    placed = rows.join(starts, [*named, "range_"]).withColumn("place_", place).join(plan, named)
+    return placed.select(key, F.size(F.filter("until_", lambda u: u < F.col("place_"))).alias("batch"))
 
 
 def group_means(rows: DataFrame, keys: str, value: str, need: str, few: int = 5) -> DataFrame:

@@ -14,22 +14,10 @@ INFERIOR, SUPPORTED, STRONG, VIOLATED = "inferior beyond delta", "supported impr
 DISCARD, DISPLACE, FRONTIER = "discard", "displace", "frontier"
 
 
-def python_draws(spark: SparkSession, n: int, reps: int, seed: int) -> DataFrame:
-    """(rep, place): the draws that a seeded ``random.Random`` makes with ``choices(range(n), k=n)``, replicate by replicate.
-
-    The generator is sequential, so the driver runs it; an evaluation's needs and replicates bound it.
-    """
-    import random
-
-    rng = random.Random(seed)
-    rows = ((rep, place) for rep in range(reps) for place in rng.choices(range(n), k=n))
-    return spark.createDataFrame(rows, "rep long, place int")
-
-
 def limits(deltas: DataFrame, key: str, metrics: list[str], reps: int, salt: str = "r", draws: DataFrame | None = None) -> DataFrame:
     """(metric, mean, low2, high2, low1, high1): percentile limits, two-sided and one-sided, of all metrics over the same resamples.
 
-    The draws (rep, place) are hashes of replicate and place, or those given (see ``python_draws``), so a comparison made
+    The draws (rep, place) are hashes of replicate and place, or those given (see ``draws.replicates``), so a comparison made
     again sees the same; needs are ordered by key.
     Needs of an evaluation are few: they are numbered in one window, and each replicate is a sum over its draws.
     """

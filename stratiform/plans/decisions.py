@@ -9,7 +9,7 @@ from stratiform.catalog import register
 from stratiform.functions import legal as L
 from stratiform.functions import rules
 from stratiform.functions import text as T
-from stratiform.operators import design, stats
+from stratiform.operators import design, draws, stats
 from stratiform.operators import evidence as E
 from stratiform.plans.evaluation import _BM25, _OVERLAP, bm25_run, overlap_run, pooled_documents, qrels
 
@@ -187,11 +187,30 @@ def sampling_bank(spark: SparkSession, sf: str) -> DataFrame:
     return design.bank(slots, units, "s", 90).withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("dealt_batches")
+@register("dealt_batches", """WITH n AS (SELECT count(*) AS n FROM orders) SELECT b AS batch, n // 3 + (b < n % 3)::INT AS size, CAST(0 AS BIGINT) AS improving FROM n, range(3) t(b)""")
 def dealt_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Benchmark items dealt into three batches balanced by two attributes of their id and text."""
-    items = _t(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 4).alias("kind"), (F.length("text") > 200).alias("long"))
-    return design.deal(items, "item_id", ["kind", "long"])
+    """All orders dealt into three batches by status, priority and size: their sizes, and the swaps of two profiles between it and another batch that would bring them closer to the whole."""
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.floor(F.col("o_totalprice") / 50_000).alias("size"))
+    names = ["o_orderstatus", "o_orderpriority", "size"]
+    rows = orders.join(design.deal(orders, "o_orderkey", names), "o_orderkey")
+    profile = F.array(*[F.concat_ws("=", F.lit(c), F.col(c).cast("string")) for c in names])
+    counts = rows.select("batch", F.explode(profile).alias("value")).groupBy("batch", "value").agg(F.count("*").alias("c"))
+    have = counts.groupBy("batch").agg(F.map_from_entries(F.collect_list(F.struct("value", "c"))).alias("have"))
+    held = rows.select("batch", profile.alias("p")).distinct().join(have, "batch")
+    a, b = held.toDF("batch", "p", "x"), held.toDF("other", "q", "y")
+    # moving one row of p to the other batch and one of q back changes the squared distance by 2 (d . gap) + 2 |d|^2
+    gap = lambda v: F.coalesce(F.try_element_at("x", v), F.lit(0)) - F.coalesce(F.try_element_at("y", v), F.lit(0))
+    total = lambda values: F.aggregate(values, F.lit(0).cast("long"), lambda s, v: s + gap(v))
+    only_p, only_q = F.array_except("p", "q"), F.array_except("q", "p")
+    gain = 2 * (total(only_q) - total(only_p)) + 2 * (F.size(only_p) + F.size(only_q))
+    swaps = a.join(b, F.col("batch") != F.col("other")).withColumn("better", (gain < 0).cast("int")).groupBy("batch").agg(F.sum("better").alias("improving"))
+    return rows.groupBy("batch").agg(F.count("*").alias("size")).join(swaps, "batch").select("batch", "size", "improving")
+
+
+@register("seeded_order")
+def seeded_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders of every customer in the order in which a generator seeded by the customer's key shuffles them."""
+    return draws.shuffled(_t(spark, sf, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", "audit")
 
 
 @register("cluster_bootstrap", """WITH d AS (SELECT c_nationkey AS g, round(c_acctbal / 1000 - 4, 6) AS delta FROM customer), k AS (SELECT g, sum(delta) AS s, count(*) AS c, row_number() OVER (ORDER BY g) - 1 AS pos_ FROM d GROUP BY g), n AS (SELECT count(*) AS n FROM k),

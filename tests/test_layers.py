@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from stratiform.operators import curation, retrieval, structure
+from stratiform.operators import curation, draws, retrieval, structure
 from stratiform.sources import layers, sinks
 from stratiform.streaming import log
 
@@ -222,7 +222,7 @@ def test_seeded_draws_like_python(spark):
     deltas = [(i, ((i * 7) % 11 - 4) / 10) for i in range(30)]
     rng = random.Random(20261013)
     means = sorted(sum(deltas[i][1] for i in rng.choices(range(30), k=30)) / 30 for _ in range(200))
-    got = V.limits(spark.createDataFrame(deltas, "need int, delta double"), "need", ["delta"], 200, draws=V.python_draws(spark, 30, 200, 20261013)).first()
+    got = V.limits(spark.createDataFrame(deltas, "need int, delta double"), "need", ["delta"], 200, draws=draws.replicates(spark, 30, 200, 20261013)).first()
     assert [got.low2, got.high2, got.low1, got.high1] == [round(means[i], 6) for i in (5, 194, 10, 189)]
 
 
