@@ -206,6 +206,10 @@ def porter_analyzed(text: Column) -> Column:
     return porter_stems(analyzed(text))
 
 
+#: What a corpus scan may do in two steps: the words, and the stem of each distinct one.
+porter_analyzed.words, porter_analyzed.stem = analyzed, porter
+
+
 #: Articles, their contractions with prepositions, and the commonest particles; pass another list where a contract names one.
 ITALIAN_STOP_WORDS = [p + a for p in ("", "al", "del", "dal", "nel", "sul") for a in ("l", "lo", "la", "gli", "le")] + "il i un uno una a di da in con su per tra fra e ed o ma se che chi cui non si è sono ai dei dai nei sui al del dal nel sul c ad come più questo questa quello quella".split()
 

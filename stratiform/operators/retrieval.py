@@ -23,6 +23,8 @@ from stratiform.scratch import Scratch
 BLOCK_BYTES = 32 << 20
 #: Distinct query terms that go to every task; a larger vocabulary is joined.
 VOCABULARY_BYTES = 8 << 20
+#: Words that a task remembers with their terms.
+WORDS_KNOWN = 500_000
 
 
 def ranked(scores: DataFrame, k: int | None = None, *, by: list[Column] | None = None) -> DataFrame:
@@ -37,7 +39,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str, query_te
 
     The corpus is analysed once, into a table of (doc_id, length, terms) that keeps query terms only: the
     distinct query terms go to the tasks as one array, which its size is checked for, so that nothing else is
-    exploded; a larger vocabulary is joined instead. Frequencies and weights of that vocabulary are one row a
+    exploded; a larger vocabulary is joined instead. An analyzer with ``words`` and ``stem`` is run in two steps, a
+    stem for each distinct word of a batch. Frequencies and weights of that vocabulary are one row a
     term. Queries and terms are joined with a broadcast where Spark finds them small.
     """
     spark = docs.sparkSession
@@ -45,10 +48,12 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str, query_te
     asked = scratch.keep(queries.select(F.col(query_id).alias("query_id"), F.explode(analyzer(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
     terms = asked.select("term").distinct()
     size = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    split, stem = getattr(analyzer, "words", None), getattr(analyzer, "stem", None)
     words = docs.select(F.col(doc_id).alias("doc_id"), analyzer(F.col(doc_text)).alias("w"))
+    plain = docs.select(F.col(doc_id).alias("doc_id"), split(F.col(doc_text)).alias("w")) if stem else words
     if size[1] <= VOCABULARY_BYTES and size[0] <= VOCABULARY_BYTES // 32:
         known = F.broadcast(terms.agg(F.collect_list("term").alias("known")))
-        kept = words.crossJoin(known).select("doc_id", F.size("w").alias("dl"), F.filter("w", lambda x: F.array_contains("known", x)).alias("w")) if size[0] <= 16 else _kept_terms(words, [r[0] for r in terms.collect()])
+        kept = words.crossJoin(known).select("doc_id", F.size("w").alias("dl"), F.filter("w", lambda x: F.array_contains("known", x)).alias("w")) if size[0] <= 16 else _kept_terms(plain, [r[0] for r in terms.collect()], stem)
         held = scratch.keep(kept)
         each = held.select("doc_id", "dl", F.explode("w").alias("term"))
     else:
@@ -63,21 +68,29 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int, *, query_id: str, query_te
     return ranked(scores, k)
 
 
-def _kept_terms(words: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, dl, w): the terms of a set that was found small; one hash lookup a word."""
+def _kept_terms(words: DataFrame, terms: list[str], stem: Callable[[str], str] | None = None) -> DataFrame:
+    """(doc_id, dl, w): the terms of a set that was found small; one lookup for each distinct word of a batch."""
     sent = words.sparkSession.sparkContext.broadcast(frozenset(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(sorted(sent.value), pa.string())
+        number = {t: i for i, t in enumerate(sorted(sent.value))}
+        names = pa.array(sorted(sent.value), pa.string())
+        known: dict[str, int] = {}
         for batch in batches:
             lists = batch.column(1)
-            flat = lists.flatten()
-            hit = pc.is_in(flat, value_set=known).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
-            before = np.r_[0, np.cumsum(hit)]
-            offsets = np.r_[0, before[ends]].astype(np.int32)
-            kept = pa.ListArray.from_arrays(pa.array(offsets), flat.filter(pa.array(hit)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.list_value_length(lists), pa.int32()), kept], ["doc_id", "dl", "w"])
+            coded = lists.flatten().dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            if len(known) + len(distinct) > WORDS_KNOWN:
+                known.clear()
+            for w in distinct:
+                if w not in known:
+                    known[w] = number.get(stem(w) if stem else w, -1)
+            term = np.fromiter((known[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)] if len(distinct) else np.empty(0, np.int64)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0)
+            before = np.r_[0, np.cumsum(term >= 0)]
+            offsets = np.r_[0, before[np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))]].astype(np.int32)
+            kept = pa.ListArray.from_arrays(pa.array(offsets), names.take(pa.array(term[term >= 0])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(sizes, pa.int32()), kept], ["doc_id", "dl", "w"])
 
     return words.mapInArrow(run, StructType([words.schema["doc_id"], StructField("dl", IntegerType()), StructField("w", ArrayType(StringType()))]))
 

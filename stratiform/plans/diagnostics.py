@@ -146,13 +146,12 @@ def list_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("answer_contexts", f"""WITH {_OVERLAP}, p AS (SELECT o.query_id, o.doc_id, row_number() OVER (PARTITION BY o.query_id ORDER BY rank) AS place FROM overlap o JOIN qrels USING (query_id, doc_id) WHERE grade < 2 QUALIFY place <= 4)
-SELECT query_id, 'gold' AS context, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS place, doc_id FROM qrels WHERE grade >= 2 AND query_id % 20 = 0
-UNION ALL SELECT query_id, 'top', rank, doc_id FROM overlap WHERE rank <= 5 AND query_id % 20 = 0
-UNION ALL SELECT query_id, 'insufficient', place, doc_id FROM p WHERE query_id % 20 = 0 AND query_id IN (SELECT query_id FROM p GROUP BY query_id HAVING count(*) >= 2)""")
+SELECT query_id, 'gold' AS context, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS place, doc_id FROM qrels WHERE grade >= 2
+UNION ALL SELECT query_id, 'top', rank, doc_id FROM overlap WHERE rank <= 5
+UNION ALL SELECT query_id, 'insufficient', place, doc_id FROM p WHERE query_id IN (SELECT query_id FROM p GROUP BY query_id HAVING count(*) >= 2)""")
 def answer_contexts(spark: SparkSession, sf: str) -> DataFrame:
-    """Contexts of every twentieth question, as an answering study draws them."""
-    few = F.col("query_id") % 20 == 0
-    return D.contexts(overlap_run(spark, sf).filter(few), qrels(spark, sf).filter(few), 5, 4, 2).withColumn("place", F.col("place").cast("long"))
+    """Contexts of every question, as an answering study draws them."""
+    return D.contexts(overlap_run(spark, sf), qrels(spark, sf), 5, 4, 2).withColumn("place", F.col("place").cast("long"))
 
 
 @register("dependent_recall", f"""WITH {_REL}, e AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'anchor' ELSE 'dependent' END AS role FROM relevant), t AS (SELECT e.query_id, role, o.doc_id AS hit FROM e LEFT JOIN (SELECT * FROM overlap WHERE rank <= 10) o USING (query_id, doc_id))
@@ -162,19 +161,25 @@ def dependent_recall(spark: SparkSession, sf: str) -> DataFrame:
     return D.dependent_recall(overlap_run(spark, sf), e)
 
 
-@register("shared_resamples", f"""WITH d AS ({_D}), p AS (SELECT delta, other, row_number() OVER (ORDER BY need) - 1 AS place, count(*) OVER () AS n FROM d WHERE need <= 60),
+@register("shared_resamples", f"""WITH d AS ({_D}), p AS (SELECT delta, other, row_number() OVER (ORDER BY need) - 1 AS place, count(*) OVER () AS n FROM d),
 w AS (SELECT rep, k, ('0x' || substr(md5('r:' || rep || ':' || k), 1, 8))::BIGINT % (SELECT max(n) FROM p) AS place FROM range(200) r(rep), range((SELECT max(n) FROM p)) s(k)),
 m AS (SELECT rep, round(avg(delta), 12) AS delta, round(avg(other), 12) AS other FROM w JOIN p USING (place) GROUP BY rep),
 l AS (SELECT 'delta' AS metric, list_sort(list(delta)) AS v, (SELECT round(avg(delta), 6) FROM p) AS mean FROM m UNION ALL SELECT 'other', list_sort(list(other)), (SELECT round(avg(other), 6) FROM p) FROM m)
 SELECT metric, mean, round(v[6], 6) AS low2, round(v[195], 6) AS high2, round(v[11], 6) AS low1, round(v[190], 6) AS high1 FROM l""")
 def shared_resamples(spark: SparkSession, sf: str) -> DataFrame:
-    return V.limits(made(spark, sf, _D).filter("need <= 60"), "need", ["delta", "other"], 200)
+    return V.limits(made(spark, sf, _D), "need", ["delta", "other"], 200)
 
 
-@register("paired_t_interval", f"""WITH d AS ({_D}) SELECT count(*) AS needs, round(avg(delta), 6) AS mean, round(avg(delta) - 2.085963447 * stddev_samp(delta) / sqrt(count(*)), 6) AS low, round(avg(delta) + 2.085963447 * stddev_samp(delta) / sqrt(count(*)), 6) AS high FROM d WHERE need <= 20""")
+_Z = 1.959963984540054
+#: Student's 97.5 % quantile for ``df`` degrees of freedom by its expansion in 1 / df; from 100 on it is exact to nine places.
+_T = " + ".join(f"({c!r}) / pow(n - 1, {k})" for k, c in enumerate((_Z, (_Z**3 + _Z) / 4, (5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96, (3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384, (79 * _Z**9 + 776 * _Z**7 + 1482 * _Z**5 - 1920 * _Z**3 - 945 * _Z) / 92160)))
+
+
+@register("paired_t_interval", f"""WITH d AS ({_D}), f AS (SELECT count(*) AS n, avg(delta) AS mean, stddev_samp(delta) / sqrt(count(*)) AS se FROM d)
+SELECT n AS needs, round(mean, 6) AS mean, round(mean - ({_T}) * se, 6) AS low, round(mean + ({_T}) * se, 6) AS high FROM f""")
 def paired_t_interval(spark: SparkSession, sf: str) -> DataFrame:
-    """Of twenty-one needs; the SQL has the published quantile for 20 degrees of freedom."""
-    return V.t_interval(made(spark, sf, _D).filter("need <= 20"))
+    """Of all needs; the SQL has the quantile by its expansion."""
+    return V.t_interval(made(spark, sf, _D))
 
 
 _IV = "SELECT c_custkey AS k, CAST((c_custkey * 7) % 23 - 11 AS DOUBLE) AS a, CAST((c_custkey * 5) % 19 - 9 AS DOUBLE) AS b FROM customer"
@@ -209,18 +214,17 @@ used AS (SELECT DISTINCT o.chunk_id, u.act, d.path AS spot, u.term FROM us u JOI
 related AS (SELECT chunk_id, 'reference' AS kind, text AS detail, node, target FROM own JOIN edge ON source_act = act AND source_path = path
  UNION SELECT u.chunk_id, 'definition', term, u.act || ':' || spot, o.chunk_id FROM used u JOIN own o ON o.act = u.act AND o.path = spot
  UNION SELECT u.chunk_id, 'definition_reference', term, node, target FROM used u JOIN edge ON source_act = u.act AND source_path = spot)"""
-_RUN = "run AS (SELECT query_id, 'c' || k AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY (k * 7 + query_id) % 20, k) AS rank FROM range(30) q(query_id), range(20) c(k))"
+_RANKED = "SELECT query_id, concat('c', CAST(k AS STRING)) AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY first, k) AS rank FROM (SELECT o_custkey AS query_id, o_orderkey % 20 AS k, min(o_orderkey) AS first FROM orders GROUP BY o_custkey, o_orderkey % 20)"
+_RUN = f"run AS ({_RANKED})"
 
 
 def _related(spark: SparkSession, sf: str) -> DataFrame:
     return P.relations(made(spark, sf, _REF), made(spark, sf, _OWN), made(spark, sf, _DEF), made(spark, sf, _USE))
 
 
-def _run(spark: SparkSession) -> DataFrame:
-    from pyspark.sql import Window
-
-    q = spark.range(30).withColumnRenamed("id", "query_id").crossJoin(spark.range(20).withColumnRenamed("id", "k"))
-    return q.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy((F.col("k") * 7 + F.col("query_id")) % 20, "k"))).select("query_id", F.concat(F.lit("c"), "k").alias("doc_id"), "rank")
+def _run(spark: SparkSession, sf: str) -> DataFrame:
+    """A run of every customer: the chunks of their orders, the earliest first."""
+    return made(spark, sf, _RANKED)
 
 
 @register("chunk_relations", f"WITH {_RELATED} SELECT * FROM related")
@@ -233,7 +237,7 @@ _FOUND = f"{_RELATED}, {_RUN}, found AS (SELECT query_id, doc_id AS anchor, rank
 
 @register("anchor_relations", f"WITH {_FOUND} SELECT * FROM found")
 def anchor_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return P.anchor_relations(_run(spark), _related(spark, sf), 3).withColumn("anchor_rank", F.col("anchor_rank").cast("long"))
+    return P.anchor_relations(_run(spark, sf), _related(spark, sf), 3).withColumn("anchor_rank", F.col("anchor_rank").cast("long"))
 
 
 _TERMS = "terms AS (SELECT DISTINCT chunk_id, term FROM us JOIN own USING (act, path))"
@@ -246,30 +250,30 @@ def _terms(spark: SparkSession, sf: str) -> DataFrame:
 @register("bridge_choice", f"""WITH {_FOUND}, {_TERMS}, t AS (SELECT query_id, term, min(rank) AS anchor_rank FROM run JOIN terms ON chunk_id = doc_id WHERE rank <= 3 GROUP BY ALL),
 s AS (SELECT *, (substr(term, 2)::INT * 13 + query_id) % 7 AS score FROM t) SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, anchor_rank, term) AS rank FROM s QUALIFY rank <= 4""")
 def bridge_choice(spark: SparkSession, sf: str) -> DataFrame:
-    t = P.anchor_terms(_run(spark), _terms(spark, sf), 3)
+    t = P.anchor_terms(_run(spark, sf), _terms(spark, sf), 3)
     similarity = t.select("query_id", "term", ((F.substring("term", 2, 9).cast("int") * 13 + F.col("query_id")) % 7).alias("score"))
     return P.choose_bridges(t, similarity, 4).withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("candidate_pairs", f"""WITH {_FOUND}, {_TERMS}, hits AS (SELECT query_id, 't' || (query_id % 60) AS term, 'c' || (query_id % 20) AS candidate FROM range(30) q(query_id)),
+@register("candidate_pairs", f"""WITH {_FOUND}, {_TERMS}, hits AS (SELECT query_id, 't' || (query_id % 60) AS term, 'c' || (query_id % 20) AS candidate FROM (SELECT DISTINCT query_id FROM run)),
 l AS (SELECT query_id, anchor, anchor_rank, candidate, kind || ': ' || detail AS link FROM found UNION SELECT r.query_id, r.doc_id, r.rank, h.candidate, 'bridge: ' || h.term FROM run r JOIN terms t ON t.chunk_id = r.doc_id JOIN hits h ON h.query_id = r.query_id AND h.term = t.term WHERE r.rank <= 3 AND h.candidate <> r.doc_id)
 SELECT query_id, anchor, anchor_rank, candidate, array_to_string(list_sort(list(DISTINCT link)), ' | ') AS links FROM l WHERE (query_id, candidate) NOT IN (SELECT (query_id, doc_id) FROM run WHERE rank <= 5) GROUP BY ALL""")
 def candidate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    hits = spark.range(30).select(F.col("id").alias("query_id"), F.concat(F.lit("t"), F.col("id") % 60).alias("term"), F.concat(F.lit("c"), F.col("id") % 20).alias("candidate"))
-    run = _run(spark)
+    run = _run(spark, sf)
+    hits = run.select("query_id").distinct().select("query_id", F.concat(F.lit("t"), F.col("query_id") % 60).alias("term"), F.concat(F.lit("c"), F.col("query_id") % 20).alias("candidate"))
     out = P.population(run, P.anchor_relations(run, _related(spark, sf), 3), hits, _terms(spark, sf), 3, 5)
     return out.select("query_id", "anchor", F.col("anchor_rank").cast("long").alias("anchor_rank"), "candidate", F.array_join("links", " | ").alias("links"))
 
 
-@register("expanded_population", f"""WITH {_FOUND}, asked AS (SELECT query_id, 't0' AS term, 'c' || (query_id % 20) AS chunk_id FROM range(0, 30, 4) q(query_id)),
+@register("expanded_population", f"""WITH {_FOUND}, asked AS (SELECT query_id, 't0' AS term, 'c' || (query_id % 20) AS chunk_id FROM (SELECT DISTINCT query_id FROM run)),
 step AS (SELECT DISTINCT chunk_id AS source, target AS chunk_id, kind FROM related WHERE kind <> 'definition_reference' AND chunk_id <> target),
 one AS (SELECT query_id, candidate AS chunk_id, CASE kind WHEN 'definition_reference' THEN 2 ELSE 1 END AS hop, anchor AS source, kind FROM found UNION SELECT query_id, chunk_id, 1, 'question', 'question_term' FROM asked),
 r AS (SELECT query_id, doc_id AS chunk_id, 0 AS hop, 'question' AS source, 'retrieved' AS kind FROM run WHERE rank <= 6 UNION SELECT * FROM one UNION SELECT s.query_id, step.chunk_id, 2, step.source, step.kind FROM (SELECT DISTINCT query_id, chunk_id FROM one WHERE hop = 1) s JOIN step ON step.source = s.chunk_id),
 n AS (SELECT query_id, chunk_id AS source, min(hop) AS h FROM r GROUP BY ALL HAVING min(hop) < 2), e AS (SELECT * FROM r UNION SELECT n.query_id, step.chunk_id, h + 1, n.source, 'definition' FROM n JOIN step ON step.source = n.source AND step.kind = 'definition')
 SELECT query_id, chunk_id, min(hop) AS hop, string_agg(hop || ' ' || source || ' ' || kind, ' | ' ORDER BY hop, source <> 'question', source, kind) AS routes FROM e GROUP BY query_id, chunk_id""")
 def expanded_population(spark: SparkSession, sf: str) -> DataFrame:
-    run, related = _run(spark), _related(spark, sf)
-    asked = spark.range(0, 30, 4).select(F.col("id").alias("query_id"), F.lit("t0").alias("term"), F.concat(F.lit("c"), F.col("id") % 20).alias("chunk_id"))
+    run, related = _run(spark, sf), _related(spark, sf)
+    asked = run.select("query_id").distinct().select("query_id", F.lit("t0").alias("term"), F.concat(F.lit("c"), F.col("query_id") % 20).alias("chunk_id"))
     out = P.expanded(run, P.anchor_relations(run, related, 3), asked, related, 6)
     return out.select("query_id", "chunk_id", "hop", F.array_join("routes", " | ").alias("routes"))
 
@@ -282,9 +286,10 @@ def visible_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return P.visible(made(spark, sf, _CH))
 
 
-_PAIRS = "SELECT x.o_orderkey AS a, y.o_orderkey AS b, CAST((x.o_orderkey + y.o_orderkey) % 17 AS DOUBLE) / 20 AS jaccard FROM (SELECT o_orderkey FROM orders WHERE o_orderkey <= 160) x CROSS JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey <= 160) y WHERE x.o_orderkey <> y.o_orderkey AND (x.o_orderkey + y.o_orderkey) % 3 = 0"
-_ITEMS = "SELECT o_orderkey AS item, (o_orderkey * 31) % 163 AS rank FROM orders WHERE o_orderkey <= 160"
-_ARTS = "SELECT o_orderkey AS item, o_custkey % 25 AS article FROM orders WHERE o_orderkey <= 160"
+# Statements are orders: pairs are those of one customer, articles hold six orders each.
+_PAIRS = "SELECT x.o_orderkey AS a, y.o_orderkey AS b, CAST((x.o_orderkey + y.o_orderkey) % 17 AS DOUBLE) / 20 AS jaccard FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey WHERE x.o_orderkey <> y.o_orderkey"
+_ITEMS = "SELECT o_orderkey AS item, (o_orderkey * 7919) % 2147483647 AS rank FROM orders"
+_ARTS = "SELECT o_orderkey AS item, CAST(floor(o_orderkey / 6) AS BIGINT) AS article FROM orders"
 
 
 @register("statement_neighbourhoods", f"""WITH p AS ({_PAIRS}), i AS ({_ITEMS}), a AS ({_ARTS}),
@@ -293,7 +298,6 @@ s AS (SELECT DISTINCT x.item, y.item AS other FROM a x JOIN a y ON x.article = y
 b AS (SELECT coalesce(n.item, s.item) AS item, coalesce(n.other, s.other) AS other, coalesce(jaccard, 0) AS j, p, s.item IS NOT NULL OR coalesce(jaccard >= 0.5, FALSE) AS mandatory FROM n FULL JOIN s ON s.item = n.item AND s.other = n.other)
 SELECT item, other, mandatory, row_number() OVER (PARTITION BY item ORDER BY NOT mandatory, j DESC, other) AS place FROM b WHERE mandatory OR p <= 3""")
 def statement_neighbourhoods(spark: SparkSession, sf: str) -> DataFrame:
-    """Of the first statements by key, as a bank of an evaluation holds them."""
     return P.neighbourhoods(made(spark, sf, _ITEMS), made(spark, sf, _PAIRS), made(spark, sf, _ARTS), 3).withColumn("place", F.col("place").cast("long"))
 
 

@@ -40,7 +40,7 @@ def evaluable_needs(spark: SparkSession, sf: str) -> DataFrame:
     return J.evaluable(made(spark, sf, NEEDS), made(spark, sf, QRELS))
 
 
-@register("run_contract", f"""WITH {_WITH}, q AS (SELECT need_id AS query_id FROM needs WHERE need_id < 20)
+@register("run_contract", f"""WITH {_WITH}, q AS (SELECT need_id AS query_id FROM needs)
 SELECT 'depth below the minimum' AS rule, '5' AS key, 1::BIGINT AS n
 UNION ALL SELECT 'query is not evaluated', {_key("query_id")} FROM run WHERE query_id NOT IN (SELECT query_id FROM q) GROUP BY query_id
 UNION ALL SELECT 'longer than the depth', query_id::VARCHAR, 1 FROM run GROUP BY query_id HAVING count(*) > 5
@@ -48,7 +48,7 @@ UNION ALL SELECT 'ranked twice', concat_ws('|', query_id, doc_id), 1 FROM run GR
 UNION ALL SELECT 'not in the layer', {_key("query_id", "doc_id")} FROM run WHERE doc_id NOT IN (SELECT chunk_id FROM owners WHERE chunk_id < 'c3') GROUP BY query_id, doc_id""")
 def run_contract(spark: SparkSession, sf: str) -> DataFrame:
     chunks = made(spark, sf, OWNERS).filter("chunk_id < 'c3'").select("chunk_id").distinct()
-    return J.run_problems(made(spark, sf, RUN), chunks, made(spark, sf, NEEDS).filter("need_id < 20").select(F.col("need_id").alias("query_id")), 5, 10)
+    return J.run_problems(made(spark, sf, RUN), chunks, made(spark, sf, NEEDS).select(F.col("need_id").alias("query_id")), 5, 10)
 
 
 @register("layer_contract", f"""WITH {_WITH}, o AS (SELECT * FROM owners WHERE path NOT LIKE '%7' UNION ALL SELECT 'extra', act, path FROM owners WHERE path LIKE '%13' UNION ALL SELECT 'e', act, path FROM nodes WHERE own_text = '' AND k % 3 = 0)
@@ -104,18 +104,19 @@ def dataset_contract(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("evidence_overlaps", f"""WITH {_WITH}, t AS (SELECT DISTINCT need_id, act, split_part(path, '.', 1) AS article, path FROM good WHERE grade = 3),
-s AS (SELECT a.need_id AS a, b.need_id AS b, list_sort(list(DISTINCT a.act || ':' || a.article)) AS articles, coalesce(list_sort(list(DISTINCT a.act || ':' || a.path) FILTER (a.path = b.path)), []) AS nodes FROM t a JOIN t b USING (act, article) WHERE a.need_id < 10 AND b.need_id >= 40 GROUP BY ALL)
+s AS (SELECT a.need_id AS a, b.need_id AS b, list_sort(list(DISTINCT a.act || ':' || a.article)) AS articles, coalesce(list_sort(list(DISTINCT a.act || ':' || a.path) FILTER (a.path = b.path)), []) AS nodes FROM t a JOIN t b USING (act, article) WHERE a.need_id % 2 = 0 AND b.need_id % 2 = 1 GROUP BY ALL)
 SELECT a, b, array_to_string(nodes, ' ') AS nodes, array_to_string(articles, ' ') AS articles FROM s""")
 def evidence_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Two test sets: the needs with even and those with odd numbers."""
     q = made(spark, sf, QRELS)
-    return J.evidence_overlap(q.filter("need_id < 10"), q.filter("need_id >= 40")).select("a", "b", F.array_join("nodes", " ").alias("nodes"), F.array_join("articles", " ").alias("articles"))
+    return J.evidence_overlap(q.filter("need_id % 2 = 0"), q.filter("need_id % 2 = 1")).select("a", "b", F.array_join("nodes", " ").alias("nodes"), F.array_join("articles", " ").alias("articles"))
 
 
 @register("evidence_strata", f"""WITH {_WITH}, t AS (SELECT DISTINCT need_id, act, split_part(path, '.', 1) AS article FROM good WHERE grade = 3)
-SELECT need_id, CASE WHEN need_id IN (SELECT a.need_id FROM t a JOIN t b USING (act, article) WHERE a.need_id < 10 AND b.need_id = 49) THEN 'shared_grade3_article' ELSE 'no_shared_grade3' END AS stratum FROM needs""")
+SELECT need_id, CASE WHEN need_id IN (SELECT a.need_id FROM t a JOIN t b USING (act, article) WHERE a.need_id % 2 = 0 AND b.need_id % 2 = 1) THEN 'shared_grade3_article' ELSE 'no_shared_grade3' END AS stratum FROM needs""")
 def evidence_strata(spark: SparkSession, sf: str) -> DataFrame:
     q = made(spark, sf, QRELS)
-    return J.evidence_strata(made(spark, sf, NEEDS), J.evidence_overlap(q.filter("need_id < 10"), q.filter("need_id = 49")))
+    return J.evidence_strata(made(spark, sf, NEEDS), J.evidence_overlap(q.filter("need_id % 2 = 0"), q.filter("need_id % 2 = 1")))
 
 
 @register("chunk_provenance", """WITH c AS (SELECT c_custkey AS chunk_id, c_nationkey AS document_id FROM customer), i AS (SELECT o_orderkey AS pos, o_custkey + 3 AS chunk_id FROM orders)
