@@ -23,6 +23,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,10 @@ COUNTED = 1 << 20
 #: Chunks whose ids a worker remembers, and the longest of them.
 REMEMBERED, CHUNK = 400_000, 64
 _SHIFT = 32
-_CUT = re.compile(r"(?<=[!-~\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff])(?= )")
+#: Chunks that are encoded together.
+RUN = 500
+_VISIBLE = "[!-~\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff]"
+_CUT, _SEEN = re.compile(f"(?<={_VISIBLE})(?= )"), re.compile(_VISIBLE + r"\Z")
 
 
 def _byte_characters() -> dict[str, int]:
@@ -71,51 +75,83 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
         # a piece with a space behind another character could join chunks (A splits there before it merges)
         self.parted = not any("▁" in p.lstrip("▁") for _, p in pieces)
-        self.cache: dict[str, tuple[list[int], list[int]] | None] = {}
+        # chunks by number, and of all of them end to end A's ids, how many each has (-1: not given back), B's, how many
+        self.number: dict[str, int] = {}
+        self.store = [np.empty(0, np.int64)] * 4
         self.length_a, self.length_b = (np.array([len(t) for t in own], np.int64) for own in (self.bytes_a, self.bytes_b))
         # every id as text, with what follows it: inside its side of a group (,), at the end of A's (|) or of the group (;)
         self.text_a, self.text_b = (np.array([b"%d%s" % (i, s) for s in (b",", end) for i in range(len(own))], object) for own, end in ((self.bytes_a, b"|"), (self.bytes_b, b";")))
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids of chunks (each begins with a space) by both; None where a tokenizer doesn't give back the chunk's bytes."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        # B adds its space to every text but an empty one
-        ids_b = [y or [self.b.piece_to_id("▁")] for y in self.b.encode([c[1:] for c in chunks], num_threads=1)]
-        for c, x, y in zip(chunks, ids_a, ids_b, strict=True):
-            raw = c.encode("utf-8", "surrogatepass")
-            same = b"".join(map(self.bytes_a.__getitem__, x)) == raw and b"".join(map(self.bytes_b.__getitem__, y)) == raw
-            self.cache[c] = (x, y) if same else None
-
-    def encode(self, texts: list[str]) -> tuple[list[int], list[list[int]], list[list[int]]]:
-        """Numbers and ids by A and B of those texts that both give back.
+    def _both(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of texts that begin with a space, by A, and by B, which adds its space to every text but an empty one."""
+        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        return ids_a, [y or [self.b.piece_to_id("▁")] for y in self.b.encode([t[1:] for t in texts], num_threads=1)]
+
+    def _learn(self, chunks: list[str], alone: set[str]) -> None:
+        """Remember the ids of chunks. Chunks are encoded in runs laid end to end, those in ``alone`` and of runs that a tokenizer doesn't give back one by one."""
+        joined = [c for c in chunks if c not in alone]
+        runs = [joined[i : i + RUN] for i in range(0, len(joined), RUN)]
+        held: list[tuple[list[str], list[np.ndarray]]] = []
+        single = [c for c in chunks if c in alone]
+        for own, x, y in zip(runs, *self._both(["".join(r) for r in runs]), strict=True):
+            raw = "".join(own).encode("utf-8", "surrogatepass")
+            ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in own])
+            sides = [(np.array(ids, np.int64), table) for ids, table in ((x, self.length_a), (y, self.length_b))]
+            places = [np.cumsum(table[ids]) for ids, table in sides]
+            cuts = [np.searchsorted(at, ends) + 1 for at in places]
+            same = all(b"".join(map(names.__getitem__, ids)) == raw and np.array_equal(at[cut - 1], ends) for ids, names, at, cut in zip((x, y), (self.bytes_a, self.bytes_b), places, cuts, strict=True))
+            if same:
+                held.append((own, [v for (ids, _), cut in zip(sides, cuts, strict=True) for v in (ids, np.diff(np.r_[0, cut]))]))
+            else:
+                single += own
+        if single:
+            ids_a, ids_b = self._both(single)
+            good = [b"".join(map(self.bytes_a.__getitem__, x)) == b"".join(map(self.bytes_b.__getitem__, y)) == c.encode("utf-8", "surrogatepass") for c, x, y in zip(single, ids_a, ids_b, strict=True)]
+            sizes = [np.array([len(v) if ok else -1 for v, ok in zip(ids, good, strict=True)], np.int64) for ids in (ids_a, ids_b)]
+            flat = [np.array([t for v, ok in zip(ids, good, strict=True) if ok for t in v], np.int64) for ids in (ids_a, ids_b)]
+            held.append((single, [flat[0], sizes[0], flat[1], sizes[1]]))
+        at = len(self.store[1])
+        for own, _ in held:
+            self.number.update(zip(own, range(at, at + len(own)), strict=True))
+            at += len(own)
+        self.store = [np.concatenate([old, *(parts[k] for _, parts in held)]) for k, old in enumerate(self.store)]
+
+    def encode(self, texts: list[str]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of those texts that both give back, then all their ids by A, how many each has, and the same of B.
 
         Neither's tokens reach over a space behind a visible character, so the chunks between such spaces are
         encoded one by one, and those met lately are remembered.
         """
         full = [i for i, t in enumerate(texts) if t]
         chunks = [_CUT.split(" " + texts[i]) if self.parted else [" " + texts[i]] for i in full]
-        distinct, cache = set().union(*chunks), self.cache
-        if len(cache) + len(distinct) > REMEMBERED:
-            cache.clear()
-        new = [c for c in distinct if c not in cache]
+        distinct = set().union(*chunks)
+        if len(self.store[1]) + len(distinct) > REMEMBERED or len(self.store[0]) > REMEMBERED * 16:
+            self.number, self.store = {}, [np.empty(0, np.int64)] * 4
+        new = [c for c in distinct if c not in self.number]
         if new:
-            self._learn(new)
-        keep: tuple[list, list, list] = [], [], []
-        for i, own in zip(full, chunks, strict=True):
-            found = [cache[c] for c in own]
-            if None not in found:
-                keep[0].append(i)
-                keep[1].append([t for x, _ in found for t in x])
-                keep[2].append([t for _, y in found for t in y])
+            # what ends a text may end in spaces, which what follows would join
+            last = {c[-1] for c in chunks}
+            self._learn(new, {c for c in new if c in last and not _SEEN.search(c)} if self.parted else set(new))
+        code = np.fromiter(map(self.number.__getitem__, chain.from_iterable(chunks)), np.int64, sum(map(len, chunks)))
+        sizes = np.array([len(c) for c in chunks], np.int64)
+        ends = np.cumsum(sizes)
+        lost = np.r_[0, np.cumsum(self.store[1][code] < 0)]
+        good = lost[ends] == lost[ends - sizes]
+        code, doc = code[np.repeat(good, sizes)], np.repeat(np.arange(int(good.sum())), sizes[good])
+        sides = []
+        for flat, counts in (self.store[:2], self.store[2:]):
+            counts = np.maximum(counts, 0)
+            begin = np.cumsum(counts) - counts
+            n = counts[code]
+            place = np.arange(int(n.sum())) + np.repeat(begin[code] - (np.cumsum(n) - n), n)
+            sides += [flat[place], np.bincount(doc, n, int(good.sum())).astype(np.int64)]
         for c in new:
             if len(c) > CHUNK:
-                del cache[c]
-        return keep
+                del self.number[c]
+        return [i for i, ok in zip(full, good.tolist(), strict=True) if ok], *sides
 
-    def align(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """For documents laid end to end: linked A ids, B ids, where each document's links begin and, last, end, its numbers of links, and digests of its groups."""
-        a, b = (np.fromiter((t for d in ids for t in d), np.int64) for ids in (ids_a, ids_b))
-        n_a, n_b = (np.array([len(d) for d in ids], np.int64) for ids in (ids_a, ids_b))
+    def align(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """For documents laid end to end (ids and how many each document has, by A and by B): linked A ids, B ids, where each document's links begin and, last, end, its numbers of links, and digests of its groups."""
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         total = int(end_a[-1]) if len(end_a) else 0
         both = (np.bincount(end_a, minlength=total + 1) > 0) & (np.bincount(end_b, minlength=total + 1) > 0)
@@ -162,11 +198,11 @@ def link_table(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id",
         for batch in batches:
             for ids, texts in slices(batch):
                 n = len(ids)
-                kept, ids_a, ids_b = align.encode(texts)
-                a, b, bounds, links, digests = align.align(ids_a, ids_b)
+                kept, ids_a, n_a, ids_b, n_b = align.encode(texts)
+                a, b, bounds, links, digests = align.align(ids_a, n_a, ids_b, n_b)
                 code, times, at = distinct_links(a, b, bounds)
                 columns = np.zeros((3, n), np.int64)
-                columns[:, kept] = [len(x) for x in ids_a], [len(x) for x in ids_b], links
+                columns[:, kept] = n_a, n_b, links
                 sha = np.full(n, "", object)
                 sha[kept] = digests
                 sizes = np.zeros(n, np.int64)
