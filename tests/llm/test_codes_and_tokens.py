@@ -134,13 +134,35 @@ def test_alignment_of_nothing(spark):
 def test_links_of_a_long_text():
     """Documents laid end to end give what each gives alone."""
     al = token_alignment.aligner(A, B)
-    _, a, b = al.encode([" ".join(random_texts(400, 8)).replace("  ", " "), "x", "one two three"])
-    x, y, bounds, n, digests = al.align(a, b)
-    alone = [al.align([p], [q]) for p, q in zip(a, b, strict=True)]
+    own = al.encode([" ".join(random_texts(400, 8)).replace("  ", " "), "x", "one two three"])
+    x, y, bounds, n, digests = al.align(*own[1:])
+    cut = lambda ids, sizes: np.split(ids, np.cumsum(sizes)[:-1])
+    alone = [al.align(p, np.array([len(p)]), q, np.array([len(q)])) for p, q in zip(cut(own[1], own[2]), cut(own[3], own[4]), strict=True)]
     assert digests == [d[4][0] for d in alone] and n.tolist() == [int(d[3][0]) for d in alone]
     assert x.tolist() == [v for d in alone for v in d[0].tolist()] and y.tolist() == [v for d in alone for v in d[1].tolist()]
 
 
+def test_remembered_chunks_change_no_ids(sf):
+    """Texts encoded together, again, and after everything was forgotten, against both libraries on the whole texts."""
+    import pyarrow.parquet as pq
+
+    al = token_alignment.Aligner(A, B)
+    texts = [t or "" for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()][:60] + ODD + random_texts(200, 5) + [" ".join(ODD), "long" * 50 + " tail", "x  ", "x "]
+    full = [t for t in texts if t]
+    want = []
+    for t in full:
+        a, b = al.a.encode(" " + t, add_special_tokens=False).ids, al.b.encode(t)
+        raw = (" " + t).encode()
+        if b"".join(al.bytes_a[i] for i in a) == raw == b"".join(al.bytes_b[i] for i in b):
+            want.append((t, a, b))
+    for known in (400_000, 400_000, 50):
+        token_alignment.REMEMBERED, before = known, token_alignment.REMEMBERED
+        kept, a, n_a, b, n_b = al.encode(texts)
+        token_alignment.REMEMBERED = before
+        cut = lambda ids, sizes: [v.tolist() for v in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert [(texts[i], x, y) for i, x, y in zip(kept, cut(a, n_a), cut(b, n_b), strict=True)] == want
+
+
 def plain_codes(rows):
     """The contract in Python integers: rows (id, vector, label) of one length, a multiple of eight."""
     kept = [(i, [math.floor(4096 * x) if abs(x) < 2**60 else int(x) * 4096 for x in v], c) for i, v, c in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
