@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratiform.operators.prefix import running
+
 from stratiform.operators.retrieval import discount
 
 
@@ -45,8 +47,8 @@ def judged_at(run: DataFrame, judged: DataFrame, k: int) -> DataFrame:
 def distribution(df: DataFrame, value: str) -> DataFrame:
     """One row: n, min, q1, median, q3, max, mean; quartiles interpolated at q(n+1), as exclusive quartiles are."""
     counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    # over the distinct values: row numbers are running sums of their counts
-    placed = counted.withColumn("hi", F.sum("c").over(Window.orderBy("v"))).withColumn("lo", F.col("hi") - F.col("c") + 1)
+    # row numbers are running sums of the distinct values' counts
+    placed = running(counted, "v", "c").withColumn("hi", F.col("below") + F.col("c")).withColumn("lo", F.col("below") + 1)
     size = counted.agg(F.sum("c").alias("n"), F.round(F.sum(F.col("v") * F.col("c")) / F.sum("c"), 6).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
     at = lambda p: F.max(F.when((F.col("lo") <= p) & (p <= F.col("hi")), F.col("v")))
 

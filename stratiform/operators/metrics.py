@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratiform.operators.prefix import running
+
 from stratiform.operators.retrieval import discount
 
 
@@ -72,9 +74,8 @@ def wilson(rows: DataFrame, groups: list[str], hit: str, z: float = 1.96) -> Dat
 
 
 def auroc(rows: DataFrame, score: str, positive: str) -> DataFrame:
-    """Area under the ROC curve by average ranks. Scores are counted first, so the one global window sees distinct scores only."""
+    """Area under the ROC curve by average ranks: scores are counted, and the counts summed up by ranges of the score."""
     counted = rows.groupBy(score).agg(F.sum(F.col(positive).cast("int")).alias("p"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counted.withColumn("mid", below + (F.col("n") + 1) / 2)
+    ranks = running(counted, score, "n").withColumn("mid", F.col("below") + (F.col("n") + 1) / 2)
     total = ranks.agg(F.sum(F.col("p") * F.col("mid")).alias("s"), F.sum("p").alias("a"), F.sum(F.col("n") - F.col("p")).alias("b"))
     return total.select(F.round((F.col("s") - F.col("a") * (F.col("a") + 1) / 2) / (F.col("a") * F.col("b")), 6).alias("auroc"), F.col("a").alias("positives"), F.col("b").alias("negatives"))

@@ -9,9 +9,10 @@ from stratiform.catalog import register
 from stratiform.functions import legal as L
 from stratiform.functions import rules
 from stratiform.functions import text as T
-from stratiform.operators import design, draws, stats
+from stratiform.operators import cascade, design, draws, stats
 from stratiform.operators import evidence as E
 from stratiform.plans.evaluation import _BM25, _OVERLAP, bm25_run, overlap_run, pooled_documents, qrels
+from stratiform.plans.judging import made
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -207,6 +208,26 @@ def dealt_batches(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("batch").agg(F.count("*").alias("size")).join(swaps, "batch").select("batch", "size", "improving")
 
 
+_STAGED = """SELECT o_orderkey AS case, o_orderkey % 4 > 0 AS positive, s.stage AS stage, (o_orderkey * (s.stage + 3) + o_custkey) % (5 - s.stage) = 0 AS answered, (o_orderkey + o_custkey * s.stage) % 3 > 0 AS hit, o_custkey % 4 + s.stage AS claims, o_custkey % 4 + s.stage - CASE WHEN o_orderkey % (3 + s.stage) = 0 THEN 1 ELSE 0 END AS passed
+FROM orders CROSS JOIN (SELECT CAST(1 AS INT) AS stage UNION ALL SELECT CAST(2 AS INT) UNION ALL SELECT CAST(3 AS INT)) s"""
+
+
+@register("cascade_gates", f"""WITH o AS ({_STAGED.replace("AS case", 'AS "case"')}), p AS (SELECT "case", any_value(positive) AS positive, bool_or(answered) FILTER (stage = 1) AS a1, bool_or(answered) FILTER (stage = 2) AS a2, bool_or(answered) FILTER (stage = 3) AS a3,
+  bool_or(hit) FILTER (stage = 1) AS h1, bool_or(hit) FILTER (stage = 2) AS h2, bool_or(hit) FILTER (stage = 3) AS h3 FROM o GROUP BY "case"),
+c AS (SELECT stage, sum(passed)::DOUBLE / sum(claims) AS pass FROM o WHERE positive GROUP BY stage),
+x AS (SELECT 2 AS stage, count(*) FILTER (positive AND NOT a1 AND a2 AND h2) AS rescued, count(*) FILTER (positive AND NOT (a1 AND h1) AND a2 AND h2) AS broader, count(*) FILTER (positive AND a1 AND h1 AND NOT (a2 AND h2)) AS lost,
+  count(*) FILTER (NOT positive AND (a1 OR a2)) AS undesired, count(*) FILTER (NOT positive AND a1) AS undesired_before FROM p
+ UNION ALL SELECT 3, count(*) FILTER (positive AND NOT a1 AND NOT a2 AND a3 AND h3), count(*) FILTER (positive AND NOT (CASE WHEN a1 THEN h1 ELSE a2 AND h2 END) AND a3 AND h3), count(*) FILTER (positive AND (CASE WHEN a1 THEN h1 ELSE a2 AND h2 END) AND NOT (a3 AND h3)),
+  count(*) FILTER (NOT positive AND (a1 OR a2 OR a3)), count(*) FILTER (NOT positive AND (a1 OR a2)) FROM p),
+g AS (SELECT x.*, (SELECT pass FROM c WHERE stage = 1) - pass AS d, CASE WHEN stage = 2 THEN 0.95 END AS share FROM x JOIN c USING (stage))
+SELECT stage, rescued, broader, lost, undesired, undesired_before, round(d, 6) AS drop, rescued >= 3 AS enough, undesired <= undesired_before AS no_extra, d <= 0.05 AS not_degraded, share >= 0.9 AS supported,
+  rescued >= 3 AND undesired <= undesired_before AND d <= 0.05 AND coalesce(share >= 0.9, FALSE) AS justified, CASE WHEN share IS NULL THEN 'supported' ELSE '' END AS unresolved FROM g""")
+def cascade_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """Three answering stages over the orders as cases: is the second, and the third, worth adding?"""
+    outcomes = made(spark, sf, _STAGED)
+    return cascade.stages(outcomes, spark.createDataFrame([(2, 0.95)], "stage int, share double"))
+
+
 @register("seeded_order")
 def seeded_order(spark: SparkSession, sf: str) -> DataFrame:
     """The orders of every customer in the order in which a generator seeded by the customer's key shuffles them."""
