@@ -37,6 +37,18 @@ def pool(runs: list[tuple[str, DataFrame]], depth: int) -> DataFrame:
     return every.groupBy("query_id", "doc_id").agg(F.array_join(F.array_sort(F.collect_set("contributor")), ",").alias("contributors"), F.min("rank").alias("best"))
 
 
+def pool_of_needs(runs: DataFrame, queries: DataFrame, depths: dict[str, int], anchors: DataFrame, name: str = "anchor") -> DataFrame:
+    """(need_id, doc_id, sources): over a need's queries (query_id, need_id) what each contributor of ``runs`` (contributor, query_id, doc_id, rank) ranks within its own depth, and the need's ``anchors`` (need_id, doc_id).
+
+    ``sources``: (contributor, query_id, rank), in order; an anchor has no query and rank 0. Contributors without a depth give nothing.
+    """
+    depth = F.coalesce(*[F.when(F.col("contributor") == c, d) for c, d in depths.items()]) if depths else F.lit(None).cast("int")
+    kind = queries.schema["query_id"].dataType
+    found = runs.filter(F.col("rank") <= depth).join(queries.select("query_id", "need_id"), "query_id").select("need_id", "doc_id", "contributor", "query_id", F.col("rank").cast("int").alias("rank"))
+    every = found.unionByName(anchors.select("need_id", "doc_id", F.lit(name).alias("contributor"), F.lit(None).cast(kind).alias("query_id"), F.lit(0).alias("rank")))
+    return every.groupBy("need_id", "doc_id").agg(F.array_sort(F.collect_set(F.struct("contributor", "query_id", "rank"))).alias("sources"))
+
+
 def decisive(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
     """Documents in exactly one of two top-k lists."""
     x, y = (r.filter(F.col("rank") <= k).select("query_id", "doc_id", F.lit(1).alias(n)) for r, n in ((a, "x"), (b, "y")))

@@ -125,7 +125,7 @@ class EventLog:
         if not fs.exists(at):
             return []
         names = sorted(s.getPath().getName() for s in fs.listStatus(at) if not s.getPath().getName().startswith("."))
-        rows = self.spark.read.option("wholetext", True).text([f"{self.path}/commits/{n}" for n in names]).collect() if names else []
+        rows = self.spark.read.text([f"{self.path}/commits/{n}" for n in names], wholetext=True).collect() if names else []
         return sorted((json.loads(r.value) for r in rows), key=lambda c: c["number"])
 
     def _live(self) -> list[dict]:

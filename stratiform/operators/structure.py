@@ -83,3 +83,18 @@ def changed(base: DataFrame, other: DataFrame, key: str, text: str) -> DataFrame
     both = base.select(key, F.col(text).alias("x"), F.lit(1).alias("i")).join(other.select(key, F.col(text).alias("y"), F.lit(1).alias("j")), key, "full_outer")
     kind = F.when(F.col("i").isNull(), "added").when(F.col("j").isNull(), "removed").when(~F.col("x").eqNullSafe(F.col("y")), "amended")
     return both.select(key, kind.alias("change")).filter("change is not null")
+
+
+def explained(base: DataFrame, other: DataFrame, markers: DataFrame, key: str, text: str, act: str = "act") -> tuple[DataFrame, DataFrame]:
+    """Two versions compared and checked against the later one's amendment markers (key, act): (changes, problems).
+
+    changes (key, change, acts): what was added or amended, with the acts whose markers say so. problems (key, problem)
+    contradict them: ``removed`` keys, ``unexplained`` changes without a marker, and ``silent`` markers of what didn't change.
+    Changes are only good while there are no problems.
+    """
+    found = changed(base, other, key, text)
+    acts = markers.groupBy(key).agg(F.array_sort(F.collect_set(act)).alias("acts"))
+    both = found.join(acts, key, "full_outer")
+    problem = F.when(F.col("change") == "removed", "removed").when(F.col("acts").isNull(), "unexplained").when(F.col("change").isNull(), "silent")
+    judged = both.withColumn("problem", problem)
+    return judged.filter("problem is null").select(key, "change", "acts"), judged.filter("problem is not null").select(key, "problem")

@@ -11,6 +11,7 @@ from stratiform.operators import curation as Q
 from stratiform.operators import evidence as E
 from stratiform.operators import structure as S
 from stratiform.operators.closest import closest
+from stratiform.plans.judging import made
 from stratiform.shipping import ship
 
 
@@ -77,6 +78,36 @@ def amended_rows(spark: SparkSession, sf: str) -> DataFrame:
     return S.changed(o.filter("k % 10 < 8"), o.filter("k % 10 > 1").withColumn("s", F.when(F.col("k") % 10 == 5, "X").otherwise(F.col("s"))), "k", "s")
 
 
+_OLD = "SELECT o_orderkey AS k, o_orderstatus AS s FROM orders WHERE o_orderkey % 10 < 9 OR o_orderkey % 1000 = 9"
+_NEW = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 5 THEN 'X' ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 500 <> 3"
+_MARKS = "SELECT o_orderkey AS k, concat('M', CAST(o_orderkey % 3 AS STRING)) AS act FROM orders WHERE (o_orderkey % 10 IN (5, 9) AND o_orderkey % 70 <> 5) OR o_orderkey % 300 = 2 UNION ALL SELECT o_orderkey, 'M9' FROM orders WHERE o_orderkey % 20 = 5 AND o_orderkey % 70 <> 5"
+
+
+@register("explained_changes", f"""WITH a AS ({_OLD}), b AS ({_NEW}), m AS (SELECT k, list_sort(list(DISTINCT act)) AS acts FROM ({_MARKS.replace("STRING", "VARCHAR")}) GROUP BY k),
+c AS (SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'amended' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.s <> b.s)
+SELECT coalesce(c.k, m.k) AS k, CASE WHEN change = 'removed' THEN 'problem: removed' WHEN acts IS NULL THEN 'problem: unexplained' WHEN change IS NULL THEN 'problem: silent' ELSE change || ' by ' || array_to_string(acts, ' ') END AS finding FROM c FULL JOIN m ON m.k = c.k""")
+def explained_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Two versions of the orders against the markers of the later one, both ways."""
+    changes, problems = S.explained(made(spark, sf, _OLD), made(spark, sf, _NEW), made(spark, sf, _MARKS), "k", "s")
+    said = changes.select("k", F.concat_ws(" by ", "change", F.array_join("acts", " ")).alias("finding"))
+    return said.unionByName(problems.select("k", F.concat(F.lit("problem: "), "problem").alias("finding")))
+
+
+_POOLED = "SELECT CASE CAST(l_suppkey % 3 AS INT) WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS contributor, l_orderkey AS query_id, l_partkey AS doc_id, min(l_linenumber) AS rank FROM lineitem GROUP BY l_suppkey % 3, l_orderkey, l_partkey"
+_ASKED = "SELECT o_orderkey AS query_id, o_custkey AS need_id FROM orders"
+_ANCHORED = "SELECT c_custkey AS need_id, c_custkey * 3 + 1 AS doc_id FROM customer"
+
+
+@register("pools_of_needs", f"""WITH r AS ({_POOLED}), q AS ({_ASKED}), f AS (SELECT need_id, doc_id, contributor, query_id, rank FROM r JOIN q USING (query_id) WHERE rank <= CASE contributor WHEN 'a' THEN 4 WHEN 'b' THEN 2 END
+ UNION SELECT need_id, doc_id, 'anchor', NULL, 0 FROM ({_ANCHORED}))
+SELECT need_id, doc_id, string_agg(contributor || ':' || coalesce(query_id::VARCHAR, '') || ':' || rank, ' ' ORDER BY contributor, query_id, rank) AS sources FROM f GROUP BY ALL""")
+def pools_of_needs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pools of customers as needs: two contributors of their own depths, and an anchor each, with provenance."""
+    pooled = Q.pool_of_needs(made(spark, sf, _POOLED), made(spark, sf, _ASKED), {"a": 4, "b": 2}, made(spark, sf, _ANCHORED))
+    named = F.transform("sources", lambda x: F.concat_ws(":", x["contributor"], F.coalesce(x["query_id"].cast("string"), F.lit("")), x["rank"].cast("string")))
+    return pooled.select("need_id", "doc_id", F.array_join(named, " ").alias("sources"))
+
+
 @register("figures", r"""WITH f AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '([0-9]{1,3}(?:[\x{00a0}\x{202f} ][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:[.,][0-9]+)?)', 1)) AS x FROM documents),
 c AS (SELECT DISTINCT doc_id, replace(regexp_replace(x, '[\x{00a0}\x{202f} ]', '', 'g'), ',', '.') AS x FROM f)
 SELECT doc_id, string_agg(x, ' ' ORDER BY x) AS figures, count(*) AS n FROM c GROUP BY doc_id""")

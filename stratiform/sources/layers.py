@@ -77,6 +77,15 @@ def read_pinned_run(spark: SparkSession, path: str, sha256: str) -> DataFrame:
     return run
 
 
+def read_system(spark: SparkSession, run: str, summary: str) -> tuple[DataFrame, dict]:
+    """A system's run and its summary (one JSON object with ``identity.run_sha256``); the run must be the one the summary recorded."""
+    held = spark.read.text(summary, wholetext=True).first()
+    said = json.loads(held[0]) if held else {}
+    if "run_sha256" not in said.get("identity", {}):
+        raise Stale(f"{summary} names no run")
+    return read_pinned_run(spark, run, said["identity"]["run_sha256"]), said
+
+
 def read_frozen(spark: SparkSession, root: str, schemas: Mapping[str, T.StructType], sealed: Mapping[str, str], manifest: DataFrame, layer: str, version: str) -> dict[str, DataFrame]:
     """The tables of a benchmark folder (name.jsonl) and its layer, read as one bundle: files not in ``sealed`` (name to SHA-256) or changed since are an error."""
     files = landed(spark, root, "*.jsonl").select("document", "source_sha256").collect()

@@ -234,3 +234,34 @@ def test_question_terms(spark):
     owners = spark.createDataFrame([("c1", "A", "4.1"), ("c2", "B", "2")], "chunk_id string, act string, path string")
     got = dependencies.question_terms(questions, definitions, owners).collect()
     assert sorted(tuple(r) for r in got) == [(1, "A", "fee", "c1", "What fees does the payer owe;"), (1, "B", "payer", "c2", "What fees does the payer owe;")]
+
+
+def test_a_system_is_the_run_its_summary_hashed(spark, tmp_path):
+    run = spark.createDataFrame([(1, 1, 5, 0.5), (1, 2, 7, 0.25), (2, 1, 5, 0.5)], "query_id long, rank int, doc_id long, score double")
+    path, summary = f"file://{tmp_path}/run", tmp_path / "summary.json"
+    sinks.write_run(run, path)
+    digest = layers.run_digest(run)
+    summary.write_text(json.dumps({"identity": {"run_sha256": digest}, "nDCG": 0.5}, indent=1))
+    found, said = layers.read_system(spark, path, f"file://{summary}")
+    assert found.count() == 3 and said["nDCG"] == 0.5
+    for bad in ({"identity": {"run_sha256": "0" * 64}}, {"identity": {}}, {}):
+        summary.write_text(json.dumps(bad))
+        with pytest.raises(layers.Stale):
+            layers.read_system(spark, path, f"file://{summary}")
+
+
+def test_pools_of_needs(spark):
+    runs = spark.createDataFrame([("a", 1, 10, 1), ("a", 1, 11, 3), ("b", 2, 10, 2), ("c", 1, 12, 1)], "contributor string, query_id int, doc_id int, rank int")
+    queries = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "query_id int, need_id int")
+    anchors = spark.createDataFrame([(7, 10), (8, 13)], "need_id int, doc_id int")
+    got = {(r.need_id, r.doc_id): [tuple(x) for x in r.sources] for r in curation.pool_of_needs(runs, queries, {"a": 2, "b": 2}, anchors).collect()}
+    assert got == {(7, 10): [("a", 1, 1), ("anchor", None, 0), ("b", 2, 2)], (8, 13): [("anchor", None, 0)]}
+
+
+def test_changes_are_explained_both_ways(spark):
+    base = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", "c"), ("4", None)], "k string, t string")
+    other = spark.createDataFrame([("1", "a"), ("2", "x"), ("5", "n"), ("4", None), ("6", "y")], "k string, t string")
+    marks = spark.createDataFrame([("2", "M2"), ("2", "M1"), ("5", "M1"), ("4", "M1")], "k string, act string")
+    changes, problems = structure.explained(base, other, marks, "k", "t")
+    assert sorted((r.k, r.change, r.acts) for r in changes.collect()) == [("2", "amended", ["M1", "M2"]), ("5", "added", ["M1"])]
+    assert sorted((r.k, r.problem) for r in problems.collect()) == [("3", "removed"), ("4", "silent"), ("6", "unexplained")]
