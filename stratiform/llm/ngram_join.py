@@ -351,9 +351,11 @@ def most_shared(n: int, x: bytes, m: int, y: bytes) -> int:
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int, scratch: C.Scratch) -> DataFrame:
     """The pairs (a, b) whose sketches don't rule a link out; sketches are a thirtieth of the sets."""
     pairs = scratch.keep(pairs)
+    sent = sets.sparkSession.sparkContext.broadcast(bitmap.build(pairs.select(F.explode(F.array("a", "b")).alias("key"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(bitmap.has(sent.value, batch.column(0).to_numpy().view(np.uint64))))
             drawn = [sketch(np.frombuffer(x.as_buffer(), np.uint64)) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drawn, pa.binary())], ["key", "n", "sketch"])
 
@@ -364,7 +366,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int, scratch: C.Scrat
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     fields = [C.field("key", "long"), C.field("n", "long"), C.field("sketch", "binary")]
-    drawn = scratch.keep(C.map_arrow(_among(sets, pairs.select(F.explode(F.array("a", "b")).alias("key"))), run, fields))
+    drawn = scratch.keep(C.map_arrow(sets.select("key", "n", "tokens"), run, fields))
     both = pairs.join(drawn.toDF("a", "n", "x"), "a").join(drawn.toDF("b", "m", "y"), "b").select("a", "b", "n", "x", "m", "y")
     out = scratch.keep(C.map_arrow(both, check, [C.field("a", "long"), C.field("b", "long")]))
     scratch.drop(pairs, drawn)
