@@ -252,6 +252,30 @@ def test_toxicity_scores_are_sums_of_features():
     assert "abcd*64" not in toxicity_pu.features_of({"abcde", "abcdf", *(f"q{i}" for i in range(198))})
 
 
+def test_ngram_join_of_mixed_templates(spark, monkeypatch):
+    """Texts put together from common templates, linked with nobody: once their pivots are tried, only sketches meet."""
+    rnd = random.Random(31)
+    templates = [" ".join(f"t{k}w{rnd.randrange(10**6)}" for _ in range(25)) for k in range(40)]
+    texts = [" ".join(rnd.sample(templates, 12)) for _ in range(150)]
+    copy = texts[7].split(" ")
+    texts.append(" ".join(copy[:40] + ["other"] + copy[41:]))
+    met, overlaps = [], ngram_join.overlaps
+    monkeypatch.setattr(ngram_join, "overlaps", lambda pairs, *rest: (met.append(pairs.count()), overlaps(pairs, *rest))[1])
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(frame(spark, texts)).collect()}
+    assert got == {i: i for i in range(150)} | {150: 7}
+    assert len(met) == 3 and met[0] <= 151 and met[2] < 20
+
+
+def test_sketches_bound_intersections():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        n = int(rng.integers(1, 900))
+        every = np.unique(rng.integers(0, 2**63, 3 * n).astype(np.uint64))
+        a, b = (np.sort(rng.choice(every, int(k), False)) for k in (n, rng.integers(max(1, n * 3 // 4), min(len(every), n * 4 // 3 + 1) + 1)))
+        most = ngram_join.most_shared(len(a), ngram_join.sketch(a), len(b), ngram_join.sketch(b))
+        assert len(np.intersect1d(a, b)) <= most and ngram_join.most_shared(n, ngram_join.sketch(a), n, ngram_join.sketch(a)) == n
+
+
 def test_toxicity_of_odd_rows(spark):
     """Null and empty texts have the score of the bias; null ids and repeated rows change nothing."""
     rnd = random.Random(9)
