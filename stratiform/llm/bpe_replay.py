@@ -27,7 +27,7 @@ from stratiform.llm import common as C
 from stratiform.llm.ogg import _arrow_type
 
 #: Words whose ids a worker remembers between batches; about 250 bytes each.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: New words that are replayed together; more would not fit the processor's cache.
 SLICE_WORDS = 3_000
 #: Longest match that goes into the common sequence; longer ones are replayed alone, not remembered.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -35,8 +36,22 @@ def id_field(df: DataFrame, name: str) -> T.StructField:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], fields: list[T.StructField]) -> DataFrame:
-    """``mapInArrow`` with the output given as Spark fields."""
-    return df.mapInArrow(fn, T.StructType(fields))
+    """``mapInArrow`` with the output given as Spark fields; a worker gives back what it freed when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        release()
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def release() -> None:
+    """Return freed memory to the system: workers are used again by other stages, whose needs would add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own house
+        pass
 
 
 def field(name: str, kind: str) -> T.StructField:

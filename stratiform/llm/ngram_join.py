@@ -60,7 +60,7 @@ FIRST = 12
 #: Owner of a token that a block has counted itself.
 NOBODY = (1 << 16) - 1
 #: Tokens that a block of the census holds, and a range of hashes.
-BLOCK_TOKENS, RANGE_TOKENS = 1_000_000, 1_000_000
+BLOCK_TOKENS, RANGE_TOKENS = 500_000, 1_000_000
 
 
 def tau(n, percent: int):
@@ -76,8 +76,9 @@ def set_key(tokens: np.ndarray) -> tuple[int, int]:
 
 def _sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple[tuple[int, int], np.ndarray]]]:
     for batch in batches:
-        own = [word_shingles(t.as_py(), SHINGLE) for t in batch.column(column)]
-        yield [(set_key(x), x) for x in own]
+        for at in range(0, batch.num_rows, 500):
+            own = [word_shingles(t.as_py(), SHINGLE) for t in batch.column(column)[at : at + 500]]
+            yield [(set_key(x), x) for x in own]
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -224,8 +225,8 @@ def _with_sets(df: DataFrame, id_col: str, text_col: str, bits: np.ndarray) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 own = next(_sets(iter([part]), 1))
                 ok = bitmap.has(sent.value, np.array([k for (k, _), _ in own], np.int64).view(np.uint64))
                 raw = [x.tobytes() if good and len(x) and k not in seen else None for (k, x), good in zip(own, ok, strict=True)]
