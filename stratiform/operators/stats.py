@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratiform.scratch import Scratch
+
 EPSILON = 1e-9
 
 
@@ -20,7 +22,7 @@ def bootstrap(deltas: DataFrame, key: str, reps: int, seed: str = "r") -> DataFr
 
     Draw j of repetition i is row ``hash(seed, i, j) mod n``: the same on any engine and for any comparison of n needs.
     """
-    numbered = deltas.select((F.row_number().over(Window.orderBy(key)) - 1).alias("at"), "delta").persist()
+    numbered = Scratch(deltas.sparkSession, "bootstrap").keep(deltas.select((F.row_number().over(Window.orderBy(key)) - 1).alias("at"), "delta"))
     n = numbered.count()
     draws = deltas.sparkSession.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
     pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "rep", "j")), 1, 12), 16, 10).cast("long"), F.lit(n))
@@ -40,7 +42,7 @@ def cluster_bootstrap(deltas: DataFrame, cluster: str, reps: int, seed: str = "c
     Sums and sizes of the clusters are what is drawn, so items are aggregated once.
     """
     sums = deltas.groupBy(cluster).agg(F.sum("delta").alias("s"), F.count("*").alias("c"))
-    numbered = sums.select((F.row_number().over(Window.orderBy(cluster)) - 1).alias("at"), "s", "c").persist()
+    numbered = Scratch(deltas.sparkSession, "bootstrap").keep(sums.select((F.row_number().over(Window.orderBy(cluster)) - 1).alias("at"), "s", "c"))
     n = numbered.count()
     draws = deltas.sparkSession.range(reps).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
     pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "rep", "j")), 1, 12), 16, 10).cast("long"), F.lit(n))
