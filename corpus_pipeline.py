@@ -8,7 +8,8 @@ their other columns (n_chars follows the text).
 Defined cases: null text and empty text pass every filter; a null id has no label and is no copy of
 anything, its text is searched for benchmark passages and personal data as any other; of rows equal in
 id and text the near-copy stage keeps one (the smallest by lang, source and n_chars), rows that share an
-id but not the text are documents of their own; an empty table stays empty; extra columns are dropped.
+id but not the text are documents of their own; ids are whole numbers of up to 64 bits (or their text): others are
+refused by the near-copy stage; an empty table stays empty; extra columns are dropped.
 """
 
 from __future__ import annotations
