@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratiform.llm import bitmap, bpe_replay, decontaminate, ngram_join, pii_bootstrap, toxicity_pu
-from stratiform.llm.common import Scratch, pick, table
+from stratiform.llm.common import Scratch, pick, small_batches, table
 from stratiform.shipping import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,6 +30,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
     ship(spark)
+    small_batches(spark)
     docs = pick(docs, *COLUMNS)
     model = toxicity_pu.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return toxicity_pu.keep_clean(docs, model)
@@ -38,6 +39,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
     ship(spark)
+    small_batches(spark)
     docs = pick(docs, *COLUMNS)
     # A row is told by its id and text: in the order of the ids, which the decimal form with an offset keeps.
     row = F.concat(F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0"), F.md5(F.coalesce("text", F.lit(""))))
@@ -55,6 +57,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
     ship(spark)
+    small_batches(spark)
     docs = pick(docs, *COLUMNS)
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -62,6 +65,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes the name of its kind in brackets."""
     ship(spark)
+    small_batches(spark)
     docs = pick(docs, *COLUMNS)
     found = pii_bootstrap.find(docs).filter(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("spans"))
     keyed = pii_bootstrap.with_key(docs)
@@ -73,6 +77,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens and digests of ids and decoded bytes of every document left."""
     ship(spark)
+    small_batches(spark)
     return bpe_replay.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

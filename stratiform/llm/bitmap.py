@@ -59,6 +59,6 @@ def parted(df: DataFrame, bits: np.ndarray, key_col: str) -> tuple[DataFrame, Da
                 hit = has(sent.value, batch.column(at).to_numpy(zero_copy_only=False).view(np.uint64))
                 yield batch.filter(pa.array(hit == inside))
 
-        return df.mapInArrow(run, df.schema)
+        return C.map_arrow(df, run, df.schema.fields)
 
     return side(True), side(False)

@@ -221,7 +221,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
             for batch in batches:
                 yield batch.filter(pa.array([clean(matcher, t.as_py()) for t in batch.column(at)], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return C.map_arrow(docs, run, docs.schema.fields)
     keyed = docs.withColumn("key_", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
     found = contamination(keyed.select("key_", text_col), benchmark, "key_", text_col, item_col, item_text, size, share, limit)
     return keyed.join(found.filter("contaminated").select("key_").distinct(), "key_", "left_anti").select(*docs.columns)

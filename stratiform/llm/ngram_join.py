@@ -313,7 +313,7 @@ def _among(sets: DataFrame, keys: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(bitmap.has(sent.value, batch.column(0).to_numpy().view(np.uint64))))
 
     rows = sets.select("key", "n", "tokens")
-    return rows.mapInArrow(run, rows.schema)
+    return C.map_arrow(rows, run, rows.schema.fields)
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, scratch: C.Scratch) -> DataFrame:
@@ -442,6 +442,7 @@ def links(sets: DataFrame, shared: DataFrame, percent: int, scratch: C.Scratch)
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id): the smallest id reachable by links."""
+    C.small_batches(df.sparkSession)
     scratch = C.Scratch(df.sparkSession, "ngram")
     df = C.pick(df, id_col, text_col)
     size = df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0

@@ -234,7 +234,7 @@ def keep_clean(df: DataFrame, model: Model | None, text_col: str = "text", thres
         for batch in batches:
             yield batch.filter(pa.array([m is None or m.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return C.map_arrow(df, run, df.schema.fields)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
