@@ -202,13 +202,15 @@ def assembled(judgments: DataFrame, keys: list[str]) -> DataFrame:
 def contamination(statements: DataFrame, references: DataFrame, key: str, text: str, size: int = 8) -> DataFrame:
     """(key, runs, shared): how many of a statement's runs of ``size`` words stand in any reference, for those that share one.
 
-    Reference runs are distinct hashes; the join is a semi-join on the run, pre-aggregated on both sides.
+    Runs are distinct hashes, made of the words of a text that are taken once; references' runs are distinct.
     """
     from stratiform.functions.legal import runs
     from stratiform.functions.text import ascii_words
 
-    hashed = lambda df: df.select(*([key] if key in df.columns else []), F.explode(F.array_distinct(F.transform(runs(ascii_words(F.col(text)), size), lambda r: F.xxhash64(r)))).alias("run"))
-    mine, theirs = hashed(statements.select(key, text)), hashed(references.select(text)).select("run").distinct()
+    # the words are bound to a name: an expression inside a function of each place would be worked out again for each
+    hashes = lambda c: F.flatten(F.transform(F.array(ascii_words(c)), lambda w: F.array_distinct(F.transform(runs(w, size), lambda r: F.xxhash64(r)))))
+    mine = statements.select(key, F.explode(hashes(F.col(text))).alias("run"))
+    theirs = references.select(F.explode(hashes(F.col(text))).alias("run")).distinct()
     hit = mine.join(theirs.withColumn("hit_", F.lit(1)), "run", "left")
     return hit.groupBy(key).agg(F.count("*").alias("runs"), F.count("hit_").alias("shared")).filter("shared > 0")
 

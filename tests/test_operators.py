@@ -161,3 +161,16 @@ def test_ndcg_envelope_against_enumeration(spark):
     rows = spark.createDataFrame([(1, i, g, b, c) for i, (g, b, c) in enumerate(zip(grade, base, cand, strict=True))], "query_id long, doc_id long, grade int, base_rank int, cand_rank int")
     got = stats.ndcg_envelope(rows).first()
     assert (got.least, got.greatest) == (round(min(every), 6), round(max(every), 6))
+
+
+def test_contamination_reads_the_words_of_a_long_text_once(spark):
+    import time
+
+    from stratiform.operators import curation
+
+    long = " ".join(f"w{i}" for i in range(40_000))
+    docs = spark.createDataFrame([(1, long), (2, "a b c d e f g h i"), (2, "a b c d e f g h"), (3, None), (4, "x y")], "doc_id long, text string")
+    bench = spark.createDataFrame([("w7 w8 w9 w10 w11 w12 w13 w14 and B c d e f g h i",), (None,)], "text string")
+    began = time.monotonic()
+    assert sorted(map(tuple, curation.contamination(docs, bench, "doc_id", "text").collect())) == [(1, 39_993, 1), (2, 3, 1)]
+    assert time.monotonic() - began < 30
