@@ -45,6 +45,20 @@ def split_late(events: DataFrame, batch: str, at: str, gap_s: float, delay_s: fl
     return marked.filter(~late).select(*events.columns), marked.filter(late).select(*events.columns, "filter")
 
 
+def held_back(events: DataFrame, batch: str, at: str, gap_s: float, delay_s: float) -> DataFrame:
+    """The events in time, for a stream with a delay of ``delay_s + gap_s``, and a last micro-batch that ends it.
+
+    A stream closes a session as soon as the watermark has passed its end, and an event in time that would still have
+    belonged to it begins another. One gap later none can come any more: with that delay every session is whole. The
+    last micro-batch holds one event without a key a gap behind the latest, which takes the watermark to where
+    it stands without the longer delay; its own session never comes out.
+    """
+    good, _ = split_late(events, batch, at, gap_s, delay_s)
+    last = events.agg((F.max(batch) + 1).alias("b_"), (F.max(at) + F.expr(f"interval {gap_s} seconds")).alias("t_")).filter("t_ is not null")
+    empty = [F.col({batch: "b_", at: "t_"}[f.name]).cast(f.dataType).alias(f.name) if f.name in (batch, at) else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+    return good.unionByName(last.select(*empty))
+
+
 def replayed(events: DataFrame, batch: str, key: str, at: str, gap_s: float, delay_s: float) -> DataFrame:
     """What ``sessions`` puts out of a stream of the given micro-batches, in batch jobs: (key, start, end, n, first, last).
 

@@ -83,3 +83,19 @@ def test_two_streams_join_as_two_tables(spark, tmp_path, how):
 def test_numbered_shares(spark):
     got = sorted((r.id, r.batch) for r in S.numbered(spark.range(10, 20), "id", 4).collect())
     assert [b for _, b in got] == [0, 0, 0, 1, 1, 2, 2, 2, 3, 3] and S.numbered(spark.range(0), "id", 4).count() == 0
+
+
+def test_event_in_time_joins_a_session_whose_end_has_passed(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from stratiform.streaming import sessions as S
+
+    rows = [(0, 1, 0), (0, 3, 87), (0, 2, 100), (1, 2, 101), (2, 3, 90), (2, 1, 5), (2, 2, 200), (2, None, 199)]
+    events = spark.createDataFrame(rows, "batch long, k long, s long").select("batch", "k", F.timestamp_seconds("s").alias("at"))
+    schema, n = S.feed(S.held_back(events, "batch", "at", 10, 2), f"{tmp_path}/in")
+    assert n == 4
+    out = S.sessions(S.replay(spark, f"{tmp_path}/in", schema), "k", "at", "10 seconds", "12 seconds")
+    S.drain(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out").select("k", F.col("start").cast("long"), F.col("end").cast("long"), "n")
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 10, 1), (2, 100, 111, 2), (3, 87, 100, 2)]
+    assert not S.held_back(events.filter("false"), "batch", "at", 10, 2).count()
