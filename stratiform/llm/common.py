@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratiform.scratch import Scratch, shared_dir  # noqa: F401
+from stratiform.scratch import BATCH_ROWS, Scratch, shared_dir, small_batches  # noqa: F401
 
 #: Output batches of the Arrow operators are closed at this many payload bytes, so that a run of
 #: very long texts never builds one huge batch.
@@ -45,17 +45,6 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[p
     return df.mapInArrow(run, T.StructType(fields))
 
 
-#: Rows of an Arrow batch where texts are read: those of Spark's default would hold tens of megabytes on each side.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows, if they are larger."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name, "0")) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def release() -> None:
     """Return freed memory to the system: workers are used again by other stages, whose needs would add up."""
     pa.default_memory_pool().release_unused()

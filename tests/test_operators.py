@@ -202,3 +202,14 @@ def test_bm25_scores_where_the_documents_lie(spark, monkeypatch):
     here, shuffled = run(docs), run(docs.withColumn("doc_id", docs.doc_id.cast("string")))
     assert here == shuffled and len(here) > 300 and calls == [1]
     assert not run(docs.filter("false"))
+
+
+def test_bm25_reads_texts_in_small_batches(spark):
+    """A worker holds the words of a batch; Spark's default would be those of ten thousand texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "10000")
+    words = [f"w{i}x" for i in range(40)]
+    q = spark.createDataFrame([(1, " ".join(words))], "i long, t string")
+    d = spark.range(3000).selectExpr("id as d", "concat('w', id % 50, 'x other') as t").repartition(1)
+    got = retrieval.bm25(q, d, 3, query_id="i", query_text="t", doc_id="d", doc_text="t").orderBy("rank").collect()
+    assert [r.doc_id for r in got] == [0, 1, 2] and int(spark.conf.get(name)) <= 1000
