@@ -159,13 +159,18 @@ def json_replies(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", F.get_json_object(L.json_in(F.col("reply")), "$.k").cast("long").alias("k"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows over all tasks, before pages are made of them: a file of a few megabytes is one task, however many pages it stands for."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 @register("statute_nodes", """WITH c AS (SELECT c_custkey AS k, c_name AS n, c_nationkey::VARCHAR AS p, c_mktsegment AS s FROM customer)
 SELECT k, k::VARCHAR AS path, 1 AS level, 'articulo' AS kind, '' AS own_text FROM c
 UNION ALL SELECT k, k || '.1', 2, 'apartado', n || ' shall pay:' FROM c UNION ALL SELECT k, k || '.1.a', 3, 'punto', p FROM c
 UNION ALL SELECT k, k || '.1.sub_2', 3, 'subparagraph', 'By ' || s || '.' FROM c""")
 def statute_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """A small article in the journal's layout for every customer."""
-    c = _t(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("p"), "c_mktsegment")
+    c = _dealt(_t(spark, sf, "customer")).select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("p"), "c_mktsegment")
     page = F.format_string(
         '<html xmlns="http://www.w3.org/1999/xhtml"><body><div class="eli-subdivision" id="art_%s"><p class="oj-ti-art">Article</p><div id="001.001"><p class="oj-normal">1.   %s shall pay:</p>'
         '<table><tr><td>(a)</td><td><p class="oj-normal">%s</p></td></tr></table><p class="oj-normal">By %s <sup>1</sup>.</p></div></div></body></html>',
@@ -183,7 +188,7 @@ UNION ALL SELECT k, 'On ' || n, k || '.1', 2, 'apartado', n || ' shall pay:' FRO
 UNION ALL SELECT k, 'On ' || n, k || '.1.sub_2', 3, 'subparagraph', 'By ' || s || '.' FROM c""")
 def consolidated_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """A small article in the consolidated layout, with its title, for every customer."""
-    c = _t(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("p"), "c_mktsegment")
+    c = _dealt(_t(spark, sf, "customer")).select("c_custkey", "c_name", F.col("c_nationkey").cast("string").alias("p"), "c_mktsegment")
     page = F.format_string(
         '<html xmlns="http://www.w3.org/1999/xhtml"><body><div class="eli-subdivision" id="art_%s"><p class="title-article-norm">Article</p><div class="eli-title"><p>On %s</p></div><div class="norm"><span class="no-parag">1.  </span><div class="norm inline-element">%s shall pay:</div></div>'
         '<div class="grid-container grid-list"><div class="grid-list-column-1">(a)</div><div class="grid-list-column-2"><p class="norm">%s</p></div></div><p class="modref">M1</p><p class="norm">By %s.</p></div></body></html>',
@@ -195,7 +200,7 @@ def consolidated_nodes(spark: SparkSession, sf: str) -> DataFrame:
 @register("amending_acts", f"""WITH {_NORM} SELECT k, '2' AS article, 'M' || p AS act FROM c WHERE k % 3 > 0 UNION ALL SELECT k, '4', 'R' || k FROM c""")
 def amending_acts(spark: SparkSession, sf: str) -> DataFrame:
     """Acts that amended the articles of a small consolidated text for every customer: by the block an article starts in, by its own mark, or none."""
-    c = _t(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("p"))
+    c = _dealt(_t(spark, sf, "customer")).select("c_custkey", F.col("c_nationkey").cast("string").alias("p"))
     div = '<div class="eli-subdivision" id="art_%s">%s<p>text</p></div>'
     page = F.concat(
         F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><body>' + div % ("1", "")),

@@ -131,3 +131,12 @@ def test_amendments(spark):
     body = article % ("1", "") + '<a title="32019R1: INSERTED">▼M1</a>' + article % ("2", "") + article % ("3", '<a title="x: y">▼B</a>') + article % ("4", '<a title="32020R2: REPLACED">►M2</a>')
     docs = spark.createDataFrame([(1, f'<html xmlns="http://www.w3.org/1999/xhtml"><body>{body}</body></html>'), (2, None), (3, "<x")], "id int, x string")
     assert sorted(tuple(r) for r in hierarchy.amendments(docs, "id", "x").collect()) == [(1, "2", "32019R1"), (1, "4", "32020R2")]
+
+
+def test_pages_are_read_by_all_tasks(spark, sf):
+    """Pages made of a table's rows are dealt first: the table is one file and would be one task."""
+    from stratiform.catalog import queries
+
+    for name in ("statute_nodes", "consolidated_nodes", "amending_acts"):
+        df = queries()[name](spark, sf)
+        assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")), name
