@@ -140,3 +140,14 @@ def test_pages_are_read_by_all_tasks(spark, sf):
     for name in ("statute_nodes", "consolidated_nodes", "amending_acts"):
         df = queries()[name](spark, sf)
         assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")), name
+
+
+def test_words_are_taken_once_for_all_runs(spark):
+    """A text of n words has n runs; words taken anew for each would make it quadratic."""
+    from pyspark.sql import functions as F
+
+    from stratiform.functions import text as T
+
+    df = spark.createDataFrame([("a b c d e",), ("a",), ("",)], "t string").select(L.runs(T.ascii_words(F.col("t")), 4).alias("r"))
+    assert [r.r for r in df.collect()] == [["a b c d", "b c d e"], [], []]
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
