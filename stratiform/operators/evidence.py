@@ -14,6 +14,8 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from stratiform.functions import text as T
 
+#: Least number of parts over which items are dealt that are kept in memory while they are counted.
+PARTS = 200
 TOLERANCE = 1e-9
 
 
@@ -86,11 +88,14 @@ def answered(checked: DataFrame, claims: DataFrame, sufficient: DataFrame) -> Da
 
 def admission(given: DataFrame, returned: DataFrame, job: str, item: str) -> DataFrame:
     """Every job whose reply doesn't name exactly the items it was given: (job, missing, unknown, repeated)."""
-    a = given.select(job, item).distinct().withColumn("given_", F.lit(1))
-    b = returned.groupBy(job, item).agg(F.count("*").alias("n_"))
-    both = a.join(b, [job, item], "full_outer")
-    out = both.groupBy(job).agg(
-        F.count(F.when(F.col("n_").isNull(), 1)).alias("missing"), F.count(F.when(F.col("given_").isNull(), 1)).alias("unknown"), F.count(F.when(F.col("n_") > 1, 1)).alias("repeated")
+    parts = max(PARTS, int(given.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    every = given.select(job, item, F.lit(1).alias("given_"), F.lit(0).alias("n_")).unionByName(returned.select(job, item, F.lit(0).alias("given_"), F.lit(1).alias("n_")))
+    # a null names nothing: given and returned ones don't meet
+    side = F.when(F.col(job).isNull() | F.col(item).isNull(), F.col("given_"))
+    # dealt once and by a number of parts, which is kept as it is; merged parts would hold more items at once
+    each = every.repartition(parts, job).groupBy(job, item, side.alias("side_")).agg(F.max("given_").alias("given_"), F.sum("n_").alias("n_"))
+    out = each.groupBy(job).agg(
+        F.count(F.when(F.col("n_") == 0, 1)).alias("missing"), F.count(F.when(F.col("given_") == 0, 1)).alias("unknown"), F.count(F.when(F.col("n_") > 1, 1)).alias("repeated")
     )
     return out.filter("missing + unknown + repeated > 0")
 

@@ -291,3 +291,14 @@ def test_fields_of_an_entry_are_read_once(spark):
     plan = df.select(A.pooled(F.col("v"), F.col("ids")))._jdf.queryExecution().optimizedPlan().toString()
     # before: 482 readings and 222 kinds
     assert plan.count("try_variant_get") <= 48 and plan.lower().count("schemaofvariant.") <= 12
+
+
+def test_items_given_and_returned_are_dealt_once(spark):
+    """A null names nothing; the items of a job are counted in many small parts, not in as few as their bytes suggest."""
+    from stratiform.operators import evidence
+
+    given = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1), (3, None), (None, 4)], "job long, item long")
+    back = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (2, 9), (3, None), (None, 4)], "job long, item long")
+    out = evidence.admission(given, back, "job", "item")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, 1, 0, 1), (2, 0, 1, 0), (3, 1, 1, 0), (None, 1, 1, 0)], key=repr)
+    assert out.rdd.getNumPartitions() >= evidence.PARTS
