@@ -45,6 +45,7 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         self.pairs = self._pairs()
         self.cache: dict[str, tuple[int, bytes, bytes]] = {}
+        self.met: set[str] = set()
 
     def _pairs(self) -> dict[int, int]:
         """Rank of the merge of two tokens, by ``left << 20 | right``: every split of every token."""
@@ -114,14 +115,24 @@ class Vocabulary:
             out.append((len(own), b" ".join([b"%d" % i for i in own]), self.decode(own)))
         return out
 
+    def _make_room(self, words: set[str]) -> list[str]:
+        """Words that aren't remembered. Where they don't fit, what was met again since room was last made is kept: most words come once."""
+        new = [w for w in words if w not in self.cache and len(w) <= LONG]
+        self.met.update(w for w in words if w in self.cache)
+        if len(self.cache) + len(new) > CACHE_WORDS:
+            self.cache = {w: self.cache[w] for w in self.met}
+            self.met = set()
+            if len(self.cache) + len(new) > CACHE_WORDS:
+                self.cache = {}
+                new = [w for w in words if len(w) <= LONG]
+        return new
+
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text the number of tokens, the SHA-256 of its ids and that of the decoded bytes."""
         found = [self.pattern.findall(t) for t in texts]
-        words, cache = set().union(*found), self.cache
-        new = [w for w in words if w not in cache and len(w) <= LONG]
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = [w for w in words if len(w) <= LONG]
+        words = set().union(*found)
+        new = self._make_room(words)
+        cache = self.cache
         for i in range(0, len(new), SLICE_WORDS):
             cache.update(zip(new[i : i + SLICE_WORDS], self._entries(new[i : i + SLICE_WORDS]), strict=True))
         out = []

@@ -722,3 +722,18 @@ def test_quotations_of_runs_of_lines(spark):
     rows = [(1, 0, "u", "one\ntwo\n\nthree\nfour"), (1, 1, "u", "else"), (1, 2, "u", "> TWO\n> three\nwhat?"), (1, 3, "u", "> two\n> four\nno")]
     got = {r.turn: (r.n_quotes, r.n_linked, r.reply_to) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert got == {0: (0, 0, None), 1: (0, 0, 0), 2: (1, 1, 0), 3: (1, 0, 2)}
+
+
+def test_words_that_come_again_are_remembered(monkeypatch):
+    """Making room keeps the words met again, which are not replayed anew."""
+    v = bpe_replay.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    v.cache, v.met = {}, set()
+    monkeypatch.setattr(bpe_replay, "CACHE_WORDS", 60)
+    seen, plain = [], v._entries
+    monkeypatch.setattr(v, "_entries", lambda words: seen.extend(words) or plain(words))
+    often = " ".join(f"oftzqx{chr(97 + i)}k" for i in range(20))
+    texts = [often + " " + " ".join(f"onczqx{chr(97 + k)}{chr(97 + i)}w" for i in range(20)) for k in range(12)]
+    got = [v.digests([t])[0] for t in texts]
+    assert sum(w.strip().startswith("oftzqx") for w in seen) == 20 + 1 - 1 and len(v.cache) <= 60
+    v.cache, v.met = {}, set()
+    assert got == v.digests(texts)
