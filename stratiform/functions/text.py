@@ -19,6 +19,14 @@ def analyzed(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     return F.filter(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}]+)"), 1), lambda w: ~w.isin(stop))
 
 
+def spaced(text: Column) -> Column:
+    """A text whose runs of ASCII letters, ASCII digits and whatever isn't ASCII are the words of ``analyzed``, stop words included."""
+    raw = F.coalesce(text, F.lit(""))
+    # most texts hold nothing that the expressions could find
+    low = F.when(raw.contains("'") | raw.contains("’"), F.regexp_replace(F.lower(raw), "['’]s\\b", "")).otherwise(F.lower(raw))
+    return F.when(F.octet_length(raw) > F.char_length(raw), F.regexp_replace(low, r"[^\x00-\x7F\p{L}\p{N}]", " ")).otherwise(low)
+
+
 def content_words(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     """Distinct ASCII words of more than two letters that aren't stop words."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z]+)"), 1)

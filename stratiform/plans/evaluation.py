@@ -52,10 +52,8 @@ def bm25_run(spark: SparkSession, sf: str) -> DataFrame:
 
 def overlap_run(spark: SparkSession, sf: str) -> DataFrame:
     """A plain second system: number of shared words of six letters or more."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z]{6,})"), 1))
-    q = _benchmark(spark, sf).select(F.col("item_id").alias("query_id"), F.explode(words(F.col("text"))).alias("term")).distinct()
-    d = _documents(spark, sf).select("doc_id", F.explode(words(F.col("text"))).alias("term"))
-    return R.ranked(d.join(q, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score")), 50)
+    ship(spark)
+    return R.overlap(_benchmark(spark, sf), _documents(spark, sf), 50, query_id="item_id", query_text="text", doc_id="doc_id", doc_text="text")
 
 
 def qrels(spark: SparkSession, sf: str) -> DataFrame:

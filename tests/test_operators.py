@@ -213,3 +213,34 @@ def test_bm25_reads_texts_in_small_batches(spark):
     d = spark.range(3000).selectExpr("id as d", "concat('w', id % 50, 'x other') as t").repartition(1)
     got = retrieval.bm25(q, d, 3, query_id="i", query_text="t", doc_id="d", doc_text="t").orderBy("rank").collect()
     assert [r.doc_id for r in got] == [0, 1, 2] and int(spark.conf.get(name)) <= 1000
+
+
+def test_documents_of_one_row_group_are_read_by_all_tasks(spark, monkeypatch, tmp_path):
+    """Parquet of one row group is one task's; bm25 and overlap deal its texts first."""
+    path = str(tmp_path / "d")
+    spark.range(400).selectExpr("id as d", "concat('stones of rivers ', id % 7) as t").coalesce(1).write.parquet(path)
+    docs, q = spark.read.parquet(path), spark.createDataFrame([(1, "rivers stones")], "i long, t string")
+    tasks, kept = [], retrieval._kept_terms
+    monkeypatch.setattr(retrieval, "_kept_terms", lambda words, *a: tasks.append(words.rdd.getNumPartitions()) or kept(words, *a))
+    run = lambda f: sorted((r["rank"], r.doc_id) for r in f(q, docs, 3, query_id="i", query_text="t", doc_id="d", doc_text="t").collect())
+    assert run(retrieval.bm25) == run(retrieval.overlap) == [(1, 0), (2, 1), (3, 2)]
+    assert len(tasks) == 2 and min(tasks) >= 4
+
+
+def test_words_cut_from_bytes_are_those_of_the_analyzer(spark):
+    from stratiform.functions.stem import porter_analyzed
+
+    odd = ["it's the boy’s²s x's²", "Straße İstanbul K'S o'sullivan's", "a_b-c naïve wörld’s—end", "", None, "½cup ١٢ 東京 \U0001d54f🙂relations", "dogs'stones relational's\nrunning éa", "the of", " ly "]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(odd * 3)], "d long, t string").repartition(2)
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i long, t string")
+    run = lambda f, **a: sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in f(q, docs, 30, query_id="i", query_text="t", doc_id="d", doc_text="t", **a).collect())
+    got = run(retrieval.bm25)
+    assert got == run(retrieval.bm25, analyzer=lambda c: porter_analyzed(c)) and len({r[0] for r in got}) == 6
+    plain = {(i, d): len(set(a) & set(b)) for i, a in enumerate(map(_long_words, odd)) for d, b in enumerate(map(_long_words, odd * 3)) if set(a) & set(b)}
+    assert {(r[0], r[1]): r[2] for r in run(retrieval.overlap)} == plain and plain
+
+
+def _long_words(text):
+    import re
+
+    return re.findall("[a-z]{6,}", (text or "").lower())
