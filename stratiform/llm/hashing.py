@@ -28,7 +28,7 @@ def pairs_mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * np.uint64(0xD6E8FEB86659FD93) + mix(b))
 
 
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of ordered pairs of hashes, of half the cost of ``pairs_mixed``."""
     x = a * np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
@@ -53,14 +53,14 @@ class Windows:
         """Ranks of all strings of 2^level bytes, of eight at least."""
         while len(self._ranks) <= level - 3:
             half, last = 8 << len(self._ranks) - 1, self._ranks[-1]
-            self._ranks.append(_joined(last[:-half], last[half:]))
+            self._ranks.append(joined(last[:-half], last[half:]))
         return self._ranks[level - 3]
 
     def of(self, starts: np.ndarray, length: int) -> np.ndarray:
         """Ranks of strings of one length, of eight bytes at least."""
         k = length.bit_length() - 1
         ranks = self.ranks(k)
-        return mix(_joined(ranks[starts], ranks[starts + (length - (1 << k))]) + np.uint64(length))
+        return mix(joined(ranks[starts], ranks[starts + (length - (1 << k))]) + np.uint64(length))
 
     def of_lengths(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Ranks of strings of a length each."""
@@ -99,6 +99,6 @@ def word_shingles(text: str | None, size: int) -> np.ndarray:
     n = len(words) - size + 1
     out = own[:n] + np.uint64(size)
     for k in range(1, size):
-        out = _joined(out, own[k : n + k])
+        out = joined(out, own[k : n + k])
     out = np.sort(mix(out))
     return out[np.r_[True, out[1:] != out[:-1]]]

@@ -35,13 +35,15 @@ from pyspark.sql import functions as F
 
 from stratiform.llm import bitmap
 from stratiform.llm import common as C
-from stratiform.llm.hashing import Windows, mix
+from stratiform.llm.hashing import Windows, joined, mix
 from stratiform.llm.ogg import _arrow_type
 
 LENGTH, GRAM = 200, 64
 _SPAN = LENGTH - GRAM
 #: Window starts that are anchored at a time; a longer text goes in pieces that overlap.
 PIECE = 1 << 18
+#: Starts, from an anchor, of strings of 64 bytes that cover the anchor's context.
+_COVER = np.array([[-136], [-72], [-8], [56], [120], [136]])
 _POSITION = np.uint64((1 << 20) - 1)
 #: Contexts of one rank that are compared together; a rank of more is dealt into ``PARTS`` parts, one of
 #: ``PARTS`` times as many into the square of that, and so on.
@@ -49,15 +51,12 @@ MANY, PARTS = 256, 16
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Smallest of every ``width`` consecutive values: running minima from both ends of blocks of that width."""
-    n = len(x) - width + 1
-    blocks = -(-len(x) // width)
-    padded = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(x)] = x
-    square = padded.reshape(blocks, width)
-    forward = np.minimum.accumulate(square, axis=1).ravel()
-    backward = np.minimum.accumulate(square[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(backward[:n], forward[width - 1 : width - 1 + n])
+    """Smallest of every ``width`` consecutive values: minima of doubled widths, two of which overlap in the last."""
+    n, w = len(x) - width + 1, 1
+    while 2 * w <= width:
+        x = np.minimum(x[:-w], x[w:])
+        w *= 2
+    return np.minimum(x[:n], x[width - w : width - w + n])
 
 
 class Anchors:
@@ -69,9 +68,8 @@ class Anchors:
         self.data = data[self.base : end + 2 * LENGTH]
         self.windows = Windows(self.data)
         first = start - self.base
-        grams = np.arange(first, first + (end - start) + _SPAN)
-        rank = mix(self.windows.ranks(GRAM.bit_length() - 1)[grams])
-        order = (mix(rank ^ np.uint64(0xA5A5A5A5A5A5A5A5)) & ~_POSITION) | np.arange(len(rank), dtype=np.uint64)
+        rank = mix(self.windows.ranks(GRAM.bit_length() - 1)[first : first + (end - start) + _SPAN])
+        order = (rank & ~_POSITION) | np.arange(len(rank), dtype=np.uint64)
         chosen = (_sliding_min(order, _SPAN + 1) & _POSITION).astype(np.int64)
         cuts = np.flatnonzero(np.diff(chosen)) + 1
         lo = np.r_[0, cuts]
@@ -84,15 +82,23 @@ class Anchors:
         self.gram, self.place, self.lo, self.hi = self.gram[:-1], self.place[:-1], self.lo[:-1], self.hi[:-1]
 
     def contexts(self, pick: np.ndarray) -> np.ndarray:
-        """Rank of all that the strings of an anchor can hold, and of how much of it there is."""
+        """Rank of all that the strings of an anchor can hold, and of how much of it there is: of six strings of 64 bytes that cover it."""
         p = self.place[pick]
         a, b = np.maximum(p - _SPAN, 0), np.minimum(p + LENGTH, len(self.data))
-        return mix(self.windows.of_lengths(a, b - a) + mix(((p - a) << 10 | (b - p)).astype(np.uint64)))
+        held = self.windows.ranks(GRAM.bit_length() - 1)[np.clip(p + _COVER, a, b - GRAM)]
+        pairs = joined(held[:3], held[3:])
+        return mix(joined(joined(pairs[0], pairs[1]), pairs[2]) + mix(((p - a) << 10 | (b - p)).astype(np.uint64)))
 
     def strings(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets before the anchor, and ranks, of the strings of one anchor."""
-        p = np.arange(self.lo[k], self.hi[k] + 1)
-        return (self.place[k] - p).astype(np.uint8), self.windows.of(p, LENGTH)
+        return self.strings_of(np.array([k]))[1:]
+
+    def strings_of(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The strings of some anchors: the number of the anchor among them, the offset before it, the rank."""
+        n = self.hi[pick] - self.lo[pick] + 1
+        owner = np.repeat(np.arange(len(pick)), n)
+        p = (self.lo[pick] - np.cumsum(n) + n)[owner] + np.arange(len(owner))
+        return owner, (self.place[pick][owner] - p).astype(np.uint8), self.windows.of(p, LENGTH)
 
 
 def _pieces(data: bytes) -> Iterator[Anchors]:
@@ -178,34 +184,45 @@ def _spots(rows: DataFrame) -> DataFrame:
 
 
 def _strings(docs: DataFrame, grams: np.ndarray, spots: np.ndarray, many: list[np.ndarray]) -> DataFrame:
-    """(gram, part, doc, place, strings): the 200-byte strings of chosen anchors, as offsets (1 byte) and ranks (8 bytes); ``many``: bitmaps of the ranks to be dealt, for each power of ``PARTS``."""
+    """(gram, part, doc, place, strings): the 200-byte strings of chosen anchors, as an offset (1 byte) and a rank (8 bytes) each; ``many``: bitmaps of the ranks to be dealt, for each power of ``PARTS``."""
     sent = docs.sparkSession.sparkContext.broadcast((grams, spots, many))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g_bits, s_bits, m_bits = sent.value
-        rows: list[tuple] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            g, p, d, m, s = zip(*rows, strict=True)
-            rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(p, pa.int64()), pa.array(d, pa.int64()), pa.array(m, pa.int64()), pa.array(s, pa.binary())], ["gram", "part", "doc", "place", "strings"])
+            g, p, d, m, n, packed = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            ends = np.r_[0, np.cumsum(n * 9)].astype(np.int32)
+            strings = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (g, p, d, m)] + [strings], ["gram", "part", "doc", "place", "strings"])
 
         for batch in batches:
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for a in _pieces(_bytes(x)):
-                    own = np.flatnonzero(bitmap.has(g_bits, a.gram) & bitmap.has(s_bits, _spot(doc, a.place + a.base)))
-                    power = sum((bitmap.has(m, a.gram[own]).astype(np.int64) for m in m_bits), np.zeros(len(own), np.int64))
-                    for k, dealt in zip(own.tolist(), power.tolist(), strict=True):
-                        off, rank = a.strings(k)
-                        g, place = int(a.gram[k : k + 1].view(np.int64)[0]), int(a.place[k] + a.base)
-                        if not dealt:
-                            rows.append((g, -1, doc, place, off.tobytes() + rank.tobytes()))
-                            continue
-                        part = (rank % np.uint64(PARTS**dealt)).astype(np.int64)
-                        rows += [(g, int(j), doc, place, off[part == j].tobytes() + rank[part == j].tobytes()) for j in np.unique(part)]
-                if len(rows) > 4000:
+                    own = np.flatnonzero(bitmap.has(g_bits, a.gram))
+                    own = own[bitmap.has(s_bits, _spot(doc, a.place[own] + a.base))]
+                    if not len(own):
+                        continue
+                    owner, off, rank = a.strings_of(own)
+                    part = np.full(len(owner), -1)
+                    if m_bits:
+                        power = sum((bitmap.has(m, a.gram[own]).astype(np.int64) for m in m_bits), np.zeros(len(own), np.int64))[owner]
+                        part = np.where(power > 0, (rank % np.uint64(PARTS) ** power.astype(np.uint64)).astype(np.int64), -1)
+                        order = np.lexsort((part, owner))
+                        owner, off, rank, part = owner[order], off[order], rank[order], part[order]
+                    starts = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])])
+                    packed = np.empty((len(owner), 9), np.uint8)
+                    packed[:, 0], packed[:, 1:] = off, rank.view(np.uint8).reshape(-1, 8)
+                    k = own[owner[starts]]
+                    held.append((a.gram[k].view(np.int64), part[starts], np.full(len(k), doc), a.place[k] + a.base, np.diff(np.r_[starts, len(owner)]), packed.ravel()))
+                    size += len(owner)
+                if size > 200_000:
                     yield out()
-        if rows:
+                    size = 0
+        if held:
             yield out()
 
     return C.map_arrow(docs, run, [C.field("gram", "long"), C.field("part", "long"), C.field("doc", "long"), C.field("place", "long"), C.field("strings", "binary")])
@@ -222,8 +239,8 @@ def _equal_strings(rows: DataFrame) -> DataFrame:
                 held.clear()
                 return []
             sizes = np.array([len(raw) // 9 for _, _, raw in held])
-            off = np.concatenate([np.frombuffer(raw[:n], np.uint8) for (_, _, raw), n in zip(held, sizes, strict=True)]).astype(np.int64)
-            rank = np.concatenate([np.frombuffer(raw[n:], np.uint64) for (_, _, raw), n in zip(held, sizes, strict=True)])
+            packed = np.frombuffer(b"".join(raw for _, _, raw in held), np.uint8).reshape(-1, 9)
+            off, rank = packed[:, 0].astype(np.int64), np.ascontiguousarray(packed[:, 1:]).view(np.uint64).ravel()
             _, back, count = np.unique(rank, return_inverse=True, return_counts=True)
             hit = count[back] > 1
             owner = np.repeat(np.arange(len(held)), sizes)

@@ -737,3 +737,21 @@ def test_words_that_come_again_are_remembered(monkeypatch):
     assert sum(w.strip().startswith("oftzqx") for w in seen) == 20 and len(v.cache) <= 60
     v.cache, v.met = {}, set()
     assert got == v.digests(texts)
+
+
+def test_contexts_and_strings_of_many_anchors_at_once():
+    """Contexts are put together from 64-byte ranks at the anchors only; strings of all anchors come in one go."""
+    rnd = random.Random(21)
+    text = rnd.randbytes(5000)
+    other = rnd.randbytes(700) + text[1000:3000] + rnd.randbytes(90)
+    a, b = (next(suffix_dedup._pieces(x)) for x in (text, other))
+    every = [np.arange(len(x.place)) for x in (a, b)]
+    contexts = [x.contexts(k) for x, k in zip((a, b), every, strict=True)]
+    assert len(a.windows._ranks) == 4
+    held = lambda x, data, k: data[max(0, x.place[k] - 136) : x.place[k] + 200]
+    equal = [(i, j) for i in every[0] for j in every[1] if contexts[0][i] == contexts[1][j]]
+    assert equal == [(i, j) for i in every[0] for j in every[1] if held(a, text, i) == held(b, other, j)] and len(equal) > 10
+    owner, off, rank = a.strings_of(every[0][3:9])
+    for n, k in enumerate(range(3, 9)):
+        p = np.arange(a.lo[k], a.hi[k] + 1)
+        assert off[owner == n].tolist() == (a.place[k] - p).tolist() and rank[owner == n].tolist() == a.windows.of(p, 200).tolist()
