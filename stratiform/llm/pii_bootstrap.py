@@ -146,12 +146,14 @@ def _running(word: str, cuts: set[int]) -> dict[int, str]:
     return out
 
 
-def _around(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
+def _around(text: str, spans: list[tuple[int, int]] | int, end: int | None = None) -> list[list[str]] | list[str]:
     """Patterns of each span: the two words before; the word before and the word after, all whole. Digits become 0.
 
-    Of the word a span stands in, what is before the span and what is behind it are words. The long ones
+    A start and an end instead of spans are one span, of which the patterns come alone. Of the word a span stands in, what is before the span and what is behind it are words. The long ones
     are told by digests: of all beginnings (or, for the word after, ends) of one word in a single pass.
     """
+    if end is not None:
+        return _around(text, [(spans, end)])[0]
     if not spans:
         return []
     words = [m.span() for m in _WORD.finditer(text)]
